@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, simhash
+from . import bpe, exact, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The byte-level BPE file; installed beside this engine, never part of it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -23,8 +30,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_simhash_near_dedup, op7_exact_dedup)}
+    return {f.__name__: f for f in (op6_simhash_near_dedup, op7_exact_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
