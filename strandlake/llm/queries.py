@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed, exact, packing, simhash, urls
+from . import bpe, chat, crf, embed, exact, html, packing, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,12 +53,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_embedding_near_dedup, op2_chat_formatting, op3_url_filters, op5_packing, op6_simhash_near_dedup, op7_exact_dedup, op10_bpe)
+    every = (op1_embedding_near_dedup, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op5_packing, op6_simhash_near_dedup, op7_exact_dedup, op9_html_extraction, op10_bpe)
     return {f.__name__: f for f in every}
 
 
