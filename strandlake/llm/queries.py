@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, crf, embed, exact, html, packing, simhash, urls
+from . import bpe, chat, crf, embed, exact, html, packing, simhash, substring, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
@@ -62,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_embedding_near_dedup, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op5_packing, op6_simhash_near_dedup, op7_exact_dedup, op9_html_extraction, op10_bpe)
+    every = (op1_embedding_near_dedup, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op5_packing, op6_simhash_near_dedup, op7_exact_dedup, op8_substring_dedup, op9_html_extraction, op10_bpe)
     return {f.__name__: f for f in every}
 
 
