@@ -308,3 +308,16 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; score() says what holds for odd rows."""
+    model = train(docs, labels, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(quality(model, texts_of(b.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

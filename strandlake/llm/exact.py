@@ -164,3 +164,20 @@ def _unequal(docs: DataFrame, members: DataFrame) -> DataFrame | None:
     rows = stored(members.drop("rep").join(of, ids))
     sums = rows.groupBy("group", "rep").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size"))
     return rows.join(sums, ["group", "rep"]).select("row", "best", "size")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that exact_groups() keeps."""
+    found = stored(exact_groups(docs))
+    key = ["same_id", "same_sha"]
+    each = found.groupBy(F.col("doc_id").alias("same_id"), F.col("text_sha256").alias("same_sha")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = stored(each.where("not kept or n > 1"))
+    own = F.sha2(F.coalesce("text", F.lit("")), 256)
+    same = lambda side: docs["doc_id"].eqNullSafe(side["same_id"]) & (own == side["same_sha"])
+    kept = docs.join(small(odd), same(odd), "left_anti")
+    again = odd.where("kept")
+    if again.isEmpty():
+        return kept
+    # rows that occur several times under one doc_id: the first of them stays
+    rows = docs.join(small(again), same(again)).dropDuplicates(key).select(*docs.columns)
+    return kept.unionByName(rows)

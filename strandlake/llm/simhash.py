@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, forest, runs, stored, texts_of, whole_runs
+from .common import batch, forest, runs, small, stored, texts_of, whole_runs
 from .components import components
 
 #: The generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -186,3 +186,121 @@ def near_groups(docs: DataFrame) -> DataFrame:
     label = components(links(classes.where("rep is not null")))
     named = stored(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For similar_groups(): width of the shingles that verify, differing bits that still link in
+#: either fingerprint, and members of a bucket that are compared in one task.
+VERIFY = 5
+NEAR_KEY, NEAR = 12, 25
+FULL = 4096
+
+_PAIR = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_PAIR_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("rep", pa.int64())])
+
+
+def wide_simhash(text: bytes, width: int = VERIFY) -> tuple[int, int]:
+    """A fingerprint of 128 bits from XXH3, as two halves; otherwise as simhash()."""
+    words = text.lower().split()
+    if not words:
+        return 0, 0
+    joined = b" ".join(words)
+    ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    n = max(1, len(words) - width + 1)
+    counts = np.zeros(128, np.int64)
+    digest = xxhash.xxh3_128_digest
+    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
+    for at in range(0, n, BLOCK):
+        part = b"".join([digest(joined[s:e]) for s, e in zip(starts[at : min(at + BLOCK, n)], last[at : at + BLOCK], strict=True)])
+        counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    out = np.packbits(counts * 2 > n).view("<u8")
+    return int(out[0]), int(out[1])
+
+
+def _pair_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = np.array([(simhash(t), *wide_simhash(t)) for t in texts_of(b.column(1))], np.uint64).reshape(-1, 3).view(np.int64)
+        yield batch(_PAIR, b.column(0), *rows.T)
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two of the three segments have two errors at most if all have five at most; they give a key together."""
+    decoder = None
+    for whole in batches:
+        decoder = golay_decoder() if decoder is None else decoder
+        for at in range(0, whole.num_rows, 1 << 13):
+            b = whole.slice(at, 1 << 13)
+            fp, low, high, rep = (b.column(i).to_numpy() for i in range(4))
+            index = [golay_keys(((fp.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64), decoder).astype(np.int64) for s, w in SEGMENTS]
+            for k in range(3):
+                one, two = index[k][:, :, None], index[(k + 1) % 3][:, None, :]
+                row, i, j = np.nonzero((one >= 0) & (two >= 0))
+                yield batch(_PAIR_KEYS, (k << 24) | (one[row, i, 0] << 12) | two[row, 0, j], fp[row], low[row], high[row], rep[row])
+
+
+def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for t in whole_runs(batches, ["key", "block"]):
+        key = t.column("key").to_numpy() * 1_000_003 + t.column("block").to_numpy()
+        fp, low, high, rep = (t.column(c).to_numpy() for c in ("fp", "low", "high", "rep"))
+        start, length = runs(key)
+        keep = np.repeat(length > 1, length)
+        key, rep = key[keep], rep[keep]
+        fp, low, high = fp[keep].view(np.uint64), low[keep].view(np.uint64), high[keep].view(np.uint64)
+        nodes, name = np.unique(rep, return_inverse=True)
+        root = np.arange(len(nodes))
+        found: list[np.ndarray] = []
+        size, step = 0, 1
+        at = np.arange(len(key))
+        while True:
+            at = at[at + step < len(key)]
+            at = at[key[at + step] == key[at]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= NEAR_KEY]
+            near = near[np.bitwise_count(low[near] ^ low[near + step]).astype(np.int16) + np.bitwise_count(high[near] ^ high[near + step]) <= NEAR]
+            found.append(np.stack([name[near], name[near + step]]))
+            size += len(near)
+            if size > 1_000_000:
+                found, size = [np.stack([np.arange(len(nodes)), forest(len(nodes), *np.concatenate(found, axis=1))])], len(nodes)
+            step += 1
+        if found:
+            root = forest(len(nodes), *np.concatenate(found, axis=1))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        if len(moved):
+            yield batch(schema, nodes[moved], nodes[root[moved]])
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, component_id, for texts that are alike in some 0.8 of their shingles of five words.
+
+    Candidates are fingerprints of 64 bits over three words that share the Golay keys of two
+    segments; they link if they differ in NEAR_KEY bits at most and the fingerprints of 128
+    bits over five words in NEAR at most (a Jaccard similarity of 0.8 changes 19 of 128 bits
+    on average). Odd rows as in near_groups().
+    """
+    prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pair_fingerprints, "doc_id long, fp long, low long, high long"))
+    same = ["fp", "low", "high"]
+    classes = stored(prints.groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    keys = classes.where("rep is not null").mapInArrow(_pair_keys, "key long, fp long, low long, high long, rep long")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
+    full = stored(counts.select("key", F.ceil(F.col("n") / (FULL / 2)).cast("int").alias("blocks")))
+    if full.isEmpty():
+        keys = keys.withColumn("block", F.lit(0).cast("long"))
+    else:
+        # every two blocks of a full bucket meet in a task of their own
+        keys = keys.join(small(full), "key", "left")
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own))
+        keys = keys.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify_pairs, "a long, b long")
+    label = components(links)
+    named = stored(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id")))
+    return prints.join(named, same).select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, but for those of a group of similar texts that don't have its smallest doc_id. Rows without a doc_id stay."""
+    gone = stored(similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(small(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
