@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+from strandlake.plans import q_annotation, q_intervals, q_joins, q_reads
+
+MODULES = (q_intervals, q_joins, q_annotation, q_reads)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
