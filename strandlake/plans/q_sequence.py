@@ -202,9 +202,9 @@ def symbolic(spark, d):
 
 @query("c08_trim_prefix", f"WITH {_VAR}, p AS (SELECT *, {_PRE} AS k FROM v) SELECT id, start_pos + k AS start_pos, substr(ref, k + 1) AS ref, substr(alt, k + 1) AS alt FROM p")
 def trim_prefix(spark, d):
-    k = va.common_prefix(F.col("ref"), F.col("alt"))
-    v = variants(spark, d)
-    return v.select("id", (F.col("start_pos") + k).cast("long").alias("start_pos"), F.col("ref").substr(k + 1, F.length("ref")).alias("ref"), F.col("alt").substr(k + 1, F.length("alt")).alias("alt"))
+    v = variants(spark, d).withColumn("k", va.common_prefix(F.col("ref"), F.col("alt")))
+    rest = lambda c: F.expr(f"substring({c}, k + 1)").alias(c)
+    return v.select("id", (F.col("start_pos") + F.col("k")).cast("long").alias("start_pos"), rest("ref"), rest("alt"))
 
 
 @query("c11_format_long", "SELECT l_orderkey AS id, unnest([0, 1]) AS sample, unnest([l_partkey, l_suppkey]) AS dp FROM lineitem")

@@ -58,7 +58,8 @@ def read(spark: SparkSession, path: str, info: dict | list = (), fmt: dict | lis
     if validate:
         rows = rows.withColumn("ALT", F.when(F.col("ALT").contains(","), F.raise_error(F.lit("a multi-allelic row")).cast("string")).otherwise(F.col("ALT")))
     value = lambda name: F.nullif(F.regexp_extract(F.col("INFO"), rf"(?:^|;){name}=([^;]*)", 1), F.lit(""))
-    pad = common_prefix(F.col("REF"), F.col("ALT"))
+    rows = rows.withColumn("_pad", common_prefix(F.col("REF"), F.upper("ALT")))
+    pad = F.col("_pad")
     sym = F.col("ALT").startswith("<")
     s = symbolic(F.col("pos"), F.col("REF"), value("END").cast("long"), value("SVLEN").cast("long"))
     start = F.when(sym, s["start_pos"]).otherwise(F.col("pos") - 1 + pad)
