@@ -284,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     got = rows.mapInArrow(run, "doc_id long, quality int, lines binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     lines = [np.frombuffer(x, "<f4").reshape(-1, MEASURES + 2) for x in got["lines"]]
-    doc = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    doc = np.repeat(np.arange(len(lines)), np.array([len(x) for x in lines], np.int64))
     every = np.concatenate(lines) if lines else np.zeros((0, MEASURES + 2))
     return fit(every[:, :-1].astype(np.float64), every[:, -1].astype(np.float64), doc, got["quality"].to_numpy(dtype=np.int64))
 

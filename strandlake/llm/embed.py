@@ -186,7 +186,7 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECA
     """One row per row of vectors(vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing; so do vectors of different lengths with each other. Equal vectors are one
+    nothing; so do vectors of different lengths with each other, and rows without a vec_id. Equal vectors are one
     node that counts its copies. Repeated rows are copies; other columns are ignored; an
     empty table gives an empty result.
     """
@@ -209,7 +209,7 @@ def near_groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECA
     named = stored(named.select(F.col("embedding").alias("same"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0).cast("long"))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
     joined = rows.withColumn("same", F.when(fine, plus)).join(named, "same", "left")
     component = F.coalesce("component_id", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
 def _single(classes: DataFrame) -> DataFrame:

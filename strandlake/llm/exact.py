@@ -169,13 +169,13 @@ def _unequal(docs: DataFrame, members: DataFrame) -> DataFrame | None:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that exact_groups() keeps."""
     found = stored(exact_groups(docs))
-    key = ["same_id", "same_sha"]
-    each = found.groupBy(F.col("doc_id").alias("same_id"), F.col("text_sha256").alias("same_sha")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    odd = stored(each.where("not kept or n > 1"))
+    key = ["_strandlake_id", "_strandlake_sha"]
+    each = found.groupBy(F.col("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1])).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = stored(each.where("not kept or n > 1").withColumnsRenamed({"kept": "_strandlake_kept", "n": "_strandlake_n"}))
     own = F.sha2(F.coalesce("text", F.lit("")), 256)
-    same = lambda side: docs["doc_id"].eqNullSafe(side["same_id"]) & (own == side["same_sha"])
+    same = lambda side: docs["doc_id"].eqNullSafe(side[key[0]]) & (own == side[key[1]])
     kept = docs.join(small(odd), same(odd), "left_anti")
-    again = odd.where("kept")
+    again = odd.where("_strandlake_kept")
     if again.isEmpty():
         return kept
     # rows that occur several times under one doc_id: the first of them stays

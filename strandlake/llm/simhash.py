@@ -302,5 +302,5 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, but for those of a group of similar texts that don't have its smallest doc_id. Rows without a doc_id stay."""
-    gone = stored(similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    return docs.join(small(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
+    gone = stored(similar_groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_strandlake_gone")).distinct())
+    return docs.join(small(gone), docs["doc_id"] == gone["_strandlake_gone"], "left_anti")
