@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of
+from .common import batch, bounded, texts_of
 
 #: Bytes of a word that is still merged in the matrix; longer ones use a heap.
 SHORT = 64
@@ -414,7 +414,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 z.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield batch(_OUT, b.column(0), n, a, z)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), [ids.astype(np.int32) for ids in codec.encode(texts_of(b.column(1)))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most this many may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch that goes to Python.
+BATCH_BYTES = "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Keep the batches that go to Python small: long texts otherwise make batches of tens of MB, held on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     spark = df.sparkSession

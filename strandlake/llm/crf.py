@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of
+from .common import batch, bounded, texts_of
 
 #: Labelled documents that the field is fitted on, those of the smallest hashes: its only bound.
 SAMPLE = 3_000
@@ -271,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The field, fitted to `sample` labelled documents at most, of those whose crc32 isn't divisible by 5."""
     crc = F.crc32(F.col("doc_id").cast("string")) % 5
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

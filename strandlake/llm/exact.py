@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, small, stored, texts_of
+from .common import batch, bounded, small, stored, texts_of
 
 #: Two primes below 2^31 and a base for each.
 MODULI = (2147483647, 2147483629)
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, int] = MODULI, huge: int =
     Texts of over `huge` characters are cut into pieces that are hashed by any
     task and combined by length-shifted arithmetic.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > huge
     plain = docs.where(~long).mapInArrow(_hash_rows(moduli), "doc_id long, n_bytes long, h1 long, h2 long, text_sha256 string")
     rows = docs.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.encode("text", "UTF-8").alias("bytes"))

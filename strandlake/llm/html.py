@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts_of
+from .common import batch, bounded, texts_of
 
 #: Pages that the labeller is trained on, those of the smallest hashes; and pages made from them.
 SAMPLE = 160
@@ -346,7 +346,7 @@ def made_pages(pages: list[list[tuple]], n: int, seed: int = 3) -> list[list[tup
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """The labeller, trained on `sample` pages at most."""
-    rows = pages.where(F.length("html") > 0).select("html", F.xxhash64("url", "page_id").alias("h")).orderBy("h", "html").limit(sample).select("html").toArrow()
+    rows = bounded(pages).where(F.length("html") > 0).select("html", F.xxhash64("url", "page_id").alias("h")).orderBy("h", "html").limit(sample).select("html").toArrow()
     real = [blocks(t.decode()) for t in texts_of(rows.column(0))]
     every = [p for p in real if p] + made_pages(real, MADE)
     model = Labeller(PATHS + WORDS + EXTRA)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, forest, runs, small, stored, texts_of, whole_runs
+from .common import batch, bounded, forest, runs, small, stored, texts_of, whole_runs
 from .components import components
 
 #: The generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -81,7 +81,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row of docs(doc_id, text); null texts count as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def golay_decoder() -> np.ndarray:
@@ -279,7 +279,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     bits over five words in NEAR at most (a Jaccard similarity of 0.8 changes 19 of 128 bits
     on average). Odd rows as in near_groups().
     """
-    prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pair_fingerprints, "doc_id long, fp long, low long, high long"))
+    prints = stored(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pair_fingerprints, "doc_id long, fp long, low long, high long"))
     same = ["fp", "low", "high"]
     classes = stored(prints.groupBy(*same).agg(F.min("doc_id").alias("rep")))
     keys = classes.where("rep is not null").mapInArrow(_pair_keys, "key long, fp long, low long, high long, rep long")
