@@ -30,11 +30,11 @@ def library_strand(flag: Column, library: str) -> Column:
 
 
 def operations(cigar: Column) -> Column:
-    """An array of (op, n); an unknown operation, an empty one or any rest is an error."""
+    """An array of (op, n); an unknown operation, an empty one or any rest is an error. Null has none."""
     parts = F.regexp_extract_all(cigar, F.lit(r"(\d+)([A-Z=])"), F.lit(0))
     ops = F.transform(parts, lambda p: F.struct(F.substring(p, -1, 1).alias("op"), p.substr(F.lit(1), F.length(p) - 1).cast("long").alias("n")))
     fine = (F.array_join(parts, "") == cigar) & (cigar != "") & F.forall(ops, lambda o: o["op"].isin(*OPERATIONS) & (o["n"] > 0))
-    return F.when(fine, ops).otherwise(F.raise_error(F.concat(F.lit("bad CIGAR: "), cigar)).cast("array<struct<op:string,n:bigint>>"))
+    return F.when(fine, ops).when(cigar.isNotNull(), F.raise_error(F.concat(F.lit("bad CIGAR: "), cigar)).cast("array<struct<op:string,n:bigint>>"))
 
 
 def consumed(ops: Column, kinds: str) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .rangejoin import find_overlapping
 
@@ -64,13 +65,16 @@ def integral(value: Column, etype: str) -> Column:
     return F.when((value >= low) & (value <= high) & (value == F.floor(value)), value).otherwise(F.raise_error(F.lit(f"a value doesn't fit {etype}")).cast("double"))
 
 
-@F.pandas_udf("double")
-def half(values):
-    """Rounded to half precision."""
-    import numpy as np
-    import pandas as pd
+def half(value: Column) -> Column:
+    """Rounded to half precision, which Spark lacks."""
 
-    return pd.Series(values.to_numpy(np.float64).astype(np.float16).astype(np.float64))
+    def rounded(values):
+        import numpy as np
+        import pandas as pd
+
+        return pd.Series(values.to_numpy(np.float64).astype(np.float16).astype(np.float64))
+
+    return F.pandas_udf(rounded, DoubleType())(value)
 
 
 def encoded(value: Column, track: Track) -> Column:

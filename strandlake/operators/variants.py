@@ -30,10 +30,10 @@ def parse(text: Column) -> Column:
     Positions may have commas; "-" and "." stand for an empty allele; alleles are upper-cased.
     """
     part = F.split(text, ":")
-    allele = lambda i: F.when(part[i].isin("-", "."), "").otherwise(F.upper(part[i]))
-    start = F.regexp_replace(part[1], ",", "").try_cast("long") - 1
+    allele = lambda i: F.when(F.get(part, F.lit(i)).isin("-", "."), "").otherwise(F.upper(F.get(part, F.lit(i))))
+    start = F.regexp_replace(F.get(part, F.lit(1)), ",", "").try_cast("long") - 1
     fine = (F.size(part) == 4) & start.isNotNull() & allele(2).rlike("^[ACGTN]*$") & allele(3).rlike("^[ACGTN]*$")
-    return F.when(fine, F.struct(part[0].alias("chrom"), start.alias("start_pos"), (start + F.length(allele(2))).alias("end_pos"), allele(2).alias("ref"), allele(3).alias("alt")))
+    return F.when(fine, F.struct(F.get(part, F.lit(0)).alias("chrom"), start.alias("start_pos"), (start + F.length(allele(2))).alias("end_pos"), allele(2).alias("ref"), allele(3).alias("alt")))
 
 
 def variant_text(chrom: Column, start: Column, ref: Column, alt: Column) -> Column:

@@ -14,7 +14,6 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 W = f"WITH {EXON}"
 UP = "PARTITION BY tran_idx ORDER BY CASE WHEN strand = '+' THEN start_pos ELSE -end_pos END"
-Z = F.lit(0).cast("long")
 
 
 def query(name: str, sql: str):

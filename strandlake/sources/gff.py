@@ -24,7 +24,7 @@ def attribute(attributes: Column, name: str, default: str | None = None, sep: st
 def lines(text: DataFrame) -> DataFrame:
     """Nine columns from text(value); comments go; positions become 0-based and half-open."""
     part = F.split("value", "\t", 9)
-    rows = text.where("value <> '' AND value NOT LIKE '#%'").select(*(part[i].alias(c) for i, c in enumerate(COLUMNS)))
+    rows = text.where("value <> '' AND value NOT LIKE '#%'").select(*(F.get(part, F.lit(i)).alias(c) for i, c in enumerate(COLUMNS)))
     return rows.select("seqid", "source", "type", (F.col("start").cast("long") - 1).alias("start_pos"), F.col("end").cast("long").alias("end_pos"), "strand", "phase", "attributes")
 
 

@@ -11,7 +11,7 @@ from strandlake.operators.reads import usable
 def alignments(text: DataFrame, duplicates: bool = False) -> DataFrame:
     """Usable alignments of text(value): name, flag, chrom, pos (0-based), mapq, cigar, seq. Header lines go."""
     p = F.split("value", "\t")
-    rows = text.where("value NOT LIKE '@%' AND value <> ''").select(p[0].alias("name"), p[1].cast("long").alias("flag"), p[2].alias("chrom"), (p[3].cast("long") - 1).alias("pos"), p[4].cast("int").alias("mapq"), p[5].alias("cigar"), p[9].alias("seq"))
+    rows = text.where("value NOT LIKE '@%' AND value <> ''").select(F.get(p, F.lit(0)).alias("name"), F.get(p, F.lit(1)).cast("long").alias("flag"), F.get(p, F.lit(2)).alias("chrom"), (F.get(p, F.lit(3)).cast("long") - 1).alias("pos"), F.get(p, F.lit(4)).cast("int").alias("mapq"), F.get(p, F.lit(5)).alias("cigar"), F.get(p, F.lit(9)).alias("seq"))
     return rows.where(usable(F.col("flag"), duplicates))
 
 

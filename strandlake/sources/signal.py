@@ -12,7 +12,7 @@ _SKIP = "value <> '' AND value NOT LIKE '#%' AND value NOT LIKE 'track%' AND val
 
 def bedgraph_rows(text: DataFrame, strand: str = "+") -> DataFrame:
     p = F.split("value", r"\s+")
-    return text.where(_SKIP).select(p[0].alias("chrom"), F.lit(strand).alias("strand"), p[1].cast("long").alias("start_pos"), p[2].cast("long").alias("end_pos"), p[3].cast("double").alias("value"))
+    return text.where(_SKIP).select(F.get(p, F.lit(0)).alias("chrom"), F.lit(strand).alias("strand"), F.get(p, F.lit(1)).cast("long").alias("start_pos"), F.get(p, F.lit(2)).cast("long").alias("end_pos"), F.get(p, F.lit(3)).cast("double").alias("value"))
 
 
 def bed_rows(text: DataFrame, categories: list[str] | None = None, stranded: bool = True) -> DataFrame:
@@ -29,7 +29,7 @@ def bed_rows(text: DataFrame, categories: list[str] | None = None, stranded: boo
     given = F.coalesce(F.get(p, F.lit(5)), F.lit("."))
     fits = given.isin("+", "-") if stranded else given == "."
     strand = F.when(fits, F.when(given == ".", "+").otherwise(given)).otherwise(F.raise_error(F.lit("a strand that doesn't fit the track")).cast("string"))
-    return text.where(_SKIP).select(p[0].alias("chrom"), p[1].cast("long").alias("start_pos"), p[2].cast("long").alias("end_pos"), strand.alias("strand"), value.alias("value"))
+    return text.where(_SKIP).select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("long").alias("start_pos"), F.get(p, F.lit(2)).cast("long").alias("end_pos"), strand.alias("strand"), value.alias("value"))
 
 
 def wig(spark: SparkSession, path: str, strand: str = "+") -> DataFrame:

@@ -53,7 +53,7 @@ def read(spark: SparkSession, path: str, info: dict | list = (), fmt: dict | lis
     info_fields, fmt_fields, names = header(spark, path)
     rows = spark.read.text(path).where("value NOT LIKE '#%' AND value <> ''")
     p = F.split("value", "\t")
-    rows = rows.select(p[0].alias("chrom"), p[1].cast("long").alias("pos"), p[2].alias("id"), F.upper(p[3]).alias("REF"), p[4].alias("ALT"), p[7].alias("INFO"), F.get(p, F.lit(8)).alias("FORMAT"), F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("_samples"))
+    rows = rows.select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("long").alias("pos"), F.get(p, F.lit(2)).alias("id"), F.upper(F.get(p, F.lit(3))).alias("REF"), F.get(p, F.lit(4)).alias("ALT"), F.get(p, F.lit(7)).alias("INFO"), F.get(p, F.lit(8)).alias("FORMAT"), F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("_samples"))
     rows = ancestral_policy(rows, "ALT", ancestral)
     if validate:
         rows = rows.withColumn("ALT", F.when(F.col("ALT").contains(","), F.raise_error(F.lit("a multi-allelic row")).cast("string")).otherwise(F.col("ALT")))
