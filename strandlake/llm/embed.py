@@ -76,7 +76,11 @@ def calibrate(sample: np.ndarray, books: list[np.ndarray], recall: float, cosine
     for part, book in zip((slice(None, half), slice(half, None)), books, strict=True):
         code = _distances(y[:, part], book).argmin(1)
         total += costs(x[:, part], book)[1][np.arange(len(x)), code]
-    return float(np.quantile(total, recall))
+    # where borders run through a dense group, they are nearer than the threshold's angle reaches:
+    # no less than four deviations of a random difference of that length along one direction,
+    # and no more than the whole of it, beyond which no neighbour can lie
+    reach = 2 * (1 - cosine)
+    return min(reach, max(float(np.quantile(total, recall)), reach * min(1.0, 16 / x.shape[1])))
 
 
 def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> np.ndarray:
