@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bounded, texts_of
+from .common import batch, bounded, texts_of, tidy
 
 #: Bytes of a word that is still merged in the matrix; longer ones use a heap.
 SHORT = 64
 #: Distinct words that are remembered, and bytes of text that are cut at once.
 CACHE = 250_000
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 SPACE, BLANK, LETTER, NUMBER, OTHER, SPECIAL = range(6)
 NONE = 1 << 30
 #: Upper ends of the lengths that share a matrix.
@@ -414,7 +414,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 z.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             yield batch(_OUT, b.column(0), n, a, z)
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -427,7 +427,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), [ids.astype(np.int32) for ids in codec.encode(texts_of(b.column(1)))])
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -440,4 +440,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield batch(schema, b.column(0), [codec.decode(np.array(ids or [], np.int64)).decode() for ids in b.column(1).to_pylist()])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")

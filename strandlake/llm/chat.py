@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: The control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"<(\\*)\|(im_start|im_end)\|>")
@@ -86,7 +88,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[2:], strict=True))], schema=schema)
 
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.mapInArrow(run, "conv_id long, turn long, rendered string, loss_start long, loss_end long, escaped boolean")
+    return turns.mapInArrow(tidy(run), "conv_id long, turn long, rendered string, loss_start long, loss_end long, escaped boolean")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -125,4 +127,4 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "rendered")
-    return ordered.select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "rendered", "loss_start", "loss_end").mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

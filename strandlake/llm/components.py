@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forest, stored
+from .common import forest, stored, tidy
 
 LINKS = pa.schema([("node", pa.int64()), ("root", pa.int64())])
 
@@ -58,7 +58,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     label = None
     while True:
-        tree = stored(links.mapInArrow(_contract, "node long, root long"))
+        tree = stored(links.mapInArrow(tidy(_contract), "node long, root long"))
         if tree.isEmpty():
             break
         hook = stored(tree.groupBy("node").agg(F.min("root").alias("root")))

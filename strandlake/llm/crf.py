@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bounded, texts_of
+from .common import batch, bounded, texts_of, tidy
 
 #: Labelled documents that the field is fitted on, those of the smallest hashes: its only bound.
 SAMPLE = 3_000
@@ -29,7 +29,7 @@ ROUNDS = 150
 RATE = 0.1
 DECAY = 1e-3
 #: Bytes of text measured at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 THRESHOLD = 0.3
 MEASURES = 16
 
@@ -282,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
                 packed.append(np.column_stack([measures, lengths]).astype("<f4").tobytes())
             yield batch(schema, b.column(0), b.column(2).cast(pa.int32()), packed)
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, lines binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = rows.mapInArrow(tidy(run), "doc_id long, quality int, lines binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     lines = [np.frombuffer(x, "<f4").reshape(-1, MEASURES + 2) for x in got["lines"]]
     doc = np.repeat(np.arange(len(lines)), np.array([len(x) for x in lines], np.int64))
     every = np.concatenate(lines) if lines else np.zeros((0, MEASURES + 2))
@@ -305,7 +305,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
             if b.num_rows:
                 yield batch(schema, b.column(0), quality(model, texts_of(b.column(1))))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -320,4 +320,4 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
             if b.num_rows:
                 yield b.filter(pa.array(quality(model, texts_of(b.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, forest, runs, stored
+from .common import batch, forest, runs, stored, tidy
 from .components import components
 
 COSINE = 0.95
@@ -134,7 +134,7 @@ def links(classes: DataFrame, dim: int, cosine: float = COSINE, recall: float =
                 row, code = np.nonzero(seen.any(axis=2))
                 yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(np.ones(len(row), np.int8)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array([p.tobytes() for p in seen[row, code]], pa.binary()), b.column(2).take(pa.array(row))], schema=indexed)
 
-    routed = stored(classes.select("rep", "copies", "embedding").mapInArrow(route, "code int, query byte, rep long, copies long, cells binary, embedding array<float>"))
+    routed = stored(classes.select("rep", "copies", "embedding").mapInArrow(tidy(route), "code int, query byte, rep long, copies long, cells binary, embedding array<float>"))
     # members of a full region are spread over blocks, and its queries go to every block
     counts = routed.where("query = 0").groupBy("code").count().collect()  # at most k rows
     blocks = F.create_map(*[F.lit(v) for r in counts for v in (r["code"], -(-r["count"] // BLOCK))]) if counts else None
@@ -183,7 +183,7 @@ def links(classes: DataFrame, dim: int, cosine: float = COSINE, recall: float =
             yield batch(out, np.repeat(np.array([0, 1], np.int32), [len(has), len(moved)]), np.concatenate([rep[has], nodes[moved]]), np.concatenate([total[has], nodes[root[moved]]]))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(parts, "code", "block").sortWithinPartitions("code", "block", "query").mapInArrow(verify, "kind int, a long, b long")
+    return spread.repartition(parts, "code", "block").sortWithinPartitions("code", "block", "query").mapInArrow(tidy(verify), "kind int, a long, b long")
 
 
 def near_groups(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:

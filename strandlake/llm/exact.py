@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bounded, small, stored, texts_of
+from .common import batch, bounded, small, stored, texts_of, tidy
 
 #: Two primes below 2^31 and a base for each.
 MODULI = (2147483647, 2147483629)
@@ -96,10 +96,10 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, int] = MODULI, huge: int =
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > huge
-    plain = docs.where(~long).mapInArrow(_hash_rows(moduli), "doc_id long, n_bytes long, h1 long, h2 long, text_sha256 string")
+    plain = docs.where(~long).mapInArrow(tidy(_hash_rows(moduli)), "doc_id long, n_bytes long, h1 long, h2 long, text_sha256 string")
     rows = docs.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.encode("text", "UTF-8").alias("bytes"))
     pieces = rows.select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("bytes") - 1) / huge).cast("int")), lambda i: F.substring("bytes", i * huge + 1, F.lit(huge)))).alias("piece", "part"))
-    hashed = pieces.repartition("row", "piece").mapInArrow(_hash_pieces(moduli), "row long, doc_id long, piece int, n_bytes long, h1 long, h2 long, w1 long, w2 long")
+    hashed = pieces.repartition("row", "piece").mapInArrow(tidy(_hash_pieces(moduli)), "row long, doc_id long, piece int, n_bytes long, h1 long, h2 long, w1 long, w2 long")
     joined = hashed.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "n_bytes", "h1", "h2", "w1", "w2"))).alias("p"))
     step = lambda h, w, m: F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: (acc * x[w] + x[h]) % m)
     whole = joined.select("row", "doc_id", F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["n_bytes"]).alias("n_bytes"), step("h1", "w1", moduli[0]).alias("h1"), step("h2", "w2", moduli[1]).alias("h2"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bounded, texts_of
+from .common import batch, bounded, texts_of, tidy
 
 #: Pages that the labeller is trained on, those of the smallest hashes; and pages made from them.
 SAMPLE = 160
@@ -374,4 +374,4 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 texts = ["\n\n".join(block[0] for block, y in zip(p, q.tolist(), strict=True) if y >= 0.5) for p, q in zip(parsed, found, strict=True)]
                 yield batch(schema, b.column(0), b.column(1), texts, [len(t) for t in texts])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

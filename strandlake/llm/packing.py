@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, load
-from .common import bounded, texts_of
+from .common import bounded, texts_of, tidy
 
 PIECE = 128
 #: Windows of a group.
@@ -130,4 +130,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, with
         if rows:
             yield out()
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS + (", ids array<int>" if with_ids else ""))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), COLUMNS + (", ids array<int>" if with_ids else ""))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, bounded, forest, runs, small, stored, texts_of, whole_runs
+from .common import batch, bounded, forest, runs, small, stored, texts_of, tidy, whole_runs
 from .components import components
 
 #: The generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -81,7 +81,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row of docs(doc_id, text); null texts count as empty."""
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_fingerprints), "doc_id long, fp long")
 
 
 def golay_decoder() -> np.ndarray:
@@ -153,7 +153,7 @@ def _verify(distance: int):
 
 def links(classes: DataFrame) -> DataFrame:
     """Spanning links (a, b) between the representatives of classes(fp, rep), distinct fingerprints, at two bits or fewer."""
-    keys = stored(classes.select("fp", "rep").mapInArrow(_key_rows, "key long, fp long, rep long"))
+    keys = stored(classes.select("fp", "rep").mapInArrow(tidy(_key_rows), "key long, fp long, rep long"))
     full = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("key"))
     if full.isEmpty():
         rest, found = keys, None
@@ -167,7 +167,7 @@ def links(classes: DataFrame) -> DataFrame:
         least = stored(balls.groupBy("ball").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("ball", "b"))
         found = balls.join(least, "ball").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = rest.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_verify(DISTANCE), "a long, b long")
+    rest = rest.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_verify(DISTANCE)), "a long, b long")
     return rest if found is None else rest.unionByName(found)
 
 
@@ -279,10 +279,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     bits over five words in NEAR at most (a Jaccard similarity of 0.8 changes 19 of 128 bits
     on average). Odd rows as in near_groups().
     """
-    prints = stored(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pair_fingerprints, "doc_id long, fp long, low long, high long"))
+    prints = stored(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_pair_fingerprints), "doc_id long, fp long, low long, high long"))
     same = ["fp", "low", "high"]
     classes = stored(prints.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    keys = classes.where("rep is not null").mapInArrow(_pair_keys, "key long, fp long, low long, high long, rep long")
+    keys = classes.where("rep is not null").mapInArrow(tidy(_pair_keys), "key long, fp long, low long, high long, rep long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
     full = stored(counts.select("key", F.ceil(F.col("n") / (FULL / 2)).cast("int").alias("blocks")))
     if full.isEmpty():
@@ -294,7 +294,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own))
         keys = keys.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(_verify_pairs, "a long, b long")
+    links = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(tidy(_verify_pairs), "a long, b long")
     label = components(links)
     named = stored(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id")))
     return prints.join(named, same).select("doc_id", "component_id")
