@@ -153,7 +153,9 @@ def _verify(distance: int):
 
 def links(classes: DataFrame) -> DataFrame:
     """Spanning links (a, b) between the representatives of classes(fp, rep), distinct fingerprints, at two bits or fewer."""
-    keys = stored(classes.select("fp", "rep").mapInArrow(tidy(_key_rows), "key long, fp long, rep long"))
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fingerprint becomes many keys: spread them before that, so that no task counts millions
+    keys = stored(classes.select("fp", "rep").repartition(n, "fp").mapInArrow(tidy(_key_rows), "key long, fp long, rep long"))
     full = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("key"))
     if full.isEmpty():
         rest, found = keys, None
@@ -166,7 +168,6 @@ def links(classes: DataFrame) -> DataFrame:
         balls = members.select("rep", F.explode(near).alias("ball"))
         least = stored(balls.groupBy("ball").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("ball", "b"))
         found = balls.join(least, "ball").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = rest.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_verify(DISTANCE)), "a long, b long")
     return rest if found is None else rest.unionByName(found)
 
@@ -282,7 +283,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     prints = stored(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_pair_fingerprints), "doc_id long, fp long, low long, high long"))
     same = ["fp", "low", "high"]
     classes = stored(prints.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    keys = classes.where("rep is not null").mapInArrow(tidy(_pair_keys), "key long, fp long, low long, high long, rep long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = classes.where("rep is not null").repartition(n, "fp").mapInArrow(tidy(_pair_keys), "key long, fp long, low long, high long, rep long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
     full = stored(counts.select("key", F.ceil(F.col("n") / (FULL / 2)).cast("int").alias("blocks")))
     if full.isEmpty():
@@ -293,7 +295,6 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own))
         keys = keys.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(tidy(_verify_pairs), "a long, b long")
     label = components(links)
     named = stored(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id")))
