@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dna import COMPLEMENTS, LETTERS
+from .rangejoin import find_overlapping
 
 #: Genotype and structural-variant codes.
 GENOTYPES = {"hom_ref": 0, "het": 1, "hom_alt": 2, "unknown": 3, "het_0|1": 4, "het_1|0": 5}
@@ -199,35 +200,89 @@ def reverse_complement(seq: str) -> str:
     return seq.translate(str.maketrans(LETTERS, COMPLEMENTS))[::-1]
 
 
+def _with_variants(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
+    """Windows with their context and the variants near them."""
+    near = windows.select("q_id", F.col("chrom").alias("_c"), (F.least("start_pos", F.coalesce("anchor", "start_pos")) - margin).alias("_low"), (F.greatest("end_pos", F.coalesce("anchor", "end_pos")) + margin).alias("_high"))
+    v = variants.select("chrom", F.lit("+").alias("strand"), F.col("start_pos"), (F.col("start_pos") + F.greatest(F.length("ref"), F.lit(1))).alias("end_pos"), "ref", "alt")
+    q = near.select("q_id", F.col("_c").alias("q_chrom"), F.lit("+").alias("q_strand"), (F.col("_low") - 1).alias("q_start"), (F.col("_high") + 1).alias("q_end"))
+    hits = find_overlapping(v, q).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "ref", "alt"))).alias("_variants"))
+    rows = windows.join(context, "q_id").join(hits, "q_id", "left")
+    return rows
+
+
+def _bases(row: dict, more: int = 0) -> list[tuple[str, int, int]]:
+    """apply_variants() for a row of _with_variants(), of a window that is `more` bases longer."""
+    low, seq = int(row["dna_start"]), row["dna"]
+    fetch = lambda a, b: "".join(seq[i - low] if 0 <= i - low < len(seq) else "N" for i in range(a, b))
+    got, anchor = row["_variants"], row["anchor"]
+    changes = [(int(v["start_pos"]), v["ref"], v["alt"]) for v in got] if got is not None else []
+    return apply_variants(fetch, int(row["start_pos"]), int(row["end_pos"]) + more, changes, None if anchor is None or anchor != anchor else int(anchor), int(row["anchor_offset"] or 0))
+
+
 def variant_dna(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
     """windows(q_id, chrom, strand, start_pos, end_pos, anchor, anchor_offset) with `dna` after variants(chrom, start_pos, ref, alt).
 
     context(q_id, dna_start, dna): the plus-strand reference around each window, by at least
     `margin`, the greatest sum of deletions; it comes from dna.extract().
     """
-    near = windows.select("q_id", F.col("chrom").alias("_c"), (F.least("start_pos", F.coalesce("anchor", "start_pos")) - margin).alias("_low"), (F.greatest("end_pos", F.coalesce("anchor", "end_pos")) + margin).alias("_high"))
-    from .rangejoin import find_overlapping
-
-    v = variants.select("chrom", F.lit("+").alias("strand"), F.col("start_pos"), (F.col("start_pos") + F.greatest(F.length("ref"), F.lit(1))).alias("end_pos"), "ref", "alt")
-    q = near.select("q_id", F.col("_c").alias("q_chrom"), F.lit("+").alias("q_strand"), (F.col("_low") - 1).alias("q_start"), (F.col("_high") + 1).alias("q_end"))
-    hits = find_overlapping(v, q).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "ref", "alt"))).alias("_variants"))
-    rows = windows.join(context, "q_id").join(hits, "q_id", "left")
+    rows = _with_variants(windows, variants, context, margin)
     fields = [f for f in rows.schema.fields if f.name not in ("_variants", "dna", "dna_start")]
 
     def run(frames: Iterator) -> Iterator:
         for f in frames:
             out = []
             for r in f.to_dict("records"):
-                s0, seq = int(r["dna_start"]), r["dna"]
-                fetch = lambda a, b, s0=s0, seq=seq: "".join(seq[i - s0] if 0 <= i - s0 < len(seq) else "N" for i in range(a, b))
-                got = r["_variants"]
-                changes = [(int(v["start_pos"]), v["ref"], v["alt"]) for v in got] if got is not None else []
-                anchor = r["anchor"]
-                bases = apply_variants(fetch, int(r["start_pos"]), int(r["end_pos"]), changes, None if anchor is None or anchor != anchor else int(anchor), int(r["anchor_offset"] or 0))
-                dna = "".join(b for b, _, _ in bases)
+                dna = "".join(b for b, _, _ in _bases(r))
                 out.append(dna if r["strand"] == "+" else reverse_complement(dna))
             yield f[[x.name for x in fields]].assign(dna=out)
 
     from pyspark.sql.types import StringType, StructField, StructType
 
     return rows.mapInPandas(run, StructType([*fields, StructField("dna", StringType())]))
+
+
+def variant_motif(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int, motif: str, match_position: str | int = "5p", overlapping: bool = False) -> DataFrame:
+    """Hits of a motif in plus- or minus-strand windows after variants, in reference coordinates: q_id, hit, anchor_offset.
+
+    A hit within an insertion has the position of the base after it, and anchor_offset tells its place
+    among the inserted bases; elsewhere that is 0. Arguments as for variant_dna().
+    """
+    k = len(motif)
+    at = {"5p": 0, "3p": k}.get(match_position, match_position)
+    if not isinstance(at, int) or not 0 <= at <= k:
+        raise ValueError(f"a match position lies within the motif: {match_position}")
+    ahead = motif.upper()
+    rows = _with_variants(windows, variants, context, margin + 1)
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                # one base more gives a coordinate to a match position after the last base
+                bases = _bases(r, 1)
+                seq, plus = "".join(b for b, _, _ in bases[:-1]).upper(), r["strand"] == "+"
+                sought, shift = (ahead, at) if plus else (reverse_complement(ahead), k - at)
+                i = seq.find(sought)
+                while i >= 0:
+                    _, position, inserted = bases[i + shift]
+                    out.append((r["q_id"], position, max(inserted, 0)))
+                    i = seq.find(sought, i + (1 if overlapping else k))
+            yield pd.DataFrame(out, columns=["q_id", "hit", "anchor_offset"])
+
+    return rows.mapInPandas(run, f"q_id {dict(windows.dtypes)['q_id']}, hit long, anchor_offset long")
+
+
+def variant_alignment(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
+    """Every base of plus-strand windows after variants: q_id, i, base, ref_pos (from the window's start) and ins (place within an insertion, else -1)."""
+    rows = _with_variants(windows, variants, context, margin)
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for f in frames:
+            out = [(r["q_id"], i, b, p - int(r["start_pos"]), k) for r in f.to_dict("records") for i, (b, p, k) in enumerate(_bases(r))]
+            yield pd.DataFrame(out, columns=["q_id", "i", "base", "ref_pos", "ins"])
+
+    return rows.mapInPandas(run, f"q_id {dict(windows.dtypes)['q_id']}, i long, base string, ref_pos long, ins long")

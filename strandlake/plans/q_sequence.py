@@ -141,7 +141,11 @@ def _variant_windows(spark, d, anchor):
         F.struct(F.lit(48).cast("long").alias("start_pos"), cut(48, 3).alias("ref"), F.lit("").alias("alt")),
     )).alias("v")).select("chrom", "v.*")
     c = s.select(F.col("doc_id").alias("q_id"), F.lit(0).cast("long").alias("dna_start"), F.col("seq").alias("dna"))
-    return va.variant_dna(w, v, c, 3).select("q_id", "dna")
+    return w, v, c
+
+
+def _applied(spark, d, anchor):
+    return va.variant_dna(*_variant_windows(spark, d, anchor), 3).select("q_id", "dna")
 
 
 _S = lambda a, b: f"substr(seq, {a} + 1, CAST({b} - {a} AS BIGINT))"
@@ -150,17 +154,17 @@ _STRAND = lambda x: f"CASE WHEN doc_id % 2 = 0 THEN {x} ELSE {RC(x)} END"  # noq
 _LEFT = f"{_S(40, 43)} || 'N' || {_S(44, 46)} || 'GG' || {_S(46, 48)}"
 _LONG = f"WITH {SEQ}, s AS (SELECT * FROM seq WHERE length(seq) >= 120) SELECT doc_id AS q_id, "
 _FREE = f"{_LEFT} || {_S(51, _END)} || CASE WHEN {_END} = 50 THEN '' ELSE '' END"
-QUERIES["v08_apply_no_anchor"] = lambda spark, d: _variant_windows(spark, d, F.lit(None))
+QUERIES["v08_apply_no_anchor"] = lambda spark, d: _applied(spark, d, F.lit(None))
 ORACLE["v08_apply_no_anchor"] = _LONG + _STRAND(f"({_LEFT} || CASE WHEN {_END} > 51 THEN {_S(51, _END)} ELSE '' END)") + " AS dna FROM s"
 # anchor at the end: length held, the left side grows or shrinks
-QUERIES["v09_right_anchor"] = lambda spark, d: _variant_windows(spark, d, F.col("doc_id") % 30 + 50)
+QUERIES["v09_right_anchor"] = lambda spark, d: _applied(spark, d, F.col("doc_id") % 30 + 50)
 ORACLE["v09_right_anchor"] = _LONG + _STRAND(f"right({_S(30, 43)} || 'N' || {_S(44, 46)} || 'GG' || {_S(46, 48)} || CASE WHEN {_END} > 51 THEN {_S(51, _END)} ELSE '' END, {_END} - 40)") + " AS dna FROM s"
-QUERIES["v10_left_anchor"] = lambda spark, d: _variant_windows(spark, d, F.lit(40))
+QUERIES["v10_left_anchor"] = lambda spark, d: _applied(spark, d, F.lit(40))
 ORACLE["v10_left_anchor"] = _LONG + _STRAND(f"left({_LEFT} || {_S(51, 100)}, {_END} - 40)") + " AS dna FROM s"
-QUERIES["v11_interior_anchor"] = lambda spark, d: _variant_windows(spark, d, F.lit(46))
+QUERIES["v11_interior_anchor"] = lambda spark, d: _applied(spark, d, F.lit(46))
 # the insertion at the anchor gives one base to the left
 ORACLE["v11_interior_anchor"] = _LONG + _STRAND(f"(right({_S(30, 43)} || 'N' || {_S(44, 46)} || 'G', 6) || left('G' || {_S(46, 48)} || {_S(51, 110)}, {_END} - 46))") + " AS dna FROM s"
-QUERIES["v12_outside_anchor"] = lambda spark, d: _variant_windows(spark, d, F.lit(30))
+QUERIES["v12_outside_anchor"] = lambda spark, d: _applied(spark, d, F.lit(30))
 ORACLE["v12_outside_anchor"] = _LONG + _STRAND(f"right(left({_S(30, 43)} || 'N' || {_S(44, 46)} || 'GG' || {_S(46, 48)} || {_S(51, 110)}, {_END} - 30), {_END} - 40)") + " AS dna FROM s"
 QUERIES["v14_variant_dna"], ORACLE["v14_variant_dna"] = QUERIES["v08_apply_no_anchor"], ORACLE["v08_apply_no_anchor"]
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import q_annotation, q_intervals, q_joins, q_reads, q_sequence, q_tracks
+from strandlake.plans import q_annotation, q_files, q_intervals, q_joins, q_reads, q_sequence, q_tracks
 
-MODULES = (q_intervals, q_joins, q_annotation, q_reads, q_tracks, q_sequence)
+MODULES = (q_intervals, q_joins, q_annotation, q_reads, q_tracks, q_sequence, q_files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

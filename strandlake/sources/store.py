@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,15 @@ from strandlake.operators.dna import chunked
 PROPERTY = "strandlake_format"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the driver and all executors share, spark.checkpoint.dir; a local one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, path: str, kind: str, mode: str = "errorifexists") -> None:
     """A table partitioned by chromosome and sorted by position within files, so that range predicates prune row groups.
 

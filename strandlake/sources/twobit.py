@@ -51,7 +51,11 @@ def parse(data: bytes, size: int = CHUNK) -> Iterator[tuple[str, int, str]]:
 
 def read(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
     """(chrom, chunk, seq) of the files: one task a file, a chunk at a time."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    return chunks(spark.read.format("binaryFile").load(path).select("content"), size)
+
+
+def chunks(files: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chrom, chunk, seq) of files(content)."""
 
     def run(frames):
         import pandas as pd
