@@ -74,7 +74,8 @@ def half(value: Column) -> Column:
 
         return pd.Series(values.to_numpy(np.float64).astype(np.float16).astype(np.float64))
 
-    return F.pandas_udf(rounded, DoubleType())(value)
+    # pandas gives NaN back as null
+    return F.when(F.isnan(value), value.cast("double")).otherwise(F.pandas_udf(rounded, DoubleType())(value))
 
 
 def encoded(value: Column, track: Track) -> Column:
