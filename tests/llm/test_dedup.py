@@ -233,6 +233,26 @@ def test_passages(spark):
     assert cut[2].split() == rows[2][:30] + rows[2][90:] and cut[9] == ""
 
 
+def test_exact_passages_of_frequent_lines(spark):
+    """Whatever documents share pieces of it, a passage that an older document has word for word is found."""
+    rng = random.Random(11)
+    lines = [[f"l{i}x{k}" for k in range(rng.randint(6, 30))] for i in range(25)]
+    passage = [w for line in lines[:6] for w in line]
+    rows = {1: ["a"] * 5 + passage + ["b"] * 5, 400: ["c"] * 5 + passage + ["d"] * 5}
+    for i in range(2, 400):  # each has some of the lines
+        rows[i] = [w for k in range(rng.randint(1, 8)) for w in [*rng.choice(lines), *(f"u{i}x{k}x{j}" for j in range(rng.randint(0, 2)))]]
+    seen, wanted = set(), {}
+    for i in sorted(rows):
+        grams = [tuple(rows[i][k : k + substring.LEAST]) for k in range(len(rows[i]) - substring.LEAST + 1)]
+        wanted[i] = {k + j for k, g in enumerate(grams) if g in seen for j in range(substring.LEAST)}
+        seen |= set(grams)
+    assert len(wanted[400]) == len(passage) and sum(map(len, wanted.values())) > 10 * substring.LEAST
+    found = {i: set() for i in rows}
+    for r in substring.passages(documents(spark, [(i, " ".join(w)) for i, w in rows.items()]).repartition(7)).collect():
+        found[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert all(wanted[i] <= found[i] for i in rows)
+
+
 def brute_chain(a, b, n):
     best = 0
     order = sorted(range(len(a)), key=lambda i: a[i])
