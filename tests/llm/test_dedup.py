@@ -279,6 +279,19 @@ def test_chains():
         assert value(paths[0]) == pytest.approx(brute_chain(a, b, size))
 
 
+def test_chains_near_a_longer_one():
+    assert sorted(map(sorted, substring.chain([0, 300, 325], [0, 300, 326], [100, 16, 16]))) == [[0], [1, 2]]
+    rng = random.Random(12)
+    for _ in range(200):
+        n = rng.randint(2, 12)
+        a = sorted(rng.sample(range(400), n))
+        b, size = [max(0, x + rng.randint(-6, 6)) for x in a], [rng.randint(1, 60) for _ in a]
+        path = substring.chain(a, b, size)[0]
+        gaps = [(a[j] - a[i] - size[i], b[j] - b[i] - size[i]) for i, j in zip(path, path[1:], strict=False)]
+        assert all(0 <= g <= substring.GAP for pair in gaps for g in pair)
+        assert sum(size[i] for i in path) - substring.GAP_COST * sum(map(sum, gaps)) == pytest.approx(brute_chain(a, b, size))
+
+
 def test_empty_tables(spark):
     docs = documents(spark, [])
     assert exact.exact_groups(docs).count() == simhash.near_groups(docs).count() == simhash.similar_groups(docs).count() == substring.passages(docs).count() == 0
