@@ -1,9 +1,9 @@
 """URL filters: rules, and a path-template tree for what no rule decides.
 
 Per host the paths form a tree of segments. A segment's digits and long hex runs become
-wildcards; then, level by level from the root, a branch becomes "*" and is merged with
-its siblings if they are too many or if its labelled share of blocked pages doesn't
-differ from theirs. A template is rejected if that share, smoothed towards the share of
+wildcards; then, level by level from the root to the last segment, a branch becomes "*"
+and is merged with its siblings if its labelled share of blocked pages doesn't differ
+from theirs. A template is rejected if that share, smoothed towards the share of
 all labelled pages, is high. Labels are the pages that the rules decide.
 """
 
@@ -16,9 +16,6 @@ from .common import stored
 
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Levels of the tree (deeper segments share its leaf) and branches of a node that are told apart.
-DEPTH = 3
-FANOUT = 64
 #: Labelled pages that a branch needs, the deviation that tells it from its siblings, the smoothing's weight, and the share that rejects.
 LEAST = 5
 DEVIATION = 2.0
@@ -58,17 +55,20 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     general = F.regexp_replace(F.regexp_replace("path", "[0-9a-fA-F]{16,}", "{x}"), "[0-9]+", "{n}")
-    rows = rows.withColumns({"rule": rule, "decided": verdict, "segments": F.slice(F.split(general, "/"), 2, DEPTH)})
+    parts = F.split(general, "/")
+    rows = rows.withColumns({"rule": rule, "decided": verdict, "segments": F.slice(parts, F.lit(2), F.size(parts))})
     leaf = stored(
         rows.groupBy("host", "segments").agg(
             F.count("decided").cast("double").alias("n"),
             F.sum((F.col("decided") == "block").cast("double")).alias("bad"),
-        ).select("host", "segments", "n", F.coalesce("bad", F.lit(0.0)).alias("bad"), F.lit("").alias("template"))
+        ).select("host", "segments", "n", F.coalesce("bad", F.lit(0.0)).alias("bad"), F.lit("").alias("template"), F.lit(False).alias("done"))
     )
     share = leaf.agg((F.sum("bad") / F.sum("n")).alias("share")).first()["share"]
     prior = min(max(0.5 if share is None else share, 0.01), 0.99)
-    for level in range(DEPTH):
+    level = 0
+    while not leaf.where("not done").isEmpty():
         leaf = _generalised(leaf, level, prior)
+        level += 1
     purity = (F.sum("bad") + WEIGHT * prior) / (F.sum("n") + WEIGHT)
     scores = stored(leaf.groupBy("host", "template").agg(purity.alias("purity")))
     leaf = stored(leaf.join(scores, ["host", "template"]).select("host", "segments", "template", "purity"))
@@ -77,14 +77,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _generalised(leaf: DataFrame, level: int, prior: float) -> DataFrame:
-    """Add one level to every leaf's template: the segment or "*"."""
-    leaf = leaf.withColumn("segment", F.get("segments", F.lit(level)))
+    """Add one level to every leaf's template: the segment or "*". A leaf that is alone below its node gets all that follow."""
+    leaf = leaf.withColumn("segment", F.when(~F.col("done"), F.get("segments", F.lit(level))))
     node = ["host", "template"]
-    child = stored(leaf.where("segment is not null").groupBy(*node, "segment").agg(F.sum("n").alias("own_n"), F.sum("bad").alias("own_bad")))
+    child = stored(leaf.where("segment is not null").groupBy(*node, "segment").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("own_n"), F.sum("bad").alias("own_bad")))
     # a node's sums come from its branches, so a busy node costs no more than it has branches
     total = stored(child.groupBy(*node).agg(F.count(F.lit(1)).alias("branches"), F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad")))
     others = (F.col("all_bad") - F.col("own_bad") + WEIGHT * prior) / (F.col("all_n") - F.col("own_n") + WEIGHT)
     differs = F.abs(F.col("own_bad") / F.col("own_n") - others) / F.sqrt(others * (1 - others) / F.col("own_n"))
-    kept = stored(child.join(total, node).where((F.col("branches") == 1) | (F.col("branches") <= FANOUT) & (F.col("own_n") >= LEAST) & (differs > DEVIATION)).select(*node, "segment", F.lit(True).alias("kept")))
-    step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("kept"), F.col("segment")).otherwise("*")))
-    return stored(leaf.join(kept, [*node, "segment"], "left").withColumn("template", F.concat("template", step)).drop("segment", "kept"))
+    single = F.col("branches") == 1
+    kept = stored(child.join(total, node).where(single | (F.col("own_n") >= LEAST) & (differs > DEVIATION)).select(*node, "segment", F.lit(True).alias("kept"), (single & (F.col("leaves") == 1)).alias("alone")))
+    rest = F.array_join(F.slice("segments", F.lit(level + 1), F.size("segments")), "/")
+    step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("alone"), rest).when(F.col("kept"), F.col("segment")).otherwise("*")))
+    done = F.col("done") | (F.size("segments") <= level + 1) | F.coalesce("alone", F.lit(False))
+    return stored(leaf.join(kept, [*node, "segment"], "left").withColumns({"template": F.concat("template", step), "done": done}).drop("segment", "kept", "alone"))

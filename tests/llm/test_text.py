@@ -277,3 +277,21 @@ def test_templates_are_rejected_by_purity(spark):
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
     score = {r["template"]: r["purity"] for r in got}
     assert score["/ad/{n}"] > urls.PURITY and score["/news/{n}"] < 0.2
+
+
+def test_url_templates_of_busy_and_deep_nodes(spark):
+    """Neither many siblings nor deep paths take a template of its own from a section."""
+    rules = (("example.com/de/", "block"), ("example.com/en/", "allow"), ("ads.a.org/", "block"), ("good.a.org/", "allow"))
+    urls_ = [f"http://example.com/{s}/{k}" for s in ("de", "en") for k in range(40)]
+    urls_ += [f"http://example.com/s{chr(97 + i // 26)}{chr(97 + i % 26)}/{k}" for i in range(100) for k in range(2)]
+    # labels and undecided pages part at the fifth segment only
+    rules += tuple((f"deep.net/a/b/c/d/{what}/x/", verdict) for what, verdict in (("bad", "block"), ("fine", "allow")))
+    urls_ += [f"http://deep.net/a/b/c/d/{what}/{x}/{k}" for what in ("bad", "fine") for x in ("x", "y") for k in range(60)]
+    urls_ += ["http://long.net/" + "/".join(f"v{chr(97 + k % 26)}" for k in range(300)), "http://slash.net//", "http://slash.net/a//b/"]
+    got = {r["path"]: r for r in urls.judge(spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string"), rules).collect() if r["host"] != "other"}
+    assert len(got) == len(set(urls_))
+    assert {got[f"/de/{k}"]["template"] for k in range(40)} == {"/de/{n}"} and {got[f"/de/{k}"]["verdict"] for k in range(40)} == {"block"}
+    assert all(r["verdict"] == "allow" for r in got.values() if r["path"].startswith("/s"))
+    assert all(got[f"/a/b/c/d/{w}/x/{k}"]["template"].startswith(f"/a/b/c/d/{w}/") for w in ("bad", "fine") for k in range(60))
+    assert got["/" + "/".join(f"v{chr(97 + k % 26)}" for k in range(300))]["template"].count("/") == 300
+    assert got["//"]["template"].count("/") == 2
