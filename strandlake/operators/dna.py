@@ -49,24 +49,73 @@ def extract(windows: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int =
     return whole.withColumn("dna", F.when(F.col("strand") == "+", dna).otherwise(reverse_complement(dna))).drop("size", "_s", "_e", "_parts")
 
 
+#: Bases that are searched at once.
+PIECE = 1 << 10
+
+
 def find_motif(sequences: DataFrame, motif: str, match_position: str | int = "5p", overlapping: bool = True) -> DataFrame:
-    """Hits of a motif in sequences(chrom, strand, start_pos, seq), seq being of the plus strand: the columns and `hit`.
+    """Hits of a motif in sequences(chrom, strand, start_pos, seq), seq being of the plus strand: the other columns and `hit`.
 
     A hit is an empty interval; on the minus strand the motif's reverse complement is sought
     and the position counted from its far end. Without overlaps a scan goes on after each hit.
+    A sequence is cut once into pieces that overlap by all but one of the motif's bases, and each
+    is searched by itself, so the work is linear and no row but the input's holds a sequence.
     """
     k = len(motif)
     at = {"5p": 0, "3p": k}.get(match_position, match_position)
-    if not isinstance(at, int) or not 0 <= at <= k:
-        raise ValueError(f"a match position lies within the motif: {match_position}")
+    if not motif.isalpha() or not isinstance(at, int) or not 0 <= at <= k:
+        raise ValueError(f"a motif of letters, and a match position within it: {motif}, {match_position}")
     table = str.maketrans(LETTERS, COMPLEMENTS)
     ahead, back = motif.upper(), motif.upper().translate(table)[::-1]
-    sought = F.when(F.col("strand") == "+", ahead).otherwise(back)
-    offset = F.when(F.col("strand") == "+", at).otherwise(k - at)
-    n = F.length("seq") - k + 1
-    starts = F.when(n > 0, F.filter(F.sequence(F.lit(1), n), lambda i: F.col("seq").substr(i, F.lit(k)) == F.col("_m"))).otherwise(F.array().cast("array<int>"))
-    rows = sequences.withColumn("_m", sought).withColumn("_at", starts)
+    plus = F.col("strand") == "+"
+    others = [c for c in sequences.columns if c != "seq"]
+    size = max(PIECE, k)
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s)(?=(.{{1,{size + k - 1}}})).{{1,{size}}}"), F.lit(1))
+    # an outer explode: from another one a filter is inferred that searches the sequence again
+    cut = sequences.withColumn("_row", F.monotonically_increasing_id()).select(*others, "_row", F.posexplode_outer(pieces).alias("_n", "_piece"))
+    # parted before every hit, however near the next one is; the first part has a hit if the piece begins with one
+    parts = F.split("_piece", F.when(plus, f"(?={ahead})").otherwise(f"(?={back})"), -1)
+    begins = F.col("_piece").startswith(F.when(plus, ahead).otherwise(back))
+    none = F.array().cast("array<int>")
+    seen = F.struct(F.lit(0).alias("at"), F.when(begins, F.array(F.lit(0))).otherwise(none).alias("hits"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["hits"], F.array(acc["at"] + F.length(p))).alias("hits"))
+    # the last part ends where the piece does, and no hit begins there
+    starts = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), seen, step)["hits"]
+    hits = cut.select(*others, "_row", "_n", F.explode_outer(starts).alias("_i")).where("_i is not null")
+    hits = hits.select(*others, "_row", (F.col("_n").cast("long") * size + F.col("_i")).alias("_at"))
     if not overlapping:
-        kept = F.aggregate("_at", F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.element_at(acc, -1) + k), F.concat(acc, F.array(i))).otherwise(acc))
-        rows = rows.withColumn("_at", F.when(F.size("_at") > 0, kept).otherwise(F.col("_at")))
-    return rows.withColumn("_i", F.explode("_at")).withColumn("hit", F.col("start_pos") + F.col("_i") - 1 + offset).drop("_m", "_at", "_i")
+        hits = hits.mapInArrow(_apart(k), hits.schema)
+    return hits.withColumn("hit", F.col("start_pos") + F.col("_at") + F.when(plus, at).otherwise(k - at)).drop("_row", "_at")
+
+
+def _apart(k: int):
+    """Keep the hits (rows in order of _row and _at) that a scan meets which goes on k bases after each hit.
+
+    Nothing was shuffled since the sequences were read, so those of a sequence follow each other.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        row, free = None, 0
+        for b in batches:
+            rows, at = b.column("_row").to_numpy(), b.column("_at").to_numpy()
+            # hits far enough from the one before are always kept; only the others depend on which
+            far = np.ones(len(at), bool)
+            far[1:] = (rows[1:] != rows[:-1]) | (at[1:] - at[:-1] >= k)
+            keep = far.copy()
+            if len(at) and rows[0] == row and at[0] < free:
+                keep[0] = far[0] = False
+            for i in np.flatnonzero(~far).tolist():
+                if i and far[i - 1]:
+                    free = int(at[i - 1]) + k
+                if at[i] >= free:
+                    keep[i], free = True, int(at[i]) + k
+            if len(at):
+                row = rows[-1]
+                if far[-1]:
+                    free = int(at[-1]) + k
+            yield b.filter(pa.array(keep))
+
+    return run
