@@ -188,7 +188,7 @@ def test_embeddings(spark):
     assert got == sorted(wanted, key=str)
 
 
-def test_embeddings_full_regions(spark, monkeypatch):
+def test_embeddings_full_blocks(spark, monkeypatch):
     monkeypatch.setattr(embed, "BLOCK", 16)
     rng = np.random.default_rng(4)
     base = rng.standard_normal(8)
@@ -197,10 +197,51 @@ def test_embeddings_full_regions(spark, monkeypatch):
     assert got == [(99, 0)] * 100
 
 
-def test_traversal_visits_all_cells_within_the_limit():
+def test_embeddings_recall_where_cells_prune(spark):
+    """20,000 vectors, 71 codes a half: of the true links of the ids divisible by 100, at least 0.99 are found, and none else."""
+    rng = np.random.default_rng(5)
+    n, dim = 20_000, 32
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    group = rng.integers(0, 300, n)  # a third lies in dense groups, many links close to the threshold
+    noise = rng.standard_normal((n, dim)) / dim**0.5
+    dense = np.arange(n) % 3 == 0
+    x[dense] = x[group[dense]] + noise[dense] * rng.uniform(0.1, 0.35, n)[dense, None]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    assert embed.codes(n) >= 16
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_groups(df.repartition(4)).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    queries = np.arange(0, n, 100)
+    true = (y[queries] @ y.T >= 0.95).sum(1) - 1
+    found = np.array([got[i] for i in queries])
+    assert true.sum() > 500 and (found <= true).all()
+    assert found.sum() >= 0.99 * true.sum()
+
+
+def test_embeddings_in_double_precision(spark):
+    """Cosines a hair on either side of the threshold, components near the ends of their types, and long vectors."""
+    near, far = 0.95 + 1e-12, 0.95 - 1e-12
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [near, (1 - near**2) ** 0.5, 0.0]), (3, [far, 0.0, (1 - far**2) ** 0.5]), (4, [0.0, 1e300, 1e300]), (5, [0.0, 1e-300, 1e-300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+    big = 3.3e38
+    rows = [(1, [big] * 3), (2, [1.0] * 3), (3, [1.0] * 5000), (4, [2.0] * 5000), (5, [1.0] * 2500 + [-1.0] * 2500)]
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_traversal_is_best_first_and_complete():
     rng = np.random.default_rng(1)
     a, b = rng.random((50, 6)), rng.random((50, 9))
-    assert (embed.traverse(a, b, 0.7) == (a[:, :, None] + b[:, None, :] <= 0.7)).all()
+    a[:, 2] = b[:, 4] = 0.0  # the own codes
+    query, one, two = embed.traverse(a, b, 0.7)
+    cost = a[query, one] + b[query, two]
+    for q in range(50):
+        mine = cost[query == q]
+        assert (np.diff(mine) >= 0).all() and mine[0] == 0
+        assert {*zip(one[query == q].tolist(), two[query == q].tolist(), strict=True)} == {*zip(*(x.tolist() for x in np.nonzero(a[q][:, None] + b[q][None] <= 0.7)), strict=True)}
 
 
 # -- passages --------------------------------------------------------------------------------
