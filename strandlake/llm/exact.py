@@ -97,7 +97,8 @@ def fingerprints(docs: DataFrame, moduli: tuple[int, int] = MODULI, huge: int =
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > huge
     plain = docs.where(~long).mapInArrow(tidy(_hash_rows(moduli)), "doc_id long, n_bytes long, h1 long, h2 long, text_sha256 string")
-    rows = docs.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    # stored, for row numbers of another evaluation may differ
+    rows = stored(docs.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.encode("text", "UTF-8").alias("bytes")))
     pieces = rows.select("row", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), ((F.length("bytes") - 1) / huge).cast("int")), lambda i: F.substring("bytes", i * huge + 1, F.lit(huge)))).alias("piece", "part"))
     hashed = pieces.repartition("row", "piece").mapInArrow(tidy(_hash_pieces(moduli)), "row long, doc_id long, piece int, n_bytes long, h1 long, h2 long, w1 long, w2 long")
     joined = hashed.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "n_bytes", "h1", "h2", "w1", "w2"))).alias("p"))
@@ -111,20 +112,22 @@ def exact_groups(docs: DataFrame, moduli: tuple[int, int] = MODULI, huge: int =
     """One row per row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays. Null texts count as
-    empty. A doc_id that occurs in several equal rows keeps one of them; a null
-    doc_id is the smallest. An empty table gives an empty result; other columns
-    are ignored. `moduli` may be made tiny in tests to force equal fingerprints.
+    empty. A doc_id may bear several texts, which are grouped apart; of equal rows of one doc_id
+    one is kept. A null doc_id is the smallest, and its rows are compared like any other. An
+    empty table gives an empty result; other columns are ignored. `moduli` may be made tiny in
+    tests to force equal fingerprints. Jobs run while the result is declared.
     """
     key = ["n_bytes", "h1", "h2"]
     prints = stored(fingerprints(docs, moduli, huge).withColumn("row", F.monotonically_increasing_id()))
-    best = F.max(F.struct("doc_id", "row"))
+    best = F.max(F.struct("doc_id", "row", F.col("text_sha256").alias("sha")))
     groups = stored(prints.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("group", F.monotonically_increasing_id()))
-    members = stored(prints.join(small(groups), key).select("group", "doc_id", "row", F.col("best.doc_id").alias("rep")))
+    mine = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_sha256") == F.col("best.sha"))
+    members = stored(prints.join(small(groups), key).select("group", "doc_id", F.col("text_sha256").alias("sha"), "row", mine.alias("leads")))
     split = _unequal(docs, members)
     result = prints.join(groups.select(*key, "best", "size", "group"), key, "left")
     if split is not None:
         again = split.withColumnRenamed("best", "best2").withColumnRenamed("size", "size2").withColumnRenamed("row", "row2")
-        result = result.join(again.select("row2", "best2", "size2"), F.col("row") == F.col("row2"), "left").withColumn("best", F.coalesce("best2", "best")).withColumn("size", F.coalesce("size2", "size"))
+        result = result.join(again.select("row2", "best2", "size2"), F.col("row") == F.col("row2"), "left").withColumn("best", F.coalesce("best2", F.struct("best.doc_id", "best.row"))).withColumn("size", F.coalesce("size2", "size"))
     return result.select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
@@ -135,39 +138,44 @@ def exact_groups(docs: DataFrame, moduli: tuple[int, int] = MODULI, huge: int =
 
 
 def _unequal(docs: DataFrame, members: DataFrame) -> DataFrame | None:
-    """Compare members(group, doc_id, row, rep) with their representatives, chunk by chunk.
+    """Compare members(group, doc_id, sha, row, leads) with the one that leads their group, chunk by chunk.
 
-    None if all are equal, as they are but for a collision of fingerprints. Else
-    (row, best, size) for the members of groups that had to be divided.
+    A member is a doc_id with a text, told from the doc_id's other texts by the digest; it has
+    a number of its own. None if all are equal, as they are but for a collision of fingerprints.
+    Else (row, best, size) for the members of groups that had to be divided.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
-    ids = small(members.where("doc_id is not null").select("group", "doc_id", "rep").distinct())
+    numbered = stored(members.select("group", "doc_id", "sha", "leads").distinct().withColumn("member", F.monotonically_increasing_id()))
+    leaders = numbered.where("leads").select("group", F.col("member").alias("rep"))
+    ids = stored(numbered.join(small(leaders), "group").select("group", "member", "rep", F.col("doc_id").alias("id"), "sha"))
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("bytes"), F.sha2(text, 256).alias("own"))
     last = F.greatest(F.lit(0), F.floor((F.length("bytes") - 1) / CHUNK)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("bytes", i * CHUNK + 1, F.lit(CHUNK)))
-    chunks = stored(texts.join(ids, "doc_id").select("group", "doc_id", "rep", F.posexplode(cut).alias("chunk", "part")))
-    settled, ids = [], ["group", "doc_id"]
+    chunks = stored(texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha"))).select("group", "member", "rep", F.posexplode(cut).alias("chunk", "part")))
+    settled = []
     while True:
-        theirs = chunks.where("doc_id = rep").select("group", "chunk", F.col("part").alias("other"))
-        same = chunks.where("doc_id <> rep").join(theirs, ["group", "chunk"]).groupBy(*ids).agg(F.bool_and(F.col("part") == F.col("other")).alias("same"))
-        unequal = stored(same.where("not same").select(*ids))
+        theirs = chunks.where("member = rep").dropDuplicates(["group", "chunk"]).select("group", "chunk", F.col("part").alias("other"))
+        same = chunks.where("member <> rep").join(theirs, ["group", "chunk"]).groupBy("group", "member").agg(F.bool_and(F.col("part") == F.col("other")).alias("same"))
+        unequal = stored(same.where("not same").select("group", "member"))
         if unequal.isEmpty():
             break
-        settled.append(chunks.select(*ids, "rep").distinct().join(unequal, ids, "left_anti"))
-        new = unequal.join(unequal.groupBy("group").agg(F.max("doc_id").alias("rep")), "group")
-        chunks = stored(chunks.drop("rep").join(new, ids))
+        settled.append(chunks.select("member", "rep").distinct().join(unequal, "member", "left_anti"))
+        new = unequal.join(unequal.groupBy("group").agg(F.max("member").alias("rep")), "group").select("member", "rep")
+        chunks = stored(chunks.drop("rep").join(new, "member"))
     if not settled:
         return None
-    settled.append(chunks.select(*ids, "rep").distinct())
+    settled.append(chunks.select("member", "rep").distinct())
     of = settled[0]
     for s in settled[1:]:
         of = of.unionByName(s)
-    rows = stored(members.drop("rep").join(of, ids))
-    sums = rows.groupBy("group", "rep").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size"))
-    return rows.join(sums, ["group", "rep"]).select("row", "best", "size")
+    named = ids.drop("rep").join(of, "member").select(F.col("group").alias("of"), "id", F.col("sha").alias("digest"), "rep")
+    rows = stored(members.join(named, (F.col("group") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("digest"))).select("rep", "doc_id", "row"))
+    sums = rows.groupBy("rep").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("size"))
+    return rows.join(sums, "rep").select("row", "best", "size")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that exact_groups() keeps."""
+    """The rows of docs, all columns, that exact_groups() keeps: one of every text; odd rows as there."""
     found = stored(exact_groups(docs))
     key = ["_strandlake_id", "_strandlake_sha"]
     each = found.groupBy(F.col("doc_id").alias(key[0]), F.col("text_sha256").alias(key[1])).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))

@@ -73,6 +73,16 @@ def test_exact_collisions_are_divided(spark):
     assert collect(exact.exact_groups(documents(spark, rows), (2, 2)), "doc_id", "keep_id", "group_size", "text_sha256") == brute_exact(rows)
 
 
+def test_doc_ids_with_several_texts(spark):
+    rows = [(5, "a"), (5, "b"), (6, "a"), (7, "b"), (None, "b"), (None, "c"), (None, "a"), (None, None), (8, "c"), (5, "a")]
+    for moduli in (exact.MODULI, (2, 3), (1, 1)):
+        found = exact.exact_groups(documents(spark, rows), moduli)
+        assert collect(found, "doc_id", "keep_id", "group_size", "text_sha256") == brute_exact(rows)
+        kept = [r for r in found.collect() if r["kept"]]
+        assert len(kept) == len({r["text_sha256"] for r in kept}) == 4
+    assert collect(exact.without_copies(documents(spark, rows)), "doc_id", "text") == sorted([(6, "a"), (7, "b"), (8, "c"), (None, None)], key=str)
+
+
 def test_without_copies(spark):
     left = exact.without_copies(documents(spark, ODD))
     assert left.columns == documents(spark, ODD).columns
