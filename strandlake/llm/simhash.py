@@ -21,7 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, bounded, forest, runs, small, stored, texts_of, tidy, whole_runs
@@ -47,25 +47,34 @@ def simhash(text: bytes, width: int = 3) -> int:
 
     Fewer words: the whole sequence is one shingle. No word: zero.
     """
-    words = text.lower().split()
-    if not words:
-        return 0
+    return _print(*votes(text.lower().split(), width))
+
+
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[list[int]]:
+    """Hashes of the shingles, repeats included, BLOCK at once; fewer words are one shingle, none is none."""
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashes, n = [digest(joined, SEED)], 1
-        counts = _bits(hashes)
-    else:
-        ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
-        starts = [0, *(e + 1 for e in ends[:-1])]
-        n = len(words) - width + 1
-        counts = np.zeros(64, np.int64)
-        for at in range(0, n, BLOCK):
-            counts += _bits([digest(joined[s:e], SEED) for s, e in zip(starts[at : min(at + BLOCK, n)], ends[at + width - 1 : at + BLOCK + width - 1], strict=False)])
-    out = 0
-    for i in np.flatnonzero(counts * 2 > n).tolist():
-        out |= 1 << i
-    return out
+    ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
+    starts = [0, *(e + 1 for e in ends[:-1])]
+    if words and len(words) <= width:
+        yield [digest(joined, SEED)]
+        return
+    n = len(words) - width + 1
+    for at in range(0, n, BLOCK):
+        yield [digest(joined[s:e], SEED) for s, e in zip(starts[at : min(at + BLOCK, n)], ends[at + width - 1 : at + BLOCK + width - 1], strict=False)]
+
+
+def votes(words: list[bytes], width: int) -> tuple[np.ndarray, int]:
+    """How many of the shingles' hashes have each bit, and how many there are."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(words, width):
+        counts += _bits(hashes)
+        n += len(hashes)
+    return counts, n
+
+
+def _print(counts: np.ndarray, n: int) -> int:
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def _bits(hashes: list[int]) -> np.ndarray:
@@ -189,102 +198,189 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar_groups(): width of the shingles that verify, differing bits that still link in
-#: either fingerprint, and members of a bucket that are compared in one task.
-VERIFY = 5
-NEAR_KEY, NEAR = 12, 25
+#: For similar_groups(): width of the shingles compared and their similarity; weak bits of a segment that keys are made with,
+#: differing bits of candidates, nearest candidates that a member of a bucket keeps, and those of a text that are compared first.
+VERIFY, SIMILARITY = 5, 0.8
+WEAK = 3
+NEAR = 16
+NEAREST, FIRST = 3, 4
+#: Members of a bucket that are compared in one task, and pairs held at once.
 FULL = 4096
+HELD = 1_000_000
 
-_PAIR = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
-_PAIR_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("rep", pa.int64())])
+_PAIR = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("weak", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+_PAIR_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
+_SETS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary())])
+_M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_simhash(text: bytes, width: int = VERIFY) -> tuple[int, int]:
-    """A fingerprint of 128 bits from XXH3, as two halves; otherwise as simhash()."""
-    words = text.lower().split()
-    if not words:
-        return 0, 0
-    joined = b" ".join(words)
-    ends = list(accumulate(map(len, words), lambda x, y: x + y + 1))
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    n = max(1, len(words) - width + 1)
-    counts = np.zeros(128, np.int64)
-    digest = xxhash.xxh3_128_digest
-    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    for at in range(0, n, BLOCK):
-        part = b"".join([digest(joined[s:e]) for s, e in zip(starts[at : min(at + BLOCK, n)], last[at : at + BLOCK], strict=True)])
-        counts += np.unpackbits(np.frombuffer(part, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
-    out = np.packbits(counts * 2 > n).view("<u8")
-    return int(out[0]), int(out[1])
+def shingles(words: list[bytes], width: int = VERIFY) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(np.array([h for part in shingle_hashes(words, width) for h in part], np.uint64))
+
+
+def _name(found: np.ndarray) -> tuple[int, int]:
+    """A name of 128 bits for a set of hashes: two sums that don't depend on their order."""
+    mixed = (found ^ (found >> np.uint64(29))) * _M
+    return int(found.sum(dtype=np.uint64)), int((mixed ^ (mixed >> np.uint64(32))).sum(dtype=np.uint64))
 
 
 def _pair_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = np.array([(simhash(t), *wide_simhash(t)) for t in texts_of(b.column(1))], np.uint64).reshape(-1, 3).view(np.int64)
-        yield batch(_PAIR, b.column(0), *rows.T)
+        rows = []
+        for t in texts_of(b.column(1)):
+            words = t.lower().split()
+            counts, n = votes(words, 3)
+            doubt = np.abs(2 * counts - n)
+            weak = 0
+            for start, width in SEGMENTS:
+                for at in np.argsort(doubt[start : start + width], kind="stable")[:WEAK].tolist():
+                    weak = weak << 5 | at
+            found = shingles(words)
+            rows.append((_print(counts, n), weak, len(found), *_name(found)))
+        fp, weak, n, s1, s2 = np.array(rows, np.uint64).reshape(-1, 5).T
+        yield batch(_PAIR, b.column(0), fp.view(np.int64), weak.view(np.int64), n.astype(np.int32), s1.view(np.int64), s2.view(np.int64))
+
+
+def soft_keys(word: np.ndarray, weak: list[np.ndarray], decoder: np.ndarray) -> np.ndarray:
+    """Golay indices of words with any of their weak bits turned: the distinct ones, and -1 instead of repeats."""
+    near = [decoder[word]]
+    for turned in range(1, 1 << len(weak)):
+        flip = np.zeros_like(word)
+        for i, at in enumerate(weak):
+            if turned >> i & 1:
+                flip |= np.int64(1) << at
+        near.append(decoder[word ^ flip])
+    index = np.sort(np.stack(near, 1).astype(np.int64), axis=1)
+    index[:, 1:][index[:, 1:] == index[:, :-1]] = -1
+    return index
 
 
 def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two of the three segments have two errors at most if all have five at most; they give a key together."""
+    """If errors in two of the three segments fall on weak bits of either text, or are few, the segments' indices agree: they give a key together."""
     decoder = None
     for whole in batches:
         decoder = golay_decoder() if decoder is None else decoder
-        for at in range(0, whole.num_rows, 1 << 13):
-            b = whole.slice(at, 1 << 13)
-            fp, low, high, rep = (b.column(i).to_numpy() for i in range(4))
-            index = [golay_keys(((fp.view(np.uint64) >> np.uint64(s)) & np.uint64((1 << w) - 1)).astype(np.int64), decoder).astype(np.int64) for s, w in SEGMENTS]
+        for at in range(0, whole.num_rows, 1 << 12):
+            b = whole.slice(at, 1 << 12)
+            fp, weak = b.column(0).to_numpy().copy(), b.column(1).to_numpy()
+            index = []
+            for k, (s, w) in enumerate(SEGMENTS):
+                places = [weak >> 5 * (WEAK * (2 - k) + i) & 31 for i in range(WEAK)]
+                index.append(soft_keys((fp.view(np.uint64) >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64), places, decoder))
+            n, node = b.column(2).to_numpy(), b.column(3).to_numpy()
             for k in range(3):
                 one, two = index[k][:, :, None], index[(k + 1) % 3][:, None, :]
                 row, i, j = np.nonzero((one >= 0) & (two >= 0))
-                yield batch(_PAIR_KEYS, (k << 24) | (one[row, i, 0] << 12) | two[row, 0, j], fp[row], low[row], high[row], rep[row])
-
-
-def _verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+                yield batch(_PAIR_KEYS, (k << 24) | (one[row, i, 0] << 12) | two[row, 0, j], fp[row], n[row], node[row])
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of the lightest spanning forest of the nodes 0..n-1; edges come in order of weight."""
+    label, chosen = np.arange(n), [np.zeros(0, np.int64)]
+    at = np.arange(len(a))
+    while True:
+        at = at[label[a[at]] != label[b[at]]]
+        if not len(at):
+            return np.concatenate(chosen)
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[at]], at)
+        np.minimum.at(best, label[b[at]], at)
+        new = np.unique(best[best < len(a)])
+        chosen.append(new)
+        every = np.concatenate(chosen)
+        label = forest(n, a[every], b[every])
+
+
+def _worth(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Of pairs (bits, a, b): each one's NEAREST, and the lightest spanning forest."""
+    pairs = np.unique(pairs, axis=0)  # in order of bits
+    keep = np.zeros(len(pairs), bool)
+    keep[spanning(n, pairs[:, 1], pairs[:, 2])] = True
+    ends = np.concatenate([pairs[:, 1], pairs[:, 2]])
+    order = np.lexsort((np.tile(np.arange(len(pairs)), 2), ends))
+    start, length = runs(ends[order])
+    rank = np.arange(len(order)) - np.repeat(start, length)
+    keep[order[rank < NEAREST] % len(pairs)] = True
+    return pairs[keep]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_runs(batches, ["key", "block"]):
         key = t.column("key").to_numpy() * 1_000_003 + t.column("block").to_numpy()
-        fp, low, high, rep = (t.column(c).to_numpy() for c in ("fp", "low", "high", "rep"))
+        fp, size, node = (t.column(c).to_numpy() for c in ("fp", "n", "node"))
         start, length = runs(key)
         keep = np.repeat(length > 1, length)
-        key, rep = key[keep], rep[keep]
-        fp, low, high = fp[keep].view(np.uint64), low[keep].view(np.uint64), high[keep].view(np.uint64)
-        nodes, name = np.unique(rep, return_inverse=True)
-        root = np.arange(len(nodes))
-        found: list[np.ndarray] = []
-        size, step = 0, 1
+        key, fp, size, node = key[keep], fp[keep].view(np.uint64), size[keep], node[keep]
+        nodes, name = np.unique(node, return_inverse=True)
+        found, held, step = [np.zeros((0, 3), np.int64)], 0, 1
         at = np.arange(len(key))
         while True:
             at = at[at + step < len(key)]
             at = at[key[at + step] == key[at]]
             if not len(at):
                 break
-            near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= NEAR_KEY]
-            near = near[np.bitwise_count(low[near] ^ low[near + step]).astype(np.int16) + np.bitwise_count(high[near] ^ high[near + step]) <= NEAR]
-            found.append(np.stack([name[near], name[near + step]]))
-            size += len(near)
-            if size > 1_000_000:
-                found, size = [np.stack([np.arange(len(nodes)), forest(len(nodes), *np.concatenate(found, axis=1))])], len(nodes)
+            bits = np.bitwise_count(fp[at] ^ fp[at + step])
+            # sets whose sizes differ more can't be alike
+            near = (bits <= NEAR) & (np.minimum(size[at], size[at + step]) >= SIMILARITY * np.maximum(size[at], size[at + step])) & (name[at] != name[at + step])
+            i, j = name[at[near]], name[at[near] + step]
+            found.append(np.stack([bits[near].astype(np.int64), np.minimum(i, j), np.maximum(i, j)], 1))
+            held += len(i)
+            if held > HELD:
+                found = [_worth(np.concatenate(found), len(nodes))]
+                held = 0
             step += 1
-        if found:
-            root = forest(len(nodes), *np.concatenate(found, axis=1))
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        if len(moved):
-            yield batch(schema, nodes[moved], nodes[root[moved]])
+        pairs = _worth(np.concatenate(found), len(nodes))
+        if len(pairs):
+            yield batch(_EDGES, nodes[pairs[:, 1]], nodes[pairs[:, 2]], pairs[:, 0].astype(np.int32))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [shingles(t.lower().split()) for t in texts_of(b.column(0))]
+        names = np.array([_name(f) for f in found], np.uint64).reshape(-1, 2).view(np.int64)
+        yield batch(_SETS, *names.T, [np.unique(f.astype(np.uint32)).tobytes() for f in found])
+
+
+def _alike(similarity: float):
+    """Pairs whose sets, of 32 bits a shingle, are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(texts_of(b.column("x")), texts_of(b.column("y")), strict=True)):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both >= similarity * (len(x) + len(y) - both)
+            yield batch(schema, b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)))
+
+    return run
+
 
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, component_id, for texts linked by a Jaccard similarity of their sets of
+    five-word shingles of at least `similarity`.
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, component_id, for texts that are alike in some 0.8 of their shingles of five words.
+    Texts of equal sets are one node. Candidates are fingerprints over three words that share the Golay indices of two segments, made
+    with the segments' weakest bits turned either way, and differ in NEAR bits at most; sets whose sizes rule the
+    similarity out are passed over. A bucket hands on each member's nearest and a lightest spanning forest, never all its pairs.
+    Of a text's candidates the FIRST nearest are compared by their sets; of the others only those that aren't in one group by
+    then. Every link is verified; a link is lost only if its texts share no key, or lie in a crowded bucket behind
+    nearer candidates that aren't alike.
 
-    Candidates are fingerprints of 64 bits over three words that share the Golay keys of two
-    segments; they link if they differ in NEAR_KEY bits at most and the fingerprints of 128
-    bits over five words in NEAR at most (a Jaccard similarity of 0.8 changes 19 of 128 bits
-    on average). Odd rows as in near_groups().
+    component_id is the smallest doc_id of a group. Null and empty texts are alike; rows without a doc_id
+    link with nothing; repeated rows stay; other columns are ignored; an empty table gives an empty result.
     """
-    prints = stored(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_pair_fingerprints), "doc_id long, fp long, low long, high long"))
-    same = ["fp", "low", "high"]
-    classes = stored(prints.groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints = stored(docs.mapInArrow(tidy(_pair_fingerprints), "doc_id long, fp long, weak long, n int, s1 long, s2 long"))
+    least = F.min(F.struct("doc_id", "fp", "weak", "n")).alias("least")
+    classes = prints.where("doc_id is not null").groupBy("s1", "s2").agg(least).select("s1", "s2", "least.*", F.monotonically_increasing_id().alias("node"))
+    classes = stored(classes.withColumnRenamed("doc_id", "rep"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = classes.where("rep is not null").repartition(n, "fp").mapInArrow(tidy(_pair_keys), "key long, fp long, low long, high long, rep long")
+    # keys are made twice, to be counted and to be joined: that costs less than storing them
+    keys = classes.select("fp", "weak", "n", "node").repartition(n, "fp").mapInArrow(tidy(_pair_keys), "key long, fp long, n int, node long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
     full = stored(counts.select("key", F.ceil(F.col("n") / (FULL / 2)).cast("int").alias("blocks")))
     if full.isEmpty():
@@ -292,13 +388,34 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     else:
         # every two blocks of a full bucket meet in a task of their own
         keys = keys.join(small(full), "key", "left")
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own))
         keys = keys.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
-    links = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(tidy(_verify_pairs), "a long, b long")
-    label = components(links)
-    named = stored(classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id")))
-    return prints.join(named, same).select("doc_id", "component_id")
+    near = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(tidy(_candidates), "a long, b long, bits int")
+    best = Window.partitionBy("b").orderBy("bits", "a")  # a node has as many rows as it has keys, some hundreds at most
+    edges = stored(near.distinct().withColumn("first", F.row_number().over(best) <= FIRST))
+
+    nodes = stored(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().join(classes.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("node"), "rep", "s1", "s2"))
+    texts = docs.join(small(nodes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(tidy(_sets), "s1 long, s2 long, shingles binary").dropDuplicates(["s1", "s2"])
+    sets = stored(sets.join(small(nodes.select("node", "s1", "s2")), ["s1", "s2"]).select("node", "shingles"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        return some.select("a", "b").join(one, "a").join(two, "b").mapInArrow(tidy(_alike(similarity)), "a long, b long")
+
+    sure = stored(verified(edges.where("first")))
+    label = components(sure)
+    where = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = edges.where("not first").join(where("a"), "a", "left").join(where("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    more = stored(verified(rest))
+    if not more.isEmpty():
+        label = components(sure.unionByName(more))
+    label = stored(label)
+    grouped = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct()).join(classes, "node").select("component", "rep", "s1", "s2")
+    named = grouped.join(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("s1", "s2", "component_id")
+    named = stored(classes.select("s1", "s2", "rep").join(named, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id")))
+    return prints.join(named, ["s1", "s2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:

@@ -153,27 +153,89 @@ def test_simhash(spark, monkeypatch, bucket):
     assert got == sorted(((i, f"{p:016x}", least[k]) for (i, _), p, k in zip(rows, prints.tolist(), label, strict=True)), key=str)
 
 
+def brute_similar(rows, similarity=0.8):
+    """Smallest doc_id of each row's group by Jaccard similarities of all pairs; of rows without a doc_id null."""
+    sets = []
+    for _, t in rows:
+        words = (t or "").lower().split()
+        sets.append({" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] is not None and rows[j][0] is not None and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    label = forest(len(rows), *(np.array(alike).T if alike else np.zeros((2, 0), int)))
+    least = {}
+    for (i, _), k in zip(rows, label, strict=True):
+        least[k] = min(least.get(k, i), i) if i is not None else None
+    return [least[k] for k in label]
+
+
 @pytest.mark.parametrize("full", [simhash.FULL, 4])
 def test_similar(spark, monkeypatch, full):
+    """Families of texts of all lengths and rates of edits: nearly every group is that of all pairs, and none holds more."""
     monkeypatch.setattr(simhash, "FULL", full)
     rng = random.Random(3)
     words = [f"w{i}" for i in range(2000)]
-    rows, family = [], {}
-    for i in range(40):
-        base = [rng.choice(words) for _ in range(400)]
-        for k in range(4):
+    rows = [r for r in ODD if r[0] is not None and r[0] != 5]
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([8, 60, 200, 800]))]
+        for k in range(5):
             other = list(base)
-            for _ in range(2 * (k > 0)):
-                other[rng.randrange(400)] = rng.choice(words)
-            rows.append((100 * i + k, " ".join(other)))
-            family[100 * i + k] = 100 * i
+            for _ in range(rng.randint(0, max(1, len(base) // 40)) if k else 0):
+                other[rng.randrange(len(base))] = rng.choice(words)
+            rows.append((1000 + 100 * i + k, " ".join(other)))
+    wanted = dict(zip([i for i, _ in rows], brute_similar(rows), strict=True))
     got = dict(collect(simhash.similar_groups(documents(spark, rows)), "doc_id", "component_id"))
-    assert all(got[i] // 100 == i // 100 for i in got)  # never across families
-    assert sum(got[i] == family[i] for i in got) >= 0.95 * len(got)
+    assert set(got) == set(wanted)
+    assert sum(got[i] == wanted[i] for i in got) >= 0.97 * len(got)
+    assert all(wanted[i] == wanted[got[i]] for i in got)  # never linked where brute force doesn't
     left = simhash.without_near_copies(documents(spark, rows))
     assert {r["doc_id"] for r in left.collect()} == {i for i in got if got[i] == i}
 
 
+def test_similar_recall_near_the_threshold(spark):
+    """300 pairs of a similarity of 0.8 to 0.86, and 300 of 0.72 to 0.79: at least 0.95 of the ones are linked, none of the others."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows, alike, other = [], [], []
+    while len(alike) < 300 or len(other) < 300:
+        n = rng.choice([100, 300, 900])
+        a = [rng.choice(words) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(n // 60, n // 28)):
+            b[rng.randrange(n)] = rng.choice(words)
+        x, y = ({tuple(w[k : k + 5]) for k in range(n - 4)} for w in (a, b))
+        like = len(x & y) / len(x | y)
+        kind = alike if 0.8 <= like <= 0.86 else other if 0.72 <= like < 0.79 else None
+        if kind is not None and len(kind) < 300:
+            kind.append(len(rows))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = dict(collect(simhash.similar_groups(documents(spark, rows)), "doc_id", "component_id"))
+    assert sum(got[i + 1] == i for i in alike) >= 0.95 * 300
+    assert all(got[i + 1] == i + 1 for i in other)
+
+
+def test_similar_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (4, "c d e f g h"), (5, "A  b"), (6, "c d e f g h"), (None, "a b"), (None, None), (7, "x " * 30_000), (8, "x x x x x x x")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(documents(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (6, 4), (7, 7), (8, 7), (None, None), (None, None)], key=str)
+    left = collect(simhash.without_near_copies(documents(spark, rows)), "doc_id", "text")
+    assert {i for i, _ in left} == {1, 4, 7, None}
+
+
+def test_spanning_forest():
+    rng = random.Random(2)
+    for _ in range(30):
+        n = rng.randint(2, 12)
+        edges = sorted((rng.randint(0, 5), rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 30)))
+        w, a, b = np.array(edges, int).reshape(-1, 3).T
+        chosen = simhash.spanning(n, a, b)
+        assert np.array_equal(forest(n, a, b), forest(n, a[chosen], b[chosen])) and len(chosen) == n - len(set(forest(n, a, b).tolist()))
+        total, label = 0, list(range(n))
+        for weight, x, y in edges:  # Kruskal
+            if label[x] != label[y]:
+                total += weight
+                label = [label[x] if c == label[y] else c for c in label]
+        assert w[chosen].sum() == total
+
+
 # -- embeddings ------------------------------------------------------------------------------
 
 
