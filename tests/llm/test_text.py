@@ -5,6 +5,7 @@ import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,12 +95,55 @@ def test_pack(spark, reference):
         assert at <= 1024
     for i, t in ODD:
         ids = [*reference.encode(t or "", add_special_tokens=False).ids, 0]
-        mine = sorted({(r["start"], tuple(r["ids"])) for r in rows if r["doc_id"] == i})
-        assert [x for _, p in mine for x in p] == ids and all(r["doc_tokens"] == len(ids) for r in rows if r["doc_id"] == i)
+        mine = [r for r in rows if r["doc_id"] == i]
+        # every id of every copy lies in one piece, however the copies are cut
+        assert Counter((r["start"] + k, x) for r in mine for k, x in enumerate(r["ids"])) == {(k, x): ODD.count((i, t)) for k, x in enumerate(ids)}
+        assert all(r["doc_tokens"] == len(ids) for r in mine)
     assert sum(r["length"] for r in rows) == sum(len(reference.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
     assert packing.pack(documents(spark, []), vocabulary()).count() == 0
 
 
+def test_differencing_as_with_whole_vectors():
+    """The sparse form against the method written down with vectors of all k windows."""
+
+    def plain(sizes, k):
+        parts = [sorted([s] + [0] * (k - 1), reverse=True) for s in sizes]
+        while len(parts) > 1:
+            parts.sort(key=lambda v: v[-1] - v[0])
+            a, b, *parts = parts
+            v = sorted((x + y for x, y in zip(a, b[::-1], strict=True)), reverse=True)
+            parts.append([x - v[-1] for x in v])
+        return parts[0][0] - parts[0][-1]
+
+    rng = random.Random(7)
+    spread = []
+    for _ in range(200):
+        sizes, k = [rng.randint(1, 128) for _ in range(rng.randint(2, 60))], rng.randint(1, 12)
+        sums = np.bincount(packing.differencing(sizes, k), weights=sizes, minlength=k)
+        assert sums.sum() == sum(sizes)
+        spread.append((sums.max() - sums.min(), plain(sizes, k)))
+    mine, other = map(np.array, zip(*spread, strict=True))
+    assert (mine == other).mean() > 0.8 and abs(mine.mean() - other.mean()) < 2  # ties may fall differently
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    at = packing.windows([1] * packing.PIECES, 1024)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(at).tolist() == [1024] * 64 and peak < 60e6
+
+
+def test_pack_many_empty_texts(spark):
+    """200,000 empty texts; padding only where a length is no power of two."""
+    docs = spark.range(200_000).select(packing.F.col("id").alias("doc_id"), packing.F.lit(None).cast("string").alias("text")).coalesce(1)
+    got = packing.pack(docs, vocabulary()).groupBy("sequence_id").agg(packing.F.sum("length").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 200_000
+    assert sum(1024 - r["n"] for r in got if r["n"] & (r["n"] - 1)) < 0.02 * 200_000
+
+
 # -- chats -----------------------------------------------------------------------------------
 
 
