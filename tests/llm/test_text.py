@@ -233,11 +233,29 @@ def test_lines_do_not_depend_on_blocks(monkeypatch):
 def test_blocks():
     page = "a<p>b &amp; c<b>d</b><br>e<script>x<p>y</script><ul><li>1<li>2</ul><!-- z --><div class='ad x' id=q>f</div>g&nbsp;h<style>p{}</style><head><title>t</title></head>"
     assert [b[0] for b in html.blocks(page)] == ["a", "b & cd e", "1", "2", "f", "g h"]
-    assert html.blocks(page)[4][1][-1] == "div ad x q"
+    ad = html.blocks(page)[4]
+    assert ad.inner == "div" and ad.said is False and ad.path == html.Path().into("div", ("ad", "x", "q")).bits
+    assert [b.said for b in html.blocks("<article><p>a<div class=content-ads>b</div></article><header>c</header><main><header>d</header></main>")] == [True, False, False, True]
     assert html.blocks("") == html.blocks("<p></p><p> </p>") == html.blocks("<script>x") == []
     assert [b[0] for b in html.blocks("<p>a < b <c")] == ["a < b"]
 
 
+def test_deep_long_and_broken_pages():
+    """Linear in depth, in open elements and in what is never closed."""
+    assert len(html.blocks("<div>x" * 30_000)) == 30_000
+    for page, n in (("<b>" * 20_000 + "<p>x</p>" * 20_000, 20_000), ("<a " * 100_000 + "'", 0), ("<p>x</i></b>" * 20_000, 20_000), ("<a href='" * 50_000, 0), ("</div>" * 50_000, 0), ("<table><tr><td>x" * 5_000, 5_000)):
+        assert len(html.blocks(page)) == n
+    assert [b.text for b in html.blocks("<p title=it's>a</p><p title='x>y'>b")] == ["a", "b"]
+
+
+def test_long_pages_are_read_alike(monkeypatch):
+    page = html.blocks("".join(f"<div class=c{i % 3}><p>word {i}, and so on.</p></div><li>x" for i in range(150)))
+    model = html.Labeller(html.PATHS + html.WORDS + html.EXTRA)
+    whole = model.probabilities([page])[0]
+    monkeypatch.setattr(html, "LONG", 64)
+    assert np.allclose(model.probabilities([page])[0], whole)
+
+
 def test_gradient():
     rng = np.random.default_rng(2)
     model = html.Labeller(5, 3)
@@ -284,6 +302,20 @@ def test_extraction(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_without_telling_names(spark):
+    """The labeller, trained on some pages, reads others whose classes and ids are random, and whose articles, menus and the like are plain boxes."""
+    source = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    model = html.train(spark.createDataFrame([(i, "u", h) for i, h in enumerate(source[:160])], "page_id long, url string, html string"))
+    rng = random.Random(1)
+    hidden = [re.sub(r'(class|id|role)="[^"]*"', lambda m: f'{m[1]}="{rng.choice("abcdefgh") * 4}"', h) for h in source[160:]]
+    boxes = [re.sub(r"<(/?)(article|main|nav|footer|aside|header|form|section)\b", r"<\1div", h) for h in hidden]
+    said = [[b.text for b in html.blocks(h) if b.said] for h in source[160:]]
+    for pages in (hidden, boxes):
+        parsed = [html.blocks(h) for h in pages]
+        found = [[b.text for b, y in zip(p, q, strict=True) if y >= 0.5] for p, q in zip(parsed, model.probabilities(parsed), strict=True)]
+        assert sum(x == y for x, y in zip(found, said, strict=True)) >= 0.95 * len(said)
+
+
 # -- urls ------------------------------------------------------------------------------------
 
 
