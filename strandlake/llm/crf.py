@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, bounded, texts_of, tidy
 
-#: Labelled documents that the field is fitted on, those of the smallest hashes: its only bound.
+#: Labelled documents that the field is fitted on, those of the smallest hashes of such as have at most so many characters. Scores have no bound.
 SAMPLE = 3_000
+CHARACTERS = 200_000
 #: Quantiles and evenly spaced values between which a measure is binned.
 QUANTILES = 10
 EVEN = 8
@@ -268,10 +269,10 @@ def quality(model: dict, texts: Iterator[bytes]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The field, fitted to `sample` labelled documents at most, of those whose crc32 isn't divisible by 5."""
+    """The field, fitted to `sample` labelled documents at most, of CHARACTERS at most and those whose crc32 isn't divisible by 5."""
     crc = F.crc32(F.col("doc_id").cast("string")) % 5
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = bounded(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    rows = bounded(docs).where(F.coalesce(F.length("text"), F.lit(0)) <= CHARACTERS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
