@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -383,11 +384,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _parts(text: bytes, special: dict[bytes, int]) -> Iterator[bytes]:
-    """Cut a long text before an ASCII blank that follows an ASCII letter; no special token holds such a place."""
+    """Cut a long text before an ASCII blank that follows an ASCII letter, outside of special tokens that hold such a place."""
+    risky = [s for s in special if re.search(rb"[A-Za-z][ \n]", s)]
     at = 0
     while len(text) - at > BLOCK:
         cut = at + BLOCK
-        while cut < len(text) and not (text[cut] in b" \n" and chr(text[cut - 1]).isascii() and chr(text[cut - 1]).isalpha()):
+        while cut < len(text):
+            fits = text[cut] in b" \n" and chr(text[cut - 1]).isascii() and chr(text[cut - 1]).isalpha()
+            if fits and not any(text.find(s, max(at, cut - len(s) + 1), cut + len(s) - 1) >= 0 for s in risky):
+                break
             cut += 1
         yield text[at:cut]
         at = cut
