@@ -34,12 +34,12 @@ from .common import batch, bounded, texts_of, tidy
 #: Pages that the labeller is trained on, those of the smallest hashes of such as have at most so many characters and blocks; and pages made from them.
 SAMPLE = 160
 CHARACTERS, BLOCKS = 200_000, 1_000
-MADE = 600
+MADE = 900
 #: Blocks from which on a page is read piece by piece.
 LONG = 4_096
 PATHS, WORDS, EXTRA = 256, 32, 6
 HIDDEN = 16
-EPOCHS = 12
+EPOCHS = 14
 
 #: Elements that don't end a block, that hold no text of the page, that have no end tag, and that end an open one.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -413,7 +413,7 @@ def made_pages(pages: list[list[Block]], n: int, seed: int = 3) -> list[list[Blo
                 last = ["h2", "li", "blockquote", "pre", "td", "h3", "figcaption", "div", "section"][rng.integers(9)]
             inner = {"li": ("ul", "li"), "td": ("table", "tr", "td"), "figcaption": ("figure", "figcaption")}.get(last, (last,))
             put(text, (*top, *holder, *inner), linked)
-            if holder and k and rng.random() < 0.08:
+            if holder and k and rng.random() < 0.15:
                 side(holder)
         if holder and rng.random() < 0.4:
             side(holder)
