@@ -355,6 +355,23 @@ def test_templates_are_rejected_by_purity(spark):
     assert score["/ad/{n}"] > urls.PURITY and score["/news/{n}"] < 0.2
 
 
+def test_templates_on_pages_whose_labels_were_held_back(spark):
+    """On the table itself: labels of a fifth of the pages are kept from the tree, which then judges them by their templates."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    got = urls.judge(pages, learn=urls.F.col("page_id") % 5 != 0).where("page_id % 5 = 0 AND rule IS NOT NULL").groupBy("verdict", "method").count().collect()
+    n = {(r["verdict"], r["method"]): r["count"] for r in got}
+    assert n.get(("block", "block"), 0) > 0 and n.get(("allow", "block"), 0) == 0  # hosts of this table have few pages of a section
+
+
+def test_undecided_pages_are_rejected_with_their_template(spark):
+    """Rules know some numbered pages of a section only; the others of the same template go with them, and those of a clean one stay."""
+    rules = (("a.org/track/1", "block"), ("a.org/news/1", "allow"), ("b.org/", "allow"))
+    rows = [f"http://a.org/{s}/{k}" for s in ("track", "news") for k in range(200)] + [f"http://b.org/{k}" for k in range(100)]
+    got = {r["path"]: r for r in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
+    assert got["/track/27"]["rule"] is None and got["/track/27"]["verdict"] == "block"
+    assert {got[f"/track/{k}"]["verdict"] for k in range(200)} == {"block"} and {got[f"/news/{k}"]["verdict"] for k in range(200)} == {"allow"}
+
+
 def test_url_templates_of_busy_and_deep_nodes(spark):
     """Neither many siblings nor deep paths take a template of its own from a section."""
     rules = (("example.com/de/", "block"), ("example.com/en/", "allow"), ("ads.a.org/", "block"), ("good.a.org/", "allow"))
