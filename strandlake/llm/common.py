@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,23 +14,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most this many may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables of at most so many rows, and bytes by Spark's estimate, may be broadcast; beyond it joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 #: Bytes of a batch that goes to Python.
 BATCH_BYTES = "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a session of one machine gets a folder of its own; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/strandlake-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what stored() wrote in this application; results that aren't computed by then can't be any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Keep the batches that go to Python small: long texts otherwise make batches of tens of MB, held on both sides."""
+    """Keep the batches that go to Python small: long texts otherwise make batches of tens of MB, held on both sides.
+
+    The limit is a setting of the session, as Spark reads it when the plan runs; it changes no result.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
@@ -37,14 +49,15 @@ def bounded(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/strandlake-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Hint a broadcast if the (stored) table is known to be small; else leave it to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Hint a broadcast if a table (one that is stored, or columns or rows of one) is known to be small; else leave it to a shuffle."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
 def tidy(run):

@@ -424,3 +424,21 @@ def test_empty_tables(spark):
     assert exact.exact_groups(docs).count() == simhash.near_groups(docs).count() == simhash.similar_groups(docs).count() == substring.passages(docs).count() == 0
     assert exact.without_copies(docs).count() == simhash.without_near_copies(docs).count() == substring.without_passages(docs, substring.passages(docs)).count() == 0
     assert embed.near_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_folder_and_broadcasts(spark, monkeypatch):
+    """What is stored lies in the shared folder and can be removed; tables of many rows or bytes aren't broadcast."""
+    from strandlake.llm import common
+
+    assert common.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    table = common.stored(spark.range(1000).select("id", simhash.F.repeat(simhash.F.lit("x"), 100).alias("x")))
+    hinted = lambda df: df is not table
+    assert hinted(common.small(table)) and table.count() == 1000
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10)
+    assert not hinted(common.small(table))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1 << 30)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 999)
+    assert not hinted(common.small(table))
+    common.release(spark)
+    with pytest.raises(Exception, match="(?i)not.exist|not_exist"):
+        table.collect()
