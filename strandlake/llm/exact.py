@@ -154,8 +154,8 @@ def _unequal(docs: DataFrame, members: DataFrame) -> DataFrame | None:
     chunks = stored(texts.join(small(ids), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("sha"))).select("group", "member", "rep", F.posexplode(cut).alias("chunk", "part")))
     settled = []
     while True:
-        # stored, so that a join with a group of very many members is one of two shuffles, which is split where it is uneven
-        theirs = small(stored(chunks.where("member = rep").dropDuplicates(["group", "chunk"]).select("group", "chunk", F.col("part").alias("other"))))
+        # stored and never broadcast, for it holds texts: a join with a group of very many members is one of two shuffles, which is split where it is uneven
+        theirs = stored(chunks.where("member = rep").dropDuplicates(["group", "chunk"]).select("group", "chunk", F.col("part").alias("other")))
         same = chunks.where("member <> rep").join(theirs, ["group", "chunk"]).groupBy("group", "member").agg(F.bool_and(F.col("part") == F.col("other")).alias("same"))
         unequal = stored(same.where("not same").select("group", "member"))
         if unequal.isEmpty():
