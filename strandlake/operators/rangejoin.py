@@ -120,20 +120,26 @@ def find_exact(elements: DataFrame, queries: DataFrame, stranded: bool = True) -
 
 
 def overlapping_any(elements: DataFrame, queries: DataFrame, width: int = WIDTH, keep: bool = True) -> DataFrame:
-    """Elements that overlap any query (semi-join), or none of them (anti-join)."""
+    """Elements that overlap any query (semi-join), or none of them (anti-join); all columns, repeated rows stay.
+
+    Elements are put into classes of doubling length, and each into the one bin of its class
+    that its start lies in; queries go to every bin of every class from which an element
+    reaches them. So an element is one row on its side, and one join tells: nothing has to be
+    made distinct, and a long element costs no more than a short one.
+    """
     s, e, qs, qe = (F.col(c) for c in ("start_pos", "end_pos", "q_start", "q_end"))
-    first, last = _floor(s, width), _floor(F.greatest(e - 1, s), width)
-    row = elements.withColumn("_row", F.struct(*elements.columns))
-    spread = row.withColumn("_bin", _bins(first, last))
-    q = queries.withColumn("_q_bin", _bins(_floor(qs, width), _floor(F.greatest(qe - 1, qs), width)))
-    on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand")) & (F.col("_bin") == F.col("_q_bin")) & (s < qe) & (qs < e)
-    hit = spread.join(q, on, "left_semi").select(*elements.columns).distinct()
-    same = None
-    renamed = hit.toDF(*(f"_h_{c}" for c in elements.columns))
-    for c in elements.columns:
-        term = F.col(c).eqNullSafe(F.col(f"_h_{c}"))
-        same = term if same is None else same & term
-    return elements.join(renamed, same, "left_semi" if keep else "left_anti")
+    longest = elements.agg(F.max(e - s).alias("n")).first()["n"] or 1
+    least = max(1, (width - 1).bit_length())
+    most = max(least, (int(longest) - 1).bit_length())
+    at = lambda x, c: F.call_function("shiftright", x.cast("long"), c)
+    number = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(e - s, F.lit(1)))).cast("int")))
+    one = elements.withColumn("_class", number).withColumn("_bin", at(s, F.col("_class")))
+    q = queries.withColumn("_q_class", F.explode(F.sequence(F.lit(least), F.lit(most))))
+    q = q.withColumn("_q_bin", F.explode(F.sequence(at(qs, F.col("_q_class")) - 1, at(F.greatest(qe - 1, qs), F.col("_q_class")))))
+    on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand")) & (F.col("_class") == F.col("_q_class")) & (F.col("_bin") == F.col("_q_bin")) & (s < qe) & (qs < e)
+    if "refg" in elements.columns and "q_refg" in queries.columns:
+        on = on & (F.col("refg") == F.col("q_refg"))
+    return one.join(q, on, "left_semi" if keep else "left_anti").drop("_class", "_bin")
 
 
 def allow_exclude(elements: DataFrame, allow: DataFrame | None, exclude: DataFrame | None, width: int = WIDTH) -> DataFrame:
