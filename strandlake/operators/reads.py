@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dna import CHUNK, extract
+from .rangejoin import find_overlapping
+
 SECONDARY, UNMAPPED, DUPLICATE, REVERSE = 0x900, 0x4, 0x400, 0x10
 OPERATIONS = "MIDNS"
 
@@ -42,13 +45,17 @@ def consumed(ops: Column, kinds: str) -> Column:
     return F.aggregate(F.filter(ops, lambda o: o["op"].isin(*kinds)), F.lit(0).cast("long"), lambda a, o: a + o["n"])
 
 
-def junctions(reads: DataFrame, cigar: str = "cigar", pos: str = "pos") -> DataFrame:
-    """A row for every gap: the read's columns, start_pos, end_pos and the matched bases to the left and right of it in the whole read."""
+def junctions(reads: DataFrame, cigar: str = "cigar", pos: str = "pos", before: str | None = None) -> DataFrame:
+    """A row for every gap: the read's columns, start_pos, end_pos and the matched bases to the left and right of it in the whole read.
+
+    `before` names a column for the number of gaps before it, which is that of the match that ends there.
+    """
+    name = before
     ops = reads.withColumn("_ops", operations(F.col(cigar)))
     gap = ops.select("*", F.posexplode("_ops").alias("_i", "_op")).where("_op.op = 'N'")
     before, after = F.slice("_ops", F.lit(1), F.col("_i")), F.slice("_ops", F.col("_i") + 2, F.size("_ops"))
     start = F.col(pos) + consumed(before, "MDN")
-    return gap.withColumns({"start_pos": start, "end_pos": start + F.col("_op.n"), "left": consumed(before, "M"), "right": consumed(after, "M")}).drop("_ops", "_i", "_op")
+    return gap.withColumns({"start_pos": start, "end_pos": start + F.col("_op.n"), "left": consumed(before, "M"), "right": consumed(after, "M"), **({name: F.size(F.filter(before, lambda o: o["op"] == "N")).cast("long")} if name else {})}).drop("_ops", "_i", "_op")
 
 
 def segments(reads: DataFrame, cigar: str = "cigar", pos: str = "pos") -> DataFrame:
@@ -105,3 +112,46 @@ def pileup(bases: DataFrame, variants: DataFrame | None = None) -> DataFrame:
         plus = plus.unionByName(ref).unionByName(alt)
     count = lambda b: F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).cast("long").alias(b)
     return plus.groupBy("chrom", "pos").agg(*(count(b) for b in ("A", "C", "G", "T", "DEL")))
+
+
+def with_whole_sequence(reads: DataFrame) -> DataFrame:
+    """reads(cigar, seq): a sequence is as long as the operations that take bases of the read, or "*"; else an error."""
+    fine = F.col("cigar").isNull() | (F.col("seq") == "*") | (F.length("seq") == consumed(operations(F.col("cigar")), "MIS"))
+    wrong = F.raise_error(F.concat(F.lit("a sequence of another length than its CIGAR: "), F.col("cigar"))).cast("string")
+    return reads.withColumn("seq", F.when(fine, F.col("seq")).otherwise(wrong))
+
+
+def read_variants(reads: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = CHUNK) -> DataFrame:
+    """What reads(read_id, chrom, pos, cigar, seq) have in place of the reference: read_id, chrom, start_pos, ref, alt.
+
+    A substitution is a base under M that differs; an insertion has an empty ref, a deletion an
+    empty alt. Reads without a sequence ("*"), or with "=" in it, have none. Every operation
+    fetches its reference bases as one window, so no row is a single base until bases differ.
+    chunks and sizes are those of dna.extract().
+    """
+    ops = with_whole_sequence(reads).where("seq <> '*' AND NOT contains(seq, '=')").withColumn("_ops", operations(F.col("cigar")))
+    each = ops.select("read_id", "chrom", "pos", "seq", "_ops", F.posexplode("_ops").alias("_i", "_op"))
+    before = F.slice("_ops", F.lit(1), F.col("_i"))
+    each = each.withColumns({"start_pos": F.col("pos") + consumed(before, "MDN"), "_at": consumed(before, "MIS")}).where("_op.op IN ('M', 'I', 'D')")
+    op, n = F.col("_op.op"), F.col("_op.n")
+    alt = F.when(op == "D", "").otherwise(F.upper(F.col("seq").substr((F.col("_at") + 1).cast("int"), n.cast("int"))))
+    windows = each.select("read_id", F.col("_i").alias("op_idx"), op.alias("op"), alt.alias("alt"), "chrom", F.lit("+").alias("strand"), "start_pos", (F.col("start_pos") + F.when(op == "I", 0).otherwise(n)).alias("end_pos"))
+    got = extract(windows, chunks, sizes, size).withColumn("ref", F.upper("dna"))
+    differs = F.filter(F.sequence(F.lit(1), F.greatest(F.length("alt"), F.lit(1))), lambda i: F.col("ref").substr(i, F.lit(1)) != F.col("alt").substr(i, F.lit(1)))
+    out = got.withColumn("_k", F.explode(F.when(F.col("op") == "M", differs).otherwise(F.array(F.lit(1)))))
+    base = lambda c: F.when(F.col("op") == "M", F.col(c).substr(F.col("_k"), F.lit(1))).otherwise(F.col(c)).alias(c)
+    return out.select("read_id", "chrom", (F.col("start_pos") + F.col("_k") - 1).alias("start_pos"), base("ref"), base("alt"))
+
+
+def inferred_strand(gaps: DataFrame, introns: DataFrame, strict: bool = False) -> DataFrame:
+    """gaps(chrom, start_pos, end_pos, ...) with `inferred`: the one strand on which introns(chrom, strand, start_pos, end_pos) overlap it.
+
+    Null where introns of no strand or of both do, or an error if `strict`.
+    """
+    both = gaps.select(F.col("chrom").alias("q_chrom"), F.col("start_pos").alias("q_start"), F.col("end_pos").alias("q_end")).distinct()
+    both = both.withColumn("q_strand", F.explode(F.array(F.lit("+"), F.lit("-"))))
+    hits = find_overlapping(introns.select("chrom", "strand", "start_pos", "end_pos"), both)
+    seen = hits.groupBy(F.col("q_chrom").alias("chrom"), F.col("q_start").alias("start_pos"), F.col("q_end").alias("end_pos")).agg(F.bool_or(F.col("strand") == "+").alias("_p"), F.bool_or(F.col("strand") == "-").alias("_m"))
+    none = F.raise_error(F.lit("a gap with introns of no strand or of both")).cast("string") if strict else F.lit(None).cast("string")
+    strand = F.when(F.col("_p") & ~F.col("_m"), "+").when(F.col("_m") & ~F.col("_p"), "-").otherwise(none)
+    return gaps.join(seen, ["chrom", "start_pos", "end_pos"], "left").withColumn("inferred", strand).drop("_p", "_m")

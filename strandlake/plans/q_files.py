@@ -57,10 +57,10 @@ def gzip_lines(spark, d):
     return _parsed(spark.read.text(text_file(spark, _event_lines(spark, d), "gzip")))
 
 
-@query("s06_ncbi_gff3", f"WITH {EXON} SELECT 'T' || tran_idx AS tran_id, CAST(tran_idx AS VARCHAR) AS gene_id, start_pos, row_number() OVER ({UPW}) - 1 AS index FROM exon WHERE tran_idx % 20 = 3")
+@query("s06_ncbi_gff3", f"WITH {EXON} SELECT 'T' || tran_idx AS tran_id, CAST(tran_idx AS VARCHAR) AS gene_id, start_pos, row_number() OVER ({UPW}) - 1 AS index FROM exon")
 def ncbi_gff3(spark, d):
     """mRNA rows with a GeneID in Dbxref; parents may come after their children."""
-    e = exons(spark, d).where("tran_idx % 20 = 3")
+    e = exons(spark, d)
     t = e.groupBy("tran_idx", "chrom", "strand").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
     tid = F.col("tran_idx").cast("string")
     line = lambda kind, attrs: F.concat_ws("\t", "chrom", F.lit("BestRefSeq"), F.lit(kind), (F.col("start_pos") + 1).cast("string"), F.col("end_pos").cast("string"), F.lit("."), "strand", F.lit("."), attrs).alias("value")
@@ -147,6 +147,100 @@ def sam_path(spark, d):
     return text_file(spark, head.unionByName(relation(spark, d, "reads").select(row.alias("value"))))
 
 
+# Reads with sequences: the left part, a gap, the right part and, in some, an insertion, a deletion and a base more.
+# The reference is ACGT again and again; every 17th and 13th base differs, as far as it isn't the reference's.
+_REF = "['A', 'C', 'G', 'T'][CAST(p % 4 + 1 AS BIGINT)]"
+_SEEN = f"""{cte('reads')}, n AS (SELECT row_number() OVER () AS id, * FROM reads WHERE (flag & 3332) = 0),
+l AS (SELECT id, chrom, 0 AS match, pos + unnest(range(0, left_len)) AS p, left_len AS k FROM n), lv AS (SELECT id, chrom, match, p, {_REF} AS ref, 'N' AS alt FROM l WHERE (p + k) % 17 = 0),
+r AS (SELECT id, chrom, 1 AS match, pos + left_len + skip + unnest(range(0, right_len)) AS p, right_len AS k FROM n), rv AS (SELECT id, chrom, match, p, {_REF} AS ref, 'T' AS alt FROM r WHERE (p + k) % 13 = 0 AND p % 4 <> 3),
+e AS (SELECT id, chrom, 1 AS match, pos + left_len + skip + right_len AS p FROM n WHERE right_len % 2 = 0), dv AS (SELECT id, chrom, match, p, {_REF} || {_REF.replace('p % 4', '(p + 1) % 4')} AS ref, '' AS alt FROM e), iv AS (SELECT id, chrom, match, p, '' AS ref, 'GGT' AS alt FROM e),
+v AS (SELECT * FROM lv UNION ALL SELECT * FROM rv UNION ALL SELECT * FROM dv UNION ALL SELECT * FROM iv)"""
+
+
+def sequenced(spark, d) -> dict:
+    """The four tables of a SAM file with sequences, and what they are made from."""
+    from strandlake.operators import dna
+
+    n = lambda c: F.col(c).cast("string")
+    r = relation(spark, d, "reads").withColumn("e", F.col("pos") + F.col("left_len") + F.col("skip") + F.col("right_len"))
+    letter = lambda p: F.element_at(F.array(*(F.lit(b) for b in "ACGT")), (p % 4 + 1).cast("int"))
+    part = lambda at, k, every, alt: F.array_join(F.transform(F.sequence(at, at + F.col(k) - 1), lambda p: F.when((p + F.col(k)) % every == 0, alt).otherwise(letter(p))), "")
+    more = F.col("right_len") % 2 == 0
+    cigar = F.concat(n("left_len"), F.lit("M"), n("skip"), F.lit("N"), n("right_len"), F.lit("M"), F.when(more, "3I2D1M").otherwise(""))
+    seq = F.concat(part(F.col("pos"), "left_len", 17, "N"), part(F.col("e") - F.col("right_len"), "right_len", 13, "T"), F.when(more, F.concat(F.lit("GGT"), letter(F.col("e") + 2))).otherwise(""))
+    row = F.concat_ws("\t", F.lit("r"), n("flag"), "chrom", (F.col("pos") + 1).cast("string"), F.lit("255"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), seq, F.lit("*"))
+    reads = sam.read(spark, text_file(spark, r.select(row.alias("value")))).withColumn("read_id", F.monotonically_increasing_id())
+    path = store.scratch(spark)
+    reads.write.parquet(path)  # numbers stay what they are
+    chroms = spark.createDataFrame([(f"chr{i}", "ACGT" * 600) for i in range(1, 6)], "chrom string, seq string")
+    sizes = chroms.select("chrom", F.length("seq").cast("long").alias("size"))
+    return sam.tables(spark.read.parquet(path), dna.chunked(chroms, 256), sizes, size=256)
+
+
+@query("s10_sam", f"""{_SEEN}, t AS (SELECT 'alignments' AS kind, chrom FROM n UNION ALL SELECT 'matches', chrom FROM n UNION ALL SELECT 'matches', chrom FROM n UNION ALL SELECT 'junctions', chrom FROM n UNION ALL SELECT 'variants', chrom FROM v)
+SELECT kind, chrom, count(*) AS n FROM t GROUP BY 1, 2""")
+def sam_tables(spark, d):
+    """Alignments, matches, junctions and variants of reads."""
+    t = [t.select(F.lit(k).alias("kind"), "chrom") for k, t in sequenced(spark, d).items()]
+    return t[0].unionByName(t[1]).unionByName(t[2]).unionByName(t[3]).groupBy("kind", "chrom").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r07_substitutions", f"{_SEEN} SELECT chrom, p AS pos, ref, alt, count(*) AS n FROM v GROUP BY 1, 2, 3, 4")
+def substitutions(spark, d):
+    """Substitutions, insertions and deletions of reads, against the reference."""
+    return sequenced(spark, d)["variants"].groupBy("chrom", F.col("start_pos").alias("pos"), "ref", "alt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j23_links", f"{_SEEN}, a AS (SELECT id, match, count(*) AS n_variants FROM v GROUP BY 1, 2) SELECT n.chrom, CAST(match AS BIGINT) AS match, n_variants, count(*) AS n FROM a JOIN n USING (id) GROUP BY 1, 2, 3")
+def links(spark, d):
+    """From alignments over their matches to variants: how many variants a match has."""
+    t = sequenced(spark, d)
+    linked = t["alignments"].select("read_id", "chrom").join(t["matches"].select("read_id", "match"), "read_id").join(t["variants"].select("read_id", "match", "alt"), ["read_id", "match"])
+    return linked.groupBy("read_id", "chrom", "match").agg(F.count(F.lit(1)).alias("n_variants")).groupBy("chrom", "match", "n_variants").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r08_read_length", f"{cte('reads')} SELECT count(*) AS n FROM reads WHERE left_len % 3 <> 0")
+def read_length(spark, d):
+    """Sequences of another length than their CIGAR asks for are an error; here such are left out before."""
+    r = relation(spark, d, "reads").select(F.concat(F.col("left_len").cast("string"), F.lit("M")).alias("cigar"), F.when(F.col("left_len") % 3 == 0, "A").otherwise(F.repeat(F.lit("A"), F.col("left_len").cast("int"))).alias("seq"), "left_len")
+    fine = rd.with_whole_sequence(r.where("left_len % 3 <> 0"))
+    return fine.where("length(seq) = left_len").agg(F.count(F.lit(1)).alias("n"))
+
+
+def alleles_path(spark, d):
+    """A VCF with two alleles in every second row."""
+    n = lambda c: F.col(c).cast("string")
+    two = F.col("l_linenumber") % 2 == 0
+    info = F.concat(F.lit("DP=3;AF="), n("l_partkey"), F.when(two, F.concat(F.lit(","), n("l_suppkey"))).otherwise(""), F.lit(";DB"))
+    gt = F.when(two, F.when(F.col("l_partkey") % 3 == 0, "1|2").otherwise("1/2")).otherwise("0/1")
+    ad = F.concat_ws(",", n("l_linenumber"), n("l_partkey"), F.when(two, n("l_suppkey")))
+    sample = F.concat_ws(":", gt, ad)
+    row = F.concat_ws("\t", F.lit("chr1"), n("l_partkey"), F.concat(F.lit("rs"), n("l_orderkey")), F.lit("G"), F.when(two, "A,C").otherwise("T"), F.lit("."), F.lit("."), info, F.lit("GT:AD"), sample, F.lit("./.:."))
+    return text_file(spark, spark.createDataFrame([(x,) for x in _HEAD], "value string").unionByName(table(spark, d, "lineitem").select(row.alias("value"))))
+
+
+@query("c16_split_alleles", """WITH a AS (SELECT 'rs' || l_orderkey AS id, l_linenumber % 2 = 0 AS two, * FROM lineitem), b AS (
+SELECT id, CASE WHEN two THEN 'A' ELSE 'T' END AS alt, l_partkey AS af, CASE WHEN two AND l_partkey % 3 = 0 THEN 5 ELSE 1 END AS gt, l_linenumber AS rd, l_partkey AS ad FROM a
+UNION ALL SELECT id, 'C', l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN 4 ELSE 1 END, l_linenumber, l_suppkey FROM a WHERE two)
+SELECT id, alt, CAST(af AS FLOAT) AS af, CAST(gt AS TINYINT) AS gt, CAST(rd AS INTEGER) AS ref_depth, CAST(ad AS INTEGER) AS alt_depth FROM b""")
+def split_alleles(spark, d):
+    """A row an ALT; values that go with the alleles follow theirs."""
+    t = vcf.read(spark, alleles_path(spark, d), ["AF"], ["GT", "AD"], split=True)
+    s = F.col("samples")[0]
+    return t.select("id", "alt", F.col("AF").alias("af"), s["GT"].alias("gt"), s["AD"][0].alias("ref_depth"), s["AD"][1].alias("alt_depth"))
+
+
+@query("c09_breakends", """SELECT 'rs' || l_orderkey AS id, l_partkey - CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS start_pos, l_partkey - CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END AS end_pos, '' AS ref,
+CASE WHEN l_linenumber % 2 = 0 THEN '[chrUn_k:' || l_suppkey || '[' ELSE ']chrUn_k:' || l_suppkey || ']' END AS alt FROM lineitem""")
+def breakends(spark, d):
+    """Joined after, a breakend loses the base that it begins with; joined before, the one that it ends with. The mate's name stays as it is."""
+    n = lambda c: F.col(c).cast("string")
+    alt = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("A[chrUn_k:"), n("l_suppkey"), F.lit("["))).otherwise(F.concat(F.lit("]chrUn_k:"), n("l_suppkey"), F.lit("]a")))
+    row = F.concat_ws("\t", F.lit("chr1"), n("l_partkey"), F.concat(F.lit("rs"), n("l_orderkey")), F.lit("A"), alt, F.lit("."), F.lit("."), F.lit("DB"))
+    path = text_file(spark, spark.createDataFrame([(x,) for x in _HEAD], "value string").unionByName(table(spark, d, "lineitem").select(row.alias("value"))))
+    return vcf.read(spark, path).select("id", "start_pos", "end_pos", "ref", "alt")
+
+
 _GAPS = f"{cte('reads')} SELECT chrom, pos + left_len AS start_pos, pos + left_len + skip AS end_pos"
 
 
@@ -334,21 +428,22 @@ def dictionary_check(spark, d):
 # -- variant genomes -------------------------------------------------------------------------
 
 
-@query("v13_alignment", f"""{_LONG.replace('SELECT doc_id AS q_id, ', '')} , b AS (SELECT doc_id AS q_id, unnest(range(40, doc_id % 30 + 50)) AS p FROM s WHERE doc_id % 2 = 0),
-k AS (SELECT q_id, p - 40 AS ref_pos, -1 AS ins FROM b WHERE p < 48 OR p >= 51 UNION ALL SELECT doc_id, 6, 0 FROM s WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 6, 1 FROM s WHERE doc_id % 2 = 0)
+@query("v13_alignment", f"""{_LONG.replace('SELECT doc_id AS q_id, ', '')} , b AS (SELECT doc_id AS q_id, unnest(range(40, doc_id % 30 + 50)) AS p FROM s),
+k AS (SELECT q_id, p - 40 AS ref_pos, -1 AS ins FROM b WHERE p < 48 OR p >= 51 UNION ALL SELECT doc_id, 6, 0 FROM s UNION ALL SELECT doc_id, 6, 1 FROM s)
 SELECT q_id, CAST(ref_pos AS BIGINT) AS ref_pos, CAST(ins AS BIGINT) AS ins FROM k""")
 def alignment(spark, d):
+    """In reference order, whatever the window's strand."""
     w, v, c = q_sequence._variant_windows(spark, d, F.lit(None))
-    return va.variant_alignment(w.where("q_id % 2 = 0"), v, c, 3).select("q_id", "ref_pos", "ins")
+    return va.variant_alignment(w, v, c, 3).select("q_id", "ref_pos", "ins")
 
 
 QUERIES["v15_variant_genome"], ORACLE["v15_variant_genome"] = q_sequence.QUERIES["v10_left_anchor"], q_sequence.ORACLE["v10_left_anchor"]
 _MUT = "substr(seq, 41, 3) || 'N' || substr(seq, 45, 2) || 'GG' || substr(seq, 47, 2) || CASE WHEN doc_id % 30 + 50 > 51 THEN substr(seq, 52, CAST(doc_id % 30 + 50 - 51 AS BIGINT)) ELSE '' END"
 
 
-@query("m02_variant_motif", f"""{_LONG.replace('SELECT doc_id AS q_id, ', '')} , m AS (SELECT doc_id AS q_id, {_MUT} AS t FROM s WHERE doc_id % 2 = 0), h AS (SELECT q_id, unnest(range(1, length(t))) AS i, t FROM m), f AS (SELECT q_id, i - 1 AS p FROM h WHERE substr(t, i, 2) = 'GA')
+@query("m02_variant_motif", f"""{_LONG.replace('SELECT doc_id AS q_id, ', '')} , m AS (SELECT doc_id AS q_id, doc_id % 2 AS minus, {_MUT} AS t FROM s), h AS (SELECT q_id, minus, unnest(range(1, length(t))) AS i, t FROM m), f AS (SELECT q_id, i - 1 + 2 * minus AS p FROM h WHERE substr(t, i, 2) = CASE WHEN minus = 1 THEN 'TC' ELSE 'GA' END)
 SELECT q_id, CAST(40 + CASE WHEN p < 6 THEN p WHEN p < 8 THEN 6 WHEN p < 10 THEN p - 2 ELSE p + 1 END AS BIGINT) AS hit, CAST(CASE WHEN p = 7 THEN 1 ELSE 0 END AS BIGINT) AS anchor_offset FROM f""")
 def variant_motif(spark, d):
-    """Hits in changed sequences, in reference coordinates."""
+    """Hits in changed sequences of both strands, in reference coordinates."""
     w, v, c = q_sequence._variant_windows(spark, d, F.lit(None))
-    return va.variant_motif(w.where("q_id % 2 = 0"), v, c, 3, "GA", overlapping=True)
+    return va.variant_motif(w, v, c, 3, "GA", overlapping=True)

@@ -128,15 +128,15 @@ def allow_exclude(spark, d):
     return rj.allow_exclude(relation(spark, d, "iv"), q.where("q_id % 3 = 0"), q.where("q_id % 50 = 1"))
 
 
-@query("j17_strand_inference", f"""{cte("reads", "iv")}, r AS (SELECT chrom, pos + left_len AS js, pos + left_len + skip AS je, left_len, right_len FROM reads),
-p AS (SELECT DISTINCT chrom, start_pos // 64 AS b FROM iv WHERE strand = '+'), m AS (SELECT DISTINCT chrom, start_pos // 64 AS b FROM iv WHERE strand = '-')
-SELECT r.chrom, js, je, CASE WHEN p.b IS NOT NULL AND m.b IS NULL THEN '+' WHEN m.b IS NOT NULL AND p.b IS NULL THEN '-' END AS inferred FROM r LEFT JOIN p ON p.chrom = r.chrom AND p.b = js // 64 LEFT JOIN m ON m.chrom = r.chrom AND m.b = js // 64""")
+@query("j17_strand_inference", f"""{cte("reads", "iv")}, r AS (SELECT chrom, pos + left_len AS js, pos + left_len + skip AS je FROM reads), u AS (SELECT DISTINCT chrom, js, je FROM r),
+s AS (SELECT u.chrom, js, je, bool_or(strand = '+') AS p, bool_or(strand = '-') AS m FROM u JOIN iv ON iv.chrom = u.chrom AND start_pos < je AND js < end_pos GROUP BY 1, 2, 3)
+SELECT r.chrom, r.js, r.je, CASE WHEN p AND NOT m THEN '+' WHEN m AND NOT p THEN '-' END AS inferred FROM r LEFT JOIN s ON s.chrom = r.chrom AND s.js = r.js AND s.je = r.je""")
 def strand_inference(spark, d):
     """The strand whose introns a gap meets; null where none or both do."""
-    reads = relation(spark, d, "reads").select("chrom", (F.col("pos") + F.col("left_len")).alias("js"), (F.col("pos") + F.col("left_len") + F.col("skip")).alias("je"))
-    sites = relation(spark, d, "iv").groupBy("chrom", F.floor(F.col("start_pos") / 64).alias("b")).agg(F.bool_or(F.col("strand") == "+").alias("p"), F.bool_or(F.col("strand") == "-").alias("m"))
-    both = reads.withColumn("b", F.floor(F.col("js") / 64)).join(sites, ["chrom", "b"], "left")
-    return both.select("chrom", "js", "je", F.when(F.col("p") & ~F.col("m"), "+").when(F.col("m") & ~F.col("p"), "-").alias("inferred"))
+    from strandlake.operators import reads as rd
+
+    gaps = relation(spark, d, "reads").select("chrom", (F.col("pos") + F.col("left_len")).alias("start_pos"), (F.col("pos") + F.col("left_len") + F.col("skip")).alias("end_pos"))
+    return rd.inferred_strand(gaps, relation(spark, d, "iv")).select("chrom", F.col("start_pos").alias("js"), F.col("end_pos").alias("je"), "inferred")
 
 
 @query("j18_sequence_variations", f"""{cte("iv", "q")}, v AS (SELECT chrom, start_pos, start_pos + quantity % 4 AS end_pos, part FROM iv), w AS (SELECT q_id, q_chrom, q_start, q_end FROM q)
@@ -173,13 +173,6 @@ def chrom_alias(spark, d):
     return canonical(named, alias).select("s_suppkey", "canonical")
 
 
-@query("j23_links", "SELECT l_orderkey AS align_idx, l_partkey AS match_idx, p_brand AS variant FROM lineitem JOIN part ON l_partkey = p_partkey")
-def links(spark, d):
-    """Alignments to matches to variants over link tables."""
-    link = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("align_idx"), F.col("l_partkey").alias("match_idx"))
-    return link.join(table(spark, d, "part").select(F.col("p_partkey").alias("match_idx"), F.col("p_brand").alias("variant")), "match_idx").select("align_idx", "match_idx", "variant")
-
-
 @query("j24_read_variants", "SELECT l_orderkey AS read_idx, unnest([l_partkey, l_suppkey]) AS variant_idx FROM lineitem")
 def read_variants(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("read_idx"), F.explode(F.array("l_partkey", "l_suppkey")).alias("variant_idx"))
@@ -256,12 +249,14 @@ def restriction(spark, d):
     return b.select("chrom", F.greatest("start_pos", F.lit(1000).cast("long")).alias("start_pos"), F.least("end_pos", F.lit(5003).cast("long")).alias("end_pos"))
 
 
-@query("f10_row_validation", "SELECT l_orderkey AS id, CASE WHEN l_quantity < 1 THEN 'bad REF' WHEN l_linenumber = 7 THEN 'multi-allelic' WHEN l_partkey % 5 = l_suppkey % 5 THEN 'not normalised' END AS fault FROM lineitem")
+@query("f10_row_validation", "SELECT l_orderkey AS id, [NULL, 'multi-allelic', 'not normalised', 'bad REF', 'bad ALT', NULL, NULL][CAST(l_linenumber % 7 + 1 AS BIGINT)] AS fault FROM lineitem")
 def row_validation(spark, d):
     """Faulty rows carry their fault; a strict reader raises on any."""
-    t = table(spark, d, "lineitem")
-    fault = F.when(F.col("l_quantity") < 1, "bad REF").when(F.col("l_linenumber") == 7, "multi-allelic").when(F.col("l_partkey") % 5 == F.col("l_suppkey") % 5, "not normalised")
-    return t.select(F.col("l_orderkey").alias("id"), fault.alias("fault"))
+    from strandlake.sources import vcf
+
+    row = lambda names: F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("l_linenumber") % 7 + 1).cast("int"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), row(("A", "A", "AC", "AX", "A", "AC", "g")).alias("REF"), row(("c", "C,G", "AT", "T", "#", "A", "G[chr2:7[")).alias("ALT"))
+    return vcf.faults(t).select("id", "fault")
 
 
 @query("f11_known_types", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view')")

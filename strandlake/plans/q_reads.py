@@ -72,12 +72,6 @@ def segments(spark, d):
     return rd.segments(r).select("chrom", "pos", "segment", "start_pos", "end_pos")
 
 
-@query("r08_read_length", f"{R} SELECT count(*) AS n FROM reads WHERE left_len + right_len > 60")
-def read_length(spark, d):
-    ops = rd.operations(F.col("cigar"))
-    return cigars(spark, d).withColumn("n", rd.consumed(ops, "M")).where("n > 60").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("r09_read_strand", f"{R} SELECT chrom, pos, flag, CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END AS read_strand FROM reads")
 def read_strand(spark, d):
     return relation(spark, d, "reads").select("chrom", "pos", "flag", rd.read_strand(F.col("flag")).alias("read_strand"))
@@ -137,15 +131,3 @@ def pileup(spark, d):
 
 QUERIES["j19_pileup_variants"], ORACLE["j19_pileup_variants"] = pileup, ORACLE["a05_pileup"]
 QUERIES["s12_distribution"], ORACLE["s12_distribution"] = distribution, ORACLE["a02_distribution"]
-QUERIES["r07_substitutions"] = lambda spark, d: substitutions(spark, d)
-ORACLE["r07_substitutions"] = f"""{R}, m AS (SELECT chrom, pos, left_len, unnest(range(0, left_len)) AS i FROM reads), b AS (SELECT chrom, pos + i AS "at", ['A','C','G','T'][(pos + i) % 4 + 1] AS ref, CASE WHEN (pos + i + left_len) % 17 = 0 THEN 'N' ELSE ['A','C','G','T'][(pos + i) % 4 + 1] END AS alt FROM m)
-SELECT chrom, "at" AS pos, ref, alt, count(*) AS n FROM b WHERE ref <> alt GROUP BY 1, 2, 3, 4"""
-
-
-def substitutions(spark, d):
-    """Read bases that differ from the reference, position by position."""
-    letters = F.array(*(F.lit(b) for b in "ACGT"))
-    at = relation(spark, d, "reads").where("left_len > 0").select("chrom", "left_len", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("left_len") - 1)).alias("pos"))
-    ref = F.element_at(letters, (F.col("pos") % 4 + 1).cast("int"))
-    b = at.withColumn("ref", ref).withColumn("alt", F.when((F.col("pos") + F.col("left_len")) % 17 == 0, "N").otherwise(F.col("ref")))
-    return b.where("ref <> alt").groupBy("chrom", "pos", "ref", "alt").agg(F.count(F.lit(1)).alias("n"))

@@ -221,14 +221,6 @@ def signed(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") - 4).cast("tinyint").alias("v"))
 
 
-@query("c16_split_alleles", "SELECT l_orderkey AS id, unnest([1, 2, 3]) AS allele, unnest(['A', 'C', 'G']) AS alt, unnest([l_partkey, l_suppkey, l_linenumber]) AS af FROM lineitem")
-def split_alleles(spark, d):
-    """A row an ALT; values that go with the alleles follow theirs."""
-    zipped = F.arrays_zip(F.split(F.lit("A,C,G"), ",").alias("alt"), F.array("l_partkey", "l_suppkey", F.col("l_linenumber").cast("long")).alias("af"))
-    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.posexplode(zipped).alias("allele", "z"))
-    return t.select("id", (F.col("allele") + 1).alias("allele"), "z.alt", "z.af")
-
-
 @query("c17_sample_reduction", "SELECT l_orderkey AS id FROM lineitem WHERE l_partkey + l_linenumber >= 150 OR l_suppkey + l_linenumber >= 150")
 def sample_reduction(spark, d):
     """Rows of which some sample has enough depth over its alleles."""
@@ -356,7 +348,7 @@ def attributes(spark, d):
 
 
 def _gff(spark, d):
-    e = exons(spark, d).where("tran_idx % 20 = 0")
+    e = exons(spark, d)
     t = e.groupBy("tran_idx", "chrom", "strand").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
     line = lambda kind, attrs: F.concat_ws("\t", "chrom", F.lit("havana"), F.lit(kind), (F.col("start_pos") + 1).cast("string"), F.col("end_pos").cast("string"), F.lit("."), "strand", F.lit("."), attrs)
     tid = F.col("tran_idx").cast("string")
@@ -365,7 +357,7 @@ def _gff(spark, d):
     return rows.unionByName(e.select(line("exon", F.concat(F.lit("ID=e"), tid, F.lit(";Parent=transcript:T"), tid)).alias("value")))
 
 
-@query("s05_gff3", f"WITH {EXON} SELECT 'T' || tran_idx AS tran_id, 'G' || tran_idx AS gene_id, chrom, strand, start_pos, end_pos, row_number() OVER ({UPW}) - 1 AS index FROM exon WHERE tran_idx % 20 = 0")
+@query("s05_gff3", f"WITH {EXON} SELECT 'T' || tran_idx AS tran_id, 'G' || tran_idx AS gene_id, chrom, strand, start_pos, end_pos, row_number() OVER ({UPW}) - 1 AS index FROM exon")
 def gff3(spark, d):
     """Exons with their transcripts and genes, from GFF3 lines in any order."""
     from strandlake.sources.gff import tables
@@ -376,17 +368,17 @@ def gff3(spark, d):
     return t["exons"].join(tran, "tran_idx").join(gene, "gene_idx").select("tran_id", "gene_id", "chrom", "strand", "start_pos", "end_pos", "index")
 
 
-@query("s07_ucsc", f"WITH {EXON} SELECT 'NM_' || tran_idx AS name, chrom, strand, start_pos, end_pos FROM exon WHERE tran_idx % 20 = 1")
+@query("s07_ucsc", f"WITH {EXON} SELECT 'NM_' || tran_idx AS name, chrom, strand, start_pos, end_pos FROM exon")
 def ucsc(spark, d):
     """Exons from lines with lists of starts and ends."""
     from strandlake.sources.ucsc import exon_rows
 
-    e = exons(spark, d).where("tran_idx % 20 = 1").groupBy("tran_idx", "chrom", "strand").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("x"))
+    e = exons(spark, d).groupBy("tran_idx", "chrom", "strand").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))).alias("x"))
     many = lambda c: F.concat(F.array_join(F.transform("x", lambda y: y[c].cast("string")), ","), F.lit(","))
     return exon_rows(e.select(F.concat(F.lit("NM_"), F.col("tran_idx").cast("string")).alias("name"), "chrom", "strand", many("start_pos").alias("exonStarts"), many("end_pos").alias("exonEnds"))).select("name", "chrom", "strand", "start_pos", "end_pos")
 
 
-@query("s10_sam", f"{cte('reads')} SELECT chrom, pos, flag, left_len + right_len AS matched FROM reads WHERE (flag & 2304) = 0 AND (flag & 4) = 0 AND (flag & 1024) = 0")
+@query("f04_sam_lines", f"{cte('reads')} SELECT chrom, pos, flag, left_len + right_len AS matched FROM reads WHERE (flag & 2304) = 0 AND (flag & 4) = 0 AND (flag & 1024) = 0")
 def sam(spark, d):
     from strandlake.operators import reads as rd
     from strandlake.sources.sam import alignments

@@ -44,29 +44,92 @@ def _typed(text: Column, number: str, kind: str, default) -> Column:
     return F.when(text.isNull() | (text == "."), empty).when(F.size(many) == n, many).otherwise(wrong)
 
 
-def read(spark: SparkSession, path: str, info: dict | list = (), fmt: dict | list = (), ancestral: str = "error", validate: bool = True) -> DataFrame:
+def split_alleles(rows: DataFrame, info_fields: dict, fmt_fields: dict) -> DataFrame:
+    """A row an ALT of rows(ALT, INFO, FORMAT, _samples): values of Number A, R and G follow their allele, and other alleles of a GT become 0."""
+    alts = F.split("ALT", ",")
+    # the list of alleles is exploded as it is: an array column would be evaluated again for a filter
+    rows = rows.select("*", F.posexplode(alts).alias("_k", "_alt")).withColumn("ALT", F.col("_alt"))
+    k = F.col("_k") + 1
+    pair = (k * (k + 1) / 2).cast("int")  # the place of genotype 0/k among all
+
+    def picked(value: Column, places: list) -> Column:
+        v = F.split(value, ",")
+        return F.when(value == ".", value).otherwise(F.concat_ws(",", *(F.coalesce(F.get(v, p), F.lit(".")) for p in places)))
+
+    by_number = {"A": [k - 1], "R": [F.lit(0), k], "G": [F.lit(0), pair, pair + k]}
+
+    def follows(name: Column, value: Column, fields: dict) -> Column:
+        out = value
+        for number, places in by_number.items():
+            names = [n for n, (m, _) in fields.items() if m == number]
+            if names:
+                out = F.when(name.isin(*names), picked(value, places)).otherwise(out)
+        return out
+
+    def entry(e: Column) -> Column:
+        name = F.substring_index(e, "=", 1)
+        value = e.substr(F.length(name) + 2, F.length(e))
+        return F.when(e.contains("="), F.concat(name, F.lit("="), follows(name, value, info_fields))).otherwise(e)
+
+    def genotype_of(gt: Column) -> Column:
+        tokens = F.regexp_extract_all(gt, F.lit("[0-9]+|[./|]"), F.lit(0))
+        return F.array_join(F.transform(tokens, lambda t: F.when(t == k.cast("string"), "1").when(t.rlike("^[0-9]+$"), "0").otherwise(t)), "")
+
+    keys = F.split("FORMAT", ":")
+
+    def sample(s: Column) -> Column:
+        part = lambda v, i: F.when(F.get(keys, i) == "GT", genotype_of(v)).otherwise(follows(F.get(keys, i), v, fmt_fields))
+        return F.array_join(F.transform(F.split(s, ":"), part), ":")
+
+    several = F.col("ALT_").contains(",")
+    rows = rows.withColumns({
+        "INFO": F.when(several, F.array_join(F.transform(F.split("INFO", ";"), entry), ";")).otherwise(F.col("INFO")),
+        "_samples": F.when(several, F.transform("_samples", sample)).otherwise(F.col("_samples")),
+    })
+    return rows.drop("_k", "_alt")
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """rows(REF, ALT, ...) with `fault`: what a strict reader would refuse a row for, else null."""
+    ref, alt = F.upper("REF"), F.upper("ALT")
+    known = alt.rlike("^[ACGTN]+$|^<[^<>]+>$|^[.*]$") | alt.rlike(r"[\[\]]")
+    fault = (
+        F.when(F.col("ALT").contains(","), "multi-allelic").when(~ref.rlike("^[ACGTN]+$"), "bad REF").when(~known, "bad ALT")
+        .when((F.length(ref) > 1) & (F.length(alt) > 1) & alt.rlike("^[ACGTN]+$") & (ref.substr(1, 1) == alt.substr(1, 1)), "not normalised")
+    )
+    return rows.withColumn("fault", fault)
+
+
+def read(spark: SparkSession, path: str, info: dict | list = (), fmt: dict | list = (), ancestral: str = "error", validate: bool = True, split: bool = False) -> DataFrame:
     """chrom, start_pos, end_pos, ref, alt, id, the INFO fields asked for, and `samples`: an array of structs of FORMAT fields.
 
     info and fmt name fields, with a default for each if they are dicts. GT is a genotype code
-    and SVTYPE a structural one. Multi-allelic rows are an error unless split_alleles() ran first.
+    and SVTYPE a structural one. Multi-allelic rows are an error, or become a row an
+    allele with `split`. A breakend keeps its mate's name as it is; joined before, it loses the end that it shares with REF.
     """
     info_fields, fmt_fields, names = header(spark, path)
     rows = spark.read.text(path).where("value NOT LIKE '#%' AND value <> ''")
     p = F.split("value", "\t")
     rows = rows.select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("long").alias("pos"), F.get(p, F.lit(2)).alias("id"), F.upper(F.get(p, F.lit(3))).alias("REF"), F.get(p, F.lit(4)).alias("ALT"), F.get(p, F.lit(7)).alias("INFO"), F.get(p, F.lit(8)).alias("FORMAT"), F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("_samples"))
     rows = ancestral_policy(rows, "ALT", ancestral)
+    if split:
+        rows = split_alleles(rows.withColumn("ALT_", F.col("ALT")), info_fields, fmt_fields)
     if validate:
         rows = rows.withColumn("ALT", F.when(F.col("ALT").contains(","), F.raise_error(F.lit("a multi-allelic row")).cast("string")).otherwise(F.col("ALT")))
     value = lambda name: F.nullif(F.regexp_extract(F.col("INFO"), rf"(?:^|;){name}=([^;]*)", 1), F.lit(""))
-    rows = rows.withColumn("_pad", common_prefix(F.col("REF"), F.upper("ALT")))
+    breakend, ahead = F.col("ALT").rlike(r"[\[\]]"), F.col("ALT").rlike(r"^[\[\]]")
+    tail = F.upper(F.regexp_extract("ALT", r"[A-Za-z]*$", 0))
+    rows = rows.withColumn("_end", F.when(ahead, common_prefix(F.reverse("REF"), F.reverse(tail))).otherwise(0))
+    rows = rows.withColumn("_pad", F.when(ahead, 0).otherwise(common_prefix(F.col("REF"), F.upper("ALT"))))
     pad = F.col("_pad")
     sym = F.col("ALT").startswith("<")
     s = symbolic(F.col("pos"), F.col("REF"), value("END").cast("long"), value("SVLEN").cast("long"))
     start = F.when(sym, s["start_pos"]).otherwise(F.col("pos") - 1 + pad)
-    ref = F.when(sym, "").otherwise(F.col("REF").substr(pad + 1, F.length("REF")))
+    left = lambda c: F.col(c).substr(pad + 1, F.length(c) - pad - F.col("_end"))
+    ref = F.when(sym, "").otherwise(left("REF"))
     out = {
         "start_pos": start, "end_pos": F.when(sym, s["end_pos"]).otherwise(start + F.length(ref)), "ref": ref,
-        "alt": F.when(sym | (F.col("ALT") == "."), F.when(sym, F.col("ALT")).otherwise("")).otherwise(F.upper(F.col("ALT").substr(pad + 1, F.length("ALT")))),
+        "alt": F.when(sym | (F.col("ALT") == "."), F.when(sym, F.col("ALT")).otherwise("")).otherwise(F.when(breakend, left("ALT")).otherwise(F.upper(left("ALT")))),
     }
     default = lambda of, n: of.get(n) if isinstance(of, dict) else None
     chosen = []
