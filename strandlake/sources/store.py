@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ PROPERTY = "strandlake_format"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share, spark.checkpoint.dir; a local one only where it is unset."""
+    """A new path in the folder that the driver and all executors share, spark.checkpoint.dir. Where that is unset, one machine gets a folder of its own; a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
