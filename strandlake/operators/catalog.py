@@ -38,6 +38,18 @@ def ranked(transcripts: DataFrame, gene: str, label: str, tie: str) -> DataFrame
     return transcripts.withColumn("place", F.row_number().over(w).cast("long"))
 
 
+def register(annotations: DataFrame, root: str) -> None:
+    """Add annotations(annotation, assembly) to the catalog under root, a configuration each."""
+    lines = annotations.select("annotation", F.concat(F.lit("refg="), "assembly").alias("value"))
+    lines.write.partitionBy("annotation").mode("append").text(f"{root}/configs")
+
+
+def listing(spark, root: str) -> DataFrame:
+    """The annotations of the catalog by assembly: assembly, annotation. Configurations without an assembly aren't listed."""
+    lines = spark.read.schema("value string, annotation string").text(f"{root}/configs")
+    return lines.where(F.col("value").startswith("refg=")).select(F.substring("value", len("refg=") + 1, 1 << 30).alias("assembly"), "annotation").where("assembly <> ''").distinct()
+
+
 @dataclass
 class Genome:
     """DataFrames of one assembly, opened when they are first asked for."""

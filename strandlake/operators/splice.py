@@ -6,11 +6,21 @@ offsets are a running sum from 5' to 3'; lifting is a join on dis_id and arithme
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dna as sequences
 from .annotation import downstream, merge_touching
 
+REGIONS = ("exons", "cds", "utr5", "utr3")
+
+
+def from_transcripts(regions: dict[str, DataFrame], region: str = "exons") -> DataFrame:
+    """Sequences of a region of transcripts, dis_id being tran_idx; regions holds tables(tran_idx, chrom, strand, start_pos, end_pos)."""
+    if region not in REGIONS:
+        raise ValueError(f"unknown region: {region}")
+    return build(regions[region].select(F.col("tran_idx").alias("dis_id"), "chrom", "strand", "start_pos", "end_pos"))
+
 
 def build(intervals: DataFrame) -> DataFrame:
     """Touching parts merged and numbered from 5', with cum (offset of the part) and total. Overlaps are an error."""
@@ -67,3 +77,117 @@ def lift(parts: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def genomic_span(parts: DataFrame) -> DataFrame:
     return parts.groupBy("dis_id", "chrom", "strand").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+
+
+# -- segments: seg_id, dis_id, seg_start, seg_end and same (on the strand of the parts) ----------
+
+
+def properties(parts: DataFrame, segments: DataFrame) -> DataFrame:
+    """seg_id, coordinate_length, length, end5_index, end3_index and strand."""
+    rows = segments.join(parts.where("ord = 0").select("dis_id", F.col("total").alias("coordinate_length"), F.col("strand").alias("_strand")), "dis_id")
+    five, three = F.when(F.col("same"), F.col("seg_start")).otherwise(F.col("seg_end")), F.when(F.col("same"), F.col("seg_end")).otherwise(F.col("seg_start"))
+    return rows.select("seg_id", "coordinate_length", (F.col("seg_end") - F.col("seg_start")).alias("length"), five.alias("end5_index"), three.alias("end3_index"), strand_of(F.col("_strand"), F.col("same")).alias("strand"))
+
+
+def shifted(segments: DataFrame, amount: int) -> DataFrame:
+    """Moved downstream on the segment's own strand; a segment may leave the sequence."""
+    by = F.when(F.col("same"), F.lit(amount)).otherwise(F.lit(-amount))
+    return segments.withColumns({"seg_start": F.col("seg_start") + by, "seg_end": F.col("seg_end") + by})
+
+
+def expanded(segments: DataFrame, upstream: int, dnstream: int | None = None) -> DataFrame:
+    """Grown towards both ends on the segment's own strand, or shrunk; an error if its ends would pass each other."""
+    dnstream = upstream if dnstream is None else dnstream
+    s = F.col("seg_start") - F.when(F.col("same"), F.lit(upstream)).otherwise(F.lit(dnstream))
+    e = F.col("seg_end") + F.when(F.col("same"), F.lit(dnstream)).otherwise(F.lit(upstream))
+    bad = F.raise_error(F.lit("a segment shrinks to less than nothing")).cast("long")
+    return segments.withColumns({"seg_start": F.when(s <= e, s).otherwise(bad), "seg_end": e})
+
+
+def expand_coord(parts: DataFrame, upstream: int, dnstream: int | None = None) -> DataFrame:
+    """The outer edges of the first and the last part grow."""
+    dnstream = upstream if dnstream is None else dnstream
+    if upstream < 0 or dnstream < 0:
+        raise ValueError("coordinates grow only")
+    plus, first = F.col("strand") == "+", F.col("ord") == 0
+    last = F.col("cum") + F.col("end_pos") - F.col("start_pos") == F.col("total")
+    s = F.col("start_pos") - F.when(plus & first, upstream).when(~plus & last, dnstream).otherwise(0)
+    e = F.col("end_pos") + F.when(plus & last, dnstream).when(~plus & first, upstream).otherwise(0)
+    return parts.withColumns({
+        "start_pos": s, "end_pos": e, "cum": F.when(first, F.col("cum")).otherwise(F.col("cum") + upstream), "total": F.col("total") + upstream + dnstream,
+    })
+
+
+def after_expand_coord(parts: DataFrame, segments: DataFrame, upstream: int, dnstream: int | None = None) -> DataFrame:
+    """Segments in grown coordinates: one that spanned everything still does, others keep their bases. parts as before growing."""
+    dnstream = upstream if dnstream is None else dnstream
+    rows = segments.join(parts.where("ord = 0").select("dis_id", "total"), "dis_id")
+    whole = (F.col("seg_start") == 0) & (F.col("seg_end") == F.col("total"))
+    s = F.col("seg_start") + F.when(whole, 0).otherwise(upstream)
+    e = F.col("seg_end") + F.when(whole, upstream + dnstream).otherwise(upstream)
+    return rows.withColumns({"seg_start": s, "seg_end": e}).select(*segments.columns)
+
+
+def _comparable(a: str, b: str, answer: Column) -> Column:
+    """The answer, or an error if two segments aren't of one sequence and strand."""
+    fits = (F.col(f"{a}.dis_id") == F.col(f"{b}.dis_id")) & (F.col(f"{a}.same") == F.col(f"{b}.same"))
+    return F.when(fits, answer).otherwise(F.raise_error(F.lit("segments of different sequences or strands")).cast("boolean"))
+
+
+def _before(a: str, b: str) -> Column:
+    """a ends where b starts or sooner; an empty segment isn't before itself."""
+    s, e, t, u = F.col(f"{a}.seg_start"), F.col(f"{a}.seg_end"), F.col(f"{b}.seg_start"), F.col(f"{b}.seg_end")
+    return ~((s == e) & (t == u) & (s == t)) & (e <= t)
+
+
+def upstream_of(a: str, b: str) -> Column:
+    """a and b name structs or aliased sides that hold segments; so below."""
+    return _comparable(a, b, F.when(F.col(f"{a}.same"), _before(a, b)).otherwise(_before(b, a)))
+
+
+def dnstream_of(a: str, b: str) -> Column:
+    return upstream_of(b, a)
+
+
+def within(a: str, b: str) -> Column:
+    return _comparable(a, b, (F.col(f"{a}.seg_start") >= F.col(f"{b}.seg_start")) & (F.col(f"{a}.seg_end") <= F.col(f"{b}.seg_end")))
+
+
+def intersect(a: str, b: str) -> Column:
+    """A struct (seg_start, seg_end), null if nothing is shared."""
+    s, e = F.greatest(f"{a}.seg_start", f"{b}.seg_start"), F.least(f"{a}.seg_end", f"{b}.seg_end")
+    return F.when(_comparable(a, b, s < e), F.struct(s.alias("seg_start"), e.alias("seg_end")))
+
+
+def strand_of(strand: Column, same: Column) -> Column:
+    """The segment's strand from that of its parts."""
+    return F.when(same, strand).when(strand == "+", "-").otherwise("+")
+
+
+def turned(strand: Column, same: Column, to: str) -> Column:
+    """`same` after a segment is put on the positive, negative, same or opposite strand, or is flipped."""
+    to_same = {"positive": strand == "+", "negative": strand == "-", "same": F.lit(True), "opposite": F.lit(False), "flip": ~same}
+    return to_same[to]
+
+
+def spliced_dna(parts: DataFrame, segments: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = sequences.CHUNK, outside: bool = True) -> DataFrame:
+    """Segments' bases from 5' to 3' on their own strand: seg_id, dna. Beyond the sequence N, or an error if `outside` isn't allowed.
+
+    chunks and sizes as for dna.extract().
+    """
+    total = parts.where("ord = 0").select("dis_id", "total")
+    low, high = F.greatest(F.col("seg_start"), F.lit(0)), F.least(F.col("seg_end"), F.col("total"))
+    s = segments.join(total, "dis_id").withColumns({"_low": low, "_high": high})
+    if not outside:
+        bad = F.raise_error(F.lit("a segment lies outside its sequence")).cast("long")
+        s = s.withColumn("_low", F.when((F.col("seg_start") == F.col("seg_end")) | (F.col("seg_start") >= 0) & (F.col("seg_end") <= F.col("total")), F.col("_low")).otherwise(bad))
+    kept = s.where("_low < _high").select("seg_id", "dis_id", F.col("_low").alias("seg_start"), F.col("_high").alias("seg_end"))
+    windows = lower(parts, kept).select(F.struct("seg_id", "ord").alias("q_id"), "chrom", "strand", "start_pos", "end_pos")
+    pieces = sequences.extract(windows, chunks, sizes, size).groupBy(F.col("q_id.seg_id").alias("seg_id")).agg(F.array_sort(F.collect_list(F.struct("q_id.ord", "dna"))).alias("_parts"))
+    inner = F.coalesce(F.array_join(F.transform("_parts", lambda p: p["dna"]), ""), F.lit(""))
+    n = lambda x: F.repeat(F.lit("N"), F.greatest(F.lit(0), x).cast("int"))
+    # a segment wholly beyond one end is N for its whole length
+    length = F.col("seg_end") - F.col("seg_start")
+    before, behind = F.least(-F.col("seg_start"), length), F.least(F.col("seg_end") - F.col("total"), length)
+    whole = F.concat(n(before), inner, n(behind))
+    return s.join(pieces, "seg_id", "left").select("seg_id", F.when(F.col("same"), whole).otherwise(sequences.reverse_complement(whole)).alias("dna"))

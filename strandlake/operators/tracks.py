@@ -19,6 +19,16 @@ from .rangejoin import find_overlapping
 #: Bits of the dictionary and integer encodings.
 INTEGERS = {"u1": (0, 1), "u2": (0, 3), "u3": (0, 7), "u4": (0, 15), "u5": (0, 31), "u6": (0, 63), "u8": (0, 255), "i8": (-128, 127)}
 DICTIONARIES = {"f2": 2, "f3": 3, "f4": 4, "f5": 5, "f6": 6, "f8": 8}
+#: What each encoding can be decoded as.
+DTYPES = {
+    "m0": ("bool", "uint8", "int8", "float16", "float32"), "u1": ("bool", "uint8", "float16", "float32"),
+    "u2": ("uint8", "float16", "float32"), "u3": ("uint8", "float16", "float32"), "u4": ("uint8", "float16", "float32"), "u5": ("uint8", "float16", "float32"), "u6": ("uint8", "float16", "float32"),
+    "u8": ("uint8", "float16", "float32"), "i8": ("int8", "float16", "float32"),
+    "f2": ("float16", "float32"), "f3": ("float16", "float32"), "f4": ("float16", "float32"), "f5": ("float16", "float32"), "f6": ("float16", "float32"), "f8": ("float16", "float32"),
+    "f16": ("float16", "float32"), "f32": ("float32",),
+}
+#: Spark has no unsigned byte and no half: a wider type holds them.
+_SPARK_TYPES = {"bool": "boolean", "uint8": "smallint", "int8": "tinyint", "float16": "float", "float32": "float"}
 #: Positions of a track over which a run of defaults is left out, and the tolerance.
 MIN_RUN, MIN_DELTA = 48, 0.0
 
@@ -89,6 +99,32 @@ def encoded(value: Column, track: Track) -> Column:
     return half(value) if track.etype == "f16" else value.cast("float").cast("double")
 
 
+def as_dtype(value: Column, etype: str, dtype: str) -> Column:
+    """An encoded value in the type asked for; ValueError if the encoding can't be decoded as it."""
+    if dtype not in DTYPES.get(etype, ()):
+        raise ValueError(f"{etype} can't be decoded as {dtype}")
+    return (half(value) if dtype == "float16" else value).cast(_SPARK_TYPES[dtype])
+
+
+def placed(blocks: DataFrame, strandedness: str, dim: int = 1) -> DataFrame:
+    """blocks(chrom, strand, start_pos, end_pos, values) as they were given, in reference order.
+
+    single_stranded: both strands share the plus strand's data, and minus data are an error.
+    strand_unaware: data of either strand are in reference order already. strand_aware: they run
+    from 5' to 3', so those of the minus strand are turned round, position by position.
+    """
+    minus = F.col("strand") == "-"
+    if strandedness == "single_stranded":
+        return blocks.withColumn("strand", F.when(minus, F.raise_error(F.lit("minus-strand data in a single-stranded track")).cast("string")).otherwise(F.col("strand")))
+    if strandedness == "strand_unaware":
+        return blocks
+    if strandedness != "strand_aware":
+        raise ValueError(f"unknown strandedness: {strandedness}")
+    last = (F.size("values") / dim).cast("int") - 1
+    turned = F.reverse("values") if dim == 1 else F.flatten(F.transform(F.sequence(last, F.lit(0), F.lit(-1)), lambda i: F.slice("values", i * dim + 1, dim)))
+    return blocks.withColumn("values", F.when(minus & (F.size("values") > 0), turned).otherwise(F.col("values")))
+
+
 def transformed(value: Column, a: float, b: float, c: float, d: float) -> Column:
     """The line that takes a to c and b to d."""
     return value * F.lit((d - c) / (b - a)) + F.lit((c * b - a * d) / (b - a))
@@ -102,7 +138,8 @@ def decode(blocks: DataFrame, windows: DataFrame, track: Track = Track()) -> Dat
     """Values of every position of windows(q_id, q_chrom, q_strand, q_start, q_end): q_id, i (from 0, in sense order), value.
 
     blocks may hold one `value` for the whole block or an array `values`, one per grid
-    position. Blocks meet windows in a range join, so only positions inside windows that
+    position, or track.dim of them, which then come as rows of their own with their `dim`.
+    Blocks meet windows in a range join, so only positions inside windows that
     have data are joined; the rest take the default.
     """
     res = track.resolution
@@ -115,11 +152,18 @@ def decode(blocks: DataFrame, windows: DataFrame, track: Track = Track()) -> Dat
     hits = find_overlapping(data, q)
     pos = F.explode(F.sequence(F.greatest("start_pos", "q_start"), F.least("end_pos", "q_end") - 1))
     at = hits.where("least(end_pos, q_end) > greatest(start_pos, q_start)").withColumn("pos", pos)
-    value = F.element_at("values", (F.floor((F.col("pos") - F.col("start_pos")) / res) + 1).cast("int")) if "values" in blocks.columns else F.col("value")
-    known = at.select("q_id", "pos", (F.lit(1) if track.etype == "m0" else value).alias("_v"))
+    nth = F.floor((F.col("pos") - F.col("start_pos")) / res).cast("int")
+    many = track.dim > 1
+    if "values" not in blocks.columns:
+        value = F.array_repeat("value", track.dim) if many else F.col("value")
+    else:
+        value = F.slice("values", nth * track.dim + 1, track.dim) if many else F.element_at("values", nth + 1)
+    known = at.select("q_id", "pos", ((F.array_repeat(F.lit(1), track.dim) if many else F.lit(1)) if track.etype == "m0" else value).alias("_v"))
     grid = windows.where("q_start < q_end").select("q_id", "q_strand", "q_start", "q_end", F.explode(F.sequence("q_start", F.col("q_end") - 1)).alias("pos"))
     i = F.when(F.col("q_strand") == "-", F.col("q_end") - 1 - F.col("pos")).otherwise(F.col("pos") - F.col("q_start"))
-    return grid.join(known, ["q_id", "pos"], "left").select("q_id", i.alias("i"), F.coalesce("_v", F.lit(track.default).cast(dict(known.dtypes)["_v"])).alias("value"))
+    default = F.array_repeat(F.lit(track.default), track.dim) if many else F.lit(track.default)
+    found = grid.join(known, ["q_id", "pos"], "left").select("q_id", i.alias("i"), F.coalesce("_v", default.cast(dict(known.dtypes)["_v"])).alias("value"))
+    return found.select("q_id", "i", F.posexplode("value").alias("dim", "value")) if many else found
 
 
 def histogram(values: DataFrame, *more: str) -> DataFrame:

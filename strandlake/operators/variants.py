@@ -213,12 +213,58 @@ def _with_variants(windows: DataFrame, variants: DataFrame, context: DataFrame,
 def _bases(row: dict, more: int = 0) -> list[tuple[str, int, int]]:
     """apply_variants() for a row of _with_variants(), of a window that is `more` bases longer."""
     low, seq = int(row["dna_start"]), row["dna"]
-    fetch = lambda a, b: "".join(seq[i - low] if 0 <= i - low < len(seq) else "N" for i in range(a, b))
+    top = low + len(seq)
+
+    def fetch(a: int, b: int) -> str:
+        if low <= a and b <= top:
+            return seq[a - low : b - low]
+        inner = seq[max(a, low) - low : max(min(b, top), low) - low] if a < top else ""
+        return "N" * (min(b, low) - min(a, low)) + inner + "N" * (max(b, top) - max(a, top))
+
     got, anchor = row["_variants"], row["anchor"]
     changes = [(int(v["start_pos"]), v["ref"], v["alt"]) for v in got] if got is not None else []
     return apply_variants(fetch, int(row["start_pos"]), int(row["end_pos"]) + more, changes, None if anchor is None or anchor != anchor else int(anchor), int(row["anchor_offset"] or 0))
 
 
+def spanning(pairs: DataFrame, variants: DataFrame) -> DataFrame:
+    """The span of two anchored intervals after variants: p_id, start_pos, end_pos, anchor, anchor_offset.
+
+    pairs(p_id, chrom, x_start, x_end, x_anchor, x_offset, y_start, y_end, y_anchor, y_offset): without
+    an anchor the plain span; else the side of the lower anchor stays in place and the other one is
+    moved by what the variants between the anchors add or take. An anchor outside its interval is
+    an error. variants(chrom, start_pos, ref, alt); those that touch a stretch change its length in full.
+    """
+    c, side = F.col, lambda s: F.struct(*(F.col(f"{s}_{n}").alias(n) for n in ("start", "end", "anchor")), F.coalesce(f"{s}_offset", F.lit(0)).alias("offset"))
+    later = c("x_anchor").isNull() | (c("x_anchor") > c("y_anchor")) | (c("x_anchor") == c("y_anchor")) & (F.coalesce("x_offset", F.lit(0)) > F.coalesce("y_offset", F.lit(0)))
+    p = pairs.select("p_id", "chrom", F.when(later, side("y")).otherwise(side("x")).alias("x"), F.when(later, side("x")).otherwise(side("y")).alias("y"))
+    low, high = F.least("x.start", "y.start"), F.greatest("x.end", "y.end")
+    windows = p.select("p_id", c("chrom").alias("q_chrom"), F.lit("+").alias("q_strand"), (low - 1).alias("q_start"), (high + 1).alias("q_end")).where(p["x.anchor"].isNotNull())
+    v = variants.select("chrom", F.explode(normalised(c("start_pos"), c("ref"), c("alt"))).alias("_v")).select("chrom", F.lit("+").alias("strand"), "_v.*")
+    v = v.withColumns({"end_pos": c("start_pos") + F.greatest(F.length("ref"), F.lit(1)), "_stop": c("start_pos") + F.length("ref"), "_more": F.length("alt") - F.length("ref"), "_ins": F.when(c("ref") == "", F.length("alt"))})
+    near = find_overlapping(v, windows).groupBy("p_id").agg(F.collect_list(F.struct("start_pos", "_stop", "_more", "_ins")).alias("_vs"))
+    rows = p.join(near, "p_id", "left")
+    vs = F.coalesce("_vs", F.array().cast(dict(near.dtypes)["_vs"]))
+
+    def grown(a: Column, b: Column) -> Column:
+        within = F.filter(vs, lambda e: (e["start_pos"] < b) & (e["_stop"] >= a))
+        return b - a + F.aggregate(within, F.lit(0).cast("long"), lambda n, e: n + e["_more"])
+
+    def place(anchor: Column, offset: Column) -> Column:
+        """How far into an insertion at the anchor an offset goes."""
+        return F.least(offset, F.coalesce(F.array_max(F.transform(F.filter(vs, lambda e: e["start_pos"] == anchor), lambda e: e["_ins"])), F.lit(0)))
+
+    x, y = (lambda n: c(f"x.{n}")), (lambda n: c(f"y.{n}"))
+    bad = F.raise_error(F.lit("an anchor lies outside its interval")).cast("long")
+    fine = lambda s: F.when((s("anchor") < s("start")) | (s("anchor") > s("end")), bad).otherwise(s("anchor"))
+    a, off = fine(x), place(x("anchor"), x("offset"))
+    move = a + grown(a, fine(y)) - off + place(y("anchor"), y("offset")) - y("anchor")
+    one_start = F.when(y("start") < a, F.least(x("start"), a - grown(y("start"), a) - off)).otherwise(x("start"))
+    one_end = F.when(y("end") > a, F.greatest(x("end"), a + grown(a, y("end")) - off)).otherwise(x("end"))
+    start = F.when(x("anchor").isNull(), F.least("x.start", "y.start")).when(y("anchor").isNull(), one_start).otherwise(F.least(x("start"), move + y("start")))
+    end = F.when(x("anchor").isNull(), F.greatest("x.end", "y.end")).when(y("anchor").isNull(), one_end).otherwise(F.greatest(x("end"), move + y("end")))
+    return rows.select("p_id", start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"), x("anchor").alias("anchor"), F.when(x("anchor").isNotNull(), x("offset")).alias("anchor_offset"))
+
+
 def variant_dna(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
     """windows(q_id, chrom, strand, start_pos, end_pos, anchor, anchor_offset) with `dna` after variants(chrom, start_pos, ref, alt).
 

@@ -286,22 +286,24 @@ def principality(spark, d):
     return cat.ranked(t, "gene_idx", "label", "tran_idx").select("gene_idx", "tran_idx", cat.principality(F.col("label")).alias("principality"), "place")
 
 
-QUERIES["g07_mane_transcripts"] = lambda spark, d: relation(spark, d, "tran").select("tran_idx").join(table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("tran_idx")), "tran_idx", "left_semi")
-ORACLE["g07_mane_transcripts"] = "SELECT o_orderkey AS tran_idx FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')"
-
-
-@query("g08_same_assembly", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("g08_same_assembly", "SELECT 'hg' || (o_custkey % 3) AS refg, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def same_assembly(spark, d):
-    """Joins of different assemblies raise; here both are one."""
-    a = relation(spark, d, "tran").withColumn("refg", F.lit("hg19"))
-    b = relation(spark, d, "gene").withColumn("refg", F.lit("hg19"))
-    return a.join(b, a["gene_idx"] == b["gene_idx"]).where(cat.same_assembly(a, b)).agg(F.count(F.lit(1)).alias("n"))
+    """Rows of different assemblies that meet raise; here each row meets those of its own."""
+    refg = lambda c: F.concat(F.lit("hg"), (F.col(c) % 3).cast("string"))
+    a = relation(spark, d, "tran").withColumn("refg", refg("gene_idx"))
+    b = relation(spark, d, "gene").withColumn("refg", refg("gene_idx"))
+    return a.join(b, a["gene_idx"] == b["gene_idx"]).where(cat.same_assembly(a, b)).groupBy(a["refg"]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g09_listing", "SELECT r_name AS assembly, count(*) AS annotations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@query("g09_listing", "SELECT r_name AS assembly, n_name AS annotation FROM nation JOIN region ON n_regionkey = r_regionkey")
 def listing(spark, d):
+    """Annotations by assembly, from configurations written to a catalog."""
+    from strandlake.sources import store
+
+    root = store.scratch(spark)
     r = table(spark, d, "region")
-    return table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("assembly")).agg(F.count(F.lit(1)).alias("annotations"))
+    cat.register(table(spark, d, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("annotation"), F.col("r_name").alias("assembly")), root)
+    return cat.listing(spark, root)
 
 
 @query("g10_versions", " UNION ALL ".join(f"SELECT '{k}' AS name, CAST({v} AS BIGINT) AS version" for k, v in cat.VERSIONS.items()))

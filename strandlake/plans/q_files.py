@@ -350,6 +350,35 @@ def open_genome(spark, d):
     return genome(spark, d).chromosomes
 
 
+@query("g07_mane_transcripts", "SELECT 'NM_' || o_orderkey || '.1' AS id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def mane_transcripts(spark, d):
+    """Transcripts of MANE Select, whatever their versions, through the genome's tables."""
+    root = store.scratch(spark)
+    name = lambda a, c, v: F.concat(F.lit(a), F.col(c).cast("string"), F.lit(v))
+    table(spark, d, "orders").select(name("NM_", "o_orderkey", ".1").alias("id")).write.parquet(f"{root}/hg19/transcripts")
+    status = F.when(F.col("l_returnflag") == "A", "MANE Select").otherwise("MANE Plus Clinical")
+    table(spark, d, "lineitem").select(name("NM_", "l_orderkey", ".2").alias("RefSeq_nuc"), name("ENST", "l_orderkey", ".3").alias("Ensembl_nuc"), status.alias("MANE_status")).write.parquet(f"{root}/hg19/mane")
+    return Genome(spark, root, "hg19").mane_transcripts()
+
+
+@query("t24_wig_rules", """WITH e AS (SELECT event_type AS chrom, event_id AS id, user_id AS v FROM events), l AS (SELECT chrom, max(id) AS last FROM e GROUP BY 1)
+SELECT chrom, id * 5 AS start_pos, id * 5 + CASE WHEN id = last THEN 3 ELSE 5 END AS end_pos, CAST(v AS DOUBLE) AS value FROM e JOIN l USING (chrom)""")
+def wig_rules(spark, d):
+    """Spans of the track's resolution, but for a shorter one at each chromosome's end."""
+    from pyspark.sql import Window
+
+    last = F.max("event_id").over(Window.partitionBy("event_type"))
+    e = table(spark, d, "events").select("event_type", "event_id", "user_id", last.alias("last"))
+    row = F.concat_ws(" ", (F.col("event_id") * 5 + 1).cast("string"), F.col("user_id").cast("string"))
+    head = lambda span: F.concat(F.lit("variableStep chrom="), F.col("event_type"), F.lit(f" span={span}"))
+    place = lambda x: F.lit(x).cast("long").alias("place")
+    rows = e.select("event_type", F.col("event_id"), place(1), row.alias("value"))
+    heads = e.where("event_id = last").select("event_type", F.col("event_id"), place(0), head(3).alias("value"))
+    first = e.where("event_id < last").groupBy("event_type").agg(F.lit(-1).cast("long").alias("event_id")).select("event_type", "event_id", place(0), head(5).alias("value"))
+    lines = rows.unionByName(heads).unionByName(first).repartition("event_type").sortWithinPartitions("event_type", "event_id", "place").select("value")
+    return signal.wig(spark, text_file(spark, lines), resolution=5).drop("strand")
+
+
 QUERIES["g02_lazy_tables"], ORACLE["g02_lazy_tables"] = open_genome, ORACLE["g01_genome"]
 
 

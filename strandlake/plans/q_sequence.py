@@ -113,11 +113,22 @@ def normalise(spark, d):
     return variants(spark, d).select("id", F.explode(va.normalised(F.col("start_pos"), F.col("ref"), F.col("alt"))).alias("v")).select("id", "v.*")
 
 
-@query("v05_spanning", f"{cte('pairs')} SELECT id, line, least(s, bs) AS start_pos, greatest(e, be) AS end_pos, greatest(e, be) - least(s, bs) + quantity_shift AS length FROM (SELECT *, id % 7 - 3 AS quantity_shift FROM pairs)")
+@query("v05_spanning", f"""{cte('pairs')}, g AS (SELECT DISTINCT id, line, s, e, id % 7 AS ins, CASE WHEN line % 2 = 0 THEN 3 ELSE 0 END AS del FROM pairs)
+SELECT id, line, CASE WHEN id % 3 = 0 THEN s - 100 - ins ELSE s END AS start_pos, CASE WHEN id % 3 = 0 THEN e ELSE greatest(e, s + 200 + ins - del) END AS end_pos, CASE WHEN id % 3 < 2 THEN s END AS anchor, CASE WHEN id % 3 < 2 THEN 0 END AS anchor_offset FROM g WHERE id % 3 < 2
+UNION ALL SELECT id, line, s, greatest(e, s + 200), NULL, NULL FROM g WHERE id % 3 = 2""")
 def spanning(spark, d):
-    """The span of two intervals, and its length after variants that change it."""
-    p = relation(spark, d, "pairs")
-    return p.select("id", "line", F.least("s", "bs").alias("start_pos"), F.greatest("e", "be").alias("end_pos"), (F.greatest("e", "be") - F.least("s", "bs") + F.col("id") % 7 - 3).alias("length"))
+    """Anchored intervals and others up- or downstream, with an insertion and at times a deletion between them."""
+    p = relation(spark, d, "pairs").select("id", "line", "s", "e").distinct().withColumns({"chrom": F.concat_ws(".", *(F.col(c).cast("string") for c in ("id", "line", "s", "e"))), "kind": F.col("id") % 3})
+    up = F.col("kind") == 0
+    rows = p.select(
+        F.struct("id", "line", "s", "e").alias("p_id"), "chrom", F.col("s").alias("x_start"), F.col("e").alias("x_end"), F.when(F.col("kind") < 2, F.col("s")).alias("x_anchor"), F.lit(0).alias("x_offset"),
+        F.when(up, F.col("s") - 100).otherwise(F.col("s") + 100).alias("y_start"), F.when(up, F.col("s") - 40).otherwise(F.col("s") + 200).alias("y_end"), F.lit(None).cast("long").alias("y_anchor"), F.lit(0).alias("y_offset"),
+    )
+    at = lambda n, ref, alt: F.struct((F.col("s") + n).alias("start_pos"), F.lit(ref).alias("ref"), alt.alias("alt"))
+    new = F.repeat(F.lit("N"), (F.col("id") % 7).cast("int"))
+    down = F.array(at(50, "", new), at(60, "ACG", F.when(F.col("line") % 2 == 0, "").otherwise("TTT")))
+    v = p.select("chrom", F.explode(F.when(up, F.array(at(-70, "", new))).otherwise(down)).alias("v")).select("chrom", "v.*")
+    return va.spanning(rows, v).select("p_id.id", "p_id.line", "start_pos", "end_pos", "anchor", F.col("anchor_offset").cast("int").alias("anchor_offset"))
 
 
 @query("v06_distinct", f"WITH {_VAR} SELECT DISTINCT chrom, start_pos, ref, alt FROM v")
@@ -250,40 +261,76 @@ def build(spark, d):
     return parts(spark, d)
 
 
-QUERIES["x02_from_transcript"], ORACLE["x02_from_transcript"] = build, ORACLE["x01_build"]
+@query("x02_from_transcript", f"""WITH {EXON}, c AS (SELECT tran_idx AS dis_id, chrom, strand, start_pos + 7 AS start_pos, end_pos - 9 AS end_pos FROM exon WHERE line <= 4), span AS (SELECT dis_id, min(start_pos) AS cs, max(end_pos) AS ce FROM c GROUP BY 1),
+u AS (SELECT tran_idx AS dis_id, chrom, strand, CASE WHEN strand = '+' THEN start_pos ELSE greatest(start_pos, ce) END AS start_pos, CASE WHEN strand = '+' THEN least(end_pos, cs) ELSE end_pos END AS end_pos, 'utr5' AS region FROM exon JOIN span ON dis_id = tran_idx
+UNION ALL SELECT tran_idx, chrom, strand, CASE WHEN strand = '-' THEN start_pos ELSE greatest(start_pos, ce) END, CASE WHEN strand = '-' THEN least(end_pos, cs) ELSE end_pos END, 'utr3' FROM exon JOIN span ON dis_id = tran_idx
+UNION ALL SELECT *, 'cds' FROM c UNION ALL SELECT tran_idx, chrom, strand, start_pos, end_pos, 'exons' FROM exon)
+SELECT region, dis_id, chrom, strand, start_pos, end_pos, row_number() OVER (PARTITION BY region, dis_id ORDER BY CASE WHEN strand = '+' THEN start_pos ELSE -end_pos END) - 1 AS ord FROM u WHERE start_pos < end_pos""")
+def from_transcript(spark, d):
+    """The sequences of each region of the transcripts."""
+    from functools import reduce
 
+    from strandlake.operators.annotation import utrs
 
-@query("x03_properties", f"WITH {PART} SELECT dis_id, max(total) AS length, count(*) AS n FROM part GROUP BY 1")
+    e = exons(spark, d)
+    cds = e.where("line <= 4").withColumns({"start_pos": F.col("start_pos") + 7, "end_pos": F.col("end_pos") - 9})
+    u = utrs(e, cds)
+    regions = {"exons": e, "cds": cds, "utr5": u.where("side = 5"), "utr3": u.where("side = 3")}
+    each = [splice.from_transcripts(regions, r).select(F.lit(r).alias("region"), "dis_id", "chrom", "strand", "start_pos", "end_pos", "ord") for r in splice.REGIONS]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def segments(spark, d):
+    """A segment a transcript, on either strand, at times beyond its ends."""
+    p = parts(spark, d).where("ord = 0")
+    start = F.col("dis_id") % 41 - 10
+    return p.select(F.col("dis_id").alias("seg_id"), "dis_id", start.alias("seg_start"), (start + F.col("dis_id") % 67).alias("seg_end"), (F.col("dis_id") % 3 != 0).alias("same"))
+
+
+_SEG = "seg AS (SELECT dis_id AS seg_id, dis_id, dis_id % 41 - 10 AS seg_start, dis_id % 41 - 10 + dis_id % 67 AS seg_end, dis_id % 3 <> 0 AS same, strand, total FROM part WHERE ord = 0)"
+
+
+@query("x03_properties", f"WITH {PART}, {_SEG} SELECT seg_id, total AS coordinate_length, seg_end - seg_start AS length, CASE WHEN same THEN seg_start ELSE seg_end END AS end5_index, CASE WHEN same THEN seg_end ELSE seg_start END AS end3_index, CASE WHEN same = (strand = '+') THEN '+' ELSE '-' END AS strand FROM seg")
 def properties(spark, d):
-    return parts(spark, d).groupBy("dis_id").agg(F.max("total").alias("length"), F.count(F.lit(1)).alias("n"))
+    return splice.properties(parts(spark, d), segments(spark, d))
 
 
-@query("x04_shift_expand", f"WITH {PART} SELECT DISTINCT dis_id, 10 - 3 AS seg_start, total + 10 + 5 AS seg_end FROM part")
+@query("x04_shift_expand", f"WITH {PART}, {_SEG} SELECT seg_id, CASE WHEN same THEN seg_start + 6 - 8 ELSE seg_start - 6 - 5 END AS seg_start, CASE WHEN same THEN seg_end + 6 + 5 ELSE seg_end - 6 + 8 END AS seg_end FROM seg")
 def shift_expand(spark, d):
-    p = parts(spark, d).select("dis_id", "total").distinct()
-    return p.select("dis_id", (F.lit(10) - 3).alias("seg_start"), (F.col("total") + 10 + 5).alias("seg_end"))
+    """Six bases downstream, then eight more upstream and five downstream, each on the segment's strand."""
+    return splice.expanded(splice.shifted(segments(spark, d), 6), 8, 5).select("seg_id", "seg_start", "seg_end")
 
 
-@query("x05_expand_coord", f"WITH {PART} SELECT dis_id, ord, CASE WHEN strand = '+' AND ord = 0 THEN start_pos - 4 WHEN strand = '-' AND cum + len = total THEN start_pos - 6 ELSE start_pos END AS start_pos, CASE WHEN strand = '+' AND cum + len = total THEN end_pos + 6 WHEN strand = '-' AND ord = 0 THEN end_pos + 4 ELSE end_pos END AS end_pos FROM part")
+@query("x05_expand_coord", f"WITH {PART} SELECT dis_id, ord, CASE WHEN strand = '+' AND ord = 0 THEN start_pos - 4 WHEN strand = '-' AND cum + len = total THEN start_pos - 6 ELSE start_pos END AS start_pos, CASE WHEN strand = '+' AND cum + len = total THEN end_pos + 6 WHEN strand = '-' AND ord = 0 THEN end_pos + 4 ELSE end_pos END AS end_pos, CASE WHEN ord = 0 THEN 0 ELSE cum + 4 END AS cum, total + 10 AS total, CAST(CASE WHEN dis_id % 2 = 0 THEN 0 ELSE 5 END AS BIGINT) AS seg_start, CASE WHEN dis_id % 2 = 0 THEN total + 10 ELSE 9 END AS seg_end FROM part")
 def expand_coord(spark, d):
-    """The outer edges grow: four bases upstream, six downstream."""
-    plus, first = F.col("strand") == "+", F.col("ord") == 0
-    last = F.col("cum") + F.col("end_pos") - F.col("start_pos") == F.col("total")
-    s = F.col("start_pos") - F.when(plus & first, 4).when(~plus & last, 6).otherwise(0)
-    e = F.col("end_pos") + F.when(plus & last, 6).when(~plus & first, 4).otherwise(0)
-    return parts(spark, d).select("dis_id", "ord", s.alias("start_pos"), e.alias("end_pos"))
+    """The outer edges grow, four bases upstream and six downstream; a segment only if it spans everything."""
+    p = parts(spark, d)
+    even = F.col("dis_id") % 2 == 0
+    s = p.where("ord = 0").select(F.col("dis_id").alias("seg_id"), "dis_id", F.when(even, 0).otherwise(1).cast("long").alias("seg_start"), F.when(even, F.col("total")).otherwise(5).alias("seg_end"))
+    moved = splice.after_expand_coord(p, s, 4, 6).select("dis_id", "seg_start", "seg_end")
+    return splice.expand_coord(p, 4, 6).join(moved, "dis_id").select("dis_id", "ord", "start_pos", "end_pos", "cum", "total", "seg_start", "seg_end")
+
 
+@query("x06_segments", f"""WITH {PART}, {_SEG}, b AS (SELECT *, seg_start + dis_id % 29 - 14 AS s, seg_start + dis_id % 29 - 14 + dis_id % 23 AS e FROM seg),
+c AS (SELECT *, seg_end <= s AND NOT (seg_start = seg_end AND s = e AND s = seg_start) AS ab, e <= seg_start AND NOT (seg_start = seg_end AND s = e AND s = seg_start) AS ba, greatest(seg_start, s) AS i, least(seg_end, e) AS j FROM b)
+SELECT seg_id, CASE WHEN same THEN ab ELSE ba END AS upstream, CASE WHEN same THEN ba ELSE ab END AS dnstream, seg_start >= s AND seg_end <= e AS inside, CASE WHEN i < j THEN i END AS both_start, CASE WHEN i < j THEN j END AS both_end FROM c""")
+def segment_predicates(spark, d):
+    a = segments(spark, d)
+    start = F.col("seg_start") + F.col("dis_id") % 29 - 14
+    b = a.withColumns({"seg_start": start, "seg_end": start + F.col("dis_id") % 23})
+    both = a.alias("a").join(b.alias("b"), F.col("a.seg_id") == F.col("b.seg_id"))
+    shared = splice.intersect("a", "b")
+    return both.select("a.seg_id", splice.upstream_of("a", "b").alias("upstream"), splice.dnstream_of("a", "b").alias("dnstream"), splice.within("a", "b").alias("inside"), shared["seg_start"].alias("both_start"), shared["seg_end"].alias("both_end"))
 
-@query("x06_segments", f"WITH {PART} SELECT DISTINCT dis_id, greatest(5, total // 2) AS seg_start, least(total, total // 2 + 30) AS seg_end FROM part WHERE greatest(5, total // 2) < least(total, total // 2 + 30)")
-def segment_intersect(spark, d):
-    p = parts(spark, d).select("dis_id", "total").distinct()
-    half = F.floor(F.col("total") / 2)
-    return p.select("dis_id", F.greatest(F.lit(5), half).alias("seg_start"), F.least("total", half + 30).alias("seg_end")).where("seg_start < seg_end")
 
+_SIDE = "CASE WHEN {} = (strand = '+') THEN '+' ELSE '-' END"
 
-@query("x07_strand_toggle", f"WITH {PART} SELECT DISTINCT dis_id, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand FROM part")
+
+@query("x07_strand_toggle", f"WITH {PART}, {_SEG} SELECT seg_id, '+' AS positive, '-' AS negative, strand AS same, {_SIDE.format('FALSE')} AS opposite, {_SIDE.format('(NOT same)')} AS flip FROM seg")
 def strand_toggle(spark, d):
-    return parts(spark, d).select("dis_id", F.when(F.col("strand") == "+", "-").otherwise("+").alias("strand")).distinct()
+    """The strand that a segment is on after each of the toggles."""
+    rows = segments(spark, d).join(parts(spark, d).where("ord = 0").select("dis_id", "strand"), "dis_id")
+    return rows.select("seg_id", *(splice.strand_of(F.col("strand"), splice.turned(F.col("strand"), F.col("same"), to)).alias(to) for to in ("positive", "negative", "same", "opposite", "flip")))
 
 
 _SEGS = "seg AS (SELECT DISTINCT dis_id AS seg_id, dis_id, CAST(dis_id % 41 - 10 AS BIGINT) AS seg_start, CAST(dis_id % 41 - 10 + dis_id % 67 AS BIGINT) AS seg_end FROM part)"
@@ -313,14 +360,17 @@ def lift(spark, d):
     return splice.lift(p, q)
 
 
-@query("x11_dna", f"WITH {PART} SELECT dis_id, string_agg(CASE WHEN strand = '+' THEN t ELSE reverse(translate(t, 'ACGT', 'TGCA')) END, '' ORDER BY ord) AS dna FROM (SELECT *, substr(repeat('ACGGTTA', 20), CAST(start_pos % 40 + 1 AS BIGINT), len) AS t FROM part) GROUP BY 1")
+@query("x11_dna", f"""WITH {PART}, {_SEG}, w AS (SELECT dis_id, string_agg(CASE WHEN strand = '+' THEN t ELSE {RC('t')} END, '' ORDER BY ord) AS whole FROM (SELECT *, substr(repeat('ACGGTTANCA', 20), CAST(start_pos % 10 + 1 AS BIGINT), len) AS t FROM part) GROUP BY 1),
+c AS (SELECT seg_id, same, repeat('N', CAST(least(greatest(-seg_start, 0), seg_end - seg_start) AS BIGINT)) || CASE WHEN least(seg_end, total) > greatest(seg_start, 0) THEN substr(whole, CAST(greatest(seg_start, 0) + 1 AS BIGINT), CAST(least(seg_end, total) - greatest(seg_start, 0) AS BIGINT)) ELSE '' END || repeat('N', CAST(least(greatest(seg_end - total, 0), seg_end - seg_start) AS BIGINT)) AS t FROM seg JOIN w USING (dis_id))
+SELECT seg_id, CASE WHEN same THEN t ELSE {RC('t')} END AS dna FROM c""")
 def spliced_dna(spark, d):
-    """The parts' sequences in order, here from a periodic reference."""
-    p = parts(spark, d)
-    t = F.substring(F.repeat(F.lit("ACGGTTA"), F.lit(20)), (F.col("start_pos") % 40 + 1).cast("int"), (F.col("end_pos") - F.col("start_pos")).cast("int"))
-    piece = F.when(F.col("strand") == "+", t).otherwise(dna.reverse_complement(t))
-    whole = p.groupBy("dis_id").agg(F.sort_array(F.collect_list(F.struct("ord", piece.alias("t")))).alias("x"))
-    return whole.select("dis_id", F.array_join(F.transform("x", lambda y: y["t"]), "").alias("dna"))
+    """Bases of segments through the chunked reference, N beyond the sequence."""
+    size = parts(spark, d).groupBy("chrom").agg((F.max("end_pos") + 10).alias("size"))
+    # a reference of ten bases over and over, made chunk by chunk
+    n = 1 << 12
+    chunks = size.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / n))))
+    text = F.substring(F.repeat(F.lit("ACGGTTANCA"), n // 10 + 2), (F.col("chunk") * n % 10 + 1).cast("int"), F.lit(n))
+    return splice.spliced_dna(parts(spark, d), segments(spark, d), chunks.select("chrom", "chunk", text.alias("seq")), size, n)
 
 
 @query("x12_equality", f"WITH {PART}, h AS (SELECT dis_id, chrom, strand, string_agg(start_pos || '-' || end_pos, ',' ORDER BY ord) AS k FROM part GROUP BY 1, 2, 3) SELECT count(*) AS n FROM (SELECT DISTINCT chrom, strand, k FROM h)")

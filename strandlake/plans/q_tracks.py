@@ -46,10 +46,15 @@ def resolution(spark, d):
     return tr.decode(b, relation(spark, d, "qb"), tr.Track(default=-1, resolution=2))
 
 
-@query("t04_dtype", "SELECT event_id, CAST(floor(value) AS FLOAT) AS f, CAST(floor(value) AS SMALLINT) AS u8 FROM events")
+_PAIRS = [(e, t) for e, types in tr.DTYPES.items() for t in types]
+
+
+@query("t04_dtype", f"SELECT etype, dtype, count(*) AS n, CAST(sum(CASE WHEN etype = 'm0' THEN 1 ELSE event_id % 2 END) AS DOUBLE) AS total FROM events, (VALUES {', '.join(f'{p}' for p in _PAIRS)}) t(etype, dtype) GROUP BY 1, 2")
 def dtype(spark, d):
-    v = F.floor("value")
-    return table(spark, d, "events").select("event_id", v.cast("float").alias("f"), v.cast("smallint").alias("u8"))
+    """Every encoding decoded as every type that it allows, in one scan."""
+    v = (F.col("event_id") % 2).cast("double")
+    shown = [F.struct(F.lit(e).alias("etype"), F.lit(t).alias("dtype"), tr.as_dtype(tr.encoded(v, tr.Track(etype=e)), e, t).cast("double").alias("v")) for e, t in _PAIRS]
+    return table(spark, d, "events").select(F.explode(F.array(*shown)).alias("x")).select("x.*").groupBy("etype", "dtype").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
 
 @query("t05_mask", _grid("CASE WHEN b.value IS NOT NULL THEN 1 END", "0"))
@@ -120,15 +125,19 @@ def block_overlaps(spark, d):
     return tr.overlapping_blocks(b).select("chrom", "start_pos", "end_pos")
 
 
-@query("t17_sense_order", _grid(more=" WHERE q_end - q_start > 20"))
+@query("t17_sense_order", _grid("b.value + CASE WHEN q_strand = '-' THEN b.end_pos - 1 - p ELSE p - b.start_pos END", block="(b.block % 2 = 1) = (q_strand = '-') AND p >= b.start_pos AND p < b.end_pos"))
 def sense_order(spark, d):
-    return tr.decode(relation(spark, d, "blocks"), relation(spark, d, "qb").where("q_end - q_start > 20"), tr.Track(default=-1))
+    """Data of a strand-aware track run from 5' to 3'; each strand has its own."""
+    b = relation(spark, d, "blocks").withColumns({"strand": F.when(F.col("block") % 2 == 1, "-").otherwise("+"), "values": F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("value") + i)}).drop("value")
+    return tr.decode(tr.placed(b, "strand_aware"), relation(spark, d, "qb"), tr.Track(default=-1, stranded=True))
 
 
-@query("t19_dimensions", "SELECT event_id, unnest([0, 1, 2]) AS dim, unnest([floor(value), floor(value) + 1, user_id]) AS value FROM events")
+@query("t19_dimensions", f"""{BQ}, g AS (SELECT q_id, q_chrom, q_strand, q_start, q_end, unnest(range(q_start, q_end)) AS p FROM qb)
+SELECT q_id, CASE WHEN q_strand = '-' THEN q_end - 1 - p ELSE p - q_start END AS i, dim, coalesce(b.value + 10 * (p - b.start_pos) + dim, -1) AS value FROM g LEFT JOIN blocks b ON b.chrom = q_chrom AND p >= b.start_pos AND p < b.end_pos, (VALUES (0), (1), (2)) t(dim)""")
 def dimensions(spark, d):
-    v = F.array(F.floor("value").cast("double"), F.floor("value").cast("double") + 1, F.col("user_id").cast("double"))
-    return table(spark, d, "events").select("event_id", F.posexplode(v).alias("dim", "value"))
+    """Three values a position; the minus strand turns positions round, not dimensions."""
+    b = relation(spark, d, "blocks").withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(17)), lambda i: F.col("value") + 10 * F.floor(i / 3) + i % 3)).drop("value")
+    return tr.decode(b, relation(spark, d, "qb"), tr.Track(default=-1, dim=3))
 
 
 @query("t20_intervals", f"{BQ} SELECT DISTINCT chrom, start_pos, end_pos FROM blocks")

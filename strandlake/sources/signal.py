@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: a variableStep section goes on from the one before it up to this gap.
+GAP = 8192
 _SKIP = "value <> '' AND value NOT LIKE '#%' AND value NOT LIKE 'track%' AND value NOT LIKE 'browser%'"
 
 
@@ -32,41 +35,69 @@ def bed_rows(text: DataFrame, categories: list[str] | None = None, stranded: boo
     return text.where(_SKIP).select(F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).cast("long").alias("start_pos"), F.get(p, F.lit(2)).cast("long").alias("end_pos"), strand.alias("strand"), value.alias("value"))
 
 
-def wig(spark: SparkSession, path: str, strand: str = "+") -> DataFrame:
+#: Rows of a WIG file that are handed on at once.
+BATCH = 1 << 16
+
+
+def wig(spark: SparkSession, path: str, strand: str = "+", resolution: int | None = None) -> DataFrame:
     """fixedStep and variableStep sections. Their headers hold for the lines after them, so a file is read by one task, in order and line by line."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(frames: Iterator) -> Iterator:
+        from itertools import islice
+
         import pandas as pd
 
         for f in frames:
             for content in f["content"]:
-                yield pd.DataFrame(list(wig_rows(bytes(content).decode().splitlines(), strand)), columns=["chrom", "strand", "start_pos", "end_pos", "value"])
+                rows = wig_rows(io.TextIOWrapper(io.BytesIO(content), "utf-8"), strand, resolution)
+                while batch := list(islice(rows, BATCH)):
+                    yield pd.DataFrame(batch, columns=["chrom", "strand", "start_pos", "end_pos", "value"])
 
     return files.mapInPandas(run, "chrom string, strand string, start_pos long, end_pos long, value double")
 
 
-def wig_rows(lines, strand: str = "+") -> Iterator[tuple]:
-    """Rows of WIG lines; a fixedStep's span equals its step."""
-    mode, chrom, at, step, span = "", "", 0, 1, 1
+def wig_rows(lines, strand: str = "+", resolution: int | None = None) -> Iterator[tuple]:
+    """Rows of WIG lines; a fixedStep's span equals its step.
+
+    For a track of a given resolution starts are multiples of it and spans equal it. Only a
+    section of one row may have another span, and none may go on from it on its chromosome,
+    nor begin before the section before it has ended.
+    """
+    mode, chrom, at, step, span, rows = "", "", 0, 1, 1, 0
+    odd, reach, before = False, 0, None  # the section's span isn't the resolution; where it ends; the section before (end, odd, mode) if of the same chromosome
     for line in lines:
         line = line.strip()
         if not line or line.startswith(("#", "track", "browser")):
             continue
         if line.startswith(("fixedStep", "variableStep")):
+            ended = (chrom, reach, odd, mode) if rows else None
             mode, *rest = line.split()
             given = dict(x.split("=", 1) for x in rest)
-            chrom, step = given["chrom"], int(given.get("step", 1))
-            span = int(given.get("span", step if mode == "fixedStep" and "step" in given and "span" not in given and step == 1 else 1))
-            at = int(given.get("start", 1)) - 1
+            chrom, step, span, at, rows = given["chrom"], int(given.get("step", 1)), int(given.get("span", 1)), int(given.get("start", 1)) - 1, 0
+            if at < 0 or resolution and at % resolution:
+                raise ValueError(f"a start that isn't a multiple of the resolution: {at}")
             if mode == "fixedStep" and span != step:
                 raise ValueError("a fixedStep's span equals its step")
+            odd = resolution is not None and span != resolution
+            before = ended[1:] if resolution and ended and ended[0] == chrom else None
             continue
         if mode == "fixedStep":
-            yield chrom, strand, at, at + span, float(line)
+            start, value = at, float(line)
             at += step
         elif mode == "variableStep":
             position, value = line.split()
-            yield chrom, strand, int(position) - 1, int(position) - 1 + span, float(value)
+            start, value = int(position) - 1, float(value)
         else:
             raise ValueError("a value before any header")
+        rows += 1
+        if odd and rows > 1:
+            raise ValueError(f"a span of {span} in a track of resolution {resolution}")
+        if before is not None:
+            gap = start - before[0]
+            if gap < 0:
+                raise ValueError(f"a section begins before the one before it ends: {start}")
+            if gap <= (0 if mode == "fixedStep" else GAP) and (before[1] or before[2] != mode):
+                raise ValueError("only the last block of a chromosome may have another span" if before[1] else "fixedStep goes on from variableStep, or the reverse")
+        before, reach = None, start + span
+        yield chrom, strand, start, start + span, value

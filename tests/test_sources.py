@@ -95,6 +95,19 @@ def test_signal(spark, text, tmp_path):
         signal.bed_rows(text("c\t0\t5\tz\t1\t+"), stranded=False).collect()
 
 
+def test_wig_rules():
+    rows = lambda *lines: [r[2:] for r in signal.wig_rows(lines, resolution=5)]
+    fixed = "fixedStep chrom=c start={} step={} span={}".format
+    assert rows(fixed(6, 5, 5), "1", "2", fixed(16, 3, 3), "3", "fixedStep chrom=d span=5 step=5", "4") == [(5, 10, 1.0), (10, 15, 2.0), (15, 18, 3.0), (0, 5, 4.0)]
+    assert rows(fixed(1, 3, 3), "1", fixed(6, 5, 5), "2") == [(0, 3, 1.0), (5, 10, 2.0)]
+    for wrong, lines in {
+        "multiple": [fixed(2, 5, 5)], "resolution": [fixed(1, 3, 3), "1", "2"], "before": [fixed(6, 5, 5), "1", fixed(1, 5, 5), "1"], "equals": ["fixedStep chrom=c step=5", "1"],
+        "last block": ["variableStep chrom=c span=3", "1 1", "variableStep chrom=c span=5", "11 1"], "goes on": [fixed(1, 5, 5), "1", "variableStep chrom=c span=5", "11 1"], "header": ["1"],
+    }.items():
+        with pytest.raises(ValueError, match=wrong):
+            rows(*lines)
+
+
 def test_assembly(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# ucsc\tgenbank\nchr1\tCM1\nchrM\t\n")
     assert {tuple(r) for r in assembly.chrom_aliases(spark, str(tmp_path / "a.txt")).collect()} == {("chr1", "ucsc", "chr1"), ("chr1", "genbank", "CM1"), ("chrM", "ucsc", "chrM")}

@@ -96,3 +96,51 @@ def test_stream(spark, tmp_path):
     query.stop()
     got = {r["shift"]: r["count"] for r in spark.table("dist").collect()}
     assert got == {0: 10, -1: 10, -2: 10, 2: 30}
+
+
+SEGMENT = "seg_id long, dis_id long, seg_start long, seg_end long, same boolean"
+
+
+def test_segments(spark):
+    parts = splice.build(spark.createDataFrame([(1, "c", "-", 10, 15), (1, "c", "-", 20, 24), (2, "c", "+", 0, 6)], "dis_id long, chrom string, strand string, start_pos long, end_pos long"))
+    segs = spark.createDataFrame([(1, 1, 0, 9, True), (2, 1, 2, 5, False), (3, 2, -2, 8, True), (4, 2, 9, 12, False), (5, 2, 3, 3, True)], SEGMENT)
+    rows = lambda df: {r[0]: tuple(r)[1:] for r in df.collect()}
+    ends = lambda df: rows(df.select("seg_id", "seg_start", "seg_end"))
+    assert ends(splice.shifted(segs, 2)) == {1: (2, 11), 2: (0, 3), 3: (0, 10), 4: (7, 10), 5: (5, 5)}
+    assert ends(splice.expanded(segs, 1, 2)) == {1: (-1, 11), 2: (0, 6), 3: (-3, 10), 4: (7, 13), 5: (2, 5)}
+    with pytest.raises(Exception, match="less than nothing"):
+        splice.expanded(segs, -1).collect()
+    grown = splice.expand_coord(parts, 3, 1)
+    assert sorted((r["dis_id"], r["ord"], r["start_pos"], r["end_pos"], r["cum"], r["total"]) for r in grown.collect()) == [(1, 0, 20, 27, 0, 13), (1, 1, 9, 15, 7, 13), (2, 0, -3, 7, 0, 10)]
+    assert ends(splice.after_expand_coord(parts, segs, 3, 1)) == {1: (0, 13), 2: (5, 8), 3: (1, 11), 4: (12, 15), 5: (6, 6)}
+    with pytest.raises(ValueError):
+        splice.expand_coord(parts, -1)
+    text = "ACGGTTANCACCTTGGAACCTGATCAAGTC"
+    chunks = spark.createDataFrame([("c", i // 4, text[i : i + 4]) for i in range(0, len(text), 4)], "chrom string, chunk long, seq string")
+    sizes = spark.createDataFrame([("c", len(text))], "chrom string, size long")
+    rc = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    whole = rc(text[20:24]) + rc(text[10:15])
+    assert rows(splice.spliced_dna(parts, segs, chunks, sizes, 4)) == {1: (whole,), 2: (rc(whole[2:5]),), 3: ("NN" + text[:6] + "NN",), 4: ("NNN",), 5: ("",)}
+    with pytest.raises(Exception, match="outside"):
+        splice.spliced_dna(parts, segs, chunks, sizes, 4, outside=False).collect()
+    pair = segs.alias("a").join(segs.alias("b"), F.expr("a.seg_id = 1 and b.seg_id = 2"))
+    with pytest.raises(Exception, match="different"):
+        pair.select(splice.within("a", "b")).collect()
+    assert rows(splice.properties(parts, segs))[2] == (9, 3, 5, 2, "+")
+    with pytest.raises(ValueError):
+        splice.from_transcripts({}, "introns")
+
+
+def test_types_dimensions_and_strands(spark):
+    with pytest.raises(ValueError, match="int8"):
+        tr.as_dtype(F.lit(1.0), "u8", "int8")
+    blocks = spark.createDataFrame([("c", "-", 4, 6, [1.0, 2.0, 3.0, 4.0]), ("c", "+", 5, 6, [7.0, 8.0])], "chrom string, strand string, start_pos long, end_pos long, values array<double>")
+    windows = spark.createDataFrame([(1, "c", "-", 3, 6), (2, "c", "+", 5, 7)], "q_id long, q_chrom string, q_strand string, q_start long, q_end long")
+    track = tr.Track(default=-1.0, stranded=True, dim=2)
+    read = lambda how: [r["value"] for r in tr.decode(tr.placed(blocks, how, 2), windows, track).orderBy("q_id", "i", "dim").collect()]
+    assert read("strand_aware") == [1, 2, 3, 4, -1, -1, 7, 8, -1, -1]
+    assert read("strand_unaware") == [3, 4, 1, 2, -1, -1, 7, 8, -1, -1]
+    with pytest.raises(Exception, match="single-stranded"):
+        read("single_stranded")
+    with pytest.raises(ValueError):
+        tr.placed(blocks, "both")

@@ -108,3 +108,24 @@ def test_parse(spark):
     texts = ["chr1:1,001:a:-", "chr2:5:.:gt", "chr1:x:A:C", "chr1:5:A", "chr1:7:AZ:C"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(va.parse(F.col("t")).alias("v")).collect()
     assert [r["v"] and tuple(r["v"]) for r in rows] == [("chr1", 1000, 1001, "A", ""), ("chr2", 4, 4, "", "GT"), None, None, None]
+
+
+def test_spanning(spark):
+    """Against lengths counted base by base for variants that lie within a stretch."""
+    from strandlake.operators import variants as va
+
+    schema = "p_id long, chrom string, x_start long, x_end long, x_anchor long, x_offset long, y_start long, y_end long, y_anchor long, y_offset long"
+    pairs = [
+        (1, "c", 100, 150, 100, 0, 200, 250, None, 0), (2, "c", 100, 150, None, 0, 200, 250, None, 0), (3, "c", 200, 250, None, 0, 100, 150, 100, 0), (4, "c", 300, 350, 340, 0, 200, 250, None, 0),
+        (5, "c", 300, 350, 320, 0, 400, 450, 430, 0), (6, "c", 400, 450, 430, 0, 300, 350, 320, 0), (7, "c", 100, 150, 100, 4, 200, 250, None, 0), (8, "d", 1, 5, 3, 0, 8, 9, None, 0), (9, "c", 100, 150, 100, 99, 200, 250, None, 0),
+    ]
+    v = [("c", 100, "", "N" * 10), ("c", 310, "ACGT", ""), ("c", 410, "", "GG"), ("c", 500, "A", ""), ("c", 330, "CA", "CATT")]
+    got = va.spanning(spark.createDataFrame(pairs, schema), spark.createDataFrame(v, "chrom string, start_pos long, ref string, alt string"))
+    rows = {r[0]: tuple(r)[1:] for r in got.collect()}
+    # 310 loses four bases and 332 gains two before 340; between 320 and 430 there are four more
+    assert rows == {
+        1: (100, 260, 100, 0), 2: (100, 250, None, None), 3: (100, 260, 100, 0), 4: (340 - (340 - 200 - 4 + 2), 350, 340, 0), 5: (300, 454, 320, 0), 6: (300, 454, 320, 0), 7: (100, 256, 100, 4), 8: (1, 9, 3, 0), 9: (100, 250, 100, 99),
+    }
+    bad = spark.createDataFrame([(1, "c", 100, 150, 160, 0, 200, 250, None, 0)], schema)
+    with pytest.raises(Exception, match="outside"):
+        va.spanning(bad, spark.createDataFrame(v, "chrom string, start_pos long, ref string, alt string")).collect()
