@@ -47,12 +47,17 @@ def _index(rows: DataFrame, name: str) -> DataFrame:
     return rows.join(base, "chrom").withColumn(name, (F.col("_base") + F.row_number().over(w) - 1).cast("long")).drop("_base")
 
 
-def tables(text: DataFrame) -> dict[str, DataFrame]:
+def tables(text: DataFrame, orphaned: str = "error") -> dict[str, DataFrame]:
     """genes, transcripts, exons, cdss and utrs from text(value) of GFF3 lines.
 
     A row is a gene or a transcript by its type or its ID's prefix; ids lose their prefix.
-    Untyped parents and children without a parent are dropped by the joins; orphans() lists them.
+    Children of rows of other types are left out. A transcript, exon or CDS whose parent isn't
+    there is an error, as is a CDS outside the exons of its transcript, unless orphaned is
+    "exclude"; orphans() lists the former.
     """
+    if orphaned not in ("error", "exclude"):
+        raise ValueError(f"orphans are an error or excluded: {orphaned}")
+    strict = orphaned == "error"
     rows = lines(text)
     a = lambda n, default=None: attribute(F.col("attributes"), n, default)
     rows = rows.withColumns({"ID": a("ID"), "Parent": a("Parent"), "chrom": F.col("seqid")})
@@ -68,18 +73,36 @@ def tables(text: DataFrame) -> dict[str, DataFrame]:
         level.alias("level"), support_level(a("transcript_support_level")).alias("tsl"), a("ccdsid").alias("ccds_id"), a("protein_id").alias("protein_id"), a("product").alias("product"),
     )
     of = genes.select("_gene", "gene_idx", F.col("type").alias("_type"))
-    trans = _index(trans.join(of, "_gene").withColumn("type", F.coalesce("type", "_type")).drop("_gene", "_type"), "tran_idx")
+    # every ID that can be a parent, so that a parent of another type is told from none; an error only where a child names none of them
+    named = rows.where(F.col("ID").isNotNull() & ~F.col("type").isin("exon", "CDS")).select(F.col("ID").alias("_parent")).distinct()
+
+    def of_parents(children: DataFrame, key: DataFrame, index: str) -> DataFrame:
+        """children with the columns of key, both by _parent."""
+        if not strict:
+            return children.join(key, "_parent").drop("_parent")
+        there = named.join(key, "_parent", "left").withColumn("_there", F.lit(True))
+        met = children.join(there, "_parent", "left")
+        missing = F.raise_error(F.concat(F.lit("a parent that isn't there: "), F.coalesce("_parent", F.lit("")))).cast("long")
+        return met.withColumn(index, F.when(F.col("_there") | F.col("_parent").isNull(), F.col(index)).otherwise(missing)).where(F.col(index).isNotNull()).drop("_parent", "_there")
+
+    trans = of_parents(trans.withColumnRenamed("_gene", "_parent"), of.withColumnRenamed("_gene", "_parent"), "gene_idx")
+    trans = _index(trans.withColumn("type", F.coalesce("type", "_type")).drop("_type"), "tran_idx")
     key = trans.select(F.col("_tran").alias("_parent"), "tran_idx")
 
     def children(kind: str, *more: Column) -> DataFrame:
         c = rows.where(F.col("type") == kind).select(*place, F.explode(F.split("Parent", ",")).alias("_parent"), F.col("ID").alias("id"), *more)
-        return c.join(key, "_parent").drop("_parent")
+        return of_parents(c, key, "tran_idx")
 
     w = Window.partitionBy("tran_idx").orderBy(downstream())
     exons = children("exon").withColumn("index", F.row_number().over(w).cast("long") - 1)
     cdss = children("CDS", F.col("phase").try_cast("tinyint").alias("phase"), a("protein_id").alias("protein_id"))
     inside = exons.select("tran_idx", F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"), F.col("index").alias("exon_index"))
-    cdss = cdss.join(inside, "tran_idx").where("start_pos >= _s AND end_pos <= _e").drop("_s", "_e")
+    held = (F.col("start_pos") >= F.col("_s")) & (F.col("end_pos") <= F.col("_e"))
+    if strict:
+        met = cdss.alias("c").join(inside.alias("i"), (F.col("c.tran_idx") == F.col("i.tran_idx")) & held, "left").select("c.*", "i.exon_index")
+        cdss = met.withColumn("exon_index", F.coalesce("exon_index", F.raise_error(F.lit("a CDS outside the exons of its transcript")).cast("long")))
+    else:
+        cdss = cdss.join(inside, "tran_idx").where(held).drop("_s", "_e")
     return {"genes": genes.drop("_gene"), "transcripts": trans.drop("_tran"), "exons": exons, "cdss": cdss, "utrs": utrs(exons, cdss)}
 
 

@@ -22,7 +22,7 @@ def text(spark):
 
 
 def test_gff(text):
-    t = gff.tables(text(GFF))
+    t = gff.tables(text(GFF), orphaned="exclude")
     (gene,) = t["genes"].collect()
     assert (gene["id"], gene["name"], gene["type"], gene["level"], gene["start_pos"], gene["end_pos"]) == ("G1.2", "ABC", "protein_coding", 1, 100, 400)
     (tran,) = t["transcripts"].collect()
@@ -31,6 +31,20 @@ def test_gff(text):
     assert [(r["start_pos"], r["exon_index"], r["phase"]) for r in t["cdss"].orderBy("exon_index").collect()] == [(300, 0, 0), (150, 1, 2)]
     assert {(r["side"], r["start_pos"], r["end_pos"]) for r in t["utrs"].collect()} == {(5, 350, 400), (3, 100, 150)}
     assert gff.orphans(text(GFF)).count() == 1
+    # without the orphan both ways agree; a repeated row stays repeated, and children of other types' rows are left out
+    fine = GFF.rsplit("\n", 2)[0] + "\nc1\thavana\tCDS\t301\t350\t.\t-\t0\tID=c1;Parent=transcript:T1\nc1\tx\tregion\t1\t900\t.\t+\t.\tID=r\nc1\tx\texon\t1\t9\t.\t+\t.\tID=e9;Parent=r\n"
+    one, two = (gff.tables(text(fine), orphaned=how) for how in ("error", "exclude"))
+    for name in one:
+        assert sorted(map(str, one[name].select(*two[name].columns).collect())) == sorted(map(str, two[name].collect()))
+    assert one["cdss"].count() == 3 and one["exons"].count() == 2
+    with pytest.raises(Exception, match="parent that isn't there: transcript:none"):
+        gff.tables(text(GFF))["exons"].collect()
+    with pytest.raises(Exception, match="isn't there: gene:G1"):
+        gff.tables(text("\n".join(GFF.splitlines()[2:-1])))["transcripts"].collect()
+    with pytest.raises(Exception, match="outside the exons"):
+        gff.tables(text(fine.replace("CDS\t151", "CDS\t99")))["cdss"].collect()
+    with pytest.raises(ValueError):
+        gff.tables(text(GFF), orphaned="warn")
 
 
 def test_ucsc(spark, tmp_path):
