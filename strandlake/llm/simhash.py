@@ -21,7 +21,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, bounded, forest, runs, small, stored, texts_of, tidy, whole_runs
@@ -199,18 +199,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 #: For similar_groups(): width of the shingles compared and their similarity; weak bits of a segment that keys are made with,
-#: differing bits of candidates, nearest candidates that a member of a bucket keeps, and those of a text that are compared first.
+#: and differing bits of candidates.
 VERIFY, SIMILARITY = 5, 0.8
 WEAK = 3
 NEAR = 16
-NEAREST, FIRST = 3, 4
 #: Members of a bucket that are compared in one task, and pairs held at once.
 FULL = 4096
 HELD = 1_000_000
+#: Counts of a set's hashes by their lowest bits: they tell most sets that aren't alike without a look into them.
+COUNTS = 128
 
 _PAIR = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("weak", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
-_PAIR_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
+_PAIR_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("weak", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
+_MEMBERS = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("side", pa.int8()), ("fp", pa.int64()), ("weak", pa.int64()), ("n", pa.int32()), ("node", pa.int64())])
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SETS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.binary())])
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -257,6 +259,15 @@ def soft_keys(word: np.ndarray, weak: list[np.ndarray], decoder: np.ndarray) ->
     return index
 
 
+def pair_indices(fp: np.ndarray, weak: np.ndarray, decoder: np.ndarray) -> list[np.ndarray]:
+    """The indices of each of the three segments of fingerprints, as soft_keys() gives them."""
+    index = []
+    for k, (s, w) in enumerate(SEGMENTS):
+        places = [weak >> 5 * (WEAK * (2 - k) + i) & 31 for i in range(WEAK)]
+        index.append(soft_keys((fp.view(np.uint64) >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64), places, decoder))
+    return index
+
+
 def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """If errors in two of the three segments fall on weak bits of either text, or are few, the segments' indices agree: they give a key together."""
     decoder = None
@@ -264,16 +275,29 @@ def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = golay_decoder() if decoder is None else decoder
         for at in range(0, whole.num_rows, 1 << 12):
             b = whole.slice(at, 1 << 12)
-            fp, weak = b.column(0).to_numpy().copy(), b.column(1).to_numpy()
-            index = []
-            for k, (s, w) in enumerate(SEGMENTS):
-                places = [weak >> 5 * (WEAK * (2 - k) + i) & 31 for i in range(WEAK)]
-                index.append(soft_keys((fp.view(np.uint64) >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64), places, decoder))
-            n, node = b.column(2).to_numpy(), b.column(3).to_numpy()
+            fp, weak, n, node = (b.column(i).to_numpy() for i in range(4))
+            index = pair_indices(fp, weak, decoder)
             for k in range(3):
                 one, two = index[k][:, :, None], index[(k + 1) % 3][:, None, :]
                 row, i, j = np.nonzero((one >= 0) & (two >= 0))
-                yield batch(_PAIR_KEYS, (k << 24) | (one[row, i, 0] << 12) | two[row, 0, j], fp[row], n[row], node[row])
+                yield batch(_PAIR_KEYS, (k << 24) | (one[row, i, 0] << 12) | two[row, 0, j], fp[row], weak[row], n[row], node[row])
+
+
+def first_keys(index: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that the rows a and b share, or -1: a pair belongs to one bucket only."""
+    out = np.full(len(a), -1)
+    none = 1 << 12
+    for at in range(0, len(a), 1 << 14):
+        piece = slice(at, at + (1 << 14))
+        common = []
+        for x in index:
+            one, two = x[a[piece]], x[b[piece]]
+            there = (one[:, :, None] == two[:, None, :]).any(axis=2) & (one >= 0)
+            common.append(np.where(there, one, none).min(axis=1))
+        for k in (2, 1, 0):
+            one, two = common[k], common[(k + 1) % 3]
+            out[piece] = np.where((one < none) & (two < none), (k << 24) | (one << 12) | two, out[piece])
+    return out
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -293,82 +317,147 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = forest(n, a[every], b[every])
 
 
-def _worth(pairs: np.ndarray, n: int) -> np.ndarray:
-    """Of pairs (bits, a, b): each one's NEAREST, and the lightest spanning forest."""
-    pairs = np.unique(pairs, axis=0)  # in order of bits
-    keep = np.zeros(len(pairs), bool)
-    keep[spanning(n, pairs[:, 1], pairs[:, 2])] = True
-    ends = np.concatenate([pairs[:, 1], pairs[:, 2]])
-    order = np.lexsort((np.tile(np.arange(len(pairs)), 2), ends))
-    start, length = runs(ends[order])
-    rank = np.arange(len(order)) - np.repeat(start, length)
-    keep[order[rank < NEAREST] % len(pairs)] = True
-    return pairs[keep]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in whole_runs(batches, ["key", "block"]):
-        key = t.column("key").to_numpy() * 1_000_003 + t.column("block").to_numpy()
-        fp, size, node = (t.column(c).to_numpy() for c in ("fp", "n", "node"))
-        start, length = runs(key)
-        keep = np.repeat(length > 1, length)
-        key, fp, size, node = key[keep], fp[keep].view(np.uint64), size[keep], node[keep]
-        nodes, name = np.unique(node, return_inverse=True)
-        found, held, step = [np.zeros((0, 3), np.int64)], 0, 1
-        at = np.arange(len(key))
+class _Buckets:
+    """Some whole buckets of _MEMBERS: their candidate pairs, a row's with those that follow in its bucket."""
+
+    def __init__(self, t: pa.Table, decoder: np.ndarray, similarity: float):
+        start, length = runs(t.column("key").to_numpy() * 1_000_003 + t.column("block").to_numpy())
+        self.table = t = t.filter(pa.array(np.repeat(length > 1, length)))
+        self.key, block, self.side, fp, self.weak, self.size, self.node = (t.column(c).to_numpy() for c in _MEMBERS.names)
+        self.bucket, self.fp = self.key * 1_000_003 + block, fp.view(np.uint64)
+        self.decoder, self.similarity = decoder, similarity
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of rows and their bits: near by their fingerprints, of sizes that may be alike. Rows of one block meet in one of its tasks."""
+        step, at = 1, np.arange(len(self.bucket))
         while True:
-            at = at[at + step < len(key)]
-            at = at[key[at + step] == key[at]]
+            at = at[at + step < len(self.bucket)]
+            at = at[self.bucket[at + step] == self.bucket[at]]
             if not len(at):
-                break
-            bits = np.bitwise_count(fp[at] ^ fp[at + step])
+                return
+            bits = np.bitwise_count(self.fp[at] ^ self.fp[at + step])
+            near = np.flatnonzero(bits <= NEAR)
+            a = at[near]
+            b = a + step
             # sets whose sizes differ more can't be alike
-            near = (bits <= NEAR) & (np.minimum(size[at], size[at + step]) >= SIMILARITY * np.maximum(size[at], size[at + step])) & (name[at] != name[at + step])
-            i, j = name[at[near]], name[at[near] + step]
-            found.append(np.stack([bits[near].astype(np.int64), np.minimum(i, j), np.maximum(i, j)], 1))
-            held += len(i)
-            if held > HELD:
-                found = [_worth(np.concatenate(found), len(nodes))]
-                held = 0
+            fit = np.minimum(self.size[a], self.size[b]) >= self.similarity * np.maximum(self.size[a], self.size[b])
+            fit &= ((self.side[a] == 0) | (self.side[a] != self.side[b])) & (self.node[a] != self.node[b])
+            yield a[fit], b[fit], bits[near][fit]
             step += 1
-        pairs = _worth(np.concatenate(found), len(nodes))
-        if len(pairs):
-            yield batch(_EDGES, nodes[pairs[:, 1]], nodes[pairs[:, 2]], pairs[:, 0].astype(np.int32))
 
+    def own(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs belong to their bucket."""
+        if not len(a):
+            return np.zeros(0, bool)
+        rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        index = pair_indices(self.fp[rows], self.weak[rows], self.decoder)
+        return first_keys(index, at[: len(a)], at[len(a) :]) == self.key[a]
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [shingles(t.lower().split()) for t in texts_of(b.column(0))]
-        names = np.array([_name(f) for f in found], np.uint64).reshape(-1, 2).view(np.int64)
-        yield batch(_SETS, *names.T, [np.unique(f.astype(np.uint32)).tobytes() for f in found])
+
+def _paired(similarity: float):
+    """The members of buckets that have a candidate there. Many share their bucket with others: no pair is handed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = None
+        for t in whole_runs(batches, ["key", "block"]):
+            decoder = golay_decoder() if decoder is None else decoder
+            some = _Buckets(t, decoder, similarity)
+            marked, held, size = np.zeros(len(some.key), bool), [], 0
+
+            def settle(held, some=some, marked=marked):
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                own = some.own(a, b)
+                marked[a[own]] = marked[b[own]] = True
+
+            for a, b, _ in some.pairs():
+                new = ~(marked[a] & marked[b])
+                held.append((a[new], b[new]))
+                size += int(new.sum())
+                if size > 1 << 16:
+                    settle(held)
+                    held, size = [], 0
+            if held:
+                settle(held)
+            if marked.any():
+                yield from some.table.filter(pa.array(marked)).select(_MEMBERS.names).to_batches()
+
+    return run
 
 
-def _alike(similarity: float):
-    """Pairs whose sets, of 32 bits a shingle, are alike."""
+def _linked(similarity: float):
+    """Links that span what the candidate pairs of a bucket link: every pair whose ends aren't linked yet is compared by its sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(texts_of(b.column("x")), texts_of(b.column("y")), strict=True)):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both >= similarity * (len(x) + len(y) - both)
-            yield batch(schema, b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep)))
+        decoder = None
+        for t in whole_runs(batches, ["key", "block"]):
+            decoder = golay_decoder() if decoder is None else decoder
+            some = _Buckets(t, decoder, similarity)
+            sets = [np.frombuffer(x, np.uint32) for x in texts_of(some.table.column("shingles"))]
+            lengths = np.array([len(x) for x in sets], np.int64)
+            counts = np.array([np.bincount(x & np.uint32(COUNTS - 1), minlength=COUNTS) for x in sets], np.int32).reshape(-1, COUNTS)
+            nodes, name = np.unique(some.node, return_inverse=True)
+            label = np.arange(len(nodes))
+
+            def alike(a, b, sets=sets, lengths=lengths, counts=counts):
+                total = lengths[a] + lengths[b]
+                # sets differ in as many hashes at least as their counts do
+                apart = np.concatenate([np.abs(counts[a[k : k + 4096]] - counts[b[k : k + 4096]]).sum(axis=1) for k in range(0, len(a), 4096)])
+                good = (total - apart) // 2 >= similarity * (total - (total - apart) // 2)
+                for k in np.flatnonzero(good).tolist():
+                    both = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
+                    good[k] = both >= similarity * (total[k] - both)
+                return good
+
+            def settle(held, label, some=some, name=name, alike=alike):
+                a, b, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+                own = some.own(a, b)
+                order = np.argsort(bits[own], kind="stable")
+                a, b, more = a[own][order], b[own][order], 0
+                while True:
+                    open_ = label[name[a]] != label[name[b]]
+                    a, b = a[open_], b[open_]
+                    if not len(a):
+                        return label
+                    # a lightest forest first; if that fails, more and more of the others
+                    now = np.zeros(len(a), bool)
+                    now[spanning(len(label), label[name[a]], label[name[b]])] = True
+                    now[:more] = True
+                    good = alike(a[now], b[now])
+                    label = forest(len(label), np.concatenate([np.arange(len(label)), name[a[now][good]]]), np.concatenate([label, name[b[now][good]]]))
+                    a, b, more = a[~now], b[~now], 2 * more + len(name)
+
+            held, size = [], 0
+            for a, b, bits in some.pairs():
+                open_ = label[name[a]] != label[name[b]]
+                held.append((a[open_], b[open_], bits[open_]))
+                size += int(open_.sum())
+                if size > HELD:
+                    label, held, size = settle(held, label), [], 0
+            if size:
+                label = settle(held, label)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            if len(moved):
+                yield batch(_LINKS, nodes[moved], nodes[label[moved]])
 
     return run
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [shingles(t.lower().split()) for t in texts_of(b.column(0))]
+        names = np.array([_name(f) for f in found], np.uint64).reshape(-1, 2).view(np.int64)
+        yield batch(_SETS, *names.T, [np.unique(f.astype(np.uint32)).tobytes() for f in found])
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, component_id, for texts linked by a Jaccard similarity of their sets of
     five-word shingles of at least `similarity`.
 
     Texts of equal sets are one node. Candidates are fingerprints over three words that share the Golay indices of two segments, made
     with the segments' weakest bits turned either way, and differ in NEAR bits at most; sets whose sizes rule the
-    similarity out are passed over. A bucket hands on each member's nearest and a lightest spanning forest, never all its pairs.
-    Of a text's candidates the FIRST nearest are compared by their sets; of the others only those that aren't in one group by
-    then. Every link is verified; a link is lost only if its texts share no key, or lie in a crowded bucket behind
-    nearer candidates that aren't alike.
+    similarity out are passed over. A pair belongs to the bucket of the first key that it shares. Buckets hand on those members
+    that have a candidate, and get them back with their sets: there every candidate is compared whose ends aren't in one group by
+    then, however many a text has, and links that span what was found are handed on. A link is lost only if its texts share no key, or differ in more than NEAR bits.
 
     component_id is the smallest doc_id of a group. Null and empty texts are alike; rows without a doc_id
     link with nothing; repeated rows stay; other columns are ignored; an empty table gives an empty result.
@@ -380,37 +469,28 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     classes = stored(classes.withColumnRenamed("doc_id", "rep"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # keys are made twice, to be counted and to be joined: that costs less than storing them
-    keys = classes.select("fp", "weak", "n", "node").repartition(n, "fp").mapInArrow(tidy(_pair_keys), "key long, fp long, n int, node long")
+    keys = classes.select("fp", "weak", "n", "node").repartition(n, "fp").mapInArrow(tidy(_pair_keys), "key long, fp long, weak long, n int, node long")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL)
     full = stored(counts.select("key", F.ceil(F.col("n") / (FULL / 2)).cast("int").alias("blocks")))
+    none = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("byte").alias("side"))
     if full.isEmpty():
-        keys = keys.withColumn("block", F.lit(0).cast("long"))
+        keys = keys.select("*", none.alias("at"))
     else:
-        # every two blocks of a full bucket meet in a task of their own
+        # every two blocks of a full bucket meet in a task of their own; a block's own pairs in that with itself
         keys = keys.join(small(full), "key", "left")
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own))
-        keys = keys.withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs))).drop("blocks")
-    near = keys.repartition(n, "key", "block").sortWithinPartitions("key", "block").mapInArrow(tidy(_candidates), "a long, b long, bits int")
-    best = Window.partitionBy("b").orderBy("bits", "a")  # a node has as many rows as it has keys, some hundreds at most
-    edges = stored(near.distinct().withColumn("first", F.row_number().over(best) <= FIRST))
-
-    nodes = stored(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().join(classes.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("node"), "rep", "s1", "s2"))
+        side = lambda i: F.when(i == own, 0).when(i > own, 1).otherwise(2).cast("byte").alias("side")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct((F.least(i, own).cast("long") * F.col("blocks") + F.greatest(i, own)).alias("block"), side(i)))
+        keys = keys.withColumn("at", F.explode(F.when(F.col("blocks").isNull(), F.array(none)).otherwise(pairs)))
+    keys = keys.select("key", "at.block", "at.side", "fp", "weak", "n", "node")
+    dealt = lambda rows: rows.repartition(n, "key", "block").sortWithinPartitions("key", "block")
+    members = stored(dealt(keys).mapInArrow(tidy(_paired(similarity)), "key long, block long, side byte, fp long, weak long, n int, node long"))
+
+    nodes = stored(members.select("node").distinct().join(classes, "node").select("node", "rep", "s1", "s2"))
     texts = docs.join(small(nodes.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
     sets = texts.mapInArrow(tidy(_sets), "s1 long, s2 long, shingles binary").dropDuplicates(["s1", "s2"])
     sets = stored(sets.join(small(nodes.select("node", "s1", "s2")), ["s1", "s2"]).select("node", "shingles"))
-
-    def verified(some: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return some.select("a", "b").join(one, "a").join(two, "b").mapInArrow(tidy(_alike(similarity)), "a long, b long")
-
-    sure = stored(verified(edges.where("first")))
-    label = components(sure)
-    where = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rest = edges.where("not first").join(where("a"), "a", "left").join(where("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    more = stored(verified(rest))
-    if not more.isEmpty():
-        label = components(sure.unionByName(more))
+    label = components(stored(dealt(members.join(sets, "node")).mapInArrow(tidy(_linked(similarity)), "a long, b long")))
     label = stored(label)
     grouped = label.unionByName(label.select(F.col("component").alias("node"), "component").distinct()).join(classes, "node").select("component", "rep", "s1", "s2")
     named = grouped.join(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("s1", "s2", "component_id")

@@ -212,6 +212,44 @@ def test_similar_recall_near_the_threshold(spark):
     assert all(got[i + 1] == i + 1 for i in other)
 
 
+@pytest.mark.parametrize("full", [simhash.FULL, 64])
+def test_similar_in_crowded_buckets(spark, monkeypatch, full):
+    """A repeated phrase rules the fingerprints: every text is as near to 400 that aren't alike as to its own copy, and every copy is found."""
+    monkeypatch.setattr(simhash, "FULL", full)
+    rng = random.Random(17)
+    phrase, rows = "one two three four five six seven eight nine ten".split(), []
+    for i in range(440):
+        base = phrase * 60 + [f"t{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((i, " ".join(base)))
+        if i % 11 == 0:  # copies in a chain, each like the one before
+            for k in range(3):
+                base[610 + 25 * k] = f"edit{i}x{k}"
+                rows.append((1000 + 10 * i + k, " ".join(base)))
+    wanted = dict(zip([i for i, _ in rows], brute_similar(rows), strict=True))
+    assert sum(i != k for i, k in wanted.items()) == 120
+    docs = documents(spark, rows).repartition(5)
+    assert dict(collect(simhash.similar_groups(docs), "doc_id", "component_id")) == wanted
+
+
+def test_pairs_belong_to_one_bucket():
+    """The first key that two fingerprints share is that of the keys made for both, and none if they share none."""
+    rng = np.random.default_rng(9)
+    fp = rng.integers(-(2**63), 2**63 - 1, 40)
+    fp = np.concatenate([fp, fp ^ (1 << rng.integers(0, 62, 40)) ^ (1 << rng.integers(0, 62, 40))])
+    weak = np.zeros(len(fp), np.int64)
+    for _ in range(9):
+        weak = weak << 5 | rng.integers(0, 21, len(fp))
+    table = simhash.pa.record_batch([fp, weak, np.ones(len(fp), np.int32), np.arange(len(fp))], names=["fp", "weak", "n", "node"])
+    keys = [set() for _ in fp]
+    for b in simhash._pair_keys(iter([table])):
+        for key, node in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+            keys[node].add(key)
+    a, b = np.triu_indices(len(fp), 1)
+    first = simhash.first_keys(simhash.pair_indices(fp, weak, simhash.golay_decoder()), a, b)
+    assert first.tolist() == [min(keys[i] & keys[j], default=-1) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert (first >= 0).sum() >= 40
+
+
 def test_similar_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (4, "c d e f g h"), (5, "A  b"), (6, "c d e f g h"), (None, "a b"), (None, None), (7, "x " * 30_000), (8, "x x x x x x x")]
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_groups(documents(spark, rows)).collect()), key=str)
