@@ -404,6 +404,64 @@ def test_exact_passages_of_frequent_lines(spark):
     assert all(wanted[i] <= found[i] for i in rows)
 
 
+def test_passages_hidden_by_documents_in_between(spark, monkeypatch):
+    """Every seed of an edited passage has a younger partner with a piece only; the passage is found with the oldest document."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    around = lambda part: " ".join([*(word() for _ in range(40)), *part, *(word() for _ in range(40))])
+    base = [word() for _ in range(60)]
+    edited = [word() if i % 10 == 9 and i < 59 else w for i, w in enumerate(base)]
+    rows = [(1, around(base)), (100, around(edited))]
+    rows += [(2 + i // 10 + 10 * k, around(edited[i : i + 9])) for i in range(0, 60, 10) for k in range(5)]
+    for common in (0, substring.COMMON):
+        monkeypatch.setattr(substring, "COMMON", common)
+        got = collect(substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "other_id", "start_word", "end_word")
+        assert got == [(100, 1, 40, 100)]
+
+
+@pytest.mark.parametrize("common", [0, 16])
+def test_passages_with_every_older_document(spark, monkeypatch, common):
+    """Every seed of a piece that any older document gives lies in a passage."""
+    monkeypatch.setattr(substring, "COMMON", common)
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    bases = [[word() for _ in range(rng.randrange(30, 120))] for _ in range(8)]
+    bases.append([word()] * 70)
+    rows = []
+    for i in range(90):
+        text = [word() for _ in range(rng.randrange(30))]
+        for base in rng.sample(bases, 3):
+            low = rng.randrange(len(base) - 8)
+            text += [word() if rng.random() < 0.06 else w for w in base[low : low + rng.choice((9, 20, 40, 120))]]
+            text += [word() for _ in range(rng.randrange(40))]
+        rows.append((i, " ".join(text)))
+    rows += [(200 + i, t) for i, t in rows[::9]]
+    known = {}
+    for i, t in rows:
+        code = substring.words(t.encode())[2]
+        known[i] = code.astype("<u4"), substring.seeds(code, np.array([len(code)]))
+    expected = {}
+    for i in known:
+        found = set()
+        for j in (j for j in known if j < i):
+            (a, (ha, _, pa)), (b, (hb, _, pb)) = known[i], known[j]
+            x, y = substring._places(ha, hb)
+            none = np.zeros(len(x), np.int64)
+            for _, _, part in substring.chained(none, pa[x], none, pb[y]) if len(x) else []:
+                low, low_b = max(0, part[0, 0] - substring.MARGIN), max(0, part[0, 1] - substring.MARGIN)
+                high, high_b = part[-1, :2] + part[-1, 2] + substring.MARGIN
+                here = {p for s, t, n in part.tolist() for p in pa[x][(pa[x] - pb[y] == s - t) & (pa[x] >= s) & (pa[x] + substring.K <= s + n)].tolist()}
+                for s, e, _, _ in substring.align(a[low:high], b[low_b:high_b], part - np.array([low, low_b, 0])):
+                    if e - s >= substring.LEAST:
+                        found.update(w for p in here if s + low <= p and p + substring.K <= e + low for w in range(p, p + substring.K))
+        expected[i] = found
+    got = {i: set() for i in known}
+    for i, s, e in collect(substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "start_word", "end_word"):
+        got[i].update(range(s, e))
+    assert sum(map(len, expected.values())) > 1000
+    assert not [i for i in known if expected[i] - got[i]]
+
+
 def test_fuzzy_passages(spark):
     """Of passages of 100 words with 12 % changed at random, nearly all are found; the seeds leave 94 % in simulations."""
     rng = random.Random(13)
