@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -462,6 +463,31 @@ def test_passages_with_every_older_document(spark, monkeypatch, common):
     assert not [i for i in known if expected[i] - got[i]]
 
 
+def test_words_said_over_and_over_meet_one_older_class(spark):
+    """Of a run of a word one older class is asked for; the runs are found all the same, the oldest document's by shorter ones."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = [(i, " ".join([*(word() for _ in range(40)), *["the"] * rng.randrange(20, 45), *(word() for _ in range(40))])) for i in range(60)]
+    classes = []
+    for i, t in rows:
+        code = substring.words(t.encode())[2]
+        seed, _, pos = substring.seeds(code, np.array([len(code)]))
+        at = np.flatnonzero(seed == substring.seeds(substring.words(b"the the the the the")[2], np.array([5]))[0][0])
+        context = seed[at].astype("<i8").tobytes() + (pos[at] - pos[at[0]]).astype("<i4").tobytes()
+        classes.append({"class": i, "doc": i, "last": i, "segments": context, "open": list(range(len(at)))})
+    kind = pa.schema([("class", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("segments", pa.binary()), ("open", pa.list_(pa.int32()))])
+    seeds = pa.Table.from_batches(substring._occurrences([pa.RecordBatch.from_pylist(classes, kind)])).sort_by([("class", "ascending"), ("pos", "ascending")])
+    keys = pa.Table.from_batches(substring._pair_keys(seeds.combine_chunks().to_batches())).sort_by("key")
+    met = {(r["a"], r["b"]) for b in substring._candidate_rows(keys.combine_chunks().to_batches()) for r in b.to_pylist()}
+    assert {a for a, _ in met} == set(range(1, 60)) and len(met) == 59
+
+    around = lambda *part: " ".join([*(word() for _ in range(40)), *part, *(word() for _ in range(40))])
+    rows += [(100, around(*["of"] * 20)), (101, around(*["of"] * 90)), (102, around(*["of"] * 30)), (103, around(*["of"] * 70))]
+    rows += [(200, around(*["on"] * 10, *["x1"] * 2, *["on"] * 10, *["x2"] * 2, *["on"] * 35)), (201, around(*["on"] * 60))]
+    found = collect(substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "start_word", "end_word")
+    assert found == [(101, 40, 130), (103, 40, 110), (201, 40, 100)]
+
+
 def test_fuzzy_passages(spark):
     """Of passages of 100 words with 12 % changed at random, nearly all are found; the seeds leave 94 % in simulations."""
     rng = random.Random(13)
