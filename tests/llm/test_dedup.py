@@ -488,6 +488,33 @@ def test_words_said_over_and_over_meet_one_older_class(spark):
     assert found == [(101, 40, 130), (103, 40, 110), (201, 40, 100)]
 
 
+def _class_keys(places):
+    """Keys of classes whose documents bear their numbers, from (seed, place) that all lie in no passage."""
+    rows = [(s, i, p, i, i, True, k, True) for i, x in enumerate(places) for k, (s, p) in enumerate(x)]
+    keys = pa.Table.from_batches(substring._pair_keys([substring.batch(substring._OCCURRENCES, *zip(*rows, strict=True))]))
+    return keys.sort_by("key").combine_chunks().to_batches()
+
+
+def test_lines_said_twice_meet_no_line_said_once():
+    """Seeds less than K words apart make no key: no chain can have them farther apart in the class that asks."""
+    once = [[(1, 0), (2, 2), (10 + i, 40)] for i in range(30)]
+    met = {(r["a"], r["b"]) for b in substring._candidate_rows(_class_keys([*once, [(1, 0), (2, 2), (1, 20), (2, 22)]])) for r in b.to_pylist()}
+    assert not met
+
+
+def test_classes_put_off_are_met_later():
+    """What is met at first and later is all older classes."""
+    keys = _class_keys([[(1, 0), (2, 20)]] * 50)
+    first = [r for b in substring._candidate_rows(keys, put_off=True) for r in b.to_pylist()]
+    met = {(r["a"], r["b"]) for r in first if r["b"] is not None}
+    assert met == {(i, 0) for i in range(1, 50)}
+    assert {r["a"] for r in first if r["a"] is not None and r["b"] is None} == set(range(50))
+    packed = [r for r in first if r["a"] is None]
+    rows = substring._unpacked_keys([pa.RecordBatch.from_pydict({"key": pa.array([r["key"] for r in packed]), "rows": pa.array([r["rows"] for r in packed])})])
+    later = {(r["a"], r["b"]) for b in substring._candidate_rows(rows, met=substring.OLDEST) for r in b.to_pylist()}
+    assert not met & later and met | later == {(i, j) for i in range(50) for j in range(i)}
+
+
 def test_fuzzy_passages(spark):
     """Of passages of 100 words with 12 % changed at random, nearly all are found; the seeds leave 94 % in simulations."""
     rng = random.Random(13)
