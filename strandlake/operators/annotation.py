@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import STRIDE, piece, scanned
+
 #: Biotypes by priority, the highest last.
 PRIORITY = ("non_coding", "protein_coding")
 #: Bases between transcripts from which a gene's cluster is cut.
@@ -97,12 +99,15 @@ def gene_type(column: Column) -> Column:
     return F.when(rank > 0, F.element_at(F.array(*(F.lit(p) for p in PRIORITY)), rank.cast("int")))
 
 
-def merge_touching(intervals: DataFrame, *keys: str, gap: int = 0) -> DataFrame:
-    """Runs of intervals of a key that touch (or lie within `gap`) as one: keys, start_pos, end_pos, n."""
-    w = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start_pos") > reach + gap), 1).otherwise(0)
-    island = intervals.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merge_touching(intervals: DataFrame, *keys: str, gap: int = 0, stride: int = STRIDE) -> DataFrame:
+    """Runs of intervals of a key that touch (or lie within `gap`) as one: keys, start_pos, end_pos, n.
+
+    How far the intervals before reach, and where the island that an interval belongs to begins, are scans in pieces.
+    """
+    order, at = ["start_pos", "end_pos"], [piece(F.col("start_pos"), stride)]
+    reached = scanned(intervals.select(*keys, *order), keys, order, at, {"_reach": ("max", F.col("end_pos"))})
+    new = F.when(F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach") + gap), F.col("start_pos"))
+    island = scanned(reached.withColumn("_new", new), keys, order, at, {"_island": ("max", F.col("_new"))}, inclusive=True)
     return island.groupBy(*keys, "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 

@@ -22,7 +22,7 @@ def chunked(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
 
 
 def extract(windows: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = CHUNK, outside: bool = True) -> DataFrame:
-    """windows(q_id, chrom, strand, start_pos, end_pos) with their `dna`.
+    """windows(q_id, chrom, strand, start_pos, end_pos) with their `dna`; a window for every row, equal rows included.
 
     On the minus strand the reverse complement. Beyond the chromosome N, or an error if
     `outside` isn't allowed. sizes: (chrom, size). A window meets only its own chunks.
@@ -33,20 +33,23 @@ def extract(windows: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int =
         bad = F.raise_error(F.lit("a window lies outside its chromosome")).cast("long")
         w = w.withColumn("start_pos", F.when((F.col("start_pos") >= 0) & (F.col("end_pos") <= F.col("size")), F.col("start_pos")).otherwise(bad))
     w = w.withColumns({"_s": s, "_e": F.greatest(s, e)})
+    first, last = F.floor(F.col("_s") / size), F.floor((F.col("_e") - 1) / size)
     # keep empty windows: they meet no chunk
-    spread = w.withColumn("chunk", F.explode_outer(F.when(F.col("_s") < F.col("_e"), F.sequence(F.floor(F.col("_s") / size), F.floor((F.col("_e") - 1) / size)))))
+    spread = w.withColumn("chunk", F.explode_outer(F.when(F.col("_s") < F.col("_e"), F.sequence(first, last))))
     low = F.greatest(F.col("_s") - F.col("chunk") * size, F.lit(0))
     high = F.least(F.col("_e") - F.col("chunk") * size, F.lit(size))
     part = F.substring(F.col("seq"), (low + 1).cast("int"), (high - low).cast("int"))
     met = spread.join(chunks, ["chrom", "chunk"], "left").withColumn("_part", F.when(F.col("seq").isNotNull(), F.struct("chunk", part.alias("p"))))
-    keys = [c for c in windows.columns]
-    whole = met.groupBy(*keys, "size", "_s", "_e").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
+    # equal windows meet the same chunks: each piece is kept once, and the rows tell how many windows there are
+    whole = met.groupBy(*windows.columns, "size", "_s", "_e").agg(F.array_sort(F.collect_set("_part")).alias("_parts"), F.count(F.lit(1)).alias("_n"))
     inner = F.array_join(F.transform("_parts", lambda p: p["p"]), "")
     before = F.repeat(F.lit("N"), F.least(F.greatest(-F.col("start_pos"), F.lit(0)), F.col("end_pos") - F.col("start_pos")).cast("int"))
     missing = (F.col("end_pos") - F.col("start_pos")).cast("int")
     padded = F.rpad(F.concat(before, inner), missing, "N")
     dna = F.when(missing <= 0, "").otherwise(padded)
-    return whole.withColumn("dna", F.when(F.col("strand") == "+", dna).otherwise(reverse_complement(dna))).drop("size", "_s", "_e", "_parts")
+    copies = F.when(F.col("_s") < F.col("_e"), F.col("_n") / (last - first + 1)).otherwise(F.col("_n")).cast("int")
+    shown = whole.withColumns({"dna": F.when(F.col("strand") == "+", dna).otherwise(reverse_complement(dna)), "_n": copies})
+    return shown.select(*windows.columns, "dna", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
 
 
 #: Bases that are searched at once.

@@ -1,12 +1,15 @@
-"""Positional lookups of many windows at once: skew-aware binned range joins.
+"""Positional lookups of many windows at once: range joins by classes of length.
 
 Catalyst has no range join: an overlap predicate becomes an equi-join on chromosome and
-strand with a residual filter, quadratic within a chromosome. Here both sides are
-spread over the bins that they touch and joined on (refg, chrom, strand, bin), with the
-exact predicate as the residual; a pair is kept in the first bin that both touch, so
-no distinct is needed. Lookups that align an end are plain equi-joins, and lookups of a
-single base touch one bin on the element's side. Joins of hot bins are left to
-adaptive execution, which splits them as both inputs are plain shuffles.
+strand with a residual filter, quadratic within a chromosome. Here every row has a class, the
+power of two that its length doesn't exceed, and lies at home in one bin of its class, that of
+its start. Of a pair the longer one (elements, if the classes are the same) is met at
+home by the shorter one, which probes the two or three bins of the longer one's class from which
+it can be reached. So a pair meets once, no distinct is needed, and a row of any length
+becomes a few rows: one at home and three for every longer class that the other side
+has. Which classes there are is measured, or given by a caller who knows. The exact predicate is
+the residual. Lookups that align an end are plain equi-joins. Joins of hot bins are left
+to adaptive execution, which splits them as both inputs are plain shuffles.
 """
 
 from __future__ import annotations
@@ -16,24 +19,27 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.intervals import Iv
 
-#: Bin width where the caller gives none, and the limits of one that is derived from data.
+#: Rows up to this length are of one class, unless the caller says otherwise.
 WIDTH = 1 << 10
-NARROW, BROAD = 1 << 6, 1 << 20
+#: Classes by which a window may exceed the shortest elements and still go to every bin of theirs.
+SLACK = 5
 
 
-def bin_width(elements: DataFrame) -> int:
-    """About the 95th percentile of the elements' lengths, as a power of two within limits."""
-    row = elements.agg(F.percentile_approx(F.col("end_pos") - F.col("start_pos"), 0.95).alias("p")).first()
-    want = max(NARROW, min(BROAD, int(row["p"] or 0)))
-    return 1 << (want - 1).bit_length()
+def length_class(start: Column, end: Column, width: int = WIDTH) -> Column:
+    """The class of an interval: the least n, not under that of `width`, with 2^n not under its length."""
+    return F.greatest(F.lit(max(0, (width - 1).bit_length())), F.ceil(F.log2(F.greatest(end - start, F.lit(1)))).cast("int"))
 
 
-def _bins(first: Column, last: Column) -> Column:
-    return F.explode(F.sequence(first, F.greatest(first, last)))
+def lengths(rows: DataFrame, *keys: str, start: str = "start_pos", end: str = "end_pos") -> DataFrame:
+    """keys, class, n, max_length: how many rows of each class of length there are, and the longest."""
+    n = F.col(end) - F.col(start)
+    return rows.groupBy(*keys, length_class(F.col(start), F.col(end), 1).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.max(n).alias("max_length"))
 
 
-def _floor(x: Column, width: int) -> Column:
-    return F.floor(x / F.lit(width)).cast("long")
+def length_classes(rows: DataFrame, width: int = WIDTH, start: str = "start_pos", end: str = "end_pos") -> list[int]:
+    """The classes of a side, ascending: two columns are read, and at most 63 numbers come back."""
+    least = max(0, (width - 1).bit_length())
+    return sorted({max(least, r["class"]) for r in lengths(rows, start=start, end=end).select("class").where("class is not null").collect()})
 
 
 def _unstranded(queries: DataFrame, stranded: bool, flip: bool) -> DataFrame:
@@ -46,51 +52,75 @@ def _unstranded(queries: DataFrame, stranded: bool, flip: bool) -> DataFrame:
     return queries.withColumn("q_strand", F.when(F.col("q_strand") == "-", wrong).otherwise(F.col("q_strand")))
 
 
-def _joined(elements: DataFrame, queries: DataFrame, low: Column, high: Column, q_low: Column, q_high: Column, residual: Column, width: int, how: str) -> DataFrame:
-    e = elements.withColumns({"_first": _floor(low, width), "_last": _floor(high, width)})
-    e = e.withColumn("_bin", _bins(F.col("_first"), F.col("_last")))
-    q = queries.withColumns({"_q_first": _floor(q_low, width), "_q_last": _floor(q_high, width)})
-    q = q.withColumn("_q_bin", _bins(F.col("_q_first"), F.col("_q_last")))
-    on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand")) & (F.col("_bin") == F.col("_q_bin"))
+def _spread(rows: DataFrame, prefix: str, home: bool, own: Column, low: Column, high: Column, longer: list[int], ties: bool) -> DataFrame:
+    """A row at home, and in every bin of the other side's longer classes (with `ties`, of its own class too) from which it is reached.
+
+    Adds <prefix>home, <prefix>class and <prefix>bin; `home` tells whose home it is, the elements' (true) or the queries'.
+    """
+    at = lambda x, c: F.call_function("shiftright", x.cast("long"), c)
+    place = lambda whose, c, b: F.struct(F.lit(whose).alias(f"{prefix}home"), c.alias(f"{prefix}class"), b.alias(f"{prefix}bin"))
+
+    def probes(c: Column) -> Column:
+        found = F.transform(F.sequence(at(low, c) - 1, F.greatest(at(high, c), at(low, c))), lambda b: place(not home, c, b))
+        return F.when(own <= c if ties else own < c, found).otherwise(F.slice(found, 1, 0))
+
+    places = [F.array(place(home, own, at(low, own))), *(probes(F.lit(c)) for c in longer)]
+    return rows.select("*", F.inline(F.concat(*places)))
+
+
+Classes = tuple[list[int], list[int]]
+
+
+def _joined(elements: DataFrame, queries: DataFrame, low: Column, high: Column, q_low: Column, q_high: Column, residual: Column, width: int, classes: Classes | None) -> DataFrame:
+    """Pairs for which `residual` holds; it has to imply that the stretches low to high and q_low to q_high, ends included, touch."""
+    s, e, qs, qe = "_low", "_high", "_q_low", "_q_high"
+    named, asked = elements.withColumns({s: low, e: high}), queries.withColumns({qs: q_low, qe: q_high})
+    if classes is None:
+        classes = length_classes(named, width, s, e), length_classes(asked, width, qs, qe)
+    own, q_own = length_class(F.col(s), F.col(e), width), length_class(F.col(qs), F.col(qe), width)
+    a = _spread(named, "_", True, own, F.col(s), F.col(e), classes[1], False)
+    b = _spread(asked, "_q_", False, q_own, F.col(qs), F.col(qe), classes[0], True)
+    on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand"))
+    for f in ("home", "class", "bin"):
+        on = on & (F.col(f"_{f}") == F.col(f"_q_{f}"))
     if "refg" in elements.columns and "q_refg" in queries.columns:
         on = on & (F.col("refg") == F.col("q_refg"))
-    if how == "inner":
-        on = on & (F.col("_bin") == F.greatest("_first", "_q_first"))
-    return e.join(q, on & residual, how).drop("_first", "_last", "_bin", "_q_first", "_q_last", "_q_bin")
+    return a.join(b, on & residual).drop(s, e, "_home", "_class", "_bin", qs, qe, "_q_home", "_q_class", "_q_bin")
 
 
 # elements: chrom, strand, start_pos, end_pos, ...; queries: q_chrom, q_strand, q_start, q_end, ...
 
 
-def find_overlapping(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True) -> DataFrame:
+def find_overlapping(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True, classes: Classes | None = None) -> DataFrame:
     """Pairs that share a base, or of which an empty one lies strictly inside the other."""
     s, e, qs, qe = (F.col(c) for c in ("start_pos", "end_pos", "q_start", "q_end"))
-    return _joined(elements, _unstranded(queries, stranded, True), s, F.greatest(e - 1, s), qs, F.greatest(qe - 1, qs), (s < qe) & (qs < e), width, "inner")
+    return _joined(elements, _unstranded(queries, stranded, True), s, e, qs, qe, (s < qe) & (qs < e), width, classes)
 
 
-def find_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True) -> DataFrame:
+def find_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True, classes: Classes | None = None) -> DataFrame:
     """Elements that lie within the query; an empty element on the query's 5' edge isn't found."""
     s, e, qs, qe = (F.col(c) for c in ("start_pos", "end_pos", "q_start", "q_end"))
     inside = (s >= qs) & (e <= qe) & F.when(F.col("strand") == "+", e > qs).otherwise(s < qe)
-    # an empty element at the far edge lies in the bin after the query's last base
-    return _joined(elements, _unstranded(queries, stranded, True), s, F.greatest(e - 1, s), qs, qe, inside, width, "inner")
+    return _joined(elements, _unstranded(queries, stranded, True), s, e, qs, qe, inside, width, classes)
 
 
-def _point(elements: DataFrame, queries: DataFrame, at: Column, width: int, stranded: bool) -> DataFrame:
+def _point(elements: DataFrame, queries: DataFrame, at: Column, width: int, stranded: bool, classes: Classes | None) -> DataFrame:
     qs, qe = F.col("q_start"), F.col("q_end")
-    e = elements.withColumn("_at", at)
-    out = _joined(e, _unstranded(queries, stranded, False), F.col("_at"), F.col("_at"), qs, F.greatest(qe - 1, qs), (F.col("_at") >= qs) & (F.col("_at") < qe), width, "inner")
-    return out.drop("_at")
+    e = elements.withColumn("_point", at)
+    p = F.col("_point")
+    # a base is of the least class, whatever the elements' lengths are
+    known = classes or ([max(0, (width - 1).bit_length())], length_classes(queries, width, "q_start", "q_end"))
+    return _joined(e, _unstranded(queries, stranded, False), p, p, qs, qe, (p >= qs) & (p < qe), width, known).drop("_point")
 
 
-def find_5p_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True) -> DataFrame:
+def find_5p_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True, classes: Classes | None = None) -> DataFrame:
     """Elements whose 5'-most base lies in the query."""
-    return _point(elements, queries, Iv.of().pos5, width, stranded)
+    return _point(elements, queries, Iv.of().pos5, width, stranded, classes)
 
 
-def find_3p_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True) -> DataFrame:
+def find_3p_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, stranded: bool = True, classes: Classes | None = None) -> DataFrame:
     """Elements whose 3'-most base lies in the query."""
-    return _point(elements, queries, Iv.of().pos3, width, stranded)
+    return _point(elements, queries, Iv.of().pos3, width, stranded, classes)
 
 
 def _same(elements: DataFrame, queries: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
@@ -119,27 +149,28 @@ def find_exact(elements: DataFrame, queries: DataFrame, stranded: bool = True) -
     return _same(elements, _unstranded(queries, stranded, True), (F.col("start_pos"), F.col("q_start")), (F.col("end_pos"), F.col("q_end")))
 
 
-def overlapping_any(elements: DataFrame, queries: DataFrame, width: int = WIDTH, keep: bool = True) -> DataFrame:
+def overlapping_any(elements: DataFrame, queries: DataFrame, width: int = WIDTH, keep: bool = True, classes: Classes | None = None) -> DataFrame:
     """Elements that overlap any query (semi-join), or none of them (anti-join); all columns, repeated rows stay.
 
-    Elements are put into classes of doubling length, and each into the one bin of its class
-    that its start lies in; queries go to every bin of every class from which an element
-    reaches them. So an element is one row on its side, and one join tells: nothing has to be
-    made distinct, and a long element costs no more than a short one.
+    Each element stays one row, at home in its class, and queries go to every bin of every class from which an
+    element reaches them: one join tells. Where queries are far longer than the shortest elements they would go
+    to very many bins; then the elements' distinct places are joined as pairs are, and the places found tell.
     """
     s, e, qs, qe = (F.col(c) for c in ("start_pos", "end_pos", "q_start", "q_end"))
-    longest = elements.agg(F.max(e - s).alias("n")).first()["n"] or 1
-    least = max(1, (width - 1).bit_length())
-    most = max(least, (int(longest) - 1).bit_length())
+    classes = classes or (length_classes(elements, width), length_classes(queries, width, "q_start", "q_end"))
+    where = [c for c in ("refg", "chrom", "strand", "start_pos", "end_pos") if c != "refg" or ("refg" in elements.columns and "q_refg" in queries.columns)]
+    how = "left_semi" if keep else "left_anti"
+    if classes[0] and classes[1] and classes[1][-1] > classes[0][0] + SLACK:
+        hits = find_overlapping(elements.select(*where).distinct(), queries, width, classes=classes).select(*where).distinct()
+        return elements.join(hits, where, how).select(*elements.columns)
     at = lambda x, c: F.call_function("shiftright", x.cast("long"), c)
-    number = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(F.log2(F.greatest(e - s, F.lit(1)))).cast("int")))
-    one = elements.withColumn("_class", number).withColumn("_bin", at(s, F.col("_class")))
-    q = queries.withColumn("_q_class", F.explode(F.sequence(F.lit(least), F.lit(most))))
+    one = elements.withColumn("_class", length_class(s, e, width)).withColumn("_bin", at(s, F.col("_class")))
+    q = queries.withColumn("_q_class", F.explode(F.array(*(F.lit(c) for c in classes[0])).cast("array<int>")))
     q = q.withColumn("_q_bin", F.explode(F.sequence(at(qs, F.col("_q_class")) - 1, at(F.greatest(qe - 1, qs), F.col("_q_class")))))
     on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand")) & (F.col("_class") == F.col("_q_class")) & (F.col("_bin") == F.col("_q_bin")) & (s < qe) & (qs < e)
-    if "refg" in elements.columns and "q_refg" in queries.columns:
+    if "refg" in where:
         on = on & (F.col("refg") == F.col("q_refg"))
-    return one.join(q, on, "left_semi" if keep else "left_anti").drop("_class", "_bin")
+    return one.join(q, on, how).drop("_class", "_bin")
 
 
 def allow_exclude(elements: DataFrame, allow: DataFrame | None, exclude: DataFrame | None, width: int = WIDTH) -> DataFrame:

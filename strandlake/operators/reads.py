@@ -59,14 +59,16 @@ def junctions(reads: DataFrame, cigar: str = "cigar", pos: str = "pos", before:
 
 
 def segments(reads: DataFrame, cigar: str = "cigar", pos: str = "pos") -> DataFrame:
-    """The runs between a read's gaps: segment number, start_pos, end_pos."""
+    """The runs between a read's gaps: segment number, start_pos, end_pos. Cut within each row, so equal reads stay apart and nothing is shuffled."""
     ops = reads.withColumn("_ops", operations(F.col(cigar)))
-    each = ops.select("*", F.posexplode("_ops").alias("_i", "_op"))
-    before = F.slice("_ops", F.lit(1), F.col("_i"))
-    rows = each.withColumns({"segment": F.size(F.filter(before, lambda o: o["op"] == "N")).cast("long"), "_s": F.col(pos) + consumed(before, "MDN")})
-    rows = rows.where("_op.op <> 'N'").withColumn("_e", F.col("_s") + F.when(F.col("_op.op").isin("M", "D"), F.col("_op.n")).otherwise(0))
-    keys = [c for c in reads.columns]
-    return rows.groupBy(*keys, "segment").agg(F.min("_s").alias("start_pos"), F.max("_e").alias("end_pos"))
+    gaps = F.filter(F.transform("_ops", lambda o, i: F.when(o["op"] == "N", i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    cut = ops.withColumn("_n", F.coalesce(gaps, none)).withColumns({"_from": F.concat(F.array(F.lit(0)), F.transform("_n", lambda i: i + 1)), "_to": F.concat("_n", F.array(F.size("_ops")))})
+    runs = F.transform("_from", lambda s, k: F.struct(k.cast("long").alias("segment"), s.alias("s"), (F.get(F.col("_to"), k) - s).alias("n")))
+    each = cut.withColumn("_run", F.explode(F.filter(runs, lambda r: r["n"] > 0)))
+    start = F.col(pos) + consumed(F.slice("_ops", F.lit(1), F.col("_run.s")), "MDN")
+    found = each.withColumns({"segment": F.col("_run.segment"), "start_pos": start, "_length": consumed(F.slice("_ops", F.col("_run.s") + 1, F.col("_run.n")), "MD")})
+    return found.select(*reads.columns, "segment", "start_pos", (F.col("start_pos") + F.col("_length")).alias("end_pos"))
 
 
 def overhang(value: Column, clamp: bool = True, most: int = 255) -> Column:

@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .rangejoin import find_overlapping
+from .scan import STRIDE, piece, scanned
 
 #: Bits of the dictionary and integer encodings.
 INTEGERS = {"u1": (0, 1), "u2": (0, 3), "u3": (0, 7), "u4": (0, 15), "u5": (0, 31), "u6": (0, 63), "u8": (0, 255), "i8": (-128, 127)}
@@ -173,27 +174,38 @@ def histogram(values: DataFrame, *more: str) -> DataFrame:
     return rows.withColumn("value", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value"))).groupBy(*more, "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def sparsified(positions: DataFrame, track: Track, min_run: int = MIN_RUN, min_delta: float = MIN_DELTA) -> DataFrame:
+def runs(positions: DataFrame, state: Column, adjacent: bool = True, stride: int = STRIDE) -> DataFrame:
+    """positions(chrom, strand, pos, ...) with `run`: where the run of one state begins that they lie in.
+
+    A run goes on at the next row of the strand, or, if `adjacent`, at the next position only. Runs of any length are found by scans in
+    pieces, so a chromosome is many tasks' work.
+    """
+    keys, at = ["chrom", "strand"], [piece(F.col("pos"), stride)]
+    p = scanned(positions.withColumn("_state", state), keys, ["pos"], at, {"_last": ("max", F.struct("pos", "_state"))})
+    goes_on = F.col("_last._state").eqNullSafe(F.col("_state")) & F.col("_last").isNotNull()
+    if adjacent:
+        goes_on = goes_on & (F.col("_last.pos") == F.col("pos") - 1)
+    return scanned(p.withColumn("_new", F.when(~goes_on, F.col("pos"))), keys, ["pos"], at, {"run": ("max", F.col("_new"))}, inclusive=True).drop("_state", "_last", "_new")
+
+
+def sparsified(positions: DataFrame, track: Track, min_run: int = MIN_RUN, min_delta: float = MIN_DELTA, stride: int = STRIDE) -> DataFrame:
     """positions(chrom, strand, pos, value) without runs of at least min_run defaults; near-defaults become the default."""
     v = F.when(F.abs(F.col("value") - track.default) <= min_delta, F.lit(track.default)).otherwise(F.col("value"))
-    keys = ["chrom", "strand"]
-    p = positions.withColumn("value", v).withColumn("_d", F.col("value") == track.default)
-    w = Window.partitionBy(*keys).orderBy("pos")
-    change = F.when((F.lag("_d").over(w) == F.col("_d")) & (F.lag("pos").over(w) == F.col("pos") - 1), 0).otherwise(1)
-    p = p.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run"))
-    return p.withColumn("_n", n).where(~F.col("_d") | (F.col("_n") < min_run)).drop("_d", "_c", "_run", "_n")
+    p = positions.withColumn("value", v).withColumn("_d", F.coalesce(F.col("value") == track.default, F.lit(False)))
+    marked = runs(p, F.col("_d"), stride=stride)
+    # a run is counted before the shuffle; only long ones of defaults come back
+    long = marked.where("_d").groupBy("chrom", "strand", "run").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_run).drop("_n")
+    return marked.join(long.withColumn("_d", F.lit(True)), ["chrom", "strand", "run", "_d"], "left_anti").select(*positions.columns)
 
 
-def blocks_of(positions: DataFrame) -> DataFrame:
+def blocks_of(positions: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Runs of neighbouring positions as blocks: chrom, strand, start_pos, end_pos, values."""
-    w = Window.partitionBy("chrom", "strand").orderBy("pos")
-    run = positions.withColumn("_run", F.col("pos") - F.row_number().over(w))
+    run = runs(positions, F.lit(0), stride=stride)
     # a block ends at every CHUNK positions, so that no value grows with the track
-    return run.groupBy("chrom", "strand", "_run", F.floor(F.col("pos") / 8192).alias("_chunk")).agg(F.min("pos").alias("start_pos"), (F.max("pos") + 1).alias("end_pos"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values")).drop("_run", "_chunk")
+    return run.groupBy("chrom", "strand", "run", F.floor(F.col("pos") / 8192).alias("_chunk")).agg(F.min("pos").alias("start_pos"), (F.max("pos") + 1).alias("end_pos"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values")).drop("run", "_chunk")
 
 
-def overlapping_blocks(blocks: DataFrame) -> DataFrame:
+def overlapping_blocks(blocks: DataFrame, stride: int = STRIDE) -> DataFrame:
     """Blocks that begin before one of their chromosome and strand has ended: none in a valid track."""
-    w = Window.partitionBy("chrom", "strand").orderBy("start_pos", "end_pos")
-    return blocks.withColumn("_reach", F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("start_pos < _reach").drop("_reach")
+    found = scanned(blocks, ["chrom", "strand"], ["start_pos", "end_pos"], [piece(F.col("start_pos"), stride)], {"_reach": ("max", F.col("end_pos"))})
+    return found.where("start_pos < _reach").drop("_reach")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import annotation as an
 from strandlake.operators import catalog as cat
+from strandlake.operators import rangejoin as rj
+from strandlake.operators import tracks as tr
 
 from .relations import EXON, cte, exons, relation, table
 
@@ -102,10 +104,9 @@ def contigs(spark, d):
 def sparse_runs(spark, d):
     """Runs of defaults that are long enough to be left out."""
     p = table(spark, d, "events").select(F.col("event_type").alias("chrom"), F.col("event_id").alias("pos"), F.when(F.col("value") < 40, 0.0).otherwise(1.0).alias("value"))
-    w = Window.partitionBy("chrom").orderBy("pos")
-    run = F.row_number().over(w) - F.row_number().over(Window.partitionBy("chrom", "value").orderBy("pos"))
-    g = p.withColumn("k", run).where("value = 0").groupBy("chrom", "value", "k").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n"))
-    return g.where("n >= 4").drop("k")
+    runs = tr.runs(p.withColumn("strand", F.lit("+")), F.col("value"), adjacent=False)
+    g = runs.where("value = 0").groupBy("chrom", "value", "run").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n"))
+    return g.where("n >= 4").drop("run")
 
 
 @query("w13_rank", "SELECT o_custkey AS gene_idx, o_orderkey AS tran_idx, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS place FROM orders")
@@ -150,7 +151,8 @@ def id_pool(spark, d):
 
 @query("a12_max_length", f"{cte('iv')} SELECT chrom, strand, max(end_pos - start_pos) AS max_length FROM iv GROUP BY 1, 2")
 def max_length(spark, d):
-    return relation(spark, d, "iv").groupBy("chrom", "strand").agg(F.max(F.col("end_pos") - F.col("start_pos")).alias("max_length"))
+    """The statistic by which range joins choose their bins, summed over its classes."""
+    return rj.lengths(relation(spark, d, "iv"), "chrom", "strand").groupBy("chrom", "strand").agg(F.max("max_length").alias("max_length"))
 
 
 @query("a15_length", "SELECT count(*) AS n FROM lineitem")

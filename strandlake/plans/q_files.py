@@ -8,6 +8,7 @@ from strandlake.operators import tracks
 from strandlake.operators import reads as rd
 from strandlake.operators import variants as va
 from strandlake.operators.catalog import Genome
+from strandlake.operators.scan import piece, scanned
 from strandlake.sources import assembly, gff, sam, signal, store, twobit, vcf
 
 from . import q_annotation, q_reads, q_sequence
@@ -428,11 +429,9 @@ def struct_columns(spark, d):
 @query("w12_first_block", f"{cte('blocks')}, j AS (SELECT DISTINCT chrom, start_pos // 8192 AS jump FROM blocks) SELECT j.chrom, j.jump, min(b.start_pos) AS start_pos FROM j JOIN blocks b ON b.chrom = j.chrom AND b.end_pos >= j.jump * 8192 GROUP BY 1, 2")
 def first_block(spark, d):
     """The first block that reaches each jump: the block itself or its forerunner, from one window."""
-    from pyspark.sql import Window
-
     b = relation(spark, d, "blocks").select("chrom", "start_pos", "end_pos", F.floor(F.col("start_pos") / 8192).alias("jump"))
-    before = F.lag(F.struct("start_pos", "end_pos")).over(Window.partitionBy("chrom").orderBy("start_pos"))
-    low = F.when(before["end_pos"] >= F.col("jump") * 8192, before["start_pos"]).otherwise(F.col("start_pos"))
+    b = scanned(b, ["chrom"], ["start_pos"], [piece(F.col("start_pos"))], {"before": ("max", F.struct("start_pos", "end_pos"))})
+    low = F.when(F.col("before.end_pos") >= F.col("jump") * 8192, F.col("before.start_pos")).otherwise(F.col("start_pos"))
     return b.withColumn("low", low).groupBy("chrom", "jump").agg(F.min("low").alias("start_pos"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions.intervals import Iv
+from strandlake.operators.scan import piece, ranked
 
 from .relations import cte, relation
 
@@ -92,11 +93,9 @@ _projection("i23_with_anchor", lambda a, b: {"anchor": a.anchored(F.col("bs"), 2
 
 
 def _ordered(spark, sf_dir):
-    from pyspark.sql import Window
-
     iv = Iv.of()
-    w = Window.partitionBy("chrom").orderBy(iv.pos5, F.when(iv.plus, 1).otherwise(0), iv.pos3)
-    return relation(spark, sf_dir, "iv").select("chrom", "strand", "start_pos", "end_pos", F.dense_rank().over(w).cast("long").alias("place"))
+    rows = relation(spark, sf_dir, "iv").select("chrom", "strand", "start_pos", "end_pos")
+    return ranked(rows, ["chrom"], [iv.pos5, F.when(iv.plus, 1).otherwise(0), iv.pos3], [piece(iv.pos5)], "place")
 
 
 QUERIES["i24_order"] = _ordered

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import rangejoin as rj
+from strandlake.operators.scan import piece, ranked
 
 from .relations import cte, relation, table
 
@@ -279,9 +280,9 @@ def by_pos5(spark, d):
     from strandlake.functions.intervals import Iv
 
     iv = Iv.of()
-    w = Window.partitionBy("chrom", "strand")
-    rank = lambda *k: F.dense_rank().over(w.orderBy(*k)).cast("long")
-    return relation(spark, d, "iv").select("chrom", "strand", "start_pos", "end_pos", rank(iv.pos5, iv.pos3).alias("by_pos5"), rank(iv.pos3).alias("by_pos3"))
+    keys = ["chrom", "strand"]
+    rows = relation(spark, d, "iv").select("chrom", "strand", "start_pos", "end_pos")
+    return ranked(ranked(rows, keys, [iv.pos5, iv.pos3], [piece(iv.pos5)], "by_pos5"), keys, [iv.pos3], [piece(iv.pos3)], "by_pos3")
 
 
 @query("o02_upstream_order", f"{cte('iv')} SELECT tran_idx, strand, start_pos, end_pos, dense_rank() OVER (PARTITION BY tran_idx, chrom, strand ORDER BY CASE WHEN {P} THEN start_pos ELSE -end_pos END) AS place FROM iv")
@@ -292,8 +293,8 @@ def upstream_order(spark, d):
 
 @query("o03_source_order", f"{cte('iv')} SELECT chrom, strand, start_pos, tran_idx, dense_rank() OVER (PARTITION BY chrom ORDER BY strand, start_pos, tran_idx) AS place FROM iv")
 def source_order(spark, d):
-    w = Window.partitionBy("chrom").orderBy("strand", "start_pos", "tran_idx")
-    return relation(spark, d, "iv").select("chrom", "strand", "start_pos", "tran_idx", F.dense_rank().over(w).cast("long").alias("place"))
+    rows = relation(spark, d, "iv").select("chrom", "strand", "start_pos", "tran_idx")
+    return ranked(rows, ["chrom"], ["strand", "start_pos", "tran_idx"], [F.col("strand"), piece(F.col("start_pos"))], "place")
 
 
 @query("o04_index", "SELECT c_custkey AS row_idx, c_name AS name FROM customer WHERE c_custkey IN (5, (SELECT max(c_custkey) - 2 FROM customer))")

@@ -65,10 +65,10 @@ def clamp(spark, d):
     return relation(spark, d, "reads").select("chrom", "pos", rd.overhang(F.col("left_len") * 9).cast("long").alias("overhang"))
 
 
-@query("r06_segments", f"""{R}, u AS (SELECT DISTINCT chrom, strand, pos, left_len, skip, right_len FROM reads) SELECT chrom, pos, CAST(0 AS BIGINT) AS segment, pos AS start_pos, pos + left_len AS end_pos FROM u
+@query("r06_segments", f"""{R}, u AS (SELECT chrom, strand, pos, left_len, skip, right_len FROM reads) SELECT chrom, pos, CAST(0 AS BIGINT) AS segment, pos AS start_pos, pos + left_len AS end_pos FROM u
 UNION ALL SELECT chrom, pos, 1, pos + left_len + skip, pos + left_len + skip + right_len + CASE WHEN right_len % 2 = 0 THEN 2 ELSE 0 END FROM u""")
 def segments(spark, d):
-    r = cigars(spark, d).select("chrom", "strand", "pos", "left_len", "skip", "right_len", "cigar").distinct()
+    r = cigars(spark, d).select("chrom", "strand", "pos", "left_len", "skip", "right_len", "cigar")
     return rd.segments(r).select("chrom", "pos", "segment", "start_pos", "end_pos")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.annotation import downstream, level_of, support_level, utrs
+from strandlake.operators.scan import piece, ranked
 
 COLUMNS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 TRANSCRIPTS = ("transcript", "mRNA", "lnc_RNA", "ncRNA", "miRNA", "snRNA", "snoRNA", "rRNA", "tRNA", "primary_transcript", "pseudogenic_transcript")
@@ -38,13 +39,12 @@ def _bare(column: Column) -> Column:
 
 
 def _index(rows: DataFrame, name: str) -> DataFrame:
-    """Dense row numbers in order of place and id, from counts a chromosome: no single task sorts the table."""
-    keys = ["chrom", "start_pos", "end_pos", "strand", "id"]
+    """Dense row numbers in order of place and id, from counts a chromosome and a piece of it: no single task sorts either."""
     sizes = rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("chrom", before.alias("_base"))
-    w = Window.partitionBy("chrom").orderBy(*keys[1:])
-    return rows.join(base, "chrom").withColumn(name, (F.col("_base") + F.row_number().over(w) - 1).cast("long")).drop("_base")
+    placed = ranked(rows, ["chrom"], ["start_pos", "end_pos", "strand", "id"], [piece(F.col("start_pos"))], name, dense=False)
+    return placed.join(base, "chrom").withColumn(name, F.col("_base") + F.col(name) - 1).drop("_base")
 
 
 def tables(text: DataFrame, orphaned: str = "error") -> dict[str, DataFrame]:

@@ -1,4 +1,6 @@
-"""Positional lookups against brute force over all small intervals, at several bin widths."""
+"""Positional lookups against brute force over all small intervals and random ones of very different lengths."""
+
+import random
 
 from itertools import product
 
@@ -61,10 +63,57 @@ def test_allow_exclude(spark):
     assert got == wanted
 
 
-def test_width(spark):
+def test_classes(spark):
     elements, _ = frames(spark)
-    assert rj.bin_width(elements) == rj.NARROW
-    assert rj.bin_width(elements.withColumn("end_pos", F.col("start_pos") + 5000)) == 8192
+    assert rj.length_classes(elements) == [10]
+    assert rj.length_classes(elements, 1) == [0, 1, 2, 3]
+    assert rj.length_classes(elements.withColumn("end_pos", F.col("start_pos") + 5000)) == [13]
+    stat = {tuple(r) for r in rj.lengths(elements, "strand").collect()}
+    assert ("+", 0, 15, 1) in stat and ("-", 3, 6, 7) in stat
+
+
+WHOLE = 250_000_000
+
+
+def mixed(seed, n):
+    """Intervals from empty to a whole chromosome, many of them at its ends."""
+    rng = random.Random(seed)
+    out = [("+", 0, WHOLE), ("-", 0, WHOLE), ("+", WHOLE, WHOLE), ("+", 0, 0)]
+    while len(out) < n:
+        size = rng.choice([0, 1, rng.randrange(2000), rng.randrange(1 << rng.randrange(28)), WHOLE // 2])
+        start = rng.choice([0, rng.randrange(WHOLE - size), (rng.randrange(WHOLE) >> 20) << 20, 1 << rng.randrange(27)])
+        out.append((rng.choice("+-"), start, start + size))
+    return out
+
+
+@pytest.mark.parametrize("name", ["find_overlapping", "find_within", "find_5p_within", "find_3p_within"])
+def test_lookup_of_any_length(spark, name):
+    a, b = mixed(1, 300), mixed(2, 300)
+    elements = spark.createDataFrame([("a", *r) for r in a], "chrom string, strand string, start_pos long, end_pos long")
+    queries = spark.createDataFrame([("a", *r) for r in b], "q_chrom string, q_strand string, q_start long, q_end long")
+    found = sorted(tuple(r) for r in getattr(rj, name)(elements, queries).select("strand", "start_pos", "end_pos", "q_start", "q_end").collect())
+    wanted = sorted((t, s, e, qs, qe) for t, s, e in a for u, qs, qe in b if t == u and PREDICATES[name](t, s, e, qs, qe))
+    assert found == wanted
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_any_of_any_length(spark, keep):
+    a, b = mixed(3, 300) + mixed(3, 20), [r for r in mixed(4, 60) if r[2] - r[1] < WHOLE // 4]
+    elements = spark.createDataFrame([("a", *r) for r in a], "chrom string, strand string, start_pos long, end_pos long")
+    queries = spark.createDataFrame([("a", *r) for r in b], "q_chrom string, q_strand string, q_start long, q_end long")
+    hit = lambda t, s, e: any(t == u and PREDICATES["find_overlapping"](t, s, e, qs, qe) for u, qs, qe in b)
+    found = sorted(tuple(r) for r in rj.overlapping_any(elements, queries, keep=keep).select("strand", "start_pos", "end_pos").collect())
+    assert found == sorted(r for r in a if hit(*r) == keep)
+    assert 0 < len(found) < len(a)
+
+
+def test_rows_of_the_longest(spark):
+    """A chromosome as an element and as a window, among rows of every length: each becomes under 100 rows."""
+    every = list(range(10, 29))
+    row = spark.createDataFrame([(0, WHOLE), (0, 1)], "start_pos long, end_pos long")
+    for ties in (True, False):
+        spread = rj._spread(row, "_", True, rj.length_class(F.col("start_pos"), F.col("end_pos")), F.col("start_pos"), F.col("end_pos"), every, ties)
+        assert max(r["count"] for r in spread.groupBy("end_pos").count().collect()) < 100
 
 
 def test_plan_is_an_equi_join(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake.operators import reads as rd
 from strandlake.operators import splice, tracks as tr
 from strandlake.streaming import counts
 
@@ -144,3 +145,9 @@ def test_types_dimensions_and_strands(spark):
         read("single_stranded")
     with pytest.raises(ValueError):
         tr.placed(blocks, "both")
+
+
+def test_equal_reads_stay_apart(spark):
+    reads = spark.createDataFrame([("r", 10, c) for c in ("5M3N4M", "5M3N4M", "2S1I4N3M2D1M", "3N2M", "4M", None)], "name string, pos long, cigar string").repartition(3)
+    got = sorted((r["cigar"], r["segment"], r["start_pos"], r["end_pos"]) for r in rd.segments(reads).collect())
+    assert got == sorted([("5M3N4M", 0, 10, 15), ("5M3N4M", 1, 18, 22)] * 2 + [("2S1I4N3M2D1M", 0, 10, 10), ("2S1I4N3M2D1M", 1, 14, 20), ("3N2M", 1, 13, 15), ("4M", 0, 10, 14)])

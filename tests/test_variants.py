@@ -104,6 +104,14 @@ def test_outside_is_an_error_if_not_allowed(spark):
         dna.extract(w, dna.chunked(s, 3), sizes, 3, outside=False).collect()
 
 
+def test_equal_windows_stay_apart(spark):
+    s = spark.createDataFrame([("c", "AAAACCCCGGGGTTTT"), ("d", "ACG")], "chrom string, seq string")
+    rows = [(1, "c", "+", 2, 10)] * 2 + [(1, "c", "-", 2, 10), (1, "c", "+", -2, 20), (1, "c", "+", -2, 20)] + [(2, "d", "+", 1, 1)] * 3 + [(3, "d", "+", 5, 7)] * 2
+    w = spark.createDataFrame(rows, "q_id long, chrom string, strand string, start_pos long, end_pos long").repartition(3)
+    got = sorted((r["q_id"], r["dna"]) for r in dna.extract(w, dna.chunked(s, 4), s.select("chrom", F.length("seq").cast("long").alias("size")), 4).collect())
+    assert got == sorted([(1, "AACCCCGG")] * 2 + [(1, "CCGGGGTT"), *[(1, "NNAAAACCCCGGGGTTTTNNNN")] * 2] + [(2, "")] * 3 + [(3, "NN")] * 2)
+
+
 def test_parse(spark):
     texts = ["chr1:1,001:a:-", "chr2:5:.:gt", "chr1:x:A:C", "chr1:5:A", "chr1:7:AZ:C"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(va.parse(F.col("t")).alias("v")).collect()
