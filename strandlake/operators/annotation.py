@@ -99,15 +99,20 @@ def gene_type(column: Column) -> Column:
     return F.when(rank > 0, F.element_at(F.array(*(F.lit(p) for p in PRIORITY)), rank.cast("int")))
 
 
-def merge_touching(intervals: DataFrame, *keys: str, gap: int = 0, stride: int = STRIDE) -> DataFrame:
+def merge_touching(intervals: DataFrame, *keys: str, gap: int = 0, stride: int | None = STRIDE) -> DataFrame:
     """Runs of intervals of a key that touch (or lie within `gap`) as one: keys, start_pos, end_pos, n.
 
-    How far the intervals before reach, and where the island that an interval belongs to begins, are scans in pieces.
+    How far the intervals before reach, and where the island that an interval belongs to begins, are scans in pieces. Where
+    keys are many and small, as transcripts are, stride None scans each as a whole.
     """
-    order, at = ["start_pos", "end_pos"], [piece(F.col("start_pos"), stride)]
-    reached = scanned(intervals.select(*keys, *order), keys, order, at, {"_reach": ("max", F.col("end_pos"))})
+    order = ["start_pos", "end_pos"]
+    rows = intervals.select(*keys, *order)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    at = [piece(F.col("start_pos"), stride)] if stride else []
+    reached = scanned(rows, keys, order, at, {"_reach": ("max", F.col("end_pos"))}) if stride else rows.withColumn("_reach", F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     new = F.when(F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach") + gap), F.col("start_pos"))
-    island = scanned(reached.withColumn("_new", new), keys, order, at, {"_island": ("max", F.col("_new"))}, inclusive=True)
+    marked = reached.withColumn("_new", new)
+    island = scanned(marked, keys, order, at, {"_island": ("max", F.col("_new"))}, inclusive=True) if stride else marked.withColumn("_island", F.max("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*keys, "_island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 

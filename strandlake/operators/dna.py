@@ -15,10 +15,14 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def chunked(sequences: DataFrame, size: int = CHUNK) -> DataFrame:
-    """sequences(chrom, seq) as (chrom, chunk, seq): pieces of `size` bases, so no row holds a chromosome."""
-    n = F.ceil(F.length("seq") / size).cast("int")
-    rows = sequences.where(F.length("seq") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.substring("seq", F.col("chunk") * size + 1, F.lit(size)).alias("seq"))
+    """sequences(chrom, seq) as (chrom, chunk, seq): pieces of `size` bases, so no row holds a chromosome.
+
+    A sequence is cut in one pass over it, however many pieces it has.
+    """
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    # an outer explode: from another one a filter is inferred that cuts the sequence again
+    cut = sequences.select("chrom", F.posexplode_outer(pieces).alias("chunk", "seq"))
+    return cut.where("seq is not null").select("chrom", F.col("chunk").cast("long").alias("chunk"), "seq")
 
 
 def extract(windows: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = CHUNK, outside: bool = True) -> DataFrame:

@@ -37,9 +37,9 @@ def lengths(rows: DataFrame, *keys: str, start: str = "start_pos", end: str = "e
 
 
 def length_classes(rows: DataFrame, width: int = WIDTH, start: str = "start_pos", end: str = "end_pos") -> list[int]:
-    """The classes of a side, ascending: two columns are read, and at most 63 numbers come back."""
-    least = max(0, (width - 1).bit_length())
-    return sorted({max(least, r["class"]) for r in lengths(rows, start=start, end=end).select("class").where("class is not null").collect()})
+    """The classes of a side, ascending: two columns are read, and one number comes back, a bit for each class."""
+    bits = rows.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), length_class(F.col(start), F.col(end), width))).alias("bits")).first()["bits"] or 0
+    return [n for n in range(63) if bits >> n & 1]
 
 
 def _unstranded(queries: DataFrame, stranded: bool, flip: bool) -> DataFrame:
@@ -52,20 +52,32 @@ def _unstranded(queries: DataFrame, stranded: bool, flip: bool) -> DataFrame:
     return queries.withColumn("q_strand", F.when(F.col("q_strand") == "-", wrong).otherwise(F.col("q_strand")))
 
 
-def _spread(rows: DataFrame, prefix: str, home: bool, own: Column, low: Column, high: Column, longer: list[int], ties: bool) -> DataFrame:
-    """A row at home, and in every bin of the other side's longer classes (with `ties`, of its own class too) from which it is reached.
+def _spread(rows: DataFrame, name: str, home: bool, own: Column, low: Column, high: Column, mine: list[int], theirs: list[int]) -> DataFrame:
+    """A row at home and in every bin of the other side's longer classes from which it is reached: the column `name`, one number a place.
 
-    Adds <prefix>home, <prefix>class and <prefix>bin; `home` tells whose home it is, the elements' (true) or the queries'.
+    Elements probe classes longer than their own, queries their own too. Places that nothing can meet, by the classes of both
+    sides, aren't made: where all rows are of one class, elements are one row each and queries three. A place holds the
+    bin, the class and whose home it is.
     """
     at = lambda x, c: F.call_function("shiftright", x.cast("long"), c)
-    place = lambda whose, c, b: F.struct(F.lit(whose).alias(f"{prefix}home"), c.alias(f"{prefix}class"), b.alias(f"{prefix}bin"))
-
-    def probes(c: Column) -> Column:
-        found = F.transform(F.sequence(at(low, c) - 1, F.greatest(at(high, c), at(low, c))), lambda b: place(not home, c, b))
-        return F.when(own <= c if ties else own < c, found).otherwise(F.slice(found, 1, 0))
-
-    places = [F.array(place(home, own, at(low, own))), *(probes(F.lit(c)) for c in longer)]
-    return rows.select("*", F.inline(F.concat(*places)))
+    place = lambda b, c, whose: b * 128 + (c * 2 + int(whose)).cast("long")
+    least = min(mine, default=0)
+    own = F.lit(least) if len(mine) < 2 else own
+
+    def probes(n: int) -> Column:
+        c = F.lit(n)
+        found = F.sequence(place(at(low, c) - 1, c, not home), place(F.greatest(at(high, c), at(low, c)), c, not home), F.lit(128).cast("long"))
+        sure = n > max(mine) if home else n >= max(mine)
+        return found if sure else F.when(own < c if home else own <= c, found).otherwise(F.array().cast("array<bigint>"))
+
+    longer = [n for n in theirs if (n > least if home else n >= least)]
+    # the other side probes a home only from a class below it, or, of elements, from the same one
+    met = any(t <= n if home else t < n for t in theirs for n in mine)
+    here = place(at(low, own), own, home)
+    if not longer:
+        return rows.withColumn(name, here if met else F.lit(None).cast("long"))
+    every = [*([F.array(here)] if met else []), *(probes(n) for n in longer)]
+    return rows.withColumn(name, F.explode(F.concat(*every) if len(every) > 1 else every[0]))
 
 
 Classes = tuple[list[int], list[int]]
@@ -78,14 +90,12 @@ def _joined(elements: DataFrame, queries: DataFrame, low: Column, high: Column,
     if classes is None:
         classes = length_classes(named, width, s, e), length_classes(asked, width, qs, qe)
     own, q_own = length_class(F.col(s), F.col(e), width), length_class(F.col(qs), F.col(qe), width)
-    a = _spread(named, "_", True, own, F.col(s), F.col(e), classes[1], False)
-    b = _spread(asked, "_q_", False, q_own, F.col(qs), F.col(qe), classes[0], True)
-    on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand"))
-    for f in ("home", "class", "bin"):
-        on = on & (F.col(f"_{f}") == F.col(f"_q_{f}"))
+    a = _spread(named, "_place", True, own, F.col(s), F.col(e), *classes)
+    b = _spread(asked, "_q_place", False, q_own, F.col(qs), F.col(qe), *classes[::-1])
+    on = (F.col("chrom") == F.col("q_chrom")) & (F.col("strand") == F.col("q_strand")) & (F.col("_place") == F.col("_q_place"))
     if "refg" in elements.columns and "q_refg" in queries.columns:
         on = on & (F.col("refg") == F.col("q_refg"))
-    return a.join(b, on & residual).drop(s, e, "_home", "_class", "_bin", qs, qe, "_q_home", "_q_class", "_q_bin")
+    return a.join(b, on & residual).drop(s, e, "_place", qs, qe, "_q_place")
 
 
 # elements: chrom, strand, start_pos, end_pos, ...; queries: q_chrom, q_strand, q_start, q_end, ...

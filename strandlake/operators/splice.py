@@ -28,7 +28,7 @@ def build(intervals: DataFrame) -> DataFrame:
     reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
     bad = F.raise_error(F.lit("parts of a sequence overlap")).cast("long")
     fine = intervals.withColumn("start_pos", F.when(reach.isNull() | (F.col("start_pos") >= reach), F.col("start_pos")).otherwise(bad))
-    return offsets(merge_touching(fine, "dis_id", "chrom", "strand").drop("n"))
+    return offsets(merge_touching(fine, "dis_id", "chrom", "strand", stride=None).drop("n"))
 
 
 def offsets(parts: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .dna import COMPLEMENTS, LETTERS
-from .rangejoin import find_overlapping
+from .dna import CHUNK, COMPLEMENTS, LETTERS, extract
+from .pieces import Fetch, Pieces, apply_variants
+from .rangejoin import find_5p_aligned, find_overlapping, length_classes
 
 #: Genotype and structural-variant codes.
 GENOTYPES = {"hom_ref": 0, "het": 1, "hom_alt": 2, "unknown": 3, "het_0|1": 4, "het_1|0": 5}
@@ -89,141 +91,85 @@ def symbolic(pos: Column, ref: Column, end: Column, sv_len: Column) -> Column:
 # -- applying variants to a window -------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Edit:
-    """A change of the reference: ref is what alt stands in place of."""
-
-    start: int
-    ref: str
-    alt: str
-
-    @property
-    def end(self) -> int:
-        return self.start + len(self.ref)
-
-
-def split_variant(start: int, ref: str, alt: str) -> list[Edit]:
-    """As normalised(), for one variant."""
-    pad = 0
-    while pad < min(len(ref), len(alt)) and ref[pad] == alt[pad]:
-        pad += 1
-    ref, alt, start = ref[pad:], alt[pad:], start + pad
-    n = min(len(ref), len(alt))
-    return [e for e in (Edit(start, ref[:n], alt[:n]), Edit(start + n, ref[n:], alt[n:])) if e.ref or e.alt]
-
-
-def clipped(edit: Edit, low: int, high: int) -> Edit | None:
-    """The part of an edit within [low, high]; alleles are cut alike."""
-    if edit.end < low or edit.start > high:
-        return None
-    head, tail = max(0, low - edit.start), max(0, edit.end - high)
-    ref, alt = edit.ref[head:], edit.alt[head:]
-    if tail:
-        ref, alt = ref[: max(0, len(ref) - tail)], alt[: max(0, len(alt) - tail)]
-    return Edit(max(edit.start, low), ref, alt) if ref or alt else None
-
-
-def mutated(fetch, start: int, end: int, edits: list[Edit]) -> list[tuple[str, int, int]]:
-    """(base, reference position, place within an insertion or -1) of a window with edits that lie within it, in order."""
-    reference = fetch(start, end)
-    out: list[tuple[str, int, int]] = []
-    at = start
-    for e in sorted(edits, key=lambda e: e.start):
-        if e.start < at:
-            raise ValueError("variants overlap")
-        out += [(reference[i - start], i, -1) for i in range(at, e.start)]
-        n = min(len(e.ref), len(e.alt))
-        out += [(e.alt[i], e.start + i, -1) for i in range(n)]
-        out += [(e.alt[i], e.end, i - n) for i in range(n, len(e.alt))]
-        at = e.end
-    return out + [(reference[i - start], i, -1) for i in range(at, end)]
-
-
-def apply_variants(fetch, start: int, end: int, variants: list[tuple[int, str, str]], anchor: int | None = None, anchor_offset: int = 0) -> list[tuple[str, int, int]]:
-    """The bases of a plus-strand window with variants (start, ref, alt) applied, and where each comes from.
-
-    fetch(start, end) gives reference bases. Without an anchor the window's edges hold and its
-    length may change. With one the length holds: the sequence left of the anchor is the end of
-    the changed sequence up to it, the one right of it the beginning of what follows, so that
-    deletions draw bases in and insertions push bases out. An insertion at the anchor gives its
-    first anchor_offset bases to the left.
-    """
-    edits = sorted((e for v in variants for e in split_variant(*v)), key=lambda e: e.start)
-    if anchor is None:
-        inside = [c for e in edits if (c := clipped(e, start, end))]
-        return mutated(fetch, start, end, inside)
-    low, high = min(start, anchor), max(end, anchor)
-    left, right = [], []
-    for e in edits:
-        if e.start == anchor and not e.ref:
-            left.append(Edit(anchor, "", e.alt[:anchor_offset]))
-            right.append(Edit(anchor, "", e.alt[anchor_offset:]))
-        else:
-            left += [c] if (c := clipped(e, -(1 << 60), anchor)) else []
-            right += [c] if (c := clipped(e, anchor, 1 << 60)) else []
-    before, after = anchor - low, high - anchor
-    bases: list[tuple[str, int, int]] = []
-    if before:
-        reach = low
-        while True:  # further out, until enough bases are left of the anchor
-            near = [e for e in left if e.start >= reach and e.end <= anchor]
-            cut = min([reach, *(e.start for e in left if e.start < reach < e.end)])
-            if cut < reach:
-                reach = cut
-                continue
-            have = anchor - reach + sum(len(e.alt) - len(e.ref) for e in near)
-            if have >= before:
-                break
-            reach -= before - have
-        bases += mutated(fetch, reach, anchor, near)[-before:]
-    if after:
-        reach = high
-        while True:
-            near = [e for e in right if e.end <= reach and e.start >= anchor and e.start < reach + (not e.ref)]
-            cut = max([reach, *(e.end for e in right if e.start < reach < e.end)])
-            if cut > reach:
-                reach = cut
-                continue
-            have = reach - anchor + sum(len(e.alt) - len(e.ref) for e in near)
-            if have >= after:
-                break
-            reach += after - have
-        bases += mutated(fetch, anchor, reach, near)[:after]
-    if anchor > end:
-        return bases[: end - start]
-    if anchor < start:
-        return bases[len(bases) - (end - start) :]
-    return bases
-
-
 def reverse_complement(seq: str) -> str:
     return seq.translate(str.maketrans(LETTERS, COMPLEMENTS))[::-1]
 
 
-def _with_variants(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
-    """Windows with their context and the variants near them."""
-    near = windows.select("q_id", F.col("chrom").alias("_c"), (F.least("start_pos", F.coalesce("anchor", "start_pos")) - margin).alias("_low"), (F.greatest("end_pos", F.coalesce("anchor", "end_pos")) + margin).alias("_high"))
-    v = variants.select("chrom", F.lit("+").alias("strand"), F.col("start_pos"), (F.col("start_pos") + F.greatest(F.length("ref"), F.lit(1))).alias("end_pos"), "ref", "alt")
-    q = near.select("q_id", F.col("_c").alias("q_chrom"), F.lit("+").alias("q_strand"), (F.col("_low") - 1).alias("q_start"), (F.col("_high") + 1).alias("q_end"))
-    hits = find_overlapping(v, q).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "ref", "alt"))).alias("_variants"))
-    rows = windows.join(context, "q_id").join(hits, "q_id", "left")
-    return rows
-
+def grown(windows: DataFrame, variants: DataFrame) -> DataFrame:
+    """q_id, chrom, low, high: how far windows(q_id, chrom, start_pos, end_pos, anchor) have to reach for variants(chrom, start_pos, ref, alt).
 
-def _bases(row: dict, more: int = 0) -> list[tuple[str, int, int]]:
-    """apply_variants() for a row of _with_variants(), of a window that is `more` bases longer."""
-    low, seq = int(row["dna_start"]), row["dna"]
-    top = low + len(seq)
+    A window reaches to its anchor. On either side of an anchor it grows by what is deleted there, then by what is deleted in the
+    stretch that was added, until nothing is. Every round is a range join of the last stretches with the
+    deletions, of those windows only that still grow. A window without an anchor keeps its ends. q_id is a key.
+    """
+    from strandlake.sources.store import stored
+
+    each = variants.select("chrom", F.explode(normalised(F.col("start_pos"), F.col("ref"), F.col("alt"))).alias("v")).where("v.alt = ''")
+    gone = stored(each.select("chrom", F.lit("+").alias("strand"), F.col("v.start_pos").alias("start_pos"), (F.col("v.start_pos") + F.length("v.ref")).alias("end_pos")))
+    classes = length_classes(gone)
+    low, high = F.least("start_pos", F.coalesce("anchor", "start_pos")), F.greatest("end_pos", F.coalesce("anchor", "end_pos"))
+    whole = stored(windows.select("q_id", "chrom", low.cast("long").alias("low"), high.cast("long").alias("high"), F.col("anchor").cast("long").alias("anchor")))
+    side = lambda left, a, b: F.struct(F.lit(left).alias("left"), a.alias("q_start"), b.alias("q_end"))
+    sides = F.inline(F.array(side(True, F.col("low"), F.col("anchor")), side(False, F.col("anchor"), F.col("high"))))
+    frontier = whole.where("anchor is not null").select("q_id", F.col("chrom").alias("q_chrom"), F.lit("+").alias("q_strand"), sides).where("q_start < q_end")
+    found = []
+    while asked := length_classes(frontier, start="q_start", end="q_end"):
+        hits = find_overlapping(gone, frontier, classes=(classes, asked))
+        n = F.least("end_pos", "q_end") - F.greatest("start_pos", "q_start")
+        more = stored(hits.groupBy("q_id", "left", "q_chrom", "q_strand", "q_start", "q_end").agg(F.sum(n).alias("n")).where("n > 0"))
+        found.append(more.select("q_id", "left", "n"))
+        a = F.when(F.col("left"), F.col("q_start") - F.col("n")).otherwise(F.col("q_end"))
+        b = F.when(F.col("left"), F.col("q_start")).otherwise(F.col("q_end") + F.col("n"))
+        frontier = more.select("q_id", "q_chrom", "q_strand", "left", a.alias("q_start"), b.alias("q_end"))
+    if not found:
+        return whole.drop("anchor")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    sums = every.groupBy("q_id").agg(F.sum(F.when(F.col("left"), F.col("n"))).alias("_l"), F.sum(F.when(~F.col("left"), F.col("n"))).alias("_h"))
+    zero = F.lit(0)
+    return whole.join(sums, "q_id", "left").select("q_id", "chrom", (F.col("low") - F.coalesce("_l", zero)).alias("low"), (F.col("high") + F.coalesce("_h", zero)).alias("high"))
+
+
+def sequence_variations(windows: DataFrame, variants: DataFrame) -> DataFrame:
+    """Every variant that the sequence of a window depends on: q_id and the columns of variants(chrom, start_pos, ref, alt, ...), each pair once.
+
+    Those that overlap the window, grown if it is anchored, and insertions at its lower end. windows(q_id, chrom, start_pos, end_pos, anchor).
+    """
+    reach = grown(windows, variants).select("q_id", F.col("chrom").alias("q_chrom"), F.lit("+").alias("q_strand"), F.col("low").alias("q_start"), F.col("high").alias("q_end"))
+    v = variants.withColumns({"strand": F.lit("+"), "end_pos": F.col("start_pos") + F.length("ref")})
+    shown = ("q_id", *variants.columns)
+    # an insertion at the lower end isn't within the window, so no pair is in both
+    return find_overlapping(v, reach).select(*shown).unionByName(find_5p_aligned(v.where("ref = ''"), reach).select(*shown))
+
+
+def _with_variants(windows: DataFrame, variants: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int, more: int = 0) -> DataFrame:
+    """Windows with the reference as far as they reach, and the variants there, in order."""
+    from strandlake.sources.store import stored
+
+    # what is read again and again is made once
+    windows = stored(windows)
+    known = windows if not more else windows.withColumn("end_pos", F.col("end_pos") + more)
+    variants = stored(variants.select("chrom", F.col("start_pos").cast("long").alias("start_pos"), "ref", "alt"))
+    reach = stored(grown(known, variants))
+    v = variants.withColumns({"strand": F.lit("+"), "end_pos": F.col("start_pos") + F.greatest(F.length("ref"), F.lit(1))})
+    q = reach.select("q_id", F.col("chrom").alias("q_chrom"), F.lit("+").alias("q_strand"), (F.col("low") - 1).alias("q_start"), (F.col("high") + 1).alias("q_end"))
+    hits = find_overlapping(v, q).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "ref", "alt"))).alias("_variants"))
+    context = extract(reach.select("q_id", "chrom", F.lit("+").alias("strand"), F.col("low").alias("start_pos"), F.col("high").alias("end_pos")), chunks, sizes, size)
+    numbers = {c: F.col(c).cast("long") for c in ("anchor", "anchor_offset")}
+    return windows.withColumns(numbers).join(context.select("q_id", F.col("start_pos").alias("_low"), F.col("dna").alias("_dna")), "q_id").join(hits, "q_id", "left")
 
-    def fetch(a: int, b: int) -> str:
-        if low <= a and b <= top:
-            return seq[a - low : b - low]
-        inner = seq[max(a, low) - low : max(min(b, top), low) - low] if a < top else ""
-        return "N" * (min(b, low) - min(a, low)) + inner + "N" * (max(b, top) - max(a, top))
 
-    got, anchor = row["_variants"], row["anchor"]
-    changes = [(int(v["start_pos"]), v["ref"], v["alt"]) for v in got] if got is not None else []
-    return apply_variants(fetch, int(row["start_pos"]), int(row["end_pos"]) + more, changes, None if anchor is None or anchor != anchor else int(anchor), int(row["anchor_offset"] or 0))
+def _changed(batch: pa.RecordBatch, more: int = 0) -> Iterator[tuple[Pieces, Fetch]]:
+    """The runs of each row of _with_variants(), of windows that are `more` bases longer, and what fetches their reference."""
+    of = batch.column
+    held = of("_variants")
+    value = [held.values.field(i).to_pylist() for i in range(3)]
+    ends = held.offsets.to_pylist()
+    rows = zip(of("start_pos").to_pylist(), of("end_pos").to_pylist(), of("anchor").to_pylist(), of("anchor_offset").to_pylist(), of("_low").to_pylist(), of("_dna").to_pylist(), strict=True)
+    for i, (start, end, anchor, offset, low, text) in enumerate(rows):
+        there = [(s, r, a) for s, r, a in zip(*(v[ends[i] : ends[i + 1]] for v in value), strict=True)] if held[i].is_valid else []
+        yield apply_variants(start, end + more, there, anchor, offset or 0), lambda a, b, low=low, text=text: text[a - low : b - low]
 
 
 def spanning(pairs: DataFrame, variants: DataFrame) -> DataFrame:
@@ -265,29 +211,24 @@ def spanning(pairs: DataFrame, variants: DataFrame) -> DataFrame:
     return rows.select("p_id", start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"), x("anchor").alias("anchor"), F.when(x("anchor").isNotNull(), x("offset")).alias("anchor_offset"))
 
 
-def variant_dna(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
+def variant_dna(windows: DataFrame, variants: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = CHUNK) -> DataFrame:
     """windows(q_id, chrom, strand, start_pos, end_pos, anchor, anchor_offset) with `dna` after variants(chrom, start_pos, ref, alt).
 
-    context(q_id, dna_start, dna): the plus-strand reference around each window, by at least
-    `margin`, the greatest sum of deletions; it comes from dna.extract().
+    q_id is a key. chunks, sizes and size are those of dna.extract(); a window fetches what its deletions draw in and no more.
     """
-    rows = _with_variants(windows, variants, context, margin)
-    fields = [f for f in rows.schema.fields if f.name not in ("_variants", "dna", "dna_start")]
 
-    def run(frames: Iterator) -> Iterator:
-        for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                dna = "".join(b for b, _, _ in _bases(r))
-                out.append(dna if r["strand"] == "+" else reverse_complement(dna))
-            yield f[[x.name for x in fields]].assign(dna=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            strands = b.column("strand").to_pylist()
+            dna = [t if s == "+" else reverse_complement(t) for s, t in zip(strands, (p.letters(fetch) for p, fetch in _changed(b)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(dna, pa.string())], [*names, "dna"])
 
-    from pyspark.sql.types import StringType, StructField, StructType
+    rows = _with_variants(windows, variants, chunks, sizes, size)
+    names = windows.columns
+    return rows.mapInArrow(run, StructType([*(f for f in rows.schema.fields if f.name in names), StructField("dna", StringType())])).select(*names, "dna")
 
-    return rows.mapInPandas(run, StructType([*fields, StructField("dna", StringType())]))
 
-
-def variant_motif(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int, motif: str, match_position: str | int = "5p", overlapping: bool = False) -> DataFrame:
+def variant_motif(windows: DataFrame, variants: DataFrame, chunks: DataFrame, sizes: DataFrame, motif: str, match_position: str | int = "5p", overlapping: bool = False, size: int = CHUNK) -> DataFrame:
     """Hits of a motif in plus- or minus-strand windows after variants, in reference coordinates: q_id, hit, anchor_offset.
 
     A hit within an insertion has the position of the base after it, and anchor_offset tells its place
@@ -298,37 +239,37 @@ def variant_motif(windows: DataFrame, variants: DataFrame, context: DataFrame, m
     if not isinstance(at, int) or not 0 <= at <= k:
         raise ValueError(f"a match position lies within the motif: {match_position}")
     ahead = motif.upper()
-    rows = _with_variants(windows, variants, context, margin + 1)
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                # one base more gives a coordinate to a match position after the last base
-                bases = _bases(r, 1)
-                seq, plus = "".join(b for b, _, _ in bases[:-1]).upper(), r["strand"] == "+"
-                sought, shift = (ahead, at) if plus else (reverse_complement(ahead), k - at)
-                i = seq.find(sought)
-                while i >= 0:
-                    _, position, inserted = bases[i + shift]
-                    out.append((r["q_id"], position, max(inserted, 0)))
-                    i = seq.find(sought, i + (1 if overlapping else k))
-            yield pd.DataFrame(out, columns=["q_id", "hit", "anchor_offset"])
-
-    return rows.mapInPandas(run, f"q_id {dict(windows.dtypes)['q_id']}, hit long, anchor_offset long")
 
-
-def variant_alignment(windows: DataFrame, variants: DataFrame, context: DataFrame, margin: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, hits, places = [], [], []
+            # one base more gives a coordinate to a match position after the last base
+            for i, (strand, (pieces, fetch)) in enumerate(zip(b.column("strand").to_pylist(), _changed(b, 1), strict=True)):
+                seq = pieces.sliced(0, len(pieces) - 1).letters(fetch).upper()
+                sought, shift = (ahead, at) if strand == "+" else (reverse_complement(ahead), k - at)
+                j = seq.find(sought)
+                while j >= 0:
+                    position, inserted = pieces.lift(j + shift)
+                    rows.append(i)
+                    hits.append(position)
+                    places.append(max(inserted, 0))
+                    j = seq.find(sought, j + (1 if overlapping else k))
+            yield pa.RecordBatch.from_arrays([b.column("q_id").take(pa.array(rows, pa.int64())), pa.array(hits, pa.int64()), pa.array(places, pa.int64())], ["q_id", "hit", "anchor_offset"])
+
+    return _with_variants(windows, variants, chunks, sizes, size, 1).mapInArrow(run, f"q_id {dict(windows.dtypes)['q_id']}, hit long, anchor_offset long")
+
+
+def variant_alignment(windows: DataFrame, variants: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int = CHUNK) -> DataFrame:
     """Every base of plus-strand windows after variants: q_id, i, base, ref_pos (from the window's start) and ins (place within an insertion, else -1)."""
-    rows = _with_variants(windows, variants, context, margin)
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for f in frames:
-            out = [(r["q_id"], i, b, p - int(r["start_pos"]), k) for r in f.to_dict("records") for i, (b, p, k) in enumerate(_bases(r))]
-            yield pd.DataFrame(out, columns=["q_id", "i", "base", "ref_pos", "ins"])
-
-    return rows.mapInPandas(run, f"q_id {dict(windows.dtypes)['q_id']}, i long, base string, ref_pos long, ins long")
+    schema = f"q_id {dict(windows.dtypes)['q_id']}, i long, base string, ref_pos long, ins long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (start, (pieces, fetch)) in enumerate(zip(b.column("start_pos").to_pylist(), _changed(b), strict=True)):
+                places = [pieces.lift(j) for j in range(len(pieces))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("q_id").take(pa.array([i] * len(places), pa.int64())), pa.array(range(len(places)), pa.int64()), pa.array(list(pieces.letters(fetch)), pa.string()), pa.array([p - start for p, _ in places], pa.int64()), pa.array([k for _, k in places], pa.int64())],
+                    ["q_id", "i", "base", "ref_pos", "ins"],
+                )
+
+    return _with_variants(windows, variants, chunks, sizes, size).mapInArrow(run, schema)

@@ -461,8 +461,7 @@ k AS (SELECT q_id, p - 40 AS ref_pos, -1 AS ins FROM b WHERE p < 48 OR p >= 51 U
 SELECT q_id, CAST(ref_pos AS BIGINT) AS ref_pos, CAST(ins AS BIGINT) AS ins FROM k""")
 def alignment(spark, d):
     """In reference order, whatever the window's strand."""
-    w, v, c = q_sequence._variant_windows(spark, d, F.lit(None))
-    return va.variant_alignment(w, v, c, 3).select("q_id", "ref_pos", "ins")
+    return va.variant_alignment(*q_sequence._variant_windows(spark, d, F.lit(None))).select("q_id", "ref_pos", "ins")
 
 
 QUERIES["v15_variant_genome"], ORACLE["v15_variant_genome"] = q_sequence.QUERIES["v10_left_anchor"], q_sequence.ORACLE["v10_left_anchor"]
@@ -473,5 +472,4 @@ _MUT = "substr(seq, 41, 3) || 'N' || substr(seq, 45, 2) || 'GG' || substr(seq, 4
 SELECT q_id, CAST(40 + CASE WHEN p < 6 THEN p WHEN p < 8 THEN 6 WHEN p < 10 THEN p - 2 ELSE p + 1 END AS BIGINT) AS hit, CAST(CASE WHEN p = 7 THEN 1 ELSE 0 END AS BIGINT) AS anchor_offset FROM f""")
 def variant_motif(spark, d):
     """Hits in changed sequences of both strands, in reference coordinates."""
-    w, v, c = q_sequence._variant_windows(spark, d, F.lit(None))
-    return va.variant_motif(w, v, c, 3, "GA", overlapping=True)
+    return va.variant_motif(*q_sequence._variant_windows(spark, d, F.lit(None)), "GA", overlapping=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandlake.operators import rangejoin as rj
+from strandlake.operators import variants as va
 from strandlake.operators.scan import piece, ranked
 
 from .relations import cte, relation, table
@@ -144,10 +145,29 @@ def strand_inference(spark, d):
 SELECT DISTINCT q_id, chrom, start_pos, end_pos, part FROM v JOIN w ON chrom = q_chrom AND (start_pos < q_end AND q_start < end_pos OR start_pos = q_start AND end_pos = start_pos)""")
 def sequence_variations(spark, d):
     """Variants that overlap a window, and insertions at its 5' end."""
-    v = relation(spark, d, "iv").select("chrom", F.lit("+").alias("strand"), "start_pos", (F.col("start_pos") + F.col("quantity") % 4).alias("end_pos"), "part")
-    w = relation(spark, d, "q").withColumn("q_strand", F.lit("+"))
-    shown = ("q_id", "chrom", "start_pos", "end_pos", "part")
-    return rj.find_overlapping(v, w).select(*shown).unionByName(rj.find_5p_aligned(v.where("start_pos = end_pos"), w).select(*shown)).distinct()
+    v = relation(spark, d, "iv").select("chrom", "start_pos", F.repeat(F.lit("A"), (F.col("quantity") % 4).cast("int")).alias("ref"), F.lit("").alias("alt"), "part")
+    w = relation(spark, d, "q").select("q_id", F.col("q_chrom").alias("chrom"), F.col("q_start").alias("start_pos"), F.col("q_end").alias("end_pos"), F.lit(None).cast("long").alias("anchor"))
+    return va.sequence_variations(w, v).select("q_id", "chrom", "start_pos", (F.col("start_pos") + F.length("ref")).alias("end_pos"), "part").distinct()
+
+
+_DEL = "v AS (SELECT chrom, start_pos, start_pos + quantity % 4 AS end_pos, part FROM iv)"
+_GROWS = "chrom = q_chrom AND start_pos < hi AND end_pos > lo"
+
+
+@query("j18_anchored", f"""WITH RECURSIVE {cte("iv", "q").removeprefix("WITH ")}, {_DEL}, w AS (SELECT q_id, q_chrom, q_start, q_end, q_start + (q_end - q_start) // 2 AS anchor FROM q WHERE q_id % 3 = 0),
+grown(q_id, q_chrom, lo, hi, down) AS (
+SELECT q_id, q_chrom, anchor, q_end, FALSE FROM w WHERE anchor < q_end UNION ALL SELECT q_id, q_chrom, q_start, anchor, TRUE FROM w WHERE q_start < anchor UNION ALL
+SELECT q_id, q_chrom, CASE WHEN down THEN lo - n ELSE hi END, CASE WHEN down THEN lo ELSE hi + n END, down
+FROM (SELECT q_id, q_chrom, lo, hi, down, CAST(sum(least(end_pos, hi) - greatest(start_pos, lo)) AS BIGINT) AS n FROM grown JOIN v ON {_GROWS} GROUP BY ALL) WHERE n > 0),
+reach AS (SELECT q_id, q_chrom, min(lo) AS lo, max(hi) AS hi FROM grown GROUP BY 1, 2 UNION ALL SELECT q_id, q_chrom, q_start, q_end FROM w WHERE q_start = q_end)
+SELECT DISTINCT q_id, lo, hi, chrom, start_pos, end_pos, part FROM v JOIN reach ON chrom = q_chrom AND (start_pos < hi AND lo < end_pos OR start_pos = lo AND end_pos = start_pos)""")
+def sequence_variations_anchored(spark, d):
+    """The same of windows anchored in their middle, which grow by what is deleted."""
+    v = relation(spark, d, "iv").select("chrom", "start_pos", F.repeat(F.lit("A"), (F.col("quantity") % 4).cast("int")).alias("ref"), F.lit("").alias("alt"), "part")
+    middle = (F.col("q_start") + F.floor((F.col("q_end") - F.col("q_start")) / 2)).alias("anchor")
+    w = relation(spark, d, "q").where("q_id % 3 = 0").select("q_id", F.col("q_chrom").alias("chrom"), F.col("q_start").alias("start_pos"), F.col("q_end").alias("end_pos"), middle)
+    found = va.sequence_variations(w, v).select("q_id", "chrom", "start_pos", (F.col("start_pos") + F.length("ref")).alias("end_pos"), "part").distinct()
+    return found.join(va.grown(w, v).select("q_id", F.col("low").alias("lo"), F.col("high").alias("hi")), "q_id")
 
 
 @query("j20_appris_join", "SELECT c_custkey AS gene_idx, o_orderkey AS tran_idx, o_orderpriority AS label FROM customer JOIN orders ON split_part(c_name || '.4', '.', 1) = split_part('Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '.2', '.', 1)")

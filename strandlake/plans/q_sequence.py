@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import dna, splice
 from strandlake.operators import variants as va
+from strandlake.sources.store import stored
 
 from .relations import EXON, cte, exons, relation, table
 
@@ -143,7 +144,8 @@ def check(spark, d):
 
 def _variant_windows(spark, d, anchor):
     """Windows of ten to forty bases of the sequences, with a substitution, an insertion and a deletion in each."""
-    s = sequences(spark, d).where("length(seq) >= 120")
+    # a reference is a table; here it is made from the documents once
+    s = stored(sequences(spark, d).where("length(seq) >= 120"))
     w = s.select(F.col("doc_id").alias("q_id"), "chrom", F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(40).cast("long").alias("start_pos"), (F.col("doc_id") % 30 + 50).alias("end_pos"), anchor.cast("long").alias("anchor"), F.lit(1).cast("long").alias("anchor_offset"))
     cut = lambda p, n: F.substring("seq", p + 1, n)
     v = s.select("chrom", F.explode(F.array(
@@ -151,12 +153,11 @@ def _variant_windows(spark, d, anchor):
         F.struct(F.lit(46).cast("long").alias("start_pos"), F.lit("").alias("ref"), F.lit("GG").alias("alt")),
         F.struct(F.lit(48).cast("long").alias("start_pos"), cut(48, 3).alias("ref"), F.lit("").alias("alt")),
     )).alias("v")).select("chrom", "v.*")
-    c = s.select(F.col("doc_id").alias("q_id"), F.lit(0).cast("long").alias("dna_start"), F.col("seq").alias("dna"))
-    return w, v, c
+    return w, v, dna.chunked(s), _sizes(s)
 
 
 def _applied(spark, d, anchor):
-    return va.variant_dna(*_variant_windows(spark, d, anchor), 3).select("q_id", "dna")
+    return va.variant_dna(*_variant_windows(spark, d, anchor)).select("q_id", "dna")
 
 
 _S = lambda a, b: f"substr(seq, {a} + 1, CAST({b} - {a} AS BIGINT))"

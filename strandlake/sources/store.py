@@ -25,7 +25,20 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/strandlake-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/strandlake-tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what this application put under scratch(); results that aren't computed by then can't be any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark)).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder and read it again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_table(df: DataFrame, path: str, kind: str, mode: str = "errorifexists") -> None:

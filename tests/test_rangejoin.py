@@ -111,9 +111,11 @@ def test_rows_of_the_longest(spark):
     """A chromosome as an element and as a window, among rows of every length: each becomes under 100 rows."""
     every = list(range(10, 29))
     row = spark.createDataFrame([(0, WHOLE), (0, 1)], "start_pos long, end_pos long")
-    for ties in (True, False):
-        spread = rj._spread(row, "_", True, rj.length_class(F.col("start_pos"), F.col("end_pos")), F.col("start_pos"), F.col("end_pos"), every, ties)
+    low, high = F.col("start_pos"), F.col("end_pos")
+    for home in (True, False):
+        spread = rj._spread(row, "_place", home, rj.length_class(low, high), low, high, every, every)
         assert max(r["count"] for r in spread.groupBy("end_pos").count().collect()) < 100
+    assert rj._spread(row.limit(1), "_place", True, rj.length_class(low, high), low, high, [28], [10]).count() == 1
 
 
 def test_plan_is_an_equi_join(spark):

@@ -45,7 +45,7 @@ def test_ranked(spark, stride):
     assert numbers == [(c, i + 1) for c in "ab" for i in range(sum(r[0] == c for r in rows))]
 
 
-@pytest.mark.parametrize("stride", STRIDES)
+@pytest.mark.parametrize("stride", [*STRIDES, None])
 @pytest.mark.parametrize("gap", [0, 5])
 def test_merge_touching(spark, stride, gap):
     rows = intervals(3, 40)

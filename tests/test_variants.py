@@ -1,11 +1,14 @@
 """Sequences with variants, against the documented anchor examples and brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import dna, variants as va
+from strandlake.operators import dna
+from strandlake.operators import pieces as pc
+from strandlake.operators import variants as va
 
 LEFT, WINDOW, RIGHT = "GGTTA", "TATCTTAAAGCTGTGTCTGT", "AACCC"
 BASE = 100
@@ -18,7 +21,7 @@ def fetch(a, b):
 
 
 def applied(variants, anchor=None, offset=0, start=START, end=END):
-    return "".join(x for x, _, _ in va.apply_variants(fetch, start, end, variants, anchor, offset))
+    return va.apply_variants(start, end, variants, anchor, offset).letters(fetch)
 
 
 @pytest.mark.parametrize(
@@ -63,7 +66,7 @@ def test_fixed_length_always():
         for anchor in (START, END, ANCHOR, START - 2, END + 2):
             assert len(applied(variants, anchor, 1)) == len(WINDOW)
         free = applied(variants)
-        inside = [c for v in variants for e in va.split_variant(*v) if (c := va.clipped(e, START, END))]
+        inside = [c for v in variants for e in pc.split_variant(*v) if (c := pc.clipped(e, START, END))]
         text, shift = WINDOW, 0
         for e in sorted(inside, key=lambda e: e.start):
             i = e.start - START + shift
@@ -73,8 +76,81 @@ def test_fixed_length_always():
 
 
 def test_alignment():
-    bases = va.apply_variants(fetch, START, END, [(START + 2, "", "GG"), (START + 5, "T", "")])
-    assert [(p - START, i) for _, p, i in bases][:8] == [(0, -1), (1, -1), (2, 0), (2, 1), (2, -1), (3, -1), (4, -1), (6, -1)]
+    pieces = va.apply_variants(START, END, [(START + 2, "", "GG"), (START + 5, "T", "")])
+    assert [(p - START, i) for p, i in map(pieces.lift, range(len(pieces)))][:8] == [(0, -1), (1, -1), (2, 0), (2, 1), (2, -1), (3, -1), (4, -1), (6, -1)]
+
+
+def test_slices_are_those_of_the_bases():
+    rng = random.Random(8)
+    for _ in range(100):
+        pieces = pc.apply_variants(START, END, [(START + 2, "TC", "GGG"), (START + 5, "T", ""), (START + 9, "", "AC"), (START + 12, "G", "T")], rng.choice([None, START, ANCHOR, END]), 1)
+        whole, places = pieces.letters(fetch), [pieces.lift(k) for k in range(len(pieces))]
+        a, b = sorted(rng.choices(range(len(pieces) + 1), k=2))
+        cut = pieces.sliced(a, b)
+        assert cut.letters(fetch) == whole[a:b] and [cut.lift(k) for k in range(len(cut))] == places[a:b]
+
+
+def test_a_megabase_with_a_thousand_variants():
+    rng = random.Random(9)
+    text = "".join(rng.choices("ACGT", k=1_000_000))
+    take = lambda a, b: text[a:b]
+    changes = [(i, *rng.choice([(text[i], "G"), ("", "GATTACA"), (text[i : i + 3], "")])) for i in range(500, 1_000_000, 1000)]
+    began = time.perf_counter()
+    for anchor in (None, 500_250):
+        pieces = pc.apply_variants(100_000, 900_000, changes, anchor)
+        assert len(pieces.letters(take)) == len(pieces) and (anchor is None or len(pieces) == 800_000)
+        assert text[pieces.lift(123_456)[0]] in "ACGT"
+    assert time.perf_counter() - began < 1
+    assert len(pieces.start) < 4_000
+
+
+def brute_reach(start, end, anchor, gone):
+    """Positions that a window needs, one at a time: every deleted one draws in the next."""
+    if anchor is None:
+        return start, end
+    low, high = min(start, anchor), max(end, anchor)
+    for side in (1, -1):
+        left = high - anchor if side > 0 else anchor - low
+        at = anchor if side > 0 else anchor - 1
+        while left > 0:
+            left += at in gone
+            left -= 1
+            at += side
+        low, high = (low, max(high, at)) if side > 0 else (min(low, at + 1), high)
+    return low, high
+
+
+def test_windows_grow_to_a_fixpoint(spark):
+    rng = random.Random(10)
+    text = "".join(rng.choices("ACGT", k=4000))
+    variants, at = [], 50
+    while at < 3900:
+        n = rng.choice([1, 2, 5, 40])
+        variants.append(("c", at, *rng.choice([(text[at : at + n], ""), ("", "GG"), (text[at : at + n], "T" * n), (text[at : at + n], text[at])])))
+        at += n + rng.choice([1, 2, 9, 60])
+    windows = []
+    for i in range(120):
+        s = rng.randrange(300, 3300)
+        e = s + rng.choice([0, 1, 30, 200])
+        windows.append((i, "c", rng.choice("+-"), s, e, rng.choice([None, s, e, (s + e) // 2, s - 7, e + 7]), 1))
+    w = spark.createDataFrame(windows, "q_id long, chrom string, strand string, start_pos long, end_pos long, anchor long, anchor_offset long")
+    v = spark.createDataFrame(variants, "chrom string, start_pos long, ref string, alt string")
+    seq = spark.createDataFrame([("c", text)], "chrom string, seq string")
+    gone = {p for _, s, r, a in variants for e in pc.split_variant(s, r, a) if not e.alt for p in range(e.start, e.end)}
+    reach = {r["q_id"]: (r["low"], r["high"]) for r in va.grown(w, v).collect()}
+    for i, _, _, s, e, anchor, _ in windows:
+        low, high = brute_reach(s, e, anchor, gone)
+        assert reach[i][0] <= low and high <= reach[i][1]
+        # no farther than what is deleted there
+        assert (low - reach[i][0]) + (reach[i][1] - high) <= sum(p in gone for p in range(*reach[i]))
+    seen = {(r["q_id"], r["start_pos"], r["ref"], r["alt"]) for r in va.sequence_variations(w, v).collect()}
+    assert seen == {(i, s, r, a) for i, (low, high) in reach.items() for _, s, r, a in variants if (s < high and low < s + len(r)) or (s == low and not r)}
+    sizes = seq.select("chrom", F.length("seq").cast("long").alias("size"))
+    got = {r["q_id"]: r["dna"] for r in va.variant_dna(w, v, dna.chunked(seq, 64), sizes, 64).collect()}
+    far = [x[1:] for x in variants]
+    for i, _, strand, s, e, anchor, offset in windows:
+        wanted = pc.apply_variants(s, e, far, anchor, offset).letters(lambda a, b: text[a:b])
+        assert got[i] == (wanted if strand == "+" else va.reverse_complement(wanted))
 
 
 def test_overlapping_variants_are_refused():
@@ -83,8 +159,8 @@ def test_overlapping_variants_are_refused():
 
 
 def test_normalise_keeps_a_shared_end():
-    assert va.split_variant(10, "GTACGT", "TTT") == [va.Edit(10, "GTA", "TTT"), va.Edit(13, "CGT", "")]
-    assert va.split_variant(10, "AC", "AC") == []
+    assert pc.split_variant(10, "GTACGT", "TTT") == [pc.Edit(10, "GTA", "TTT"), pc.Edit(13, "CGT", "")]
+    assert pc.split_variant(10, "AC", "AC") == []
 
 
 def test_reverse_complement(spark):
