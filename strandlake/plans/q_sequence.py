@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import dna, splice
+from strandlake.operators import genomic as gn
 from strandlake.operators import variants as va
 from strandlake.sources.store import stored
 
@@ -180,6 +181,61 @@ QUERIES["v12_outside_anchor"] = lambda spark, d: _applied(spark, d, F.lit(30))
 ORACLE["v12_outside_anchor"] = _LONG + _STRAND(f"right(left({_S(30, 43)} || 'N' || {_S(44, 46)} || 'GG' || {_S(46, 48)} || {_S(51, 110)}, {_END} - 30), {_END} - 40)") + " AS dna FROM s"
 QUERIES["v14_variant_dna"], ORACLE["v14_variant_dna"] = QUERIES["v08_apply_no_anchor"], ORACLE["v08_apply_no_anchor"]
 
+# -- variants against the genome ----------------------------------------------------------------
+
+# a sequence with a repeat of up to 300 bases at its end, and variants within and before it
+_REP = "rep AS (SELECT doc_id, chrom, seq || repeat('CA', CAST(doc_id % 150 AS INTEGER)) || 'T' AS seq, length(seq || repeat('CA', CAST(doc_id % 150 AS INTEGER))) AS n FROM seq WHERE length(seq) >= 60)"
+_GV = """gv AS (SELECT doc_id, chrom, seq, n - 2 AS start_pos, substr(seq, n - 1, 2) AS ref, '' AS alt FROM rep
+UNION ALL SELECT doc_id, chrom, seq, n, '', substr(seq, n - 1, 2) FROM rep
+UNION ALL SELECT doc_id, chrom, seq, 20 + doc_id % 30, '', substr(seq, CAST(20 + doc_id % 30 AS BIGINT), 1) FROM rep
+UNION ALL SELECT doc_id, chrom, seq, 5, substr(seq, 6, 4), substr(seq, 6, 1) FROM rep
+UNION ALL SELECT doc_id, chrom, seq, 30, CASE WHEN doc_id % 3 = 0 THEN 'A' ELSE substr(seq, 31, 1) END, 'N' FROM rep
+UNION ALL SELECT doc_id, chrom, seq, n - 1, 'AT' || repeat('A', CAST(doc_id % 2 AS INTEGER)), 'G' FROM rep
+UNION ALL SELECT doc_id, chrom, seq, 3, substr(seq, 4, 2), CASE WHEN doc_id % 2 = 0 THEN 'Z' ELSE 'G' END FROM rep)"""
+
+
+def _genome(spark, d):
+    """Variants of every sequence, its chunks and its sizes."""
+    s = sequences(spark, d).where("length(seq) >= 60")
+    whole = F.concat("seq", F.repeat(F.lit("CA"), (F.col("doc_id") % 150).cast("int")))
+    rep = stored(s.select("doc_id", "chrom", F.concat(whole, F.lit("T")).alias("seq"), F.length(whole).alias("n")))
+    cut = lambda at, k: F.col("seq").substr((at + 1).cast("int"), F.lit(k))
+    v = lambda at, ref, alt: F.struct(at.cast("long").alias("start_pos"), ref.alias("ref"), alt.alias("alt"))
+    n, i, none = F.col("n"), F.col("doc_id"), F.lit("")
+    every = F.array(
+        v(n - 2, cut(n - 2, 2), none), v(n, none, cut(n - 2, 2)), v(20 + i % 30, none, cut(19 + i % 30, 1)), v(F.lit(5), cut(F.lit(5), 4), cut(F.lit(5), 1)),
+        v(F.lit(30), F.when(i % 3 == 0, "A").otherwise(cut(F.lit(30), 1)), F.lit("N")), v(n - 1, F.concat(F.lit("AT"), F.repeat(F.lit("A"), (i % 2).cast("int"))), F.lit("G")),
+        v(F.lit(3), cut(F.lit(3), 2), F.when(i % 2 == 0, "Z").otherwise("G")),
+    )
+    return rep.select("doc_id", "chrom", F.explode(every).alias("v")).select("doc_id", "chrom", "v.*"), dna.chunked(rep), _sizes(rep)
+
+
+_FAULT = """CASE WHEN NOT regexp_full_match(ref || alt, '[ACGTN]*') THEN 'alphabet' WHEN start_pos + length(ref) > length(seq) THEN 'outside'
+WHEN substr(seq, CAST(start_pos + 1 AS BIGINT), length(ref)) <> ref THEN 'reference' END"""
+
+
+@query("f10_reference", f"WITH {SEQ}, {_REP}, {_GV} SELECT doc_id, CAST(start_pos AS BIGINT) AS start_pos, ref, alt, {_FAULT} AS fault FROM gv")
+def faults(spark, d):
+    """What is wrong with a variant: its letters, its place, or a reference allele that the genome doesn't have there."""
+    return gn.with_faults(*_genome(spark, d)).select("doc_id", "start_pos", "ref", "alt", "fault")
+
+
+@query("s09_normalised", f"""WITH RECURSIVE {SEQ}, {_REP}, {_GV}, fine AS (SELECT * FROM gv WHERE {_FAULT} IS NULL),
+p AS (SELECT doc_id, seq, start_pos AS s0, ref AS r0, alt AS a0, CAST(len(list_filter(range(1, least(length(ref), length(alt)) + 1), lambda k: right(ref, k) = right(alt, k))) AS BIGINT) AS k FROM fine),
+t AS (SELECT doc_id, seq, s0, r0, a0, left(r0, length(r0) - k) AS r, left(a0, length(a0) - k) AS a FROM p),
+h AS (SELECT *, CAST(len(list_filter(range(1, least(length(r), length(a)) + 1), lambda k: left(r, k) = left(a, k))) AS BIGINT) AS k FROM t),
+roll(doc_id, seq, s0, r0, a0, s, r, a) AS (
+SELECT doc_id, seq, s0, r0, a0, s0 + k, substr(r, k + 1), substr(a, k + 1) FROM h UNION ALL
+SELECT doc_id, seq, s0, r0, a0, s - 1, CASE WHEN r <> '' THEN right(r, 1) || left(r, length(r) - 1) ELSE '' END, CASE WHEN a <> '' THEN right(a, 1) || left(a, length(a) - 1) ELSE '' END
+FROM roll WHERE (r = '') <> (a = '') AND s > 0 AND substr(seq, CAST(s AS BIGINT), 1) = right(r || a, 1))
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start_pos, arg_min(r, s) AS ref, arg_min(a, s) AS alt FROM roll GROUP BY doc_id, s0, r0, a0""")
+def left_aligned(spark, d):
+    """Rows that fit the genome, with indels moved left through repeats."""
+    v, chunks, sizes = _genome(spark, d)
+    fine = gn.checked(v, chunks, sizes, policy="exclude")
+    return gn.left_aligned(fine.distinct(), chunks, sizes).select("doc_id", "start_pos", "ref", "alt")
+
+
 # -- VCF rules -------------------------------------------------------------------------------
 
 _GT = "['0/0','0/1','1/1','./.','0|1','1|0','0|0','1|1','./1','.|1','0','1'][CAST(l_orderkey % 12 + 1 AS BIGINT)]"

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import dna
+from strandlake.operators import genomic as gn
 from strandlake.operators import pieces as pc
 from strandlake.operators import variants as va
 
@@ -153,6 +154,53 @@ def test_windows_grow_to_a_fixpoint(spark):
         assert got[i] == (wanted if strand == "+" else va.reverse_complement(wanted))
 
 
+def brute_left(text, start, ref, alt):
+    """By the sequences that they make: of all equal ways to write an indel, the leftmost."""
+    while ref and alt and ref[-1] == alt[-1]:
+        ref, alt = ref[:-1], alt[:-1]
+    while ref and alt and ref[0] == alt[0]:
+        start, ref, alt = start + 1, ref[1:], alt[1:]
+    if bool(ref) == bool(alt):
+        return start, ref, alt
+    made = text[:start] + alt + text[start + len(ref) :]
+    for s in range(start + 1):
+        if ref and text[:s] + text[s + len(ref) :] == made:
+            return s, text[s : s + len(ref)], ""
+        if alt and made[:s] + made[s + len(alt) :] == text and text[:s] == made[:s]:
+            return s, "", made[s : s + len(alt)]
+
+
+@pytest.mark.parametrize("context", [1, 64])
+def test_left_alignment(spark, context):
+    rng = random.Random(11)
+    texts = {"c": "AC" * 90 + "GGG" + "".join(rng.choices("AC", k=60)) + "T" * 40 + "".join(rng.choices("ACGT", k=60)), "d": "A" * 30}
+    variants = [("c", 178, "AC", ""), ("c", 180, "", "ACAC"), ("c", 10, "acaC", "AC"), ("c", 5, "C", "G"), ("c", 0, "", "AC"), ("d", 29, "A", ""), ("d", 30, "", "AA"), ("d", 30, "", "G"), ("x", 4, "A", ""), ("c", 4, None, "A")]
+    for _ in range(80):
+        s, n = rng.randrange(1, 330), rng.randrange(1, 5)
+        variants.append(("c", s, texts["c"][s : s + n], rng.choice(["", texts["c"][s : s + n] * 2, "G", texts["c"][s]])))
+    variants += variants[:3]
+    v = spark.createDataFrame(variants, "chrom string, start_pos long, ref string, alt string").repartition(3)
+    seq = spark.createDataFrame(list(texts.items()), "chrom string, seq string")
+    sizes = seq.select("chrom", F.length("seq").cast("long").alias("size"))
+    got = sorted((tuple(r) for r in gn.left_aligned(v, dna.chunked(seq, 16), sizes, 16, context).collect()), key=str)
+    wanted = [(c, s, r, a) if c == "x" or r is None else (c, *brute_left(texts[c], s, r.upper(), a)) for c, s, r, a in variants]
+    assert got == sorted(wanted, key=str)
+
+
+def test_variants_that_dont_fit(spark):
+    seq = spark.createDataFrame([("chr1", "ACGTacgtAC"), ("2", "GGGG")], "chrom string, seq string")
+    sizes = seq.select("chrom", F.length("seq").cast("long").alias("size"))
+    rows = [("chr1", 1, "CG", "T"), ("chr1", 1, "CG", "T"), ("1", 4, "A", ""), ("2", 0, "g", "t"), ("chr1", 0, "T", "G"), ("chr1", 9, "CC", "G"), ("chr1", -1, "A", ""), ("3", 0, "A", "C"), ("2", 1, "G", "<DEL>"), ("2", 4, "", "A"), (None, 1, "A", "C"), ("2", None, "A", "C")]
+    v = spark.createDataFrame(rows, "chrom string, start_pos long, ref string, alt string")
+    named = gn.on_known_contigs(v, sizes)
+    assert named.count() == len(rows) and named.where("chrom = 'chr1'").count() == 6
+    got = sorted((tuple(r) for r in gn.with_faults(named, dna.chunked(seq, 3), sizes, 3).select("chrom", "start_pos", "fault").collect()), key=str)
+    assert got == sorted([("chr1", 1, None)] * 2 + [("chr1", 4, None), ("2", 0, None), ("chr1", 0, "reference"), ("chr1", 9, "outside"), ("chr1", -1, "outside"), ("3", 0, "contig"), ("2", 1, "alphabet"), ("2", 4, None), (None, 1, "contig"), ("2", None, "outside")], key=str)
+    assert gn.checked(named, dna.chunked(seq, 3), sizes, 3, "exclude").count() == 5
+    with pytest.raises(Exception, match="doesn't fit the genome:reference:chr1:1:T:G"):
+        gn.checked(named.where("chrom = 'chr1' and start_pos = 0"), dna.chunked(seq, 3), sizes, 3).collect()
+
+
 def test_overlapping_variants_are_refused():
     with pytest.raises(ValueError, match="overlap"):
         applied([(START, "TATC", ""), (START + 2, "TC", "")])
