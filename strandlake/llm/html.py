@@ -197,8 +197,10 @@ def blocks(page: str, shown=None) -> list[Block]:
         if tag in VOID or m["rest"].endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            # its end tag, then once the bracket that ends that: if there is none here, there is none after a later end tag
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            shut = page.find(">", end.end()) if end else -1
+            at = shut + 1 if shut >= 0 else len(page)
             continue
         path = stack[-1][1] if stack else Path()
         if tag not in INLINE:

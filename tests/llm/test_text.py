@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -236,6 +237,9 @@ def test_blocks():
     ad = html.blocks(page)[4]
     assert ad.inner == "div" and ad.said is False and ad.path == html.Path().into("div", ("ad", "x", "q")).bits
     assert [b.said for b in html.blocks("<article><p>a<div class=content-ads>b</div></article><header>c</header><main><header>d</header></main>")] == [True, False, False, True]
+    began = time.perf_counter()
+    assert html.blocks("<p>a</p><script>" + "</script " * 120_000) == html.blocks("<p>a</p>") and time.perf_counter() - began < 1
+    assert [b[0] for b in html.blocks("<script>x</scripts></script\n a>b")] == ["b"]
     assert html.blocks("") == html.blocks("<p></p><p> </p>") == html.blocks("<script>x") == []
     assert [b[0] for b in html.blocks("<p>a < b <c")] == ["a < b"]
 
