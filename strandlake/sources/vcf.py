@@ -13,9 +13,22 @@ TYPES = {"Integer": "int", "Float": "float", "String": "string", "Character": "s
 _META = re.compile(r'##(INFO|FORMAT)=<ID=([^,]+),Number=([^,]+),Type=([^,>]+)')
 
 
+def _head(spark: SparkSession, path: str) -> list[str]:
+    """The lines before the first row: as many are taken from the file's beginning as it needs, and no split behind them is read."""
+    first = min(spark.read.text(path).inputFiles(), default=None)
+    n = 1024
+    while first is not None:
+        lines = [r["value"] for r in spark.read.text(first).take(n)]
+        rows = next((i for i, x in enumerate(lines) if not x.startswith("#")), len(lines))
+        if rows < len(lines) or len(lines) < n:
+            return lines[:rows]
+        n *= 4
+    return []
+
+
 def header(spark: SparkSession, path: str) -> tuple[dict, dict, list[str]]:
-    """INFO and FORMAT fields (id -> (number, type)) and the samples; the header's lines are few."""
-    lines = [r["value"] for r in spark.read.text(path).where("value LIKE '#%'").collect()]
+    """INFO and FORMAT fields (id -> (number, type)) and the samples, from the first lines of the first file by name."""
+    lines = _head(spark, path)
     fields = {"INFO": {}, "FORMAT": {}}
     for line in lines:
         if m := _META.match(line):

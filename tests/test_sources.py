@@ -160,3 +160,14 @@ def test_store(spark, tmp_path):
 def test_fasta(spark):
     s = spark.createDataFrame([("c", "ACGTA")], "chrom string, seq string")
     assert [r["value"] for r in store.fasta_lines(s, 2).orderBy("line").collect()] == [">c", "AC", "GT", "A"]
+
+
+def test_vcf_header_is_read_from_the_beginning(spark, tmp_path):
+    """However long the header is, and not from lines further down."""
+    from strandlake.sources import vcf
+
+    meta = [f'##INFO=<ID=A{i},Number=1,Type=Integer,Description="x">' for i in range(1500)]
+    rows = ["\t".join(["c", str(i), ".", "A", "C", ".", ".", "A7=1", "GT", "0/1"]) for i in range(1, 50)] + ['##INFO=<ID=LATE,Number=1,Type=Integer,Description="x">']
+    (tmp_path / "a.vcf").write_text("\n".join([*meta, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1", *rows]) + "\n")
+    info, fmt, names = vcf.header(spark, str(tmp_path))
+    assert len(info) == 1500 and "LATE" not in info and fmt == {} and names == ["s1"]
