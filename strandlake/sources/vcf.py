@@ -14,20 +14,22 @@ _META = re.compile(r'##(INFO|FORMAT)=<ID=([^,]+),Number=([^,]+),Type=([^,>]+)')
 
 
 def _head(spark: SparkSession, path: str) -> list[str]:
-    """The lines before the first row: as many are taken from the file's beginning as it needs, and no split behind them is read."""
-    first = min(spark.read.text(path).inputFiles(), default=None)
-    n = 1024
-    while first is not None:
-        lines = [r["value"] for r in spark.read.text(first).take(n)]
+    """The lines before the first row, of files in order of their names: as many are taken from a file's beginning as it needs."""
+    found = []
+    for file in sorted(spark.read.text(path).inputFiles()):
+        n, lines = 256, None
+        while lines is None or len(lines) == n and lines[-1].startswith("#"):
+            n *= 4
+            lines = [r["value"] for r in spark.read.text(file).take(n)]
         rows = next((i for i, x in enumerate(lines) if not x.startswith("#")), len(lines))
-        if rows < len(lines) or len(lines) < n:
-            return lines[:rows]
-        n *= 4
-    return []
+        found += lines[:rows]
+        if rows < len(lines):  # what a file holds behind its first row isn't its header
+            break
+    return found
 
 
 def header(spark: SparkSession, path: str) -> tuple[dict, dict, list[str]]:
-    """INFO and FORMAT fields (id -> (number, type)) and the samples, from the first lines of the first file by name."""
+    """INFO and FORMAT fields (id -> (number, type)) and the samples, from what stands before the first row."""
     lines = _head(spark, path)
     fields = {"INFO": {}, "FORMAT": {}}
     for line in lines:
