@@ -1,5 +1,6 @@
 """Exact, SimHash, embedding and substring dedup against brute force, and their odd rows."""
 
+import collections
 import hashlib
 import random
 import re
@@ -385,6 +386,25 @@ def test_passages(spark):
     assert cut[2].split() == rows[2][:30] + rows[2][90:] and cut[9] == ""
 
 
+def test_passages_of_repeated_ids(spark):
+    """Texts of one doc_id are told apart: each loses its own passages only, and the later of two that share one loses it."""
+    rng = random.Random(16)
+    make = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, twice = make(60), make(70)
+    first, clean = make(40) + shared, make(80)
+    a, b = sorted((" ".join(make(20) + twice), " ".join(twice + make(30))), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    texts = [(1, first), (2, make(10) + shared), (2, clean), (2, clean), (2, None), (2, [""]), (None, shared)]
+    data = [(i, t and " ".join(t)) for i, t in texts] + [(3, a), (3, b)]
+    docs = documents(spark, data)
+    found = substring.passages(docs)
+    assert {(r["doc_id"], r["other_id"], r["start_word"], r["end_word"], r["text_id"]) for r in found.collect()} == {
+        (2, 1, 10, 70, hashlib.md5(data[1][1].encode()).hexdigest()), (3, 3, *((0, 70) if b.split()[0] == twice[0] else (20, 90)), hashlib.md5(b.encode()).hexdigest()),
+    }
+    left = collections.Counter((r["doc_id"], r["text"] and " ".join(r["text"].split())) for r in substring.without_passages(docs, found).collect())
+    lost = lambda t, part: " ".join(t.replace(" ".join(part), "").split())
+    assert left == collections.Counter([(i, lost(t, shared) if (i, t) == data[1] else lost(t, twice) if t == b else t) for i, t in data])
+
+
 def test_exact_passages_of_frequent_lines(spark):
     """Whatever documents share pieces of it, a passage that an older document has word for word is found."""
     rng = random.Random(11)
