@@ -1,5 +1,7 @@
 """Readers of small texts."""
 
+import random
+
 import pytest
 
 from strandlake.operators import reads as rd
@@ -122,6 +124,35 @@ def test_wig_rules():
             rows(*lines)
 
 
+@pytest.mark.parametrize("most", [signal.SPLITS, 0])
+def test_wig_in_splits(spark, tmp_path, monkeypatch, most):
+    """However a file is cut, its rows are those of one reader, and so are its faults."""
+    monkeypatch.setattr(signal, "SPLITS", most)
+    rng, lines, at = random.Random(5), ["track x", "# c"], 0
+    for k in range(21):  # sections without rows, of one, and of many splits
+        n = rng.choice([0, 1, 3, 40])
+        at += 10_000
+        lines += [f"fixedStep chrom=c{k // 7} start={at + 1} step=5 span=5", *(str(rng.randint(0, 9)) for _ in range(n)), ""] if k % 2 else [f"variableStep chrom=c{k // 7} span=5", *(f"{at + 5 * i + 1} {i}" for i in range(n))]
+        at += 5 * n
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.wig").write_text("\n".join(lines) + "\n")
+    (tmp_path / "w/b.wig").write_text("\n".join(lines[9:][next(i for i, x in enumerate(lines[9:]) if "Step" in x) :]))
+    (tmp_path / "w/none.wig").write_text("")
+    wanted = [r for p in ("a", "b") for r in signal.wig_rows((tmp_path / f"w/{p}.wig").read_text().split("\n"), resolution=5)]
+    bad = "\n".join(["variableStep chrom=c span=5", *(f"{5 * i + 1} 1" for i in range(50)), "fixedStep chrom=c start=251 step=5 span=5", "1"])
+    (tmp_path / "bad.wig").write_text(bad)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for piece in (61, 400):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(piece))
+            assert spark.read.text(str(tmp_path / "w")).rdd.getNumPartitions() > 5
+            assert sorted(tuple(r) for r in signal.wig(spark, str(tmp_path / "w"), resolution=5).collect()) == sorted(wanted)
+            with pytest.raises(Exception, match="goes on"):
+                signal.wig(spark, str(tmp_path / "bad.wig"), resolution=5).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_assembly(spark, tmp_path):
     (tmp_path / "a.txt").write_text("# ucsc\tgenbank\nchr1\tCM1\nchrM\t\n")
     assert {tuple(r) for r in assembly.chrom_aliases(spark, str(tmp_path / "a.txt")).collect()} == {("chr1", "ucsc", "chr1"), ("chr1", "genbank", "CM1"), ("chrM", "ucsc", "chrM")}
