@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.sources.store import stored
+
 from .dna import CHUNK, extract
 from .rangejoin import find_overlapping
+from .scan import piece, scanned
 
 SECONDARY, UNMAPPED, DUPLICATE, REVERSE = 0x900, 0x4, 0x400, 0x10
 OPERATIONS = "MIDNS"
@@ -100,6 +103,52 @@ def reads_per_junction(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*JUNCTION).agg((F.sum("count") / 2).cast("long").alias("num_reads"), F.count(F.lit(1)).alias("num_counts"))
 
 
+def depth(matched: DataFrame) -> DataFrame:
+    """How many of matched(chrom, start_pos, end_pos) lie over each position, as runs of equal depth: chrom, start_pos, end_pos, depth.
+
+    A sweep: each row adds one at its start and takes one at its end, which are summed by
+    position before they are shuffled on and summed along the chromosome. Positions under none
+    have no run; empty rows and rows with a null count for nothing.
+    """
+    rows = matched.where("start_pos < end_pos").select("chrom", F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.lit(1).alias("n")), F.struct(F.col("end_pos").alias("pos"), F.lit(-1).alias("n")))).alias("e"))
+    events = stored(rows.groupBy("chrom", "e.pos").agg(F.sum("e.n").alias("n")).where("n <> 0"))
+    over = scanned(events, ["chrom"], ["pos"], [piece(F.col("pos"))], {"depth": ("sum", F.col("n"))}, inclusive=True)
+    # the next event is the least after it: the same scan from the other end
+    ends = scanned(over.withColumn("back", -F.col("pos")), ["chrom"], ["back"], [piece(F.col("back"))], {"next": ("max", F.col("back"))})
+    return ends.where("depth > 0").select("chrom", F.col("pos").alias("start_pos"), (-F.col("next")).alias("end_pos"), "depth")
+
+
+def pileup_of_reads(reads: DataFrame, chunks: DataFrame, variants: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
+    """A, C, G, T and DEL at every position that a matched base of reads(chrom, pos, cigar) lies over.
+
+    The reference's chunks(chrom, chunk, seq) give the bases of the runs of equal depth, so rows grow
+    with the positions, not with the reads over them. variants(chrom, start_pos, ref, alt): what linked
+    reads have in place of the reference, as read_variants gives it; of substitutions and deletions
+    each base takes one from the reference's count and gives one to the other, what is put in counts for nothing.
+    N isn't counted (its row has zeros), and positions outside the chunks have no row.
+    """
+    runs = depth(segments(reads.select("chrom", "pos", "cigar")).select("chrom", "start_pos", "end_pos"))
+    met = runs.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start_pos") / size), F.floor((F.col("end_pos") - 1) / size)))).join(chunks.select("chrom", "chunk", "seq"), ["chrom", "chunk"])
+    low = F.greatest(F.col("start_pos") - F.col("chunk") * size, F.lit(0))
+    high = F.least(F.col("end_pos") - F.col("chunk") * size, F.length("seq"))
+    part = met.where(high > low).select("chrom", "depth", (F.col("chunk") * size + low).alias("at"), F.split(F.substring("seq", (low + 1).cast("int"), (high - low).cast("int")), "").alias("bases"))
+    counts = part.select("chrom", "at", "depth", F.posexplode("bases").alias("k", "base")).select("chrom", (F.col("at") + F.col("k")).alias("pos"), F.upper("base").alias("base"), F.col("depth").alias("n"))
+    if variants is not None:
+        whole = F.length("ref") == F.length("alt")
+        other = lambda k: F.when(whole, F.upper(F.substring(F.col("alt"), k + 1, 1))).otherwise("DEL")
+        changes = lambda k: F.array(F.struct(k.alias("k"), F.upper(F.substring(F.col("ref"), k + 1, 1)).alias("base"), F.lit(-1).alias("n")), F.struct(k.alias("k"), other(k).alias("base"), F.lit(1).alias("n")))
+        each = variants.where(whole | (F.col("alt") == "")).where("ref <> ''").select("chrom", "start_pos", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.length("ref") - 1), changes))).alias("e"))
+        each = each.select("chrom", (F.col("start_pos") + F.col("e.k")).alias("pos"), F.col("e.base").alias("base"), F.col("e.n").alias("n"))
+        counts = counts.unionByName(each.groupBy("chrom", "pos", "base").agg(F.sum("n").alias("n")))
+    return _counted(counts)
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """rows(chrom, pos, base, n) as A, C, G, T and DEL by position."""
+    count = lambda b: F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).cast("long").alias(b)
+    return rows.groupBy("chrom", "pos").agg(*(count(b) for b in ("A", "C", "G", "T", "DEL")))
+
+
 def pileup(bases: DataFrame, variants: DataFrame | None = None) -> DataFrame:
     """A, C, G, T and DEL by position.
 
@@ -112,8 +161,7 @@ def pileup(bases: DataFrame, variants: DataFrame | None = None) -> DataFrame:
         ref = variants.select("chrom", "pos", F.upper("ref").alias("base"), F.lit(-1).alias("n"))
         alt = variants.select("chrom", "pos", F.when(F.col("alt") == "", "DEL").otherwise(F.upper("alt")).alias("base"), F.lit(1).alias("n"))
         plus = plus.unionByName(ref).unionByName(alt)
-    count = lambda b: F.coalesce(F.sum(F.when(F.col("base") == b, F.col("n"))), F.lit(0)).cast("long").alias(b)
-    return plus.groupBy("chrom", "pos").agg(*(count(b) for b in ("A", "C", "G", "T", "DEL")))
+    return _counted(plus)
 
 
 def with_whole_sequence(reads: DataFrame) -> DataFrame:

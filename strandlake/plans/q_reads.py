@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.operators import reads as rd
+from strandlake.operators.dna import chunked
 
+from .q_sequence import SEQ, sequences
 from .relations import cte, relation
 
 QUERIES: dict = {}
@@ -129,5 +131,22 @@ def pileup(spark, d):
     return rd.pileup(bases.withColumn("base", base), v.withColumn("ref", base))
 
 
-QUERIES["j19_pileup_variants"], ORACLE["j19_pileup_variants"] = pileup, ORACLE["a05_pileup"]
+_PILED = """r AS (SELECT doc_id, chrom, seq, k, (doc_id * 7 + k * 11) % greatest(length(seq) - 20, 1) AS pos FROM seq, (SELECT unnest(range(0, 6)) AS k) WHERE length(seq) >= 40),
+m AS (SELECT chrom, pos, pos + unnest(list_concat(range(0, 6), range(9, 15))) AS p, seq, k FROM r),
+x AS (SELECT chrom, p, CASE WHEN k % 3 = 1 AND p = pos + 2 AND substr(seq, CAST(p + 1 AS INTEGER), 1) <> 'T' THEN 'T' WHEN k % 3 = 2 AND p IN (pos + 10, pos + 11) THEN 'DEL' ELSE substr(seq, CAST(p + 1 AS INTEGER), 1) END AS base FROM m WHERE p < length(seq))"""
+
+
+@query("j19_pileup_variants", f"""WITH {SEQ}, {_PILED} SELECT chrom, p AS pos, count(*) FILTER (base = 'A') AS A, count(*) FILTER (base = 'C') AS C, count(*) FILTER (base = 'G') AS G,
+count(*) FILTER (base = 'T') AS T, count(*) FILTER (base = 'DEL') AS DEL FROM x GROUP BY 1, 2""")
+def pileup_variants(spark, d):
+    """Spliced reads over the texts' letters as a reference, with substitutions and deletions of two bases linked to them: positions, not reads, make the rows."""
+    s = sequences(spark, d).where("length(seq) >= 40")
+    r = s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("pos", (F.col("doc_id") * 7 + F.col("k") * 11) % F.greatest(F.length("seq") - 20, F.lit(1)))
+    at = lambda k, n: F.substring(F.col("seq"), (F.col("pos") + k + 1).cast("int"), F.lit(n))
+    one = r.where("k % 3 = 1").select("chrom", (F.col("pos") + 2).alias("start_pos"), at(2, 1).alias("ref"), F.lit("T").alias("alt")).where("ref <> 'T'")
+    two = r.where("k % 3 = 2").select("chrom", (F.col("pos") + 10).alias("start_pos"), at(10, 2).alias("ref"), F.lit("").alias("alt"))
+    reads = r.select("chrom", "pos", F.when(F.col("k") % 3 == 2, "6M3N1M2D3M").otherwise("6M3N6M").alias("cigar"))
+    return rd.pileup_of_reads(reads, chunked(s.select("chrom", "seq"), 1024), one.unionByName(two), 1024)
+
+
 QUERIES["s12_distribution"], ORACLE["s12_distribution"] = distribution, ORACLE["a02_distribution"]
