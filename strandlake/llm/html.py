@@ -39,7 +39,7 @@ MADE = 900
 LONG = 4_096
 PATHS, WORDS, EXTRA = 256, 32, 6
 HIDDEN = 16
-EPOCHS = 14
+EPOCHS = 20
 
 #: Elements that don't end a block, that hold no text of the page, that have no end tag, and that end an open one.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,6 +57,9 @@ ASIDE_NAMES = (
 ).split()
 MAIN_NAMES = "article main content post entry story body text".split()
 
+#: Elements of short main text in the pages made for training.
+SHORT = (("p",), ("p",), ("p",), ("p",), ("ul", "li"), ("ul", "li"), ("ul", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tr", "th"), ("pre",), ("h2",), ("h3",), ("blockquote",), ("dl", "dt"), ("dl", "dd"), ("figure", "figcaption"), ("div",))
+
 #: Elements that training pages show as plain boxes.
 TELLING = frozenset((*ASIDE_TAGS, "article", "main", "section", "header", "figure", "details", "summary"))
 
@@ -387,6 +390,7 @@ def made_pages(pages: list[list[Block]], n: int, seed: int = 3) -> list[list[Blo
     out = []
     for number in range(n):
         shown = (None, None, None, None, disguised(number, False), disguised(number, True))[number % 6]
+        plain = number % 6 == 5
         top = ("html", "body")
         holder = holders[rng.integers(len(holders))]
         page: list[Block] = []
@@ -404,17 +408,30 @@ def made_pages(pages: list[list[Block]], n: int, seed: int = 3) -> list[list[Blo
             for _ in range(int(rng.integers(1, 7))):
                 text = texts[rng.integers(len(texts))]
                 words = text.split()
-                short = " ".join(words[: int(rng.integers(1, 4 + len(words) // 2))]) if rng.random() < 0.8 else text
+                short = " ".join(words[: int(rng.integers(1, 4 + len(words) // 2))]) if rng.random() < 0.6 else text
                 put(short, (*top, *within, element, *inner), float(rng.random() < 0.5))
 
+        def brief(own: list[Block], holder: tuple[str, ...], top=top, put=put, plain=plain) -> None:
+            # lists, tables, code and links are as short in main text as in menus; only among plain boxes are links a sign
+            inner = SHORT[rng.integers(len(SHORT))] if rng.random() < 0.7 else ("p",)
+            link = float(rng.random() < (0.1 if plain else 0.6))
+            for _ in range(int(rng.integers(1, 9))):
+                words = own[rng.integers(len(own))].text.split() or ["x"]
+                at = int(rng.integers(len(words)))
+                put(" ".join(words[at : at + int(rng.integers(1, 13))]), (*top, *holder, *inner), link if rng.random() < 0.8 else float(rng.random()))
+
         for _ in range(int(rng.integers(0, 5))):
             side(() if rng.random() < 0.7 else ("header",))
-        for k, (text, _, last, linked, _) in enumerate(mains[rng.integers(len(mains))]):
+        own = mains[rng.integers(len(mains))]
+        terse = 0.4 * float(rng.random() < 0.8) if holder else 0.0
+        for k, (text, _, last, linked, _) in enumerate(own):
             last = last if last in ("p", "li", "h1", "h2", "h3", "td", "blockquote", "pre", "dd") else "p"
             if rng.random() < 0.1:
                 last = ["h2", "li", "blockquote", "pre", "td", "h3", "figcaption", "div", "section"][rng.integers(9)]
             inner = {"li": ("ul", "li"), "td": ("table", "tr", "td"), "figcaption": ("figure", "figcaption")}.get(last, (last,))
             put(text, (*top, *holder, *inner), linked)
+            if rng.random() < terse:
+                brief(own, holder)
             if holder and k and rng.random() < 0.15:
                 side(holder)
         if holder and rng.random() < 0.4:

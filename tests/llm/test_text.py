@@ -306,14 +306,59 @@ def test_extraction(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
-def test_extraction_without_telling_names(spark):
-    """The labeller, trained on some pages, reads others whose classes and ids are random, and whose articles, menus and the like are plain boxes."""
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """The labeller trained on 160 pages, and pages that it hasn't seen."""
     source = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
-    model = html.train(spark.createDataFrame([(i, "u", h) for i, h in enumerate(source[:160])], "page_id long, url string, html string"))
+    return html.train(spark.createDataFrame([(i, "u", h) for i, h in enumerate(source[:160])], "page_id long, url string, html string")), source[160:]
+
+
+@pytest.mark.parametrize("holder", ["article", "main", 'div class="content"'])
+def test_short_main_text_is_kept(labelled, holder):
+    """Short paragraphs, lists, tables, code and links within main text are kept, and whole sentences beside it are left out."""
+    model, source = labelled
+    rng = random.Random(2)
+    whole = [b.text for h in source for b in html.blocks(h) if b.said and len(b.text.split()) >= 20]
+
+    def words(n):
+        w = rng.choice(whole).split()
+        at = rng.randrange(len(w) - n)
+        return " ".join(w[at : at + n])
+
+    def items(element, texts):
+        return "".join(f"<{element}>{t}</{element.split()[0]}>" for t in texts)
+
+    shapes = {
+        "p": lambda t: items("p", t),
+        "li": lambda t: f"<ul>{items('li', t)}</ul>",
+        "td": lambda t: f"<table><tr>{items('td', t)}</tr></table>",
+        "link": lambda t: items("p", [f"<a href=x>{x}</a>" for x in t]),
+        "pre": lambda t: items("pre", t),
+    }
+    sides, left = 0, 0
+    for shape in shapes.values():
+        kept = 0
+        for _ in range(30):
+            long, short = rng.sample(whole, 4), [words(8) for _ in range(4)]
+            menu, foot, related = [words(2) for _ in range(4)], rng.sample(whole, 1), [words(6), *rng.sample(whole, 1)]
+            main = items("p", long[:2]) + shape(short) + items("p", long[2:]) + f"<div class=related>{items('p', related)}</div>"
+            page = f"<body><nav><ul>{items('li', menu)}</ul></nav><{holder}><h1>{words(4)}</h1>{main}</{holder.split()[0]}><footer>{items('p', foot)}</footer></body>"
+            parsed = html.blocks(page)
+            found = [b.text for b, y in zip(parsed, model.probabilities([parsed])[0], strict=True) if y >= 0.5]
+            beside = {*menu, *foot, *related} - {*long, *short}
+            kept += sum(t in found for t in short)
+            sides, left = sides + len(beside), left + sum(t not in found for t in beside)
+        assert kept >= 0.9 * 120
+    assert left >= 0.95 * sides
+
+
+def test_extraction_without_telling_names(labelled):
+    """The labeller, trained on some pages, reads others whose classes and ids are random, and whose articles, menus and the like are plain boxes."""
+    model, source = labelled
     rng = random.Random(1)
-    hidden = [re.sub(r'(class|id|role)="[^"]*"', lambda m: f'{m[1]}="{rng.choice("abcdefgh") * 4}"', h) for h in source[160:]]
+    hidden = [re.sub(r'(class|id|role)="[^"]*"', lambda m: f'{m[1]}="{rng.choice("abcdefgh") * 4}"', h) for h in source]
     boxes = [re.sub(r"<(/?)(article|main|nav|footer|aside|header|form|section)\b", r"<\1div", h) for h in hidden]
-    said = [[b.text for b in html.blocks(h) if b.said] for h in source[160:]]
+    said = [[b.text for b in html.blocks(h) if b.said] for h in source]
     for pages in (hidden, boxes):
         parsed = [html.blocks(h) for h in pages]
         found = [[b.text for b, y in zip(p, q, strict=True) if y >= 0.5] for p, q in zip(parsed, model.probabilities(parsed), strict=True)]
