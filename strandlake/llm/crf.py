@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import batch, bounded, texts_of, tidy
 
-#: Labelled documents that the field is fitted on, those of the smallest hashes of such as have at most so many characters. Scores have no bound.
+#: Labelled documents that the field is fitted on, those of the smallest hashes of such as have at most so many characters and lines. Scores have no bound.
 SAMPLE = 3_000
-CHARACTERS = 200_000
+CHARACTERS, LINES = 200_000, 500
 #: Quantiles and evenly spaced values between which a measure is binned.
 QUANTILES = 10
 EVEN = 8
@@ -29,8 +29,9 @@ BINS = QUANTILES + EVEN
 ROUNDS = 150
 RATE = 0.1
 DECAY = 1e-3
-#: Bytes of text measured at once.
-BLOCK = 1 << 20
+#: Bytes of text measured at once, and lines of a document from which on its messages go line by line, PIECE of them at once.
+BLOCK = 1 << 18
+STEPS, PIECE = 1 << 14, 1 << 12
 THRESHOLD = 0.3
 MEASURES = 16
 
@@ -103,8 +104,11 @@ def measure(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
     return measures, whole
 
 
-def lines_of(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Measures (the last one: whether the line occurs again in its document), lengths and document numbers of all lines that aren't blank; how many documents."""
+def lines_of(texts: Iterator[bytes], model: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Measures (the last one: whether the line occurs again in its document), lengths and document numbers of all lines that aren't blank; how many documents.
+
+    With a model, what the measures come to in place of them: see potentials().
+    """
     found, lengths, owner, hashes = [], [], [], []
     held: list[bytes] = []
     owners: list[int] = []
@@ -127,10 +131,10 @@ def lines_of(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         if full.any():
             s, e = solid[a[full]], solid[b[full] - 1] + 1
             m, h = measure(data, s, e)
-            found.append(m)
+            found.append(m if model is None else potentials(model, m))
             hashes.append(h)
-            lengths.append(e - s)
-            owner.append(np.array(owners)[piece[full]])
+            lengths.append((e - s).astype(np.int32))
+            owner.append(np.array(owners, np.int32)[piece[full]])
         held, owners, size = [], [], 0
 
     for t in texts:
@@ -152,11 +156,33 @@ def lines_of(texts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             flush()
     flush()
     if not found:
-        return np.zeros((0, MEASURES + 1)), np.zeros(0), np.zeros(0, np.int64), docs
-    measures, doc, line = np.concatenate(found), np.concatenate(owner), np.concatenate(hashes)
-    pair = _mix(line + _mix(doc.astype(np.uint64)))
-    _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-    return np.column_stack([measures, count[inverse] > 1]), np.concatenate(lengths).astype(float), doc, docs
+        return np.zeros((0, MEASURES + 1 if model is None else 3)), np.zeros(0), np.zeros(0, np.int64), docs
+    doc, size, pair = _joined(owner), _joined(lengths), _joined(hashes)
+    pair = _mix(pair + _mix(doc.astype(np.uint64)))
+    several = np.sort(pair)
+    several = np.unique(several[1:][several[1:] == several[:-1]])
+    again = np.zeros(len(pair), bool)
+    if len(several):
+        again = several[np.minimum(np.searchsorted(several, pair), len(several) - 1)] == pair
+    del pair
+    kept = _joined(found)
+    if model is None:
+        return np.column_stack([kept, again]), size.astype(float), doc, docs
+    either = potentials(model, np.array([[0.0], [1.0]]), MEASURES)
+    for k in range(3):
+        kept[:, k] += np.where(again, either[1, k], either[0, k])
+    return kept, size.astype(float), doc, docs
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; each is given up as it is copied."""
+    out = np.empty((sum(map(len, parts)), *parts[0].shape[1:]), parts[0].dtype)
+    at = len(out)
+    while parts:
+        part = parts.pop()
+        out[at - len(part) : at] = part
+        at -= len(part)
+    return out
 
 
 def features(measures: np.ndarray, doc: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -173,6 +199,57 @@ def features(measures: np.ndarray, doc: np.ndarray, edges: list[np.ndarray]) ->
     return np.concatenate([own, before, after], 1)
 
 
+def potentials(model: dict, measures: np.ndarray, first: int = 0) -> np.ndarray:
+    """What measures, from number `first` on, add to the line itself, to the next line and to the one before."""
+    out = np.zeros((len(measures), 3))
+    by_place = model["weight"][:-1].reshape(3, -1)
+    for i, column in enumerate(measures.T, first):
+        at = np.searchsorted(model["edges"][i], column, "right") + i * (BINS + 1)
+        for k in range(3):
+            out[:, k] += by_place[k, at]
+    return out
+
+
+def _scores(model: dict, added: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The log potential of every line, from its potentials() and those of the lines beside it in the document."""
+    edge = len(model["edges"]) * model["weight"][-1]
+    same = doc[1:] == doc[:-1]
+    score = added[:, 0].copy()
+    score[1:] += np.where(same, added[:-1, 1], edge)
+    score[:-1] += np.where(same, added[1:, 2], edge)
+    if len(score):
+        score[0] += edge
+        score[-1] += edge
+    return score
+
+
+def long_marginals(score: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """P(good) of the lines of one document of any length, as forward_backward() has it: messages are odds, of which the forward ones are kept, a number a line."""
+    (bad_bad, bad_good), (good_bad, good_good) = np.exp(change).tolist()
+    out = np.empty(len(score))
+    pieces = range(0, len(score), PIECE)
+
+    def odds(at: int) -> list[float]:
+        return np.exp(np.clip(score[at : at + PIECE], -30, 30)).tolist()
+
+    ahead = None
+    for at in pieces:
+        found = []
+        for own in odds(at):
+            ahead = own if ahead is None else own * (bad_good + ahead * good_good) / (bad_bad + ahead * good_bad)
+            found.append(ahead)
+        out[at : at + PIECE] = found
+    back = 1.0
+    for at in reversed(pieces):
+        found = []
+        for seen, own in zip(reversed(out[at : at + PIECE].tolist()), reversed(odds(at)), strict=True):
+            found.append(seen * back / (1 + seen * back))
+            here = own * back
+            back = (good_bad + here * good_good) / (bad_bad + here * bad_good)
+        out[at : at + PIECE] = found[::-1]
+    return out
+
+
 def forward_backward(score: np.ndarray, doc: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of every line, and the expected number of each pair of neighbouring labels.
 
@@ -240,7 +317,7 @@ def fit(measures: np.ndarray, lengths: np.ndarray, doc: np.ndarray, label: np.nd
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta = theta + RATE * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-6)
     model |= {"weight": theta[:size], "change": theta[size:].reshape(2, 2)}
-    quality = _mean(model, measures, lengths, doc, len(label))
+    quality = _mean(model, potentials(model, measures), lengths, doc, len(label))
     x = np.log(quality / (1 - quality))
     slope, shift = 1.0, 0.0
     for _ in range(300):
@@ -250,29 +327,52 @@ def fit(measures: np.ndarray, lengths: np.ndarray, doc: np.ndarray, label: np.nd
     return model | {"slope": max(slope, 0.05), "shift": shift}
 
 
-def _mean(model: dict, measures: np.ndarray, lengths: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    good, _ = forward_backward(model["weight"][features(measures, doc, model["edges"])].sum(1), doc, model["change"])
+def _mean(model: dict, added: np.ndarray, lengths: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """The mean marginal of every document by the lengths of its lines; added: potentials() of all measures."""
+    scores = _scores(model, added, doc)
+    lines = np.bincount(doc, minlength=docs)
+    long = lines > STEPS
+    good = np.empty(len(doc))
+    few = ~long[doc] if long.any() else slice(None)
+    good[few], _ = forward_backward(scores[few], doc[few], model["change"])
+    for d in np.flatnonzero(long).tolist():
+        a, b = np.searchsorted(doc, [d, d + 1])
+        good[a:b] = long_marginals(scores[a:b], model["change"])
     total = np.bincount(doc, weights=lengths, minlength=docs)
     mean = np.bincount(doc, weights=lengths * good, minlength=docs) / np.maximum(total, 1)
     return np.clip(np.where(total > 0, mean, model["share"]), 1e-4, 1 - 1e-4)
 
 
 def quality(model: dict, texts: Iterator[bytes]) -> np.ndarray:
-    """The score of every text; texts without a line have the share of good labels."""
-    measures, lengths, doc, docs = lines_of(texts)
+    """The score of every text; texts without a line have the share of good labels. BLOCK bytes of texts are scored at once, and a longer text by itself."""
+    out, held, size = [], [], 0
+    for t in texts:
+        if held and size + len(t) > BLOCK:
+            out.append(_quality(model, held))
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        out.append(_quality(model, held))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _quality(model: dict, texts: list[bytes]) -> np.ndarray:
     if model["weight"] is None:
-        return np.full(docs, model["share"])
-    mean = _mean(model, measures, lengths, doc, docs)
+        return np.full(len(texts), model["share"])
+    kept, lengths, doc, docs = lines_of(iter(texts), model)
+    mean = _mean(model, kept, lengths, doc, docs)
     score = 1 / (1 + np.exp(-(model["slope"] * np.log(mean / (1 - mean)) + model["shift"])))
     empty = np.bincount(doc, minlength=docs) == 0
     return np.where(empty, model["share"], score)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """The field, fitted to `sample` labelled documents at most, of CHARACTERS at most and those whose crc32 isn't divisible by 5."""
+    """The field, fitted to `sample` labelled documents at most, of CHARACTERS and LINES at most and those whose crc32 isn't divisible by 5."""
     crc = F.crc32(F.col("doc_id").cast("string")) % 5
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = bounded(docs).where(F.coalesce(F.length("text"), F.lit(0)) <= CHARACTERS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    fit_for = (F.coalesce(F.length("text"), F.lit(0)) <= CHARACTERS) & (F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) < LINES)
+    rows = bounded(docs).where(fit_for).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("lines", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

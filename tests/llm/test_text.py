@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -228,6 +229,44 @@ def test_lines_do_not_depend_on_blocks(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
 
 
+@pytest.fixture(scope="module")
+def field():
+    """A field fitted to made texts, with those texts."""
+    rng = random.Random(4)
+    texts = ["\n".join(("a good line of words. " if rng.random() < 0.9 - 0.8 * (k % 2) else "x%& 12 ") * rng.randrange(1, 4) for _ in range(rng.randrange(30))).encode() for k in range(80)]
+    measures, lengths, doc, _ = crf.lines_of(iter(texts))
+    return crf.fit(measures, lengths, doc, np.arange(80) % 2), texts
+
+
+def test_scores_do_not_depend_on_pieces(field, monkeypatch):
+    """Texts scored together, by themselves, or as long ones score the same; potentials come to what the features say."""
+    model, texts = field
+    measures, _, doc, docs = crf.lines_of(iter(texts))
+    assert np.allclose(crf.lines_of(iter(texts), model)[0], crf.potentials(model, measures))
+    added = crf.potentials(model, measures)
+    assert np.allclose(crf._scores(model, added, doc), model["weight"][crf.features(measures, doc, model["edges"])].sum(1))
+    whole = crf.quality(model, iter(texts))
+    assert len(whole) == docs == 80 and whole.std() > 0.05
+    monkeypatch.setattr(crf, "STEPS", 3)
+    monkeypatch.setattr(crf, "PIECE", 4)
+    assert np.allclose(crf.quality(model, iter(texts)), whole)
+    monkeypatch.setattr(crf, "BLOCK", 50)
+    assert np.allclose(crf.quality(model, iter(texts)), whole)
+    assert crf.quality(model, iter([])).shape == (0,)
+
+
+def test_many_short_lines_take_little_memory(field):
+    """Beyond what a block takes, a one-letter line takes under 100 bytes (1,100 with its features held)."""
+    peaks = []
+    for n in (250_000, 1_000_000):
+        tracemalloc.start()
+        score = crf.quality(field[0], iter([b"a\nb\n" * (n // 2)]))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert 0 <= score[0] <= 1
+    assert peaks[1] - peaks[0] < 100 * 750_000
+
+
 # -- pages -----------------------------------------------------------------------------------
 
 
