@@ -277,8 +277,7 @@ def read_twobit(spark, d):
     s = q_sequence.sequences(spark, d).where("length(seq) > 0").select("chrom", "seq")
     path = store.scratch(spark)
     twobit.write(s, path)
-    images = spark.read.parquet(path).select("content")
-    chunks = twobit.chunks(images, 1024)
+    chunks = twobit.read(spark, path, 1024)
     whole = chunks.groupBy("chrom").agg(F.sum(F.length("seq")).cast("long").alias("n"), F.min_by(F.substring("seq", 1, 20), "chunk").alias("head"))
     return whole
 

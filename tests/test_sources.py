@@ -1,5 +1,6 @@
 """Readers of small texts."""
 
+import io
 import random
 
 import pytest
@@ -171,6 +172,39 @@ def test_twobit(spark, tmp_path):
     assert twobit.read(spark, str(tmp_path / "x.2bit"), 8).count() == 5
 
 
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+def test_twobit_by_ranges(spark, tmp_path, monkeypatch):
+    """Files written by tasks are read in ranges, blocks that reach over chunks included; a range reads a small part of its file."""
+    rng = random.Random(3)
+    sequences = {f"c{k}": "".join(rng.choice(["ACGTTGCA", "N" * rng.randrange(1, 9), "acgtn"])[: rng.randrange(9)] for _ in range(k * 20)) for k in range(7)}
+    sequences["long"] = "ACGT" * 50 + "N" * 700 + "acgt" * 200 + "A"
+    want = sorted((c, k // 16, s[k : k + 16].upper()) for c, s in sequences.items() for k in range(0, len(s), 16))
+    monkeypatch.setattr(twobit, "RANGE", 64)
+    folder = f"file://{tmp_path}/written"
+    written = twobit.write(spark.createDataFrame(list(sequences.items()), "chrom string, seq string").repartition(3), folder)
+    assert sorted(r["chrom"] for r in written.collect()) == sorted(sequences)
+    got = twobit.read(spark, folder, 16)
+    assert sorted((r["chrom"], r["chunk"], r["seq"].upper()) for r in got.collect()) == want
+    data = twobit.encode(sequences)
+    at = {n: (a, little) for n, a, _, little in twobit.index(io.BytesIO(data))}
+    for _ in range(300):
+        name = rng.choice(list(sequences))
+        low, high = sorted(rng.randrange(len(sequences[name]) + 1) for _ in range(2))
+        assert twobit.bases(io.BytesIO(data), at[name][0], low, high, at[name][1]) == sequences[name][low:high]
+    big = io.BytesIO(twobit.encode({"x": "ACGTacgtNN" * 200_000}))
+    file = Counted(big.getvalue())
+    assert twobit.bases(file, 16 + 6, 1_000_000, 1_004_096, True) == ("ACGTacgtNN" * 200_000)[1_000_000:1_004_096]
+    assert file.taken < 10_000 < len(big.getvalue()) // 100
+
+
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([("t1", "c1", 5, 9), ("t2", "c2", 1, 3)], "id string, chrom string, start_pos long, end_pos long")
     path = str(tmp_path / "t")
