@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .dna import CHUNK, COMPLEMENTS, LETTERS, extract
-from .pieces import Fetch, Pieces, apply_variants
+from .pieces import Fetch, Pieces, apply_variants, split_variant
 from .rangejoin import find_5p_aligned, find_overlapping, length_classes
 
 #: Genotype and structural-variant codes.
@@ -161,7 +161,7 @@ def _with_variants(windows: DataFrame, variants: DataFrame, chunks: DataFrame, s
 
 
 def _changed(batch: pa.RecordBatch, more: int = 0) -> Iterator[tuple[Pieces, Fetch]]:
-    """The runs of each row of _with_variants(), of windows that are `more` bases longer, and what fetches their reference."""
+    """The runs of each row of _with_variants(), of windows that hold `more` bases after their ends, and what fetches their reference."""
     of = batch.column
     held = of("_variants")
     value = [held.values.field(i).to_pylist() for i in range(3)]
@@ -169,6 +169,9 @@ def _changed(batch: pa.RecordBatch, more: int = 0) -> Iterator[tuple[Pieces, Fet
     rows = zip(of("start_pos").to_pylist(), of("end_pos").to_pylist(), of("anchor").to_pylist(), of("anchor_offset").to_pylist(), of("_low").to_pylist(), of("_dna").to_pylist(), strict=True)
     for i, (start, end, anchor, offset, low, text) in enumerate(rows):
         there = [(s, r, a) for s, r, a in zip(*(v[ends[i] : ends[i + 1]] for v in value), strict=True)] if held[i].is_valid else []
+        if more and anchor is None:  # bases that are deleted at the end give none
+            for e in sorted((e for v in there for e in split_variant(*v)), key=lambda e: e.start):
+                end = e.end if e.start <= end < e.end and not e.alt else end
         yield apply_variants(start, end + more, there, anchor, offset or 0), lambda a, b, low=low, text=text: text[a - low : b - low]
 
 
@@ -243,9 +246,9 @@ def variant_motif(windows: DataFrame, variants: DataFrame, chunks: DataFrame, si
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, hits, places = [], [], []
-            # one base more gives a coordinate to a match position after the last base
-            for i, (strand, (pieces, fetch)) in enumerate(zip(b.column("strand").to_pylist(), _changed(b, 1), strict=True)):
-                seq = pieces.sliced(0, len(pieces) - 1).letters(fetch).upper()
+            # the window is searched as it is; one base more gives a coordinate to a match position after the last one
+            for i, (strand, (own, fetch), (pieces, _)) in enumerate(zip(b.column("strand").to_pylist(), _changed(b), _changed(b, 1), strict=True)):
+                seq = own.letters(fetch).upper()
                 sought, shift = (ahead, at) if strand == "+" else (reverse_complement(ahead), k - at)
                 j = seq.find(sought)
                 while j >= 0:

@@ -261,3 +261,17 @@ def test_spanning(spark):
     bad = spark.createDataFrame([(1, "c", 100, 150, 160, 0, 200, 250, None, 0)], schema)
     with pytest.raises(Exception, match="outside"):
         va.spanning(bad, spark.createDataFrame(v, "chrom string, start_pos long, ref string, alt string")).collect()
+
+
+def test_motifs_are_sought_up_to_the_window_s_end(spark):
+    texts = {"gone": "CCCGATTTTT", "next": "CCCGTTTTTT", "none": "CCCGATTTTT"}
+    # a deletion right after the window, and an insertion one base after it
+    variants = [("gone", 5, "TT", ""), ("next", 5, "", "AA")]
+    windows = [(c, c, "+", 0, 4 if c == "next" else 5, None, 0) for c in texts]
+    schema = "q_id string, chrom string, strand string, start_pos long, end_pos long, anchor long, anchor_offset long"
+    s = spark.createDataFrame(list(texts.items()), "chrom string, seq string")
+    tables = spark.createDataFrame(windows, schema), spark.createDataFrame(variants, "chrom string, start_pos long, ref string, alt string"), dna.chunked(s), s.select("chrom", F.length("seq").cast("long").alias("size"))
+    hits = lambda motif, position: sorted(tuple(r) for r in va.variant_motif(*tables, motif, position).collect())
+    assert hits("GA", "5p") == [("gone", 3, 0), ("none", 3, 0)]
+    assert hits("GA", "3p") == [("gone", 7, 0), ("none", 5, 0)]
+    assert hits("GT", "5p") == []
