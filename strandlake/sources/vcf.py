@@ -13,6 +13,11 @@ TYPES = {"Integer": "int", "Float": "float", "String": "string", "Character": "s
 _META = re.compile(r'##(INFO|FORMAT)=<ID=([^,]+),Number=([^,]+),Type=([^,>]+)')
 
 
+def _bound(value: Column, of) -> Column:
+    """of(value), with the value worked out once however often it is named: expressions within lambdas are evaluated at every mention."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def _head(spark: SparkSession, path: str) -> list[str]:
     """The lines before the first row, of files in order of their names: as many are taken from a file's beginning as it needs."""
     found = []
@@ -56,7 +61,7 @@ def _typed(text: Column, number: str, kind: str, default) -> Column:
         return many
     empty = F.array_repeat(fill, n)
     wrong = F.raise_error(F.lit("another count than the header's")).cast(f"array<{kind}>")
-    return F.when(text.isNull() | (text == "."), empty).when(F.size(many) == n, many).otherwise(wrong)
+    return F.when(text.isNull() | (text == "."), empty).otherwise(_bound(many, lambda m: F.when(F.size(m) == n, m).otherwise(wrong)))
 
 
 def split_alleles(rows: DataFrame, info_fields: dict, fmt_fields: dict) -> DataFrame:
@@ -68,8 +73,8 @@ def split_alleles(rows: DataFrame, info_fields: dict, fmt_fields: dict) -> DataF
     pair = (k * (k + 1) / 2).cast("int")  # the place of genotype 0/k among all
 
     def picked(value: Column, places: list) -> Column:
-        v = F.split(value, ",")
-        return F.when(value == ".", value).otherwise(F.concat_ws(",", *(F.coalesce(F.get(v, p), F.lit(".")) for p in places)))
+        chosen = lambda v: F.concat_ws(",", *(F.coalesce(F.get(v, p), F.lit(".")) for p in places))
+        return F.when(value == ".", value).otherwise(_bound(F.split(value, ","), chosen))
 
     by_number = {"A": [k - 1], "R": [F.lit(0), k], "G": [F.lit(0), pair, pair + k]}
 
@@ -82,24 +87,22 @@ def split_alleles(rows: DataFrame, info_fields: dict, fmt_fields: dict) -> DataF
         return out
 
     def entry(e: Column) -> Column:
-        name = F.substring_index(e, "=", 1)
-        value = e.substr(F.length(name) + 2, F.length(e))
-        return F.when(e.contains("="), F.concat(name, F.lit("="), follows(name, value, info_fields))).otherwise(e)
+        value = lambda name: e.substr(F.length(name) + 2, F.length(e))
+        followed = lambda name: F.concat(name, F.lit("="), _bound(value(name), lambda v: follows(name, v, info_fields)))
+        return F.when(e.contains("="), _bound(F.substring_index(e, "=", 1), followed)).otherwise(e)
 
     def genotype_of(gt: Column) -> Column:
         tokens = F.regexp_extract_all(gt, F.lit("[0-9]+|[./|]"), F.lit(0))
         return F.array_join(F.transform(tokens, lambda t: F.when(t == k.cast("string"), "1").when(t.rlike("^[0-9]+$"), "0").otherwise(t)), "")
 
-    keys = F.split("FORMAT", ":")
-
-    def sample(s: Column) -> Column:
-        part = lambda v, i: F.when(F.get(keys, i) == "GT", genotype_of(v)).otherwise(follows(F.get(keys, i), v, fmt_fields))
-        return F.array_join(F.transform(F.split(s, ":"), part), ":")
+    def samples(keys: Column) -> Column:
+        part = lambda v, i: _bound(F.get(keys, i), lambda key: F.when(key == "GT", genotype_of(v)).otherwise(follows(key, v, fmt_fields)))
+        return F.transform("_samples", lambda s: F.array_join(F.transform(F.split(s, ":"), part), ":"))
 
     several = F.col("ALT_").contains(",")
     rows = rows.withColumns({
         "INFO": F.when(several, F.array_join(F.transform(F.split("INFO", ";"), entry), ";")).otherwise(F.col("INFO")),
-        "_samples": F.when(several, F.transform("_samples", sample)).otherwise(F.col("_samples")),
+        "_samples": F.when(several, _bound(F.split("FORMAT", ":"), samples)).otherwise(F.col("_samples")),
     })
     return rows.drop("_k", "_alt")
 
@@ -158,14 +161,17 @@ def read(spark: SparkSession, path: str, info: dict | list = (), fmt: dict | lis
         else:
             chosen.append((sv_type(value(n)) if n == "SVTYPE" else _typed(value(n), number, kind, default(info, n))).alias(n))
     if fmt:
-        keys = F.split("FORMAT", ":")
+        def field(n: str):
+            return lambda text: genotype(F.coalesce(text, F.lit("./."))) if n == "GT" else _typed(text, *fmt_fields[n], default(fmt, n))
 
-        def field(sample: Column, n: str) -> Column:
-            at = F.array_position(keys, n)
-            text = F.when(at > 0, F.get(F.split(sample, ":"), (at - 1).cast("int")))
-            return genotype(F.coalesce(text, F.lit("./."))) if n == "GT" else _typed(text, *fmt_fields[n], default(fmt, n))
+        def fields(places: Column):
+            at = lambda parts, i: F.when(F.get(places, F.lit(i)) > 0, F.get(parts, (F.get(places, F.lit(i)) - 1).cast("int")))
+            one = lambda parts: F.struct(*(_bound(at(parts, i), field(n)).alias(n) for i, n in enumerate(fmt)))
+            return F.transform("_samples", lambda x: _bound(F.split(x, ":"), one))
 
-        chosen.append(F.transform("_samples", lambda x: F.struct(*(field(x, n).alias(n) for n in fmt))).alias("samples"))
+        # a row's keys are looked up once, and a sample is split once
+        places = _bound(F.split("FORMAT", ":"), lambda keys: F.array(*(F.array_position(keys, n) for n in fmt)))
+        chosen.append(_bound(places, fields).alias("samples"))
     return rows.select("chrom", *(c.alias(k) for k, c in out.items()), "id", *chosen) if "ID" not in info else rows.select("chrom", *(c.alias(k) for k, c in out.items()), *chosen)
 
 

@@ -236,3 +236,18 @@ def test_vcf_header_is_read_from_the_beginning(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("\n".join([*meta, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1", *rows]) + "\n")
     info, fmt, names = vcf.header(spark, str(tmp_path))
     assert len(info) == 1500 and "LATE" not in info and fmt == {} and names == ["s1"]
+
+
+def test_vcf_fields_are_split_once_a_row(spark, tmp_path):
+    """Expressions within lambdas are evaluated at every mention, so a mention of a split line or sample is a split."""
+    from strandlake.sources import vcf
+
+    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="x">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="x">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2"]
+    rows = ["c\t1\tr1\tA\tC\t.\t.\t.\tAD:GT\t3,4:0|1\t.", "c\t2\tr2\tA\tC\t.\t.\t.\tGT\t1/1\t./1:9,9"]
+    path = f"{tmp_path}/x.vcf"
+    with open(path, "w") as f:
+        f.write("\n".join(head + rows))
+    got = vcf.read(spark, path, (), ["GT", "AD"])
+    assert {r["id"]: [tuple(s) for s in r["samples"]] for r in got.collect()} == {"r1": [(4, [3, 4]), (3, [0, 0])], "r2": [(2, [0, 0]), (1, [0, 0])]}
+    plan = got.select("samples")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 8
