@@ -64,7 +64,7 @@ def normalised(start: Column, ref: Column, alt: Column) -> Column:
 def genotype(gt: Column, het_default: bool = True) -> Column:
     """The code of a haploid or diploid GT text."""
     a, sep, b = gt.substr(1, 1), gt.substr(2, 1), gt.substr(3, 1)
-    ref, alt, none = (lambda x: x == "0"), (lambda x: x.rlike("^[1-9]$")), (lambda x: x == ".")
+    ref, alt, none = (lambda x: x == "0"), (lambda x: x.between("1", "9")), (lambda x: x == ".")
     half = F.lit(GENOTYPES["het"] if het_default else GENOTYPES["unknown"])
     return (
         F.when((F.length(gt) == 1) & ref(a), GENOTYPES["hom_ref"]).when((F.length(gt) == 1) & alt(a), GENOTYPES["hom_alt"])

@@ -44,12 +44,13 @@ def stored(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, kind: str, mode: str = "errorifexists") -> None:
     """A table partitioned by chromosome and sorted by position within files, so that range predicates prune row groups.
 
+    Tasks get ranges of about as many rows each, however few chromosomes and positions the rows are spread over.
     The format's version travels as column metadata within the Parquet schema.
     """
     first = df.columns[0]
     marked = df.withMetadata(first, {PROPERTY: f"{kind}:{VERSIONS[kind]}"})
     if {"chrom", "start_pos"} <= set(df.columns):
-        marked = marked.repartition("chrom", F.floor(F.col("start_pos") / (1 << 24))).sortWithinPartitions("chrom", "start_pos")
+        marked = marked.repartitionByRange("chrom", "start_pos").sortWithinPartitions("chrom", "start_pos")
         marked.write.mode(mode).partitionBy("chrom").parquet(path) if first != "chrom" else marked.write.mode(mode).parquet(path)
     else:
         marked.write.mode(mode).parquet(path)

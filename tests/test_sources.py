@@ -251,3 +251,15 @@ def test_vcf_fields_are_split_once_a_row(spark, tmp_path):
     assert {r["id"]: [tuple(s) for s in r["samples"]] for r in got.collect()} == {"r1": [(4, [3, 4]), (3, [0, 0])], "r2": [(2, [0, 0]), (1, [0, 0])]}
     plan = got.select("samples")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 8
+
+
+def test_tables_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("'c' AS chrom", "id * 7 % 4000 AS start_pos")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_table(rows, f"{tmp_path}/t", "variants")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = store.read_table(spark, f"{tmp_path}/t", "variants")
+    sizes = [r["count"] for r in back.selectExpr("_metadata.file_name AS f").groupBy("f").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
