@@ -111,6 +111,11 @@ def find_within(elements: DataFrame, queries: DataFrame, width: int = WIDTH, str
     """Elements that lie within the query; an empty element on the query's 5' edge isn't found."""
     s, e, qs, qe = (F.col(c) for c in ("start_pos", "end_pos", "q_start", "q_end"))
     inside = (s >= qs) & (e <= qe) & F.when(F.col("strand") == "+", e > qs).otherwise(s < qe)
+    own, asked = classes or (length_classes(elements, width), length_classes(queries, width, "q_start", "q_end"))
+    # what is longer than every query lies within none, and would be met by all of them in the bins of its class
+    if asked and own and own[-1] > asked[-1]:
+        elements, own = elements.where(length_class(s, e, width) <= asked[-1]), [c for c in own if c <= asked[-1]]
+    classes = own, asked
     return _joined(elements, _unstranded(queries, stranded, True), s, e, qs, qe, inside, width, classes)
 
 

@@ -122,3 +122,14 @@ def test_plan_is_an_equi_join(spark):
     elements, queries = frames(spark)
     plan = rj.find_overlapping(elements, queries)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_elements_longer_than_every_query_are_met_by_none(spark, monkeypatch):
+    sides, spread = [], rj._spread
+    monkeypatch.setattr(rj, "_spread", lambda rows, name, home, *rest: sides.append((home, rows)) or spread(rows, name, home, *rest))
+    a = spark.createDataFrame([("a", t, s, s + n) for t in "+-" for s in (0, 7, 90) for n in (0, 3, 5, 1000)], "chrom string, strand string, start_pos long, end_pos long")
+    b = spark.createDataFrame([("a", t, s, s + 8) for t in "+-" for s in (0, 5, 88)], "q_chrom string, q_strand string, q_start long, q_end long")
+    got = sorted(tuple(r) for r in rj.find_within(a, b, width=4).collect())
+    assert got == sorted((*x, *y) for x, y in product(map(tuple, a.collect()), map(tuple, b.collect())) if x[1] == y[1] and PREDICATES["find_within"](x[1], *x[2:], *y[2:]))
+    (elements,) = [rows for home, rows in sides if home]
+    assert elements.where("end_pos - start_pos > 8").count() == 0
