@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import dna as sequences
 from .annotation import downstream, merge_touching
+from .scan import dealt
 
 REGIONS = ("exons", "cds", "utr5", "utr3")
 
@@ -22,8 +23,12 @@ def from_transcripts(regions: dict[str, DataFrame], region: str = "exons") -> Da
     return build(regions[region].select(F.col("tran_idx").alias("dis_id"), "chrom", "strand", "start_pos", "end_pos"))
 
 
-def build(intervals: DataFrame) -> DataFrame:
-    """Touching parts merged and numbered from 5', with cum (offset of the part) and total. Overlaps are an error."""
+def build(intervals: DataFrame, together: bool = False) -> DataFrame:
+    """Touching parts merged and numbered from 5', with cum (offset of the part) and total. Overlaps are an error.
+
+    The parts of a sequence are dealt to one task, in as many tasks as the intervals need; not if they already lie `together` by dis_id.
+    """
+    intervals = intervals if together else dealt(intervals, "dis_id")
     w = Window.partitionBy("dis_id", "chrom", "strand").orderBy("start_pos", "end_pos")
     reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
     bad = F.raise_error(F.lit("parts of a sequence overlap")).cast("long")

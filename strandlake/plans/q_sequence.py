@@ -310,7 +310,7 @@ PART = f"{EXON}, part AS (SELECT tran_idx AS dis_id, chrom, strand, start_pos, e
 
 
 def parts(spark, d):
-    return splice.build(exons(spark, d).withColumnRenamed("tran_idx", "dis_id").drop("line"))
+    return splice.build(exons(spark, d).withColumnRenamed("tran_idx", "dis_id").drop("line"), together=True)
 
 
 @query("x01_build", f"WITH {PART} SELECT dis_id, chrom, strand, start_pos, end_pos, ord, cum, total FROM part")
