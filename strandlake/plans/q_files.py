@@ -165,7 +165,13 @@ def sequenced(spark, d) -> dict:
     n = lambda c: F.col(c).cast("string")
     r = relation(spark, d, "reads").withColumn("e", F.col("pos") + F.col("left_len") + F.col("skip") + F.col("right_len"))
     letter = lambda p: F.element_at(F.array(*(F.lit(b) for b in "ACGT")), (p % 4 + 1).cast("int"))
-    part = lambda at, k, every, alt: F.array_join(F.transform(F.sequence(at, at + F.col(k) - 1), lambda p: F.when((p + F.col(k)) % every == 0, alt).otherwise(letter(p))), "")
+
+    def part(at, k, every, alt):
+        """The bases from `at` on, with alt where place and length add up to a multiple of `every`: they repeat after 4 * every."""
+        lines = ["".join(alt if (p + i) % every == 0 else "ACGT"[p % 4] for p in range(4 * every)) for i in range(every)]
+        line = F.element_at(F.array(*(F.lit(x) for x in lines)), (F.col(k) % every + 1).cast("int"))
+        return F.substring(F.repeat(line, (F.col(k) / (4 * every) + 2).cast("int")), (at % (4 * every) + 1).cast("int"), F.col(k).cast("int"))
+
     more = F.col("right_len") % 2 == 0
     cigar = F.concat(n("left_len"), F.lit("M"), n("skip"), F.lit("N"), n("right_len"), F.lit("M"), F.when(more, "3I2D1M").otherwise(""))
     seq = F.concat(part(F.col("pos"), "left_len", 17, "N"), part(F.col("e") - F.col("right_len"), "right_len", 13, "T"), F.when(more, F.concat(F.lit("GGT"), letter(F.col("e") + 2))).otherwise(""))
@@ -196,8 +202,10 @@ def substitutions(spark, d):
 def links(spark, d):
     """From alignments over their matches to variants: how many variants a match has."""
     t = sequenced(spark, d)
-    linked = t["alignments"].select("read_id", "chrom").join(t["matches"].select("read_id", "match"), "read_id").join(t["variants"].select("read_id", "match", "alt"), ["read_id", "match"])
-    return linked.groupBy("read_id", "chrom", "match").agg(F.count(F.lit(1)).alias("n_variants")).groupBy("chrom", "match", "n_variants").agg(F.count(F.lit(1)).alias("n"))
+    # counted by match before they are linked: a row a match, not a variant, is shuffled
+    count = t["variants"].groupBy("read_id", "match").agg(F.count(F.lit(1)).alias("n_variants"))
+    linked = t["alignments"].select("read_id", "chrom").join(t["matches"].select("read_id", "match"), "read_id").join(count, ["read_id", "match"])
+    return linked.groupBy("chrom", "match", "n_variants").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r08_read_length", f"{cte('reads')} SELECT count(*) AS n FROM reads WHERE left_len % 3 <> 0")

@@ -29,13 +29,14 @@ def tables(alignments: DataFrame, chunks: DataFrame | None = None, sizes: DataFr
     alignments: read_id, name, chrom, strand, start_pos, end_pos; matches, the runs between gaps: read_id,
     match, start_pos, end_pos; junctions: read_id, match (the one before the gap), start_pos, end_pos, left,
     right; and, if a reference is given, variants: read_id, match, start_pos, ref, alt. read_id must be
-    the same in every evaluation, as a stored number or a key of the file is.
+    the same in every evaluation, as a stored number or a key of the file is. A sequence of another length
+    than its CIGAR is an error where variants are read.
 
     The strand is that of the library's format if given, else of the introns that a read's gaps
     overlap, else the read's own. Of allow and exclude (q_chrom, q_strand, q_start, q_end),
     an alignment has to overlap one of the former and none of the latter, on its strand.
     """
-    a = rd.with_whole_sequence(alignments)
+    a = alignments
     end = F.col("pos") + rd.consumed(rd.operations(F.col("cigar")), "MDN")
     strand = rd.library_strand(F.col("flag"), library) if library else rd.read_strand(F.col("flag"))
     a = a.withColumns({"strand": strand, "start_pos": F.col("pos"), "end_pos": end})
@@ -50,9 +51,5 @@ def tables(alignments: DataFrame, chunks: DataFrame | None = None, sizes: DataFr
     gaps = rd.junctions(reads.select("read_id", "chrom", "pos", "cigar"), before="match").select("read_id", "match", "chrom", "start_pos", "end_pos", "left", "right")
     out = {"alignments": a.select("read_id", "name", "chrom", "strand", "start_pos", "end_pos"), "matches": matches, "junctions": gaps}
     if chunks is not None:
-        v = rd.read_variants(reads, chunks, sizes, size)
-        of = matches.select("read_id", "match", F.col("start_pos").alias("_s"), F.col("end_pos").alias("_e"))
-        within = (F.col("start_pos") >= F.col("_s")) & (F.col("start_pos") + F.length("ref") <= F.col("_e"))
-        linked = v.join(of, "read_id").where(within).groupBy("read_id", "chrom", "start_pos", "ref", "alt").agg(F.min("match").alias("match"))
-        out["variants"] = linked.select("read_id", "match", "chrom", "start_pos", "ref", "alt")
+        out["variants"] = rd.read_variants(reads, chunks, sizes, size)
     return out

@@ -1,8 +1,12 @@
 """Rows are dealt to as many tasks as their tables need, whatever number of shuffle partitions is set."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from strandlake.operators import scan, splice
+from strandlake.operators import dna, scan, splice
+from strandlake.operators import reads as rd
 from strandlake.plans.relations import exons
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +35,35 @@ def test_exons_lie_in_tasks_of_bounded_size(spark, monkeypatch):
     got = exons(spark, SF)
     assert got.rdd.getNumPartitions() > 10
     assert sorted(map(tuple, got.collect())) == before
+
+
+def test_read_variants_against_brute_force_and_without_a_shuffle(spark):
+    """Matches and deletions longer than a chunk, reads that begin or end beyond the chromosome, equal insertions; no read is shuffled."""
+    rng = random.Random(7)
+    ref = "".join(rng.choice("ACGT") for _ in range(61))
+    chroms = spark.createDataFrame([("c", ref)], "chrom string, seq string")
+    chunks, sizes = dna.chunked(chroms, 8), chroms.select("chrom", F.length("seq").cast("long").alias("size"))
+    reads = [(-1, "c", 3, "2M1I1I2M", ref[3:5] + "GG" + ref[5:7]), (-2, "none", 3, "2M", "AC"), (-3, "c", 0, "9N2M", ref[9:10] + "N")]
+    for i in range(150):
+        ops = [(rng.choice("MMMMIDNS"), rng.choice((1, 2, 7, 8, 9, 17, 25))) for _ in range(rng.randrange(1, 6))]
+        seq = "".join(rng.choice("ACGT") for op, n in ops if op in "MIS" for _ in range(n))
+        reads.append((i, "c", rng.randrange(-6, 64), "".join(f"{n}{op}" for op, n in ops), seq or "*"))
+    want = set()
+    for read_id, chrom, pos, cigar, seq in reads:
+        at = match = 0
+        for n, op in re.findall(r"(\d+)(\D)", cigar):
+            n = int(n)
+            under = "".join(ref[p] if 0 <= p < len(ref) else "N" for p in range(pos, pos + n))
+            if seq != "*" and chrom == "c":
+                if op == "M":
+                    want |= {(read_id, match, pos + k, under[k], seq[at + k]) for k in range(n) if under[k] != seq[at + k]}
+                if op in "ID":
+                    want.add((read_id, match, pos, under if op == "D" else "", seq[at : at + n] if op == "I" else ""))
+            at, pos, match = at + n * (op in "MIS"), pos + n * (op in "MDN"), match + (op == "N")
+    rows = spark.createDataFrame(reads, "read_id long, chrom string, pos long, cigar string, seq string").repartition(3)
+    got = rd.read_variants(rows, chunks, sizes, 8)
+    assert sorted(map(tuple, got.select("read_id", "match", "start_pos", "ref", "alt").collect())) == sorted(want)
+    # before, the pieces of all windows were put together by a shuffle: now those of long deletions only
+    plan = rd.read_variants(rows.where("cigar NOT LIKE '%D'"), chunks, sizes, 8)._jdf.queryExecution().optimizedPlan()
+    short = plan.children().apply(0).toString()
+    assert "Aggregate" not in short and short.count("Join Inner") + short.count("Join LeftOuter") == short.count("rightHint=(strategy=broadcast)") + 1
