@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from .dna import CHUNK, COMPLEMENTS, LETTERS, extract
 from .pieces import Fetch, Pieces, apply_variants, split_variant
-from .rangejoin import find_5p_aligned, find_overlapping, length_classes
+from .rangejoin import WIDTH, find_5p_aligned, find_overlapping, length_classes
 
 #: Genotype and structural-variant codes.
 GENOTYPES = {"hom_ref": 0, "het": 1, "hom_alt": 2, "unknown": 3, "het_0|1": 4, "het_1|0": 5}
@@ -43,22 +43,30 @@ def variant_text(chrom: Column, start: Column, ref: Column, alt: Column) -> Colu
     return F.concat_ws(":", chrom, (start + 1).cast("string"), ref, alt)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once for each row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Letters that two strings have in common from their beginnings."""
     n = F.least(F.length(a), F.length(b))
     first = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: a.substr(i, F.lit(1)) != b.substr(i, F.lit(1))), True)
-    return F.when(n == 0, 0).when(first == 0, n).otherwise(first - 1).cast("int")
+    return F.when(n == 0, 0).otherwise(_once(first, lambda at: F.when(at == 0, n).otherwise(at - 1))).cast("int")
 
 
 def normalised(start: Column, ref: Column, alt: Column) -> Column:
     """An array of structs (start_pos, ref, alt): the common prefix goes, and what is left is a
     substitution, an insertion or a deletion, or a substitution and one of these. A shared end stays."""
-    pad = common_prefix(ref, alt)
-    r, a, s = ref.substr(pad + 1, F.length(ref)), alt.substr(pad + 1, F.length(alt)), start + pad
-    n = F.least(F.length(r), F.length(a))
     piece = lambda s, r, a: F.struct(s.cast("long").alias("start_pos"), r.alias("ref"), a.alias("alt"))
-    both = F.array(piece(s, r.substr(F.lit(1), n), a.substr(F.lit(1), n)), piece(s + n, r.substr(n + 1, F.length(r)), a.substr(n + 1, F.length(a))))
-    return F.filter(both, lambda v: (v["ref"] != "") | (v["alt"] != ""))
+
+    def cut(pad: Column) -> Column:
+        n = F.least(F.length(ref), F.length(alt)) - pad
+        rest = lambda x: x.substr(pad + n + 1, F.length(x))
+        both = F.array(piece(start + pad, ref.substr(pad + 1, n), alt.substr(pad + 1, n)), piece(start + pad + n, rest(ref), rest(alt)))
+        return F.filter(both, lambda v: (v["ref"] != "") | (v["alt"] != ""))
+
+    return _once(common_prefix(ref, alt), cut)
 
 
 def genotype(gt: Column, het_default: bool = True) -> Column:
@@ -190,7 +198,10 @@ def spanning(pairs: DataFrame, variants: DataFrame) -> DataFrame:
     windows = p.select("p_id", c("chrom").alias("q_chrom"), F.lit("+").alias("q_strand"), (low - 1).alias("q_start"), (high + 1).alias("q_end")).where(p["x.anchor"].isNotNull())
     v = variants.select("chrom", F.explode(normalised(c("start_pos"), c("ref"), c("alt"))).alias("_v")).select("chrom", F.lit("+").alias("strand"), "_v.*")
     v = v.withColumns({"end_pos": c("start_pos") + F.greatest(F.length("ref"), F.lit(1)), "_stop": c("start_pos") + F.length("ref"), "_more": F.length("alt") - F.length("ref"), "_ins": F.when(c("ref") == "", F.length("alt"))})
-    near = find_overlapping(v, windows).groupBy("p_id").agg(F.collect_list(F.struct("start_pos", "_stop", "_more", "_ins")).alias("_vs"))
+    # pieces are no longer than their variants: where these are all of the least class, the pieces needn't be measured
+    classes = length_classes(variants.select("start_pos", (c("start_pos") + F.length("ref")).alias("end_pos")))
+    classes = classes if classes == [(WIDTH - 1).bit_length()] else length_classes(v)
+    near = find_overlapping(v, windows, classes=(classes, length_classes(windows, start="q_start", end="q_end"))).groupBy("p_id").agg(F.collect_list(F.struct("start_pos", "_stop", "_more", "_ins")).alias("_vs"))
     rows = p.join(near, "p_id", "left")
     vs = F.coalesce("_vs", F.array().cast(dict(near.dtypes)["_vs"]))
 
