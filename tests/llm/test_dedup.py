@@ -522,6 +522,41 @@ def test_lines_said_twice_meet_no_line_said_once():
     assert not met
 
 
+def test_exact_matches_with_two_documents_make_two_pieces():
+    """Words matched with two documents each, which come in turn: a piece for each document; before, one for each word."""
+    names = ["doc", "pos", "other", "other_pos"]
+    kinds = pa.schema([("doc", pa.int64()), ("pos", pa.int32()), ("other", pa.int64()), ("other_pos", pa.int32())])
+    rows = [dict(zip(names, (9, p, o, p + 3 * o), strict=True)) for p in range(40) for o in (4, 7)]
+    random.Random(1).shuffle(rows)
+    got = [r for b in substring._exact_pieces(50)([pa.RecordBatch.from_pylist(rows, kinds)]) for r in b.to_pylist()]
+    assert sorted((r["other"], r["a0"], r["a1"], r["matched"]) for r in got) == [(4, 0, 89, 89), (7, 0, 89, 89)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_of_few_and_of_common_seeds(seed):
+    """Seeds counted in parts by tasks give the pairs and the common seeds of a count of all."""
+    rng = random.Random(seed)
+    kind = pa.schema([("class", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("segments", pa.binary()), ("open", pa.list_(pa.int32()))])
+    classes, seen = [], collections.defaultdict(list)
+    for c in range(60):
+        n = rng.randrange(1, 30)
+        seeds, pos = [rng.randrange(12 if rng.random() < 0.3 else 200) for _ in range(n)], sorted(rng.sample(range(400), n))
+        open_ = rng.choice([None, [], rng.sample(range(n), rng.randrange(1, n + 1))])
+        rep = rng.randrange(1000)
+        last = rep + rng.randrange(500) if open_ else None
+        classes.append(dict(zip(kind.names, (c, rep, last, np.array(seeds, "<i8").tobytes() + np.array(pos, "<i4").tobytes(), open_), strict=True)))
+        for s, p in zip(seeds, pos, strict=True):
+            seen[s].append((c, rep, rep if last is None else last, any(abs(pos[i] - p) <= substring.NEAR for i in open_ or [])))
+    common = {s for s, rows in seen.items() if len(rows) > substring.COMMON and any(r[3] for r in rows)}
+    pairs = {(a[0], b[0]) for rows in seen.values() if len(rows) <= substring.COMMON for a in rows for b in rows if a[3] and a[0] != b[0] and b[1] < a[2]}
+    parts = [pa.RecordBatch.from_pylist(classes[k : k + 25], kind) for k in range(0, 60, 25)]
+    rows = pa.Table.from_batches(substring._shared_seeds(iter(parts))).sort_by("key").combine_chunks().to_batches()
+    got = [r for b in substring._few_rows(iter(rows)) for r in b.to_pylist()]
+    assert {r["key"] for r in got if r["a"] is None} == common and len(common) > 3
+    assert {(r["a"], r["b"]) for r in got if r["a"] is not None} == pairs and pairs
+    assert max(collections.Counter(r for b in rows for r in b.column("key").to_pylist()).values()) <= 3 * substring.COMMON
+
+
 def test_classes_put_off_are_met_later():
     """What is met at first and later is all older classes."""
     keys = _class_keys([[(1, 0), (2, 20)]] * 50)
