@@ -18,22 +18,24 @@ STRIDE = 1 << 20
 
 #: Bytes of the files read for each task that rows are dealt to: some hundred thousand rows.
 DEALT_BYTES = 4 << 20
+#: Rows for each such task, where they are counted: files of repeated values hold several times as many rows a byte.
+DEALT_ROWS = 1 << 17
 
 _KINDS = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b))}
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, count: int = 0) -> DataFrame:
     """rows with equal keys together, in as many tasks as the tables they come from need, and no fewer than there are cores.
 
     A task that sorts or groups them then holds about as much on a large table as on a small one, whatever
-    number of shuffle partitions is set; adaptive execution doesn't put such tasks together.
+    number of shuffle partitions is set; adaptive execution doesn't put such tasks together. count: number of the rows, if it is known.
     """
     spark = rows.sparkSession
     leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
     # a source without statistics (rows from Python) is given as very large, and is small
     size = sum(n for n in (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())) if n < 1 << 50)
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return rows.repartition(max(least, -(-size // DEALT_BYTES)), *keys)
+    return rows.repartition(max(least, -(-size // DEALT_BYTES), -(-count // DEALT_ROWS)), *keys)
 
 
 def piece(position: Column, stride: int = STRIDE) -> Column:

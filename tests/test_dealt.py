@@ -37,6 +37,17 @@ def test_exons_lie_in_tasks_of_bounded_size(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == before
 
 
+def test_exons_of_files_that_compress_well_lie_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Copies of line items, a row's side by side, take few bytes: tasks follow the rows. Before, eight copies went to hardly more tasks than one."""
+    one = spark.read.parquet(f"{SF}/lineitem.parquet")
+    copies = one.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("l_orderkey", F.col("l_orderkey") + F.col("i") * 10_000_000).drop("i")
+    copies.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(scan, "DEALT_ROWS", 300)
+    tasks = [exons(spark, d).rdd.getNumPartitions() for d in (SF, tmp_path)]
+    assert tasks == [-(-one.count() // 300), -(-8 * one.count() // 300)]
+    assert exons(spark, tmp_path).where("tran_idx < 10000000").exceptAll(exons(spark, SF)).isEmpty() and exons(spark, tmp_path).count() == 8 * exons(spark, SF).count()
+
+
 def test_read_variants_against_brute_force_and_without_a_shuffle(spark):
     """Matches and deletions longer than a chunk, reads that begin or end beyond the chromosome, equal insertions; no read is shuffled."""
     rng = random.Random(7)
