@@ -646,3 +646,61 @@ def test_folder_and_broadcasts(spark, monkeypatch):
     common.release(spark)
     with pytest.raises(Exception, match="(?i)not.exist|not_exist"):
         table.collect()
+
+
+def test_pieces_that_add_nothing_are_left_out():
+    """Of pieces of one document with a hundred others no word lies in more than three, and the passages are those of all pieces; before, all went on."""
+    rng = random.Random(3)
+
+    def passages(pieces):
+        return [r for b in substring._passage_rows(10)(iter([substring.batch(substring._PIECES, *zip(*((d, o, s, e, e - s, 1.0) for d, s, e, o in sorted(pieces)), strict=True))])) for r in b.to_pylist()]
+
+    for _ in range(50):
+        pieces = [(doc, s, s + rng.randrange(50, 90), other) for doc in (-4, 10**12) for other in range(100) for s in [rng.randrange(300)]]
+        kept = [pieces[i] for i in substring._covering(*(np.array([p[k] for p in pieces]) for k in (0, 3, 1, 2)))]
+        assert passages(kept) == passages(pieces) and len(kept) < 40
+        assert max(collections.Counter((d, w) for d, s, e, _ in kept for w in range(s, e)).values()) <= 3
+
+
+def test_seeds_go_between_tasks_as_blocks():
+    """Seeds of two tasks are matched as those of one; before, each was a row of its own."""
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(-40, 40) << 55, rng.randrange(-30, 30), rng.randrange(90)) for _ in range(900)})
+    parts = [[r for r in rows if r[1] % 2 == k] for k in (0, 1)]
+    blocks = [b for part in parts for b in substring._within_task([tuple(np.array(c, np.int64) for c in zip(*part, strict=True))], 7)]
+    assert sum(b.num_rows for b in blocks) <= 2 * 2 * 7
+    table = pa.Table.from_batches(blocks).sort_by("bucket").combine_chunks().to_batches()
+    got = pa.Table.from_batches(substring._match_rows(iter(table), 5))
+    doc, pos, other, there, seed = substring._columns(got.column("rows").to_pylist(), substring._MATCH)
+    older = there >= 0
+    first = {k: min(d for key, d, _ in rows if key == k) for k, _, _ in rows}
+    several = {k for k in first if len({d for key, d, _ in rows if key == k}) > 1}
+    place = {(k, d): min(p for key, e, p in rows if (key, e) == (k, d)) for k, d, _ in rows}
+    # whatever isn't of the smallest document is matched with the first place of an older one, and what is comes without one
+    assert {(k, d, p) for k, d, p, o in zip(seed, doc, pos, older, strict=True) if o} == {(k, d, p) for k, d, p in rows if d != first[k]}
+    assert {(k, d, p) for k, d, p, o in zip(seed, doc, pos, older, strict=True) if not o} == {(k, d, p) for k, d, p in rows if k in several and d == first[k]}
+    assert all(o < d and place[k, o] == t for k, d, o, t in zip(seed[older], doc[older], other[older], there[older], strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_without_a_second_seed_in_common_do_not_meet(seed):
+    """Classes with two seeds in common, one within REACH words of the other in both, all meet; of those with one seed in common few do."""
+    rng = random.Random(seed)
+    kind = pa.schema([("class", pa.int64()), ("doc", pa.int64()), ("last", pa.int64()), ("segments", pa.binary()), ("open", pa.list_(pa.int32()))])
+    classes, places = [], {}
+    for c in range(120):
+        pos = sorted(rng.sample(range(120), 6))
+        places[c] = [(rng.randrange(120), p) for p in pos]
+        packed = np.array([s for s, _ in places[c]], "<i8").tobytes() + np.array(pos, "<i4").tobytes()
+        classes.append(dict(zip(kind.names, (c, c, c, packed, list(range(6))), strict=True)))
+
+    def met(around):
+        rows = pa.Table.from_batches(substring._shared_seeds(iter([pa.RecordBatch.from_pylist(classes, kind)]), around)).sort_by("key").combine_chunks().to_batches()
+        got = [r for b in substring._few_rows(iter(rows)) for r in b.to_pylist()]
+        return {(r["a"], r["b"]) for r in got if r["a"] is not None}, {r["key"] for r in got if r["a"] is None}
+
+    every, common = met(False)
+    some, the_same = met(True)
+    second = lambda a, b, x, p, q: any(y == z and 0 < abs(r - p) <= substring.REACH and 0 < abs(s - q) <= substring.REACH and (r > p) == (s > q) for y, r in a for z, s in b)
+    needed = {(i, j) for i, j in every if any(x == z and x not in common and second(places[i], places[j], x, p, q) for x, p in places[i] for z, q in places[j])}
+    assert needed and needed <= some <= every and len(some) < 0.7 * len(every) and common == the_same
