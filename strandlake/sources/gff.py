@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from strandlake.operators.annotation import downstream, level_of, support_level, utrs
 from strandlake.operators.scan import piece, ranked
 
+from .store import stored
+
 COLUMNS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 TRANSCRIPTS = ("transcript", "mRNA", "lnc_RNA", "ncRNA", "miRNA", "snRNA", "snoRNA", "rRNA", "tRNA", "primary_transcript", "pseudogenic_transcript")
 
@@ -39,12 +41,16 @@ def _bare(column: Column) -> Column:
 
 
 def _index(rows: DataFrame, name: str) -> DataFrame:
-    """Dense row numbers in order of place and id, from counts a chromosome and a piece of it: no single task sorts either."""
+    """Dense row numbers in order of place and id, from counts a chromosome and a piece of it: no single task sorts either.
+
+    Rows and numbers are written once: each is read several times, and would otherwise be made anew from the lines every time.
+    """
+    rows = stored(rows)
     sizes = rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.select("chrom", before.alias("_base"))
     placed = ranked(rows, ["chrom"], ["start_pos", "end_pos", "strand", "id"], [piece(F.col("start_pos"))], name, dense=False)
-    return placed.join(base, "chrom").withColumn(name, F.col("_base") + F.col(name) - 1).drop("_base")
+    return stored(placed.join(base, "chrom").withColumn(name, F.col("_base") + F.col(name) - 1).drop("_base"))
 
 
 def tables(text: DataFrame, orphaned: str = "error") -> dict[str, DataFrame]:
@@ -75,6 +81,7 @@ def tables(text: DataFrame, orphaned: str = "error") -> dict[str, DataFrame]:
     of = genes.select("_gene", "gene_idx", F.col("type").alias("_type"))
     # every ID that can be a parent, so that a parent of another type is told from none; an error only where a child names none of them
     named = rows.where(F.col("ID").isNotNull() & ~F.col("type").isin("exon", "CDS")).select(F.col("ID").alias("_parent")).distinct()
+    named = stored(named) if strict else named
 
     def of_parents(children: DataFrame, key: DataFrame, index: str) -> DataFrame:
         """children with the columns of key, both by _parent."""
