@@ -263,3 +263,14 @@ def test_tables_are_written_by_many_tasks(spark, tmp_path):
     back = store.read_table(spark, f"{tmp_path}/t", "variants")
     sizes = [r["count"] for r in back.selectExpr("_metadata.file_name AS f").groupBy("f").count().collect()]
     assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_gff_lines_are_read_a_few_times(text, tmp_path, spark):
+    """Genes, transcripts and the names of parents are made once; before, the lines were read anew for each step that uses them."""
+    path = f"{tmp_path}/lines.gff3"
+    fine = GFF.rsplit("\n", 2)[0] + "\n"
+    text(fine).coalesce(1).write.text(path)
+    t = gff.tables(spark.read.text(path))
+    whole = t["exons"].join(t["transcripts"], "tran_idx").join(t["genes"].select("gene_idx", "id"), "gene_idx")
+    leaves = whole._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("value" in leaves.apply(i).toString() for i in range(leaves.size())) == 1 and whole.count() == 2
