@@ -29,7 +29,8 @@ def extract(windows: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int =
     """windows(q_id, chrom, strand, start_pos, end_pos) with their `dna`; a window for every row, equal rows included.
 
     On the minus strand the reverse complement. Beyond the chromosome N, or an error if
-    `outside` isn't allowed. sizes: (chrom, size). A window meets only its own chunks.
+    `outside` isn't allowed. sizes: (chrom, size). A window meets only its own chunks. Chunks
+    are never broadcast: made from few rows they look small, and are a whole reference.
     """
     w = windows.join(sizes, "chrom")
     s, e = F.greatest(F.col("start_pos"), F.lit(0)), F.least(F.col("end_pos"), F.col("size"))
@@ -43,7 +44,7 @@ def extract(windows: DataFrame, chunks: DataFrame, sizes: DataFrame, size: int =
     low = F.greatest(F.col("_s") - F.col("chunk") * size, F.lit(0))
     high = F.least(F.col("_e") - F.col("chunk") * size, F.lit(size))
     part = F.substring(F.col("seq"), (low + 1).cast("int"), (high - low).cast("int"))
-    met = spread.join(chunks, ["chrom", "chunk"], "left").withColumn("_part", F.when(F.col("seq").isNotNull(), F.struct("chunk", part.alias("p"))))
+    met = spread.join(chunks.hint("merge"), ["chrom", "chunk"], "left").withColumn("_part", F.when(F.col("seq").isNotNull(), F.struct("chunk", part.alias("p"))))
     # equal windows meet the same chunks: each piece is kept once, and the rows tell how many windows there are
     whole = met.groupBy(*windows.columns, "size", "_s", "_e").agg(F.array_sort(F.collect_set("_part")).alias("_parts"), F.count(F.lit(1)).alias("_n"))
     inner = F.array_join(F.transform("_parts", lambda p: p["p"]), "")

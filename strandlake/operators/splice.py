@@ -49,20 +49,31 @@ def lower(parts: DataFrame, segments: DataFrame) -> DataFrame:
     Beyond the sequence the first or the last part is extended. An empty segment gives one
     empty piece, at the greater genomic position if it lies between two parts.
     """
-    plus = F.col("strand") == "+"
+    rows = _met(parts.join(segments, "dis_id"))
+    point = rows.where("seg_start = seg_end AND seg_start >= _low AND seg_start <= _high")
+    shown = ["seg_id", "chrom", "strand"]
+    empty = point.groupBy(*shown).agg(F.min("ord").alias("ord"), F.max(_spot("seg_start")).alias("start_pos")).withColumn("end_pos", F.col("start_pos"))
+    return _whole(rows).unionByName(empty)
+
+
+def _spot(x: str) -> Column:
+    return F.when(F.col("strand") == "+", F.col("start_pos") + F.col(x) - F.col("cum")).otherwise(F.col("end_pos") - (F.col(x) - F.col("cum")))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Parts joined with segments: from where to where they may meet (_low, _high), and do (_a, _b)."""
     length = F.col("end_pos") - F.col("start_pos")
     first, last = F.col("cum") == 0, F.col("cum") + length == F.col("total")
     low = F.when(first, F.lit(-(1 << 60))).otherwise(F.col("cum"))
     high = F.when(last, F.lit(1 << 60)).otherwise(F.col("cum") + length)
-    a, b = F.greatest(F.col("seg_start"), low), F.least(F.col("seg_end"), high)
-    rows = parts.join(segments, "dis_id").withColumns({"_a": a, "_b": b, "_low": low, "_high": high})
-    full = rows.where("seg_start < seg_end AND _a < _b")
-    point = rows.where("seg_start = seg_end AND seg_start >= _low AND seg_start <= _high")
-    spot = lambda x: F.when(plus, F.col("start_pos") + F.col(x) - F.col("cum")).otherwise(F.col("end_pos") - (F.col(x) - F.col("cum")))
-    shown = ["seg_id", "chrom", "strand"]
-    whole = full.select(*shown, "ord", F.when(plus, spot("_a")).otherwise(spot("_b")).alias("s"), F.when(plus, spot("_b")).otherwise(spot("_a")).alias("e"))
-    empty = point.groupBy(*shown).agg(F.min("ord").alias("ord"), F.max(spot("seg_start")).alias("s")).withColumn("e", F.col("s"))
-    return whole.unionByName(empty).toDF(*shown, "ord", "start_pos", "end_pos")
+    return rows.withColumns({"_a": F.greatest(F.col("seg_start"), low), "_b": F.least(F.col("seg_end"), high), "_low": low, "_high": high})
+
+
+def _whole(met: DataFrame) -> DataFrame:
+    """The pieces of segments that aren't empty."""
+    plus = F.col("strand") == "+"
+    s, e = F.when(plus, _spot("_a")).otherwise(_spot("_b")), F.when(plus, _spot("_b")).otherwise(_spot("_a"))
+    return met.where("seg_start < seg_end AND _a < _b").select("seg_id", "chrom", "strand", "ord", s.alias("start_pos"), e.alias("end_pos"))
 
 
 def lift(parts: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -180,14 +191,13 @@ def spliced_dna(parts: DataFrame, segments: DataFrame, chunks: DataFrame, sizes:
 
     chunks and sizes as for dna.extract().
     """
-    total = parts.where("ord = 0").select("dis_id", "total")
     low, high = F.greatest(F.col("seg_start"), F.lit(0)), F.least(F.col("seg_end"), F.col("total"))
-    s = segments.join(total, "dis_id").withColumns({"_low": low, "_high": high})
     if not outside:
         bad = F.raise_error(F.lit("a segment lies outside its sequence")).cast("long")
-        s = s.withColumn("_low", F.when((F.col("seg_start") == F.col("seg_end")) | (F.col("seg_start") >= 0) & (F.col("seg_end") <= F.col("total")), F.col("_low")).otherwise(bad))
-    kept = s.where("_low < _high").select("seg_id", "dis_id", F.col("_low").alias("seg_start"), F.col("_high").alias("seg_end"))
-    windows = lower(parts, kept).select(F.struct("seg_id", "ord").alias("q_id"), "chrom", "strand", "start_pos", "end_pos")
+        low = F.when((F.col("seg_start") == F.col("seg_end")) | (F.col("seg_start") >= 0) & (F.col("seg_end") <= F.col("total")), low).otherwise(bad)
+    # a part knows its sequence's total, and what is left of a segment within it isn't empty: one join of parts and segments will do
+    kept = parts.join(segments, "dis_id").withColumns({"seg_start": low, "seg_end": high}).where("seg_start < seg_end")
+    windows = _whole(_met(kept)).select(F.struct("seg_id", "ord").alias("q_id"), "chrom", "strand", "start_pos", "end_pos")
     pieces = sequences.extract(windows, chunks, sizes, size).groupBy(F.col("q_id.seg_id").alias("seg_id")).agg(F.array_sort(F.collect_list(F.struct("q_id.ord", "dna"))).alias("_parts"))
     inner = F.coalesce(F.array_join(F.transform("_parts", lambda p: p["dna"]), ""), F.lit(""))
     n = lambda x: F.repeat(F.lit("N"), F.greatest(F.lit(0), x).cast("int"))
@@ -195,4 +205,5 @@ def spliced_dna(parts: DataFrame, segments: DataFrame, chunks: DataFrame, sizes:
     length = F.col("seg_end") - F.col("seg_start")
     before, behind = F.least(-F.col("seg_start"), length), F.least(F.col("seg_end") - F.col("total"), length)
     whole = F.concat(n(before), inner, n(behind))
+    s = segments.join(parts.where("ord = 0").select("dis_id", "total"), "dis_id")
     return s.join(pieces, "seg_id", "left").select("seg_id", F.when(F.col("same"), whole).otherwise(sequences.reverse_complement(whole)).alias("dna"))

@@ -78,3 +78,16 @@ def test_read_variants_against_brute_force_and_without_a_shuffle(spark):
     plan = rd.read_variants(rows.where("cigar NOT LIKE '%D'"), chunks, sizes, 8)._jdf.queryExecution().optimizedPlan()
     short = plan.children().apply(0).toString()
     assert "Aggregate" not in short and short.count("Join Inner") + short.count("Join LeftOuter") == short.count("rightHint=(strategy=broadcast)") + 1
+
+
+def test_chunks_made_from_few_rows_are_not_broadcast(spark):
+    """A reference made from its sizes looks as small as these once they are counted; before, adaptive execution sent it whole to the driver."""
+    sizes = spark.range(2000).groupBy((F.col("id") % 3).alias("c")).agg(F.max("id").alias("size")).select(F.concat(F.lit("chr"), "c").alias("chrom"), (F.col("size") + 1).alias("size"))
+    chunks = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / 8)))).select("chrom", "chunk", F.repeat(F.lit("ACGT"), 2).alias("seq"))
+    windows = spark.range(4000).repartition(3).select(F.col("id").alias("q_id"), F.concat(F.lit("chr"), F.col("id") % 3).alias("chrom"), F.lit("+").alias("strand"), (F.col("id") % 1900).alias("start_pos"), (F.col("id") % 1900 + 5).alias("end_pos"))
+    got = dna.extract(windows, chunks, sizes, 8)
+    rows = got.collect()
+    assert len(rows) == 4000 and all(r["dna"] == "ACGTACGTA"[r["start_pos"] % 4 :][:5] for r in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [chrom" in line and "chunk#" in line]
